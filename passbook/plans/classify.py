@@ -174,7 +174,7 @@ def apply_to_similar(
     keyed = lambda df: df.withColumn("norm", normalise_merchant("description"))
     pool = keyed(views.unconfirmed(view, books.enrichments, books.transfers))
     query = keyed(here.filter(F.col("id") == transaction_id))
-    pool = pool.select("ledger_id", "id", "norm").unionByName(query.select("ledger_id", "id", "norm")).distinct()
+    pool = pool.select("ledger_id", "id", "norm")
     extra = keyed(views.confirmed_category_examples(here, books.enrichments)).select("ledger_id", "norm")
     found = features.similar_transactions(query.select("ledger_id", "id", "norm"), pool, extra, top=top)
     offer = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -57,25 +57,36 @@ def struct(name: str) -> StructType:
     return _parse_datatype_string(DDL[name])
 
 
-@dataclass(frozen=True)
+TABLES = (
+    "banks", "accounts", "transactions", "categories", "enrichments",
+    "transfers", "rules", "notes", "tags", "transaction_tags",
+)
+
+
 class Books:
-    """The state tables of many ledgers; operators return changed copies."""
-
-    banks: DataFrame
-    accounts: DataFrame
-    transactions: DataFrame
-    categories: DataFrame
-    enrichments: DataFrame
-    transfers: DataFrame
-    rules: DataFrame
-    notes: DataFrame
-    tags: DataFrame
-    transaction_tags: DataFrame
+    """The state tables of many ledgers as attributes; operators return changed copies.
+
+    A table may be given as a function that makes it, called on first use, so
+    a query plans only the tables it reads.
+    """
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        unknown = set(tables) - set(TABLES)
+        if unknown:
+            raise ValueError(f"no such table: {', '.join(sorted(unknown))}")
+        self._tables = dict(tables)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        table = self._tables[name]
+        if not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
 
     def with_tables(self, **tables: DataFrame) -> "Books":
-        return replace(self, **tables)
+        return Books(**{**self._tables, **tables})
 
 
 def empty_books(spark) -> Books:
-    names = Books.__dataclass_fields__
-    return Books(**{n: spark.createDataFrame([], struct(n)) for n in names})
+    return Books(**{n: spark.createDataFrame([], struct(n)) for n in TABLES})
