@@ -1 +1,121 @@
-"""Queries to come."""
+"""Full text over whole documents and merchant texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from passbook.functions.text import searchable_text, tokens
+from passbook.operators import fulltext
+from passbook.queries import query
+from passbook.sources import star
+
+# Word lists of documents (description, metadata, note) as the SQL side makes them.
+WORDS = """(SELECT t.ledger_id AS ledger_id, t.id AS id,
+              [x FOR x IN string_split(regexp_replace(strip_accents(LOWER(t.description || ' ' || source_file || ' '
+                || CAST(t.amount_cents AS STRING) || COALESCE(' ' || n.note, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') IF x <> ''] AS words
+            FROM {doc_tx} t LEFT JOIN {doc_notes} n ON t.ledger_id = n.ledger_id AND t.id = n.transaction_id)"""
+
+
+def _docs(spark, sf):
+    return star.frame(spark, sf, "doc_tx"), star.frame(spark, sf, "doc_notes")
+
+
+def _postings(spark, sf):
+    return fulltext.build_postings(*_docs(spark, sf))
+
+
+@query("searchable_words", f"""
+    SELECT ledger_id, id, CAST(len(words) AS BIGINT) AS words, CAST(len(list_distinct(words)) AS BIGINT) AS terms FROM {WORDS}""")
+def searchable_words(spark, sf):
+    tx, notes = _docs(spark, sf)
+    rows = tx.join(notes.select("ledger_id", F.col("transaction_id").alias("id"), "note"), ["ledger_id", "id"], "left")
+    words = tokens(searchable_text("description", "metadata", "note"))
+    return rows.select(
+        "ledger_id", "id", F.size(words).cast("bigint").alias("words"),
+        F.size(F.array_distinct(words)).cast("bigint").alias("terms"),
+    )
+
+
+@query("postings", f"""
+    SELECT ledger_id, term, CAST(COUNT(*) AS BIGINT) AS hits, CAST(COUNT(DISTINCT id) AS BIGINT) AS rows
+    FROM (SELECT ledger_id, id, unnest(words) AS term FROM {WORDS}) GROUP BY 1, 2""")
+def postings(spark, sf):
+    per_row = _postings(spark, sf).groupBy("ledger_id", "term", "id").agg(F.count(F.lit(1)).alias("_n"))
+    return per_row.groupBy("ledger_id", "term").agg(F.sum("_n").alias("hits"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("indexed_rows", "SELECT ledger_id, CAST(COUNT(*) AS BIGINT) AS rows FROM {doc_tx} GROUP BY 1")
+def indexed_rows(spark, sf):
+    return fulltext.indexed_rows(star.frame(spark, sf, "doc_tx"))
+
+
+@query("postings_in_order", "SELECT lang AS ledger_id, doc_id AS id, text AS term, text AS problem FROM {documents} WHERE FALSE")
+def postings_in_order(spark, sf):
+    """Refreshing the noted documents of an index built without notes leaves it in order."""
+    tx, notes = _docs(spark, sf)
+    stale = fulltext.build_postings(tx)
+    changed = tx.join(notes.select("ledger_id", F.col("transaction_id").alias("id")), ["ledger_id", "id"], "left_semi")
+    return fulltext.check_postings(fulltext.refresh_postings(stale, changed, notes), tx, notes)
+
+
+@query("postings_stale", """
+    SELECT lang AS ledger_id, CAST(COUNT(*) AS BIGINT) AS pairs FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id
+    WHERE quality = 1 AND NOT list_contains(string_split(regexp_replace(strip_accents(LOWER(text)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), 'kept')
+    GROUP BY 1""")
+def postings_stale(spark, sf):
+    """The missing word of every kept document in an index that saw no notes."""
+    tx, notes = _docs(spark, sf)
+    found = fulltext.check_postings(fulltext.build_postings(tx), tx, notes)
+    return found.filter((F.col("term") == "kept") & (F.col("problem") == "missing")).groupBy("ledger_id").agg(
+        F.count(F.lit(1)).alias("pairs")
+    )
+
+
+def _has(word: str) -> str:
+    return f"list_contains(words, '{word}')"
+
+
+def _ids(name: str, condition: str, find) -> None:
+    query(name, f"SELECT ledger_id, id FROM {WORDS} WHERE {condition}")(
+        lambda spark, sf: find(_postings(spark, sf))
+    )
+
+
+_PAD = "' ' || array_to_string(words, ' ') || ' '"
+
+_ids("match_all", f"{_has('the')} AND {_has('kept')} AND {_has('reviewed')}", lambda p: fulltext.match_all(p, ["the Kept", "REVIEWED"]))
+_ids("match_any", f"{_has('dropped')} OR {_has('une')} OR {_has('src3')}", lambda p: fulltext.match_any(p, ["dropped", "une", "src3"]))
+_ids(
+    "match_grouped",
+    f"({_has('dropped')} OR {_has('kept')}) AND {_has('le')}",
+    lambda p: fulltext.intersect(
+        fulltext.union(fulltext.match_all(p, "dropped"), fulltext.match_all(p, "kept")), fulltext.match_all(p, "le")
+    ),
+)
+_ids("match_prefix", "len([x FOR x IN words IF starts_with(x, 'tion')]) > 0", lambda p: fulltext.match_prefix(p, "Tion*"))
+_ids("match_phrase", f"CONTAINS({_PAD}, ' of the ')", lambda p: fulltext.match_phrase(p, "of the"))
+_ids(
+    "match_near",
+    f"regexp_matches({_PAD}, ' the( [^ ]+){{0,2}} and ') OR regexp_matches({_PAD}, ' and( [^ ]+){{0,2}} the ')",
+    lambda p: fulltext.match_near(p, "the", "and", 2),
+)
+
+
+@query("exclude_match", f"""
+    SELECT t.ledger_id AS ledger_id, t.id AS id, t.amount_cents AS amount_cents FROM {{doc_tx}} t JOIN {WORDS} w
+      ON t.ledger_id = w.ledger_id AND t.id = w.id WHERE NOT ({_has('reviewed')})""")
+def exclude_match(spark, sf):
+    tx, notes = _docs(spark, sf)
+    found = fulltext.exclude_match(tx, fulltext.build_postings(tx, notes), "reviewed")
+    return found.select("ledger_id", "id", "amount_cents")
+
+
+@query("match_one_side", f"""
+    SELECT k.ledger_id AS ledger_id, k.id AS id FROM {{doc_links}} k
+    JOIN {WORDS} f ON f.ledger_id = k.ledger_id AND f.id = k.from_transaction_id
+    JOIN {WORDS} t ON t.ledger_id = k.ledger_id AND t.id = k.to_transaction_id
+    WHERE list_contains(f.words, 'kept') AND list_contains(f.words, 'the')
+       OR list_contains(t.words, 'kept') AND list_contains(t.words, 'the')""")
+def match_one_side(spark, sf):
+    found = fulltext.match_one_side(star.frame(spark, sf, "doc_links"), _postings(spark, sf), "kept the")
+    return found.select("ledger_id", "id")

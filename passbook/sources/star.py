@@ -99,6 +99,25 @@ VIEWS = {
         UNION ALL
         SELECT DISTINCT ledger_id, id AS transaction_id, CAST(100 + ASCII(linestatus) AS BIGINT) AS tag_id
         FROM {order_flags} WHERE flag = 'R'""",
+    # Documents as transactions: languages are ledgers, the text is the description.
+    "doc_tx": """
+        SELECT lang AS ledger_id, doc_id AS id, CAST(n_chars % 7 AS BIGINT) AS account_id,
+               DATE '2024-01-01' AS date, text AS description, n_chars AS amount_cents,
+               n_chars AS balance_cents, 'd-' || CAST(doc_id AS STRING) AS hash,
+               '{{"source": "' || source || '", "size": {{"chars": [' || CAST(n_chars AS STRING) || ', true, null]}}}}' AS metadata,
+               source AS source_file, CAST(1 AS BIGINT) AS import_batch_id
+        FROM {documents}""",
+    # A note on each labelled document.
+    "doc_notes": """
+        SELECT lang AS ledger_id, l.doc_id AS transaction_id,
+               CASE WHEN quality = 1 THEN 'Réviewed: kept' WHEN toxic = 1 THEN 'Reviewed/dropped' ELSE '  ' END AS note,
+               CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS created_at,
+               CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS updated_at
+        FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
+    # Documents of one source and language follow each other as linked pairs.
+    "doc_links": """
+        SELECT a.lang AS ledger_id, a.doc_id AS id, a.doc_id AS from_transaction_id, b.doc_id AS to_transaction_id
+        FROM {documents} a JOIN {documents} b ON a.lang = b.lang AND b.doc_id = a.doc_id + 1""",
     # Users are accounts of four ledgers; amounts are small and often opposite.
     "tx_events": """
         SELECT CAST(user_id % 4 AS STRING) AS ledger_id, event_id AS id, user_id AS account_id,
@@ -135,7 +154,7 @@ BASE = (
 
 
 def _inputs(sql: str) -> list[str]:
-    return list(dict.fromkeys(_NAME.findall(sql)))
+    return [n for n in dict.fromkeys(_NAME.findall(sql)) if n in VIEWS or n in BASE]
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -169,7 +188,8 @@ def with_views(sql: str) -> str:
 
     for name in _inputs(sql):
         need(name)
-    plain = lambda text: _NAME.sub(r"\1", text).replace("{{", "{").replace("}}", "}")
+    known = lambda m: m[1] if m[1] in VIEWS or m[1] in BASE else m[0]
+    plain = lambda text: _NAME.sub(known, text).replace("{{", "{").replace("}}", "}")
     head = ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in needed)
     body = plain(sql)
     if not head:
