@@ -1 +1,161 @@
-"""Queries to come."""
+"""The rules engine over all order ledgers at once, rules included as data."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from passbook.operators import aggregates, rules as ops
+from passbook.queries import query
+from passbook.queries.curate import AT
+from passbook.queries.lookups import LEGS
+from passbook.queries.search import LIVE
+from passbook.sources import star
+
+# Rules of every ledger: one per bank, then general ones (Spark side).
+RULES = """
+    SELECT CAST(n_regionkey AS STRING) AS ledger_id, CAST(n_nationkey + 1 AS BIGINT) AS id, n_name AS name,
+           ARRAY(NAMED_STRUCT('field', 'account', 'value', n_name || '/', 'negated', FALSE),
+                 NAMED_STRUCT('field', 'amount', 'value', '>300000', 'negated', FALSE)) AS terms,
+           CAST(65 AS BIGINT) AS category_id, 'all' AS override_mode, FALSE AS review_required,
+           CAST(n_nationkey AS BIGINT) AS position, CAST('2000-01-01' AS TIMESTAMP) AS created_at
+    FROM {nation}
+    UNION ALL
+    SELECT CAST(r_regionkey AS STRING), CAST(x.id AS BIGINT), x.name, x.terms, CAST(x.category_id AS BIGINT), x.mode, x.review,
+           CAST(x.id AS BIGINT), CAST('2000-01-01' AS TIMESTAMP)
+    FROM {region} LATERAL VIEW INLINE(ARRAY(
+      NAMED_STRUCT('id', 100, 'name', 'text', 'terms', ARRAY(
+         NAMED_STRUCT('field', 'text', 'value', 'Building', 'negated', FALSE),
+         NAMED_STRUCT('field', 'd', 'value', '1997..', 'negated', FALSE)), 'category_id', 66, 'mode', 'ai', 'review', TRUE),
+      NAMED_STRUCT('id', 101, 'name', 'tag', 'terms', ARRAY(
+         NAMED_STRUCT('field', 'tag', 'value', '#ship', 'negated', FALSE),
+         NAMED_STRUCT('field', 'confidence', 'value', '<50', 'negated', FALSE)), 'category_id', 170, 'mode', 'all', 'review', TRUE),
+      NAMED_STRUCT('id', 102, 'name', 'note', 'terms', ARRAY(
+         NAMED_STRUCT('field', 'category', 'value', 'segment', 'negated', TRUE),
+         NAMED_STRUCT('field', 'note', 'value', 'any', 'negated', FALSE)), 'category_id', 72, 'mode', 'uncategorised', 'review', FALSE),
+      NAMED_STRUCT('id', 103, 'name', 'idle', 'terms', ARRAY(
+         NAMED_STRUCT('field', 'regex', 'value', '.', 'negated', FALSE)), 'category_id', NULL, 'mode', 'all', 'review', FALSE),
+      NAMED_STRUCT('id', 104, 'name', 'debits', 'terms', ARRAY(
+         NAMED_STRUCT('field', 'date', 'value', 'never', 'negated', FALSE),
+         NAMED_STRUCT('field', 'amount', 'value', '..0', 'negated', FALSE)), 'category_id', 70, 'mode', 'uncategorised', 'review', FALSE)
+    )) x AS id, name, terms, category_id, mode, review"""
+
+# The same meaning, written out.
+STATE = f"""
+    kept AS (SELECT * FROM {{enrichments}} WHERE NOT (category_source = 'rule' AND NOT category_confirmed)),
+    seen AS (SELECT v.*, k.category_id AS old_category, k.category_source AS old_source, k.category_confirmed AS old_confirmed,
+                    k.ai_confidence AS score, c.path AS path, k.transaction_id IS NOT NULL AS has_old
+             FROM {LIVE} v LEFT JOIN kept k ON k.ledger_id = v.ledger_id AND k.transaction_id = v.id
+             LEFT JOIN {{categories}} c ON c.ledger_id = k.ledger_id AND c.category_id = k.category_id),
+    noted AS (SELECT ledger_id, transaction_id FROM {{notes}}),
+    hits AS (SELECT s.*, r.id AS rule_id, r.position AS position, 65 AS new_category, 'all' AS mode, FALSE AS review
+             FROM seen s JOIN (SELECT CAST(n_regionkey AS STRING) AS ledger_id, n_nationkey + 1 AS id, n_nationkey AS position, LOWER(n_name) AS prefix FROM {{nation}}) r
+               ON r.ledger_id = s.ledger_id AND starts_with(LOWER(s.bank_name), r.prefix) WHERE amount_cents > 30000000
+             UNION ALL SELECT s.*, 100, 100, 66, 'ai', TRUE FROM seen s
+               LEFT JOIN {{notes}} n ON n.ledger_id = s.ledger_id AND n.transaction_id = s.id
+               WHERE (CONTAINS(description, 'BUILDING') OR regexp_matches(LOWER(COALESCE(n.note, '')), '(^|[^a-z])building($|[^a-z])')) AND date >= DATE '1997-01-01'
+             UNION ALL SELECT s.*, 101, 101, 170, 'all', TRUE FROM seen s WHERE score < 0.5 AND EXISTS (
+               SELECT 1 FROM {{transaction_tags}} tt JOIN {{tags}} g ON g.ledger_id = tt.ledger_id AND g.tag_id = tt.tag_id
+               WHERE tt.ledger_id = s.ledger_id AND tt.transaction_id = s.id AND g.name LIKE 'ship/%')
+             UNION ALL SELECT s.*, 102, 102, 72, 'uncategorised', FALSE FROM seen s
+               WHERE NOT COALESCE(LOWER(path) LIKE 'segment%', FALSE)
+                 AND EXISTS (SELECT 1 FROM noted n WHERE n.ledger_id = s.ledger_id AND n.transaction_id = s.id)
+             UNION ALL SELECT s.*, 104, 104, 70, 'uncategorised', FALSE FROM seen s WHERE amount_cents <= 0),
+    claimed AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ledger_id, id ORDER BY position, rule_id) AS place FROM hits) WHERE place = 1),
+    writes AS (SELECT * FROM claimed c WHERE NOT EXISTS (SELECT 1 FROM {LEGS} l WHERE l.ledger_id = c.ledger_id AND l.id = c.id)
+               AND (NOT has_old OR NOT COALESCE(old_confirmed AND old_category = new_category, FALSE)
+                    AND (mode = 'all' OR mode = 'ai' AND old_source = 'ai')))"""
+
+
+def _books(spark, sf):
+    rules = spark.sql(RULES, nation=star.frame(spark, sf, "nation"), region=star.frame(spark, sf, "region"))
+    return star.books(spark, sf, rules)
+
+
+@query("rule_claims", f"WITH {STATE} SELECT ledger_id, id AS transaction_id, CAST(rule_id AS BIGINT) AS rule_id FROM claimed")
+def rule_claims(spark, sf):
+    books = _books(spark, sf)
+    kept = books.with_tables(enrichments=ops.without_drafts(books.enrichments))
+    return ops.claims(kept).select("ledger_id", "transaction_id", "rule_id")
+
+
+@query("apply_rules", f"""
+    WITH {STATE}
+    SELECT k.ledger_id AS ledger_id, k.transaction_id AS transaction_id, k.category_id AS category_id,
+           k.category_source AS category_source, k.category_confirmed AS category_confirmed
+    FROM kept k WHERE NOT EXISTS (SELECT 1 FROM writes w WHERE w.ledger_id = k.ledger_id AND w.id = k.transaction_id)
+    UNION ALL SELECT ledger_id, id, CAST(new_category AS BIGINT), 'rule', NOT review FROM writes""")
+def apply_rules(spark, sf):
+    return ops.apply_rules(_books(spark, sf), AT).enrichments.select(
+        "ledger_id", "transaction_id", "category_id", "category_source", "category_confirmed"
+    )
+
+
+@query("preview_rules", f"""
+    WITH {STATE},
+         prior AS (SELECT * FROM {{enrichments}} WHERE category_source = 'rule' AND category_id IS NOT NULL)
+    SELECT w.ledger_id AS ledger_id, w.id AS transaction_id, CAST(w.rule_id AS BIGINT) AS rule_id,
+           p.category_id AS prior_category_id, CAST(w.new_category AS BIGINT) AS category_id
+    FROM writes w LEFT JOIN prior p ON p.ledger_id = w.ledger_id AND p.transaction_id = w.id
+    WHERE p.category_id IS NULL OR p.category_id <> w.new_category""")
+def preview_rules(spark, sf):
+    return ops.preview_rules(_books(spark, sf), AT)
+
+
+@query("rules_settle", "SELECT lang AS ledger_id, doc_id AS transaction_id FROM {documents} WHERE FALSE")
+def rules_settle(spark, sf):
+    """A second run over the result of the first changes nothing that rule terms cannot see."""
+    books = _books(spark, sf)
+    # Without the rules that read scores or categories, which the first run changes.
+    steady = books.with_tables(rules=books.rules.filter("id NOT IN (101, 102)"))
+    once = ops.apply_rules(steady, AT)
+    again = ops.apply_rules(steady.with_tables(enrichments=once.enrichments), AT)
+    return again.changes.select("ledger_id", "transaction_id")
+
+
+@query("rule_match_counts", f"""
+    WITH {STATE.replace("NOT (category_source = 'rule' AND NOT category_confirmed)", "TRUE")},
+         n AS (SELECT ledger_id, rule_id, COUNT(*) AS n FROM hits GROUP BY 1, 2
+               UNION ALL SELECT ledger_id, 103, COUNT(*) FROM seen GROUP BY 1)
+    SELECT r.ledger_id AS ledger_id, CAST(r.id AS BIGINT) AS id, CAST(COALESCE(n, 0) AS BIGINT) AS matches
+    FROM (SELECT CAST(n_regionkey AS STRING) AS ledger_id, n_nationkey + 1 AS id FROM {{nation}}
+          UNION ALL SELECT CAST(r_regionkey AS STRING), unnest([100, 101, 102, 103, 104]) FROM {{region}}) r
+    LEFT JOIN n ON n.ledger_id = r.ledger_id AND n.rule_id = r.id""")
+def rule_match_counts(spark, sf):
+    return ops.rule_match_counts(_books(spark, sf)).select("ledger_id", "id", "matches")
+
+
+@query("rules_using_category", """
+    SELECT CAST(r_regionkey AS STRING) AS ledger_id, CAST(unnest([100, 102]) AS BIGINT) AS id FROM {region}""")
+def rules_using_category(spark, sf):
+    books = _books(spark, sf)
+    ids = books.categories.filter("path IN ('Segment/BUILDING', 'Segment/HOUSEHOLD')")
+    return ops.rules_using_category(books.rules, ids).select("ledger_id", "id")
+
+
+@query("next_position", "SELECT CAST(r_regionkey AS STRING) AS ledger_id, CAST(105 AS BIGINT) AS next_position FROM {region}")
+def next_position(spark, sf):
+    return aggregates.next_position(_books(spark, sf).rules)
+
+
+@query("edit_rules", """
+    SELECT CAST(n_regionkey AS STRING) AS ledger_id, CAST(n_nationkey + 1 AS BIGINT) AS id, n_name || '!' AS name,
+           CAST(NULL AS BIGINT) AS category_id FROM {nation}
+    UNION ALL SELECT CAST(r_regionkey AS STRING), CAST(105 AS BIGINT), 'fresh', NULL FROM {region}""")
+def edit_rules(spark, sf):
+    """Bank rules are renamed and idle, the general ones deleted, a new one appended."""
+    rules = _books(spark, sf).rules
+    edits = rules.select(
+        "ledger_id", "id",
+        F.when(F.col("id") < 100, F.concat("name", F.lit("!"))).alias("name"),
+        F.lit(None).cast(rules.schema["terms"].dataType).alias("terms"),
+        F.lit(None).cast("bigint").alias("category_id"),
+        (F.col("id") < 100).alias("clear_category"),
+        F.lit(None).cast("string").alias("override_mode"),
+        F.lit(None).cast("boolean").alias("review_required"),
+        (F.col("id") >= 100).alias("deleted"),
+    )
+    fresh = rules.select("ledger_id").distinct().select(
+        "ledger_id", F.lit("fresh").alias("name"), F.array().cast(rules.schema["terms"].dataType).alias("terms")
+    )
+    appended = ops.create_rules(rules, fresh, AT).filter("name = 'fresh'")
+    return ops.edit_rules(rules, edits).unionByName(appended).select("ledger_id", "id", "name", "category_id")
