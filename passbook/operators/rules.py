@@ -155,7 +155,7 @@ def _holds(term: Column, columns: set[str]) -> Column:
         )
         .when(term["kind"] == "amount", within(amount))
         .when(term["kind"] == "account", F.exists(places, lambda hit: hit))
-        .when(term["kind"] == "regex", F.col("description").rlike(term["left"][0]))
+        .when(term["kind"] == "regex", F.rlike("description", term["left"][0]))
     )
     if "ai_confidence" in columns:
         score = F.col("ai_confidence")

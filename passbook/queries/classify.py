@@ -1 +1,275 @@
-"""Queries to come."""
+"""Transfers, history, features, similarity and the linear model."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from passbook.functions.text import normalise_merchant
+from passbook.operators import aggregates, features, history, transfers, views
+from passbook.operators.linear import train_linear
+from passbook.plans import classify as plan
+from passbook.queries import query
+from passbook.queries.curate import AT
+from passbook.queries.rules import RULES
+from passbook.schema import Books
+from passbook.session import cut_lineage
+from passbook.sources import star
+
+
+def _event_view(spark, sf):
+    made: dict = {}
+    tables = [star.frame(spark, sf, n, made) for n in ("tx_events", "event_accounts", "event_banks")]
+    return views.ledger_view(*tables), star.frame(spark, sf, "event_links", made)
+
+
+@query("count_pairs", """
+    SELECT d.ledger_id AS ledger_id, d.date AS date, c.amount_cents AS size_cents, CAST(COUNT(*) AS BIGINT) AS pairs
+    FROM {tx_events} d JOIN {tx_events} c ON d.ledger_id = c.ledger_id AND d.date = c.date AND d.amount_cents = -c.amount_cents
+      AND d.account_id <> c.account_id AND d.amount_cents < 0
+    GROUP BY 1, 2, 3""")
+def count_pairs(spark, sf):
+    rows = aggregates.count_pairs(star.frame(spark, sf, "tx_events"))
+    return rows.select("ledger_id", "date", "size_cents", "pairs")
+
+
+@query("nearest_counterpart", """
+    SELECT ledger_id, query_id, id, days FROM (
+      SELECT q.ledger_id AS ledger_id, q.id AS query_id, c.id AS id, CAST(ABS(c.date - q.date) AS INTEGER) AS days,
+             ROW_NUMBER() OVER (PARTITION BY q.ledger_id, q.id
+               ORDER BY CASE WHEN c.account_id <> q.account_id THEN 0 ELSE 1 END, ABS(c.date - q.date), c.id) AS place
+      FROM {tx_events} q JOIN {tx_events} c ON q.ledger_id = c.ledger_id AND c.amount_cents = -q.amount_cents AND c.id <> q.id)
+    WHERE place = 1""")
+def nearest_counterpart(spark, sf):
+    return transfers.nearest_counterpart(_event_view(spark, sf)[0])
+
+
+# Candidates are events outside the links; norms are the event types.
+PAIRS = """
+    legs AS (SELECT ledger_id, from_transaction_id AS id FROM {event_links} UNION SELECT ledger_id, to_transaction_id FROM {event_links}),
+    tx AS (SELECT t.*, source_file AS norm FROM {tx_events} t
+           WHERE NOT EXISTS (SELECT 1 FROM legs l WHERE l.ledger_id = t.ledger_id AND l.id = t.id)),
+    hist AS (SELECT DISTINCT k.ledger_id AS ledger_id, LEAST(f.account_id, t.account_id) AS low, GREATEST(f.account_id, t.account_id) AS high,
+                    unnest([f.source_file, t.source_file]) AS norm
+             FROM {event_links} k JOIN {tx_events} f ON f.ledger_id = k.ledger_id AND f.id = k.from_transaction_id
+             JOIN {tx_events} t ON t.ledger_id = k.ledger_id AND t.id = k.to_transaction_id),
+    sizes AS (SELECT ledger_id, date, ABS(amount_cents) AS size, COUNT(*) FILTER (amount_cents < 0) AS debits,
+                     COUNT(*) FILTER (amount_cents > 0) AS credits FROM tx GROUP BY 1, 2, 3),
+    pairs AS (SELECT d.ledger_id AS ledger_id, d.date AS date, c.amount_cents AS size, d.id AS d, c.id AS c,
+                     d.account_id AS da, c.account_id AS ca,
+                     CASE WHEN EXISTS (SELECT 1 FROM hist h WHERE h.ledger_id = d.ledger_id AND h.low = LEAST(d.account_id, c.account_id)
+                                 AND h.high = GREATEST(d.account_id, c.account_id) AND h.norm IN (d.norm, c.norm)) THEN 0.95
+                          WHEN EXISTS (SELECT 1 FROM hist h WHERE h.ledger_id = d.ledger_id AND h.low = LEAST(d.account_id, c.account_id)
+                                 AND h.high = GREATEST(d.account_id, c.account_id)) THEN 0.8
+                          WHEN debits = 1 AND credits = 1 THEN 0.7 ELSE 0.4 END AS confidence
+              FROM tx d JOIN tx c ON d.ledger_id = c.ledger_id AND d.date = c.date AND d.amount_cents = -c.amount_cents
+                AND d.amount_cents < 0 AND d.account_id <> c.account_id
+              JOIN sizes s ON s.ledger_id = d.ledger_id AND s.date = d.date AND s.size = c.amount_cents)"""
+
+
+@query("detect_transfers", f"""
+    WITH RECURSIVE {PAIRS},
+    ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ledger_id, date, size ORDER BY confidence DESC, da, d, ca, c) AS place FROM pairs),
+    taken AS (
+      SELECT ledger_id, date, size, [d, c] AS used, d, c, confidence FROM ranked WHERE place = 1
+      UNION ALL
+      SELECT ledger_id, date, size, list_concat(used, [best.d, best.c]), best.d, best.c, best.confidence
+      FROM (SELECT t.ledger_id AS ledger_id, t.date AS date, t.size AS size, t.used AS used,
+                   arg_min({{'d': r.d, 'c': r.c, 'confidence': r.confidence}}, r.place) AS best
+            FROM taken t JOIN ranked r ON r.ledger_id = t.ledger_id AND r.date = t.date AND r.size = t.size
+            WHERE NOT list_contains(t.used, r.d) AND NOT list_contains(t.used, r.c)
+            GROUP BY 1, 2, 3, 4))
+    SELECT ledger_id, d AS from_transaction_id, c AS to_transaction_id, CAST(confidence AS DOUBLE) AS ai_confidence FROM taken""")
+def detect_transfers(spark, sf):
+    view, links = _event_view(spark, sf)
+    open_rows = view.join(views.leg_ids(links), ["ledger_id", "id"], "left_anti")
+    return transfers.detect_transfers(open_rows, views.confirmed_transfer_examples(view, links))
+
+
+@query("history_exact", """
+    SELECT q.ledger_id AS ledger_id, q.id AS id, arg_max(h.category_id, (h.date, h.id)) AS category_id
+    FROM {labelled_events} q JOIN {labelled_events} h
+      ON h.ledger_id = q.ledger_id AND h.norm = q.norm AND h.amount_cents = q.amount_cents AND h.date < q.date
+    GROUP BY 1, 2""")
+def history_exact(spark, sf):
+    rows = star.frame(spark, sf, "labelled_events")
+    return history.history_exact(rows.drop("category_id"), rows).select("ledger_id", "id", "category_id")
+
+
+NEWEST = """
+    day AS (SELECT ledger_id, norm, date, arg_max(category_id, id) AS category_id FROM {labelled_events} GROUP BY 1, 2, 3),
+    clear AS (SELECT ledger_id, norm, COUNT(DISTINCT category_id) = 1 AS clear FROM {labelled_events} GROUP BY 1, 2)"""
+
+
+@query("history_recurring", f"""
+    WITH {NEWEST}
+    SELECT q.ledger_id AS ledger_id, q.id AS id, d.category_id AS category_id, CASE WHEN clear THEN 0.95 ELSE 0.4 END::DOUBLE AS confidence
+    FROM {{labelled_events}} q ASOF JOIN day d ON d.ledger_id = q.ledger_id AND d.norm = q.norm AND d.date < q.date
+    JOIN clear c ON c.ledger_id = q.ledger_id AND c.norm = q.norm""")
+def history_recurring(spark, sf):
+    rows = star.frame(spark, sf, "labelled_events")
+    return history.history_recurring(rows.drop("category_id"), rows)
+
+
+@query("clear_merchants", """
+    SELECT ledger_id, norm, COUNT(DISTINCT category_id) = 1 AS clear FROM {labelled_events} GROUP BY 1, 2""")
+def clear_merchants(spark, sf):
+    return history.clear_merchants(star.frame(spark, sf, "labelled_events"))
+
+
+@query("history_tiers", """
+    SELECT ledger_id, CASE WHEN EXISTS (SELECT 1 FROM {labelled_events} h WHERE h.ledger_id = q.ledger_id AND h.norm = q.norm
+                                        AND h.amount_cents = q.amount_cents AND h.date < q.date) THEN 'exact'
+                           WHEN EXISTS (SELECT 1 FROM {labelled_events} h WHERE h.ledger_id = q.ledger_id AND h.norm = q.norm
+                                        AND h.date < q.date) THEN 'recurring' ELSE 'open' END AS source, CAST(COUNT(*) AS BIGINT) AS rows
+    FROM {labelled_events} q GROUP BY 1, 2""")
+def history_tiers(spark, sf):
+    rows = star.frame(spark, sf, "labelled_events")
+    found = history.suggest_from_history(rows.drop("category_id"), rows)
+    return plan.classify_report(found.withColumn("source", F.coalesce("suggestion.source", F.lit("open"))))
+
+
+# Features of merchants written out: word uni- and bigrams, padded character 3- to 5-grams.
+GRAMS = """
+    docs AS (SELECT ledger_id, norm, MIN(id) AS doc, COUNT(*) AS n FROM {merchants} GROUP BY 1, 2),
+    words AS (SELECT *, string_split(norm, ' ') AS w FROM docs),
+    feats AS (
+      SELECT ledger_id, doc, n, 'w' || unnest(w) AS feature FROM words
+      UNION ALL SELECT ledger_id, doc, n, 'w' || unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM words
+      UNION ALL SELECT ledger_id, doc, n, 'c' || unnest(CASE WHEN length(p) <= s THEN [p] ELSE [substr(p, CAST(i AS BIGINT), s) FOR i IN range(1, length(p) - s + 2)] END)
+        FROM (SELECT ledger_id, doc, n, ' ' || unnest(w) || ' ' AS p FROM words), (SELECT unnest([3, 4, 5]) AS s)),
+    counts AS (SELECT ledger_id, doc, n, feature, COUNT(*) AS tf FROM feats GROUP BY 1, 2, 3, 4),
+    total AS (SELECT ledger_id, COUNT(*) AS rows FROM {merchants} GROUP BY 1),
+    model AS (SELECT c.ledger_id AS ledger_id, feature, SUM(n) AS df, LN((1 + ANY_VALUE(rows)) / (1 + SUM(n))) + 1 AS idf
+              FROM counts c JOIN total t ON t.ledger_id = c.ledger_id GROUP BY 1, 2 HAVING SUM(n) >= 2),
+    raw AS (SELECT c.ledger_id AS ledger_id, doc, c.feature AS feature, (1 + LN(tf)) * idf AS w FROM counts c
+            JOIN model m ON m.ledger_id = c.ledger_id AND m.feature = c.feature),
+    vectors AS (SELECT ledger_id, doc, feature, w / SQRT(SUM(w * w) OVER (PARTITION BY ledger_id, doc, feature[1])) AS w FROM raw),
+    unit AS (SELECT ledger_id, doc, feature, w / SQRT(SUM(w * w) OVER (PARTITION BY ledger_id, doc)) AS w FROM vectors),
+    alike AS (SELECT a.ledger_id AS ledger_id, a.doc AS q, b.doc AS doc, SUM(a.w * b.w) AS similarity
+                FROM unit a JOIN unit b ON a.ledger_id = b.ledger_id AND a.feature = b.feature GROUP BY 1, 2, 3 HAVING SUM(a.w * b.w) >= 0.6)"""
+
+
+@query("document_frequency", f"WITH {GRAMS} SELECT ledger_id, feature, CAST(df AS BIGINT) AS df, ROUND(idf, 9) AS idf FROM model")
+def document_frequency(spark, sf):
+    docs = features.documents(star.frame(spark, sf, "merchants"))
+    return features.tfidf_fit(docs).withColumn("idf", F.round("idf", 9))
+
+
+@query("tfidf_vectors", f"WITH {GRAMS} SELECT ledger_id, doc, feature, ROUND(w, 7) AS weight FROM vectors")
+def tfidf_vectors(spark, sf):
+    docs = features.documents(star.frame(spark, sf, "merchants"))
+    counts = features.term_counts(docs)
+    rows = features.tfidf_transform(counts, features.tfidf_fit(docs, counts))
+    return rows.select("ledger_id", "doc", "feature", F.round("weight", 7).alias("weight"))
+
+
+@query("similar_merchants", f"""
+    WITH {GRAMS}
+    SELECT s.ledger_id AS ledger_id, a.norm AS norm, b.norm AS match_norm, ROUND(similarity, 7) AS similarity FROM alike s
+    JOIN docs a ON a.ledger_id = s.ledger_id AND a.doc = s.q JOIN docs b ON b.ledger_id = s.ledger_id AND b.doc = s.doc WHERE s.q <> s.doc""")
+def similar_merchants(spark, sf):
+    found = features.similar_merchants(star.frame(spark, sf, "merchants"))
+    return found.withColumn("similarity", F.round("similarity", 7))
+
+
+@query("similar_transactions", f"""
+    WITH {GRAMS},
+    lists AS (SELECT q.ledger_id AS ledger_id, q.id AS query_id, c.id AS id, ROUND(similarity, 7) AS similarity
+              FROM alike s JOIN docs a ON a.ledger_id = s.ledger_id AND a.doc = s.q JOIN docs b ON b.ledger_id = s.ledger_id AND b.doc = s.doc
+              JOIN {{merchants}} q ON q.ledger_id = a.ledger_id AND q.norm = a.norm JOIN {{merchants}} c ON c.ledger_id = b.ledger_id AND c.norm = b.norm
+              WHERE q.id <> c.id)
+    SELECT ledger_id, query_id, id, similarity, place FROM (
+      SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY ledger_id, query_id ORDER BY similarity DESC, id) AS INTEGER) AS place FROM lists)
+    WHERE place <= 20""")
+def similar_transactions(spark, sf):
+    rows = star.frame(spark, sf, "merchants")
+    # Rounded like the other side, so that equal similarities tie by id on both.
+    found = features.similar_transactions(rows, rows, top=20, digits=7)
+    return found
+
+
+def _labelled(spark, sf):
+    """Orders with their merchant key; urgent and high ones are confirmed examples."""
+    books = star.books(spark, sf)
+    keyed = lambda df: df.withColumn("norm", normalise_merchant("description"))
+    examples = keyed(views.confirmed_category_examples(books.transactions, books.enrichments)).drop("description")
+    open_rows = views.uncategorised(views.wide_view(books), books.enrichments, books.transfers)
+    return keyed(open_rows).select("ledger_id", "id", "norm", "amount_cents", "date"), examples
+
+
+@query("classify_cascade", """
+    SELECT v.ledger_id AS ledger_id, v.id AS id, CAST(ASCII(segment) AS BIGINT) AS category_id
+    FROM {orders_wide} v JOIN {accounts} a ON a.ledger_id = v.ledger_id AND a.account_id = v.account_id
+    WHERE a.deleted_at IS NULL
+      AND NOT EXISTS (SELECT 1 FROM {enrichments} e WHERE e.ledger_id = v.ledger_id AND e.transaction_id = v.id AND e.category_id IS NOT NULL)
+      AND NOT EXISTS (SELECT 1 FROM {transfers} t WHERE t.ledger_id = v.ledger_id AND v.id IN (t.from_transaction_id, t.to_transaction_id))""")
+def classify_cascade(spark, sf):
+    """Every open order is recognised by its segment, which its description names."""
+    inputs, examples = _labelled(spark, sf)
+    return plan.classify_cascade(inputs, examples).select("ledger_id", "id", "category_id")
+
+
+@query("train_linear")
+def train_model(spark, sf):
+    """Weights of the five segments per ledger."""
+    _, examples = _labelled(spark, sf)
+    docs = features.documents(examples)
+    counts = cut_lineage(features.term_counts(docs))
+    vectors = features.tfidf_transform(counts, features.tfidf_fit(docs, counts))
+    rows = examples.join(docs.drop("n"), ["ledger_id", "norm"])
+    return train_linear(rows.select("ledger_id", "id", "doc", "category_id"), vectors)
+
+
+@query("evaluate", """
+    SELECT ledger_id, CAST(COUNT(*) AS BIGINT) AS rows, CAST(1.0 AS DOUBLE) AS accuracy FROM {orders_wide}
+    WHERE priority NOT IN ('1-URGENT', '2-HIGH') GROUP BY 1""")
+def evaluate(spark, sf):
+    """Trained on confirmed orders, tested on all others."""
+    made: dict = {}
+    rows = star.frame(spark, sf, "transactions", made).join(
+        star.frame(spark, sf, "orders_wide", made).select(
+            "ledger_id", "id", "priority", F.ascii("segment").cast("bigint").alias("category_id")
+        ),
+        ["ledger_id", "id"],
+    ).select("ledger_id", "id", "description", "amount_cents", "date", "category_id", "priority")
+    confirmed = F.col("priority").isin("1-URGENT", "2-HIGH")
+    scored = plan.evaluate(rows.filter(confirmed).drop("priority"), rows.filter(~confirmed).drop("priority"))
+    return scored.select("ledger_id", "rows", "accuracy")
+
+
+@query("evaluate_documents")
+def evaluate_documents(spark, sf):
+    """Quality of labelled documents from their whole texts; odd sources train, even ones test."""
+    docs = star.frame(spark, sf, "documents").join(star.frame(spark, sf, "labels"), "doc_id")
+    rows = docs.select(
+        F.col("lang").alias("ledger_id"), F.col("doc_id").alias("id"), F.col("text").alias("description"),
+        F.col("n_chars").alias("amount_cents"), F.lit("2024-01-01").cast("date").alias("date"),
+        F.col("quality").cast("bigint").alias("category_id"),
+        F.col("source").rlike("[13579]$").alias("_train"),
+    )
+    return plan.evaluate(rows.filter("_train").drop("_train"), rows.filter("not _train").drop("_train"))
+
+
+@query("classify_orders")
+def classify_orders(spark, sf):
+    """A whole run over the order ledgers: transfers, rules, suggestions."""
+    rules = spark.sql(RULES, nation=star.frame(spark, sf, "nation"), region=star.frame(spark, sf, "region"))
+    return plan.classify(star.books(spark, sf, rules), AT).report
+
+
+@query("classify_events")
+def classify_events(spark, sf):
+    """A whole run over the event ledgers, where transfers dominate."""
+    made: dict = {}
+    names = {"transactions": "tx_events", "accounts": "event_accounts", "banks": "event_banks", "transfers": "event_links"}
+    base = star.books(spark, sf)
+    labelled = star.frame(spark, sf, "labelled_events", made)
+    enrichments = labelled.filter("norm = 'signup'").select(
+        "ledger_id", F.col("id").alias("transaction_id"), "category_id", F.lit("manual").alias("category_source"),
+        F.lit(True).alias("category_confirmed"), F.lit(None).cast("double").alias("ai_confidence"),
+        F.lit(AT).cast("timestamp").alias("created_at"), F.lit(AT).cast("timestamp").alias("updated_at"),
+    )
+    books: Books = base.with_tables(
+        **{k: star.frame(spark, sf, v, made) for k, v in names.items()}, enrichments=enrichments
+    )
+    return plan.classify(books, AT).report

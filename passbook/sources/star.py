@@ -129,6 +129,32 @@ VIEWS = {
                'e-' || CAST(event_id AS STRING) AS hash, props AS metadata,
                event_type AS source_file, CAST(1 AS BIGINT) AS import_batch_id
         FROM {events}""",
+    # Opposite events four apart were linked by hand.
+    "event_links": """
+        SELECT a.ledger_id AS ledger_id, a.id AS id,
+               CASE WHEN a.amount_cents < 0 THEN a.id ELSE b.id END AS from_transaction_id,
+               CASE WHEN a.amount_cents < 0 THEN b.id ELSE a.id END AS to_transaction_id,
+               'manual' AS source, TRUE AS confirmed, CAST(NULL AS DOUBLE) AS ai_confidence,
+               CAST('2024-02-01 00:00:00' AS TIMESTAMP) AS created_at
+        FROM {tx_events} a JOIN {tx_events} b
+          ON a.ledger_id = b.ledger_id AND b.id = a.id + 4 AND b.amount_cents = -a.amount_cents""",
+    "event_accounts": """
+        SELECT DISTINCT CAST(user_id % 4 AS STRING) AS ledger_id, user_id AS account_id, user_id % 3 AS bank_id,
+               'User ' || CAST(user_id AS STRING) AS name, CAST(NULL AS TIMESTAMP) AS deleted_at
+        FROM {events}""",
+    "event_banks": """
+        SELECT DISTINCT CAST(user_id % 4 AS STRING) AS ledger_id, user_id % 3 AS bank_id,
+               'Bank ' || CAST(user_id % 3 AS STRING) AS name, CAST(NULL AS TIMESTAMP) AS deleted_at
+        FROM {events}""",
+    # Events as labelled history: sign-ups have one category, other types follow the user.
+    "labelled_events": """
+        SELECT CAST(user_id % 4 AS STRING) AS ledger_id, event_id AS id, CAST(ts AS DATE) AS date, event_type AS norm,
+               (1 + CAST(FLOOR(value) AS BIGINT) % 20) * 100 AS amount_cents,
+               CASE WHEN event_type = 'signup' THEN CAST(1 AS BIGINT) ELSE 2 + user_id % 5 END AS category_id
+        FROM {events}""",
+    # Parts as merchants, brands as ledgers.
+    "merchants": """
+        SELECT p_brand AS ledger_id, p_partkey AS id, LOWER(p_type || ' ' || p_name) AS norm FROM {part}""",
     # One record per event under a key that repeats: user, type and week.
     "records": """
         SELECT CAST(user_id % 4 AS STRING) AS ledger_id, user_id AS account_id,
@@ -195,6 +221,8 @@ def with_views(sql: str) -> str:
     if not head:
         return body
     rest = body.lstrip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {rest[15:]}"
     if rest[:5].upper() == "WITH ":
         return f"WITH {head}, {rest[5:]}"
     return f"WITH {head} {rest}"
