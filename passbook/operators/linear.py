@@ -25,7 +25,7 @@ SHUFFLE_SEED = 0x9E3779B9
 SHARD_ROWS = 20_000
 CLASS_BLOCK = 64
 
-_WEIGHTS = "ledger_id string, shard long, class long, feature string, weight double, rows long"
+_WEIGHTS = "ledger_id string, class long, feature string, weight double"
 
 
 def _draws(seed: int = SHUFFLE_SEED) -> Iterator[int]:
@@ -107,8 +107,8 @@ def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
         }
     )
     out.insert(0, "ledger_id", pdf["ledger_id"].iloc[0])
-    out.insert(1, "shard", int(pdf["shard"].iloc[0]))
-    out["rows"] = len(pdf)
+    # The share of the ledger's rows weighs this shard in the average.
+    out["weight"] *= len(pdf) / float(pdf["total"].iloc[0])
     return out
 
 
@@ -148,19 +148,13 @@ def train_linear(
         # Round robin, so every shard sees every stretch of time.
         .withColumn("shard", (F.col("_rank") % F.ceil(F.col("_rows") / shard_rows)).cast("bigint"))
         .select(
-            "ledger_id", "shard", "block", "id", "category_id", "classes",
+            "ledger_id", "shard", "block", "id", "category_id", "classes", F.col("_rows").alias("total"),
             F.coalesce("_f.feature", empty.cast("array<string>")).alias("features"),
             F.coalesce("_f.weight", empty.cast("array<double>")).alias("weights"),
         )
     )
     trained = rows.groupBy("ledger_id", "shard", "block").applyInPandas(_fit_group, schema=_WEIGHTS)
-    sizes = trained.filter(F.col("feature") == "").groupBy("ledger_id", "class").agg(F.sum("rows").alias("_total"))
-    return (
-        trained.groupBy("ledger_id", "class", "feature")
-        .agg(F.sum(F.col("weight") * F.col("rows")).alias("_sum"))
-        .join(sizes, ["ledger_id", "class"])
-        .select("ledger_id", "class", "feature", (F.col("_sum") / F.col("_total")).alias("weight"))
-    )
+    return trained.groupBy("ledger_id", "class", "feature").agg(F.sum("weight").alias("weight"))
 
 
 def predict_linear(docs: DataFrame, vectors: DataFrame, model: DataFrame) -> DataFrame:

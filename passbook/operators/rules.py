@@ -19,6 +19,7 @@ from passbook.operators import views
 from passbook.operators.curate import set_categories
 from passbook.operators.predicates import ALIASES
 from passbook.schema import OVERRIDE_MODES, Books
+from passbook.session import cut_lineage
 
 # A compiled term; ``kind`` says which of the fields count.
 COMPILED = (
@@ -142,7 +143,7 @@ def _holds(term: Column, columns: set[str]) -> Column:
         below = term["high"].isNull() | (value < term["high"]) | (~term["high_open"] & (value == term["high"]))
         return above & below
 
-    lower_bank, lower_account = F.lower("bank_name"), F.lower("account_name")
+    lower_bank, lower_account = F.col("_bank"), F.col("_account")
     places = F.zip_with(
         term["left"], term["right"],
         lambda b, a: lower_bank.startswith(b) & lower_account.startswith(a),
@@ -209,14 +210,16 @@ def _rule_rows(books: Books, cal: Calendar | None) -> tuple[DataFrame, set[str]]
     if "text" in used:
         view = view.withColumn("tokens", F.array_distinct(tokens(searchable_text("description", "metadata", "note"))))
         needs.add("tokens")
+    view = view.withColumn("_bank", F.lower("bank_name")).withColumn("_account", F.lower("account_name"))
     return view.join(compile_rules(books.rules, cal), "ledger_id"), needs
 
 
 def claims(books: Books, cal: Calendar | None = None) -> DataFrame:
     """The first matching rule of each live transaction: its id, category and modes."""
     rows, columns = _rule_rows(books, cal)
-    claimed = rows.withColumn("rule", F.try_element_at(_matching(columns), F.lit(1)))
-    return claimed.filter(F.col("rule").isNotNull()).select(
+    # Exploding the first match evaluates the rules once and drops rows without one.
+    claimed = rows.select("ledger_id", "id", F.explode(F.slice(_matching(columns), 1, 1)).alias("rule"))
+    return claimed.select(
         "ledger_id",
         F.col("id").alias("transaction_id"),
         "rule.rule_id",
@@ -256,9 +259,12 @@ class RuleRun:
     changes: DataFrame
 
 
-def apply_rules(books: Books, at: str, cal: Calendar | None = None) -> RuleRun:
+def apply_rules(books: Books, at: str, cal: Calendar | None = None, materialise: bool = False) -> RuleRun:
     """Run all rules.  A pure function, so it is also the preview.
 
+    With ``materialise`` the rows to write are stored once, for callers that
+    use both parts of the result.
+
     A transaction belongs to the first rule that matches it, even when that
     rule then declines because of a transfer leg or its override mode.
     """
@@ -282,6 +288,8 @@ def apply_rules(books: Books, at: str, cal: Calendar | None = None) -> RuleRun:
             "rule_id",
         )
     )
+    if materialise:
+        writes = cut_lineage(writes)
     prior = books.enrichments.filter(
         (F.col("category_source") == "rule") & F.col("category_id").isNotNull()
     ).select(*key, F.col("category_id").alias("prior_category_id"))

@@ -34,7 +34,7 @@ def train(examples: DataFrame) -> Model:
     docs = features.documents(examples)
     counts = cut_lineage(features.term_counts(docs))
     vocabulary = cut_lineage(features.tfidf_fit(docs, counts))
-    vectors = features.tfidf_transform(counts, vocabulary)
+    vectors = cut_lineage(features.tfidf_transform(counts, vocabulary))
     rows = examples.join(docs.select("ledger_id", "norm", "doc"), ["ledger_id", "norm"]).select(
         "ledger_id", "id", "doc", "category_id"
     )
@@ -57,7 +57,9 @@ def classify_cascade(inputs: DataFrame, examples: DataFrame) -> DataFrame:
     ``inputs`` hold (ledger_id, id, norm, amount_cents, date), ``examples`` a
     category_id as well.
     """
-    from_history = suggest_from_history(inputs, examples)
+    # Both sides are read by several branches below.
+    inputs, examples = cut_lineage(inputs), cut_lineage(examples)
+    from_history = cut_lineage(suggest_from_history(inputs, examples))
     open_rows = from_history.filter(F.col("suggestion").isNull())
     guessed = suggest(train(examples), open_rows).select(
         "ledger_id",
@@ -123,8 +125,8 @@ def classify(books: Books, at: str, cal: Calendar | None = None) -> ClassifyRun:
         transfers=cut_lineage(linked.transfers), enrichments=cut_lineage(linked.enrichments)
     )
 
-    run = apply_rules(linked, at, cal)
-    changes = cut_lineage(run.changes)
+    run = apply_rules(linked, at, cal, materialise=True)
+    changes = run.changes
     ruled = linked.with_tables(enrichments=cut_lineage(run.enrichments))
 
     examples = views.confirmed_category_examples(ruled.transactions, ruled.enrichments).withColumn(

@@ -254,7 +254,13 @@ def evaluate_documents(spark, sf):
 def classify_orders(spark, sf):
     """A whole run over the order ledgers: transfers, rules, suggestions."""
     rules = spark.sql(RULES, nation=star.frame(spark, sf, "nation"), region=star.frame(spark, sf, "region"))
-    return plan.classify(star.books(spark, sf, rules), AT).report
+    return plan.classify(_stored(star.books(spark, sf, rules)), AT).report
+
+
+def _stored(books: Books) -> Books:
+    """Derived tables written once, as a ledger would keep them."""
+    names = ("transactions", "enrichments", "transfers", "accounts", "banks")
+    return books.with_tables(**{n: cut_lineage(getattr(books, n)) for n in names})
 
 
 @query("classify_events")
@@ -272,4 +278,4 @@ def classify_events(spark, sf):
     books: Books = base.with_tables(
         **{k: star.frame(spark, sf, v, made) for k, v in names.items()}, enrichments=enrichments
     )
-    return plan.classify(books, AT).report
+    return plan.classify(_stored(books), AT).report
