@@ -73,7 +73,7 @@ def fit_block(
             if hit.size:
                 delta = np.minimum(loss[hit] / size[r], cap[r, hit]) * target[r, hit]
                 change = np.outer(delta, values[r])
-                at = np.ix_(hit, indices[r])
+                at = hit[:, None], indices[r]
                 weights[at] += change
                 late[at] += step * change
                 bias[hit] += delta
@@ -153,7 +153,10 @@ def train_linear(
             F.coalesce("_f.weight", empty.cast("array<double>")).alias("weights"),
         )
     )
-    trained = rows.groupBy("ledger_id", "shard", "block").applyInPandas(_fit_group, schema=_WEIGHTS)
+    # Training is heavy per row, so its shuffle keeps all partitions however small.
+    parts = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = ["ledger_id", "shard", "block"]
+    trained = rows.repartition(parts, *group).groupBy(*group).applyInPandas(_fit_group, schema=_WEIGHTS)
     return trained.groupBy("ledger_id", "class", "feature").agg(F.sum("weight").alias("weight"))
 
 
