@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def csv_field(col: str) -> Column:
+    """Text of a CSV field: quoted only around comma, quote, CR or LF; NULL is empty."""
+    text = F.coalesce(F.col(col).cast("string"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[,"\r\n]'), quoted).otherwise(text)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header, CRLF, quotes only where needed and doubled inside, NULL as an empty field."""
-    (
-        df.write.mode("overwrite")
-        .option("header", True)
-        .option("lineSep", "\r\n")
-        .option("escape", '"')
-        .option("nullValue", "")
-        .option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    """CRLF lines under one header; the part files in order form one CSV file.
+
+    Lines are built as text, as the CSV writer would turn line breaks inside
+    fields into its own line ends.
+    """
+    names = [n if not set(n) & set(',"\r\n') else '"' + n.replace('"', '""') + '"' for n in df.columns]
+    header = df.sparkSession.createDataFrame([(",".join(names),)], "value string").coalesce(1)
+    lines = df.select(F.concat_ws(",", *[csv_field(f"`{c}`") for c in df.columns]).alias("value"))
+    header.union(lines).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

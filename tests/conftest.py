@@ -14,7 +14,14 @@ def spark():
     session = build_session(
         "tests",
         "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"},
+        **{
+            "spark.sql.shuffle.partitions": "3",
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "4g",
+            # A few rows per test: compiling plans would take most of the time.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
