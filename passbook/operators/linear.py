@@ -23,6 +23,7 @@ STEP_CAP = 0.25
 SHUFFLE_SEED = 0x9E3779B9
 
 SHARD_ROWS = 20_000
+SHARD_ENTRIES = 4_000_000
 CLASS_BLOCK = 64
 
 _WEIGHTS = "ledger_id string, class long, feature string, weight double"
@@ -113,25 +114,34 @@ def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def train_linear(
-    examples: DataFrame, vectors: DataFrame, shard_rows: int = SHARD_ROWS, class_block: int = CLASS_BLOCK
+    examples: DataFrame,
+    vectors: DataFrame,
+    shard_rows: int = SHARD_ROWS,
+    class_block: int = CLASS_BLOCK,
+    shard_entries: int = SHARD_ENTRIES,
 ) -> DataFrame:
     """(ledger_id, class, feature, weight); feature ``''`` is the bias.
 
     ``examples`` rows are (ledger_id, id, doc, category_id), ``vectors`` the
-    long feature table of their documents.  A ledger with one class or without
-    any feature gets no model.
+    long feature table of their documents.  A shard holds at most about
+    ``shard_rows`` examples and ``shard_entries`` feature values.  A ledger with
+    one class or without any feature gets no model.
     """
-    usable = vectors.select("ledger_id").distinct()
+    per_doc = vectors.groupBy(*DOC).agg(F.count(F.lit(1)).alias("_k"))
+    uses = examples.groupBy(*DOC).agg(F.count(F.lit(1)).alias("_m"))
+    usable = uses.join(per_doc, DOC).groupBy("ledger_id").agg(F.sum(F.col("_k") * F.col("_m")).alias("_entries"))
     per_class = examples.groupBy("ledger_id", "category_id").agg(F.count(F.lit(1)).alias("_n"))
     kinds = (
         per_class.groupBy("ledger_id")
         .agg(F.sort_array(F.collect_list("category_id")).alias("_classes"), F.sum("_n").alias("_rows"))
         .filter(F.size("_classes") > 1)
-        .join(usable, "ledger_id", "left_semi")
+        .join(usable, "ledger_id")
     )
+    shards = F.ceil(F.greatest(F.col("_rows") / shard_rows, F.col("_entries") / shard_entries))
     blocks = kinds.select(
         "ledger_id",
         "_rows",
+        shards.alias("_shards"),
         F.posexplode(
             F.transform(
                 F.sequence(F.lit(0), F.floor((F.size("_classes") - 1) / class_block).cast("int")),
@@ -146,7 +156,7 @@ def train_linear(
         .join(packed, DOC, "left")
         .join(blocks, "ledger_id")
         # Round robin, so every shard sees every stretch of time.
-        .withColumn("shard", (F.col("_rank") % F.ceil(F.col("_rows") / shard_rows)).cast("bigint"))
+        .withColumn("shard", (F.col("_rank") % F.col("_shards")).cast("bigint"))
         .select(
             "ledger_id", "shard", "block", "id", "category_id", "classes", F.col("_rows").alias("total"),
             F.coalesce("_f.feature", empty.cast("array<string>")).alias("features"),

@@ -171,32 +171,40 @@ def validate_account_patterns(patterns: DataFrame, accounts: DataFrame) -> DataF
     """``error`` per (ledger_id, pattern): which half of a pattern is unknown, NULL when fine.
 
     ``accounts`` holds (ledger_id, bank_name, account_name) of live accounts.
-    A ledger without accounts reports nothing.  One pass over the accounts of
-    each ledger; flags are aggregated before any row leaves its task.
+    A ledger without accounts reports nothing.  Prefixes are compared by
+    equality: each account is cut to the few lengths its ledger's patterns
+    have, so no pattern meets all accounts.
     """
+    tail = F.expr("substring(pattern, instr(pattern, '/') + 1)")
     halves = patterns.select(
         "ledger_id",
         "pattern",
         F.lower(F.substring_index("pattern", "/", 1)).alias("_b"),
-        F.when(
-            F.contains(F.col("pattern"), F.lit("/")),
-            F.lower(F.expr("substring(pattern, instr(pattern, '/') + 1)")),
-        ).otherwise("").alias("_a"),
+        F.when(F.contains(F.col("pattern"), F.lit("/")), F.lower(tail)).otherwise("").alias("_a"),
     )
-    asked = halves.groupBy("ledger_id").agg(F.collect_set(F.struct("pattern", "_b", "_a")).alias("_asked"))
-    tested = accounts.join(asked, "ledger_id").select(
-        "ledger_id",
-        F.lower("bank_name").alias("_bn"),
-        F.lower("account_name").alias("_an"),
-        F.explode("_asked").alias("_p"),
+    # A pattern is tried whole and by its bank alone.
+    tried = halves.select("ledger_id", "_b", F.explode(F.array_distinct(F.array("_a", F.lit("")))).alias("_a"))
+    lengths = tried.groupBy("ledger_id").agg(
+        F.collect_set(F.struct(F.length("_b").alias("b"), F.length("_a").alias("a"))).alias("_lengths")
     )
-    bank_ok = F.col("_bn").startswith(F.col("_p._b"))
-    account_ok = F.col("_an").startswith(F.col("_p._a"))
-    flags = tested.groupBy("ledger_id", F.col("_p.pattern").alias("pattern")).agg(
-        F.bool_or(bank_ok).alias("_bank"), F.bool_or(bank_ok & account_ok).alias("_both")
+    cut = (
+        accounts.join(lengths, "ledger_id")
+        .select("ledger_id", "bank_name", "account_name", F.explode("_lengths").alias("_n"))
+        .select(
+            "ledger_id",
+            F.left(F.lower("bank_name"), F.col("_n.b")).alias("_b"),
+            F.left(F.lower("account_name"), F.col("_n.a")).alias("_a"),
+        )
+        .distinct()
+        .withColumn("_known", F.lit(True))
+    )
+    banks = cut.filter(F.col("_a") == "").select("ledger_id", "_b", F.col("_known").alias("_bank"))
+    flags = (
+        halves.join(cut, ["ledger_id", "_b", "_a"], "left")
+        .join(banks, ["ledger_id", "_b"], "left")
+        .join(accounts.select("ledger_id").distinct(), "ledger_id", "left_semi")
     )
     no_bank = F.concat(F.lit("Unknown bank: "), F.substring_index("pattern", "/", 1))
-    tail = F.expr("substring(pattern, instr(pattern, '/') + 1)")
     no_account = F.concat(
         F.lit("Unknown account: "),
         tail,
@@ -204,10 +212,10 @@ def validate_account_patterns(patterns: DataFrame, accounts: DataFrame) -> DataF
             F.concat(F.lit(" in "), F.substring_index("pattern", "/", 1))
         ),
     )
-    return halves.join(flags, ["ledger_id", "pattern"], "left").select(
+    return flags.select(
         "ledger_id",
         "pattern",
-        F.when(~F.col("_bank"), no_bank).when(~F.col("_both"), no_account).alias("error"),
+        F.when(F.col("_bank").isNull(), no_bank).when(F.col("_known").isNull(), no_account).alias("error"),
     )
 
 

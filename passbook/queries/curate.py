@@ -76,27 +76,30 @@ def clear_categories(spark, sf):
 
 
 @query("get_or_create_categories", """
-    WITH wanted AS (SELECT DISTINCT CAST(n_regionkey AS STRING) AS ledger_id, p AS path
-           FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey,
-                (SELECT DISTINCT 'Type/' || p_type AS p FROM {part} UNION SELECT DISTINCT 'Segment/' || c_mktsegment FROM {customer})),
+    WITH wanted AS (SELECT DISTINCT CAST(n_regionkey AS STRING) AS ledger_id, 'Type/' || p_type AS path FROM {lineitem}
+             JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey JOIN {part} ON l_partkey = p_partkey
+           UNION SELECT CAST(n_regionkey AS STRING), 'Segment/' || c_mktsegment FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey),
          fresh AS (SELECT * FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM {categories} c WHERE c.ledger_id = w.ledger_id AND c.path = w.path)),
          top AS (SELECT ledger_id, MAX(category_id) AS top FROM {categories} GROUP BY 1)
     SELECT ledger_id, category_id, path FROM {categories}
     UNION ALL SELECT f.ledger_id, top + ROW_NUMBER() OVER (PARTITION BY f.ledger_id ORDER BY path), path
               FROM fresh f JOIN top ON top.ledger_id = f.ledger_id""")
 def get_or_create_categories(spark, sf):
-    categories = star.frame(spark, sf, "categories")
-    names = star.frame(spark, sf, "part").select(F.concat(F.lit(" /Type/"), "p_type", F.lit("/ ")).alias("path")).unionByName(
-        star.frame(spark, sf, "customer").select(F.concat(F.lit("Segment/"), "c_mktsegment").alias("path"))
-    ).distinct()
-    # A handful of ledgers meets a handful of paths: each ledger carries the list.
-    listed = names.agg(F.collect_set("path").alias("_paths"))
-    ledgers = star.frame(spark, sf, "supplier").join(
-        star.frame(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    ).select(F.col("n_regionkey").cast("string").alias("ledger_id")).distinct()
-    wanted = ledgers.withColumn("_k", F.lit(1)).join(listed.withColumn("_k", F.lit(1)), "_k").select(
-        "ledger_id", F.explode("_paths").alias("path")
+    """Ledgers want the types of the parts they sold and the segments of their customers."""
+    nation = star.frame(spark, sf, "nation")
+    sold = (
+        star.frame(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+        .join(star.frame(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(star.frame(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select(F.col("s_nationkey").alias("n_nationkey"), F.concat(F.lit(" /Type/"), "p_type", F.lit("/ ")).alias("path"))
+    )
+    served = star.frame(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("n_nationkey"), F.concat(F.lit("Segment/"), "c_mktsegment").alias("path")
     )
+    wanted = sold.unionByName(served).distinct().join(nation, "n_nationkey").select(
+        F.col("n_regionkey").cast("string").alias("ledger_id"), "path"
+    )
+    categories = star.frame(spark, sf, "categories")
     return curate.get_or_create_categories(categories, wanted, AT).select("ledger_id", "category_id", "path")
 
 

@@ -9,6 +9,7 @@ from passbook.queries import query
 from passbook.queries.curate import AT
 from passbook.queries.lookups import LEGS
 from passbook.queries.search import LIVE
+from passbook.schema import struct
 from passbook.sources import star
 
 # Rules of every ledger: one per bank, then general ones (Spark side).
@@ -124,38 +125,47 @@ def rule_match_counts(spark, sf):
     return ops.rule_match_counts(_books(spark, sf)).select("ledger_id", "id", "matches")
 
 
+def _saved(spark, sf):
+    """The rules suppliers saved, each a search for its own name."""
+    rows = star.frame(spark, sf, "supplier_rules")
+    test = F.struct(F.lit("text").alias("field"), F.col("name").alias("value"), F.lit(False).alias("negated"))
+    return rows.withColumn("terms", F.array(test)).select(*struct("rules").names)
+
+
 @query("rules_using_category", """
-    SELECT CAST(r_regionkey AS STRING) AS ledger_id, CAST(unnest([100, 102]) AS BIGINT) AS id FROM {region}""")
+    SELECT r.ledger_id AS ledger_id, r.id AS id FROM {supplier_rules} r JOIN {categories} c
+      ON c.ledger_id = r.ledger_id AND c.category_id = r.category_id WHERE c.path IN ('Segment/BUILDING', 'Segment/HOUSEHOLD')""")
 def rules_using_category(spark, sf):
-    books = _books(spark, sf)
-    ids = books.categories.filter("path IN ('Segment/BUILDING', 'Segment/HOUSEHOLD')")
-    return ops.rules_using_category(books.rules, ids).select("ledger_id", "id")
+    ids = star.frame(spark, sf, "categories").filter("path IN ('Segment/BUILDING', 'Segment/HOUSEHOLD')")
+    return ops.rules_using_category(_saved(spark, sf), ids).select("ledger_id", "id")
 
 
-@query("next_position", "SELECT CAST(r_regionkey AS STRING) AS ledger_id, CAST(105 AS BIGINT) AS next_position FROM {region}")
+@query("next_position", "SELECT ledger_id, MAX(position) + 1 AS next_position FROM {supplier_rules} GROUP BY 1")
 def next_position(spark, sf):
-    return aggregates.next_position(_books(spark, sf).rules)
+    return aggregates.next_position(_saved(spark, sf))
 
 
 @query("edit_rules", """
-    SELECT CAST(n_regionkey AS STRING) AS ledger_id, CAST(n_nationkey + 1 AS BIGINT) AS id, n_name || '!' AS name,
-           CAST(NULL AS BIGINT) AS category_id FROM {nation}
-    UNION ALL SELECT CAST(r_regionkey AS STRING), CAST(105 AS BIGINT), 'fresh', NULL FROM {region}""")
+    SELECT ledger_id, id, CASE WHEN category_id = 65 THEN name || '!' ELSE name END AS name,
+           CASE WHEN category_id = 65 THEN NULL ELSE category_id END AS category_id, position
+    FROM {supplier_rules} WHERE category_id IS NOT NULL
+    UNION ALL SELECT ledger_id, MAX(id) + 1, 'fresh', NULL, MAX(position) + 1 FROM {supplier_rules} GROUP BY 1""")
 def edit_rules(spark, sf):
-    """Bank rules are renamed and idle, the general ones deleted, a new one appended."""
-    rules = _books(spark, sf).rules
+    """Rules of one category are renamed and idle, idle ones deleted, a new one appended."""
+    rules = _saved(spark, sf)
+    chosen = F.col("category_id").eqNullSafe(F.lit(65))
     edits = rules.select(
         "ledger_id", "id",
-        F.when(F.col("id") < 100, F.concat("name", F.lit("!"))).alias("name"),
+        F.when(chosen, F.concat("name", F.lit("!"))).alias("name"),
         F.lit(None).cast(rules.schema["terms"].dataType).alias("terms"),
         F.lit(None).cast("bigint").alias("category_id"),
-        (F.col("id") < 100).alias("clear_category"),
+        chosen.alias("clear_category"),
         F.lit(None).cast("string").alias("override_mode"),
         F.lit(None).cast("boolean").alias("review_required"),
-        (F.col("id") >= 100).alias("deleted"),
+        F.col("category_id").isNull().alias("deleted"),
     )
     fresh = rules.select("ledger_id").distinct().select(
         "ledger_id", F.lit("fresh").alias("name"), F.array().cast(rules.schema["terms"].dataType).alias("terms")
     )
     appended = ops.create_rules(rules, fresh, AT).filter("name = 'fresh'")
-    return ops.edit_rules(rules, edits).unionByName(appended).select("ledger_id", "id", "name", "category_id")
+    return ops.edit_rules(rules, edits).unionByName(appended).select("ledger_id", "id", "name", "category_id", "position")

@@ -99,6 +99,13 @@ VIEWS = {
         UNION ALL
         SELECT DISTINCT ledger_id, id AS transaction_id, CAST(100 + ASCII(linestatus) AS BIGINT) AS tag_id
         FROM {order_flags} WHERE flag = 'R'""",
+    # Every supplier saved one search.
+    "supplier_rules": """
+        SELECT CAST(n_regionkey AS STRING) AS ledger_id, s_suppkey + 1 AS id, s_name AS name,
+               CASE WHEN s_acctbal < 0 THEN NULL ELSE CAST(65 + s_nationkey % 3 AS BIGINT) END AS category_id,
+               'all' AS override_mode, FALSE AS review_required, s_suppkey AS position,
+               CAST('2000-01-01 00:00:00' AS TIMESTAMP) AS created_at
+        FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
     # Documents as transactions: languages are ledgers, the text is the description.
     "doc_tx": """
         SELECT lang AS ledger_id, doc_id AS id, CAST(n_chars % 7 AS BIGINT) AS account_id,
