@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passbook.functions.text import searchable_text, tokens
-from passbook.operators import fulltext
+from passbook.operators import fulltext, predicates, search
 from passbook.queries import query
+from passbook.queries.search import LIVE
 from passbook.sources import star
+from passbook.sources.sinks import csv_field
 
 # Word lists of documents (description, metadata, note) as the SQL side makes them.
 WORDS = """(SELECT t.ledger_id AS ledger_id, t.id AS id,
@@ -119,3 +121,26 @@ def exclude_match(spark, sf):
 def match_one_side(spark, sf):
     found = fulltext.match_one_side(star.frame(spark, sf, "doc_links"), _postings(spark, sf), "kept the")
     return found.select("ledger_id", "id")
+
+
+@query("search_text", f"""
+    SELECT v.ledger_id AS ledger_id, v.id AS id FROM {LIVE} v
+    WHERE CONTAINS(description, 'BUILDING') AND NOT CONTAINS(description, 'URGENT') AND amount_cents < 0""")
+def search_text(spark, sf):
+    """Words and typed predicates in one search, over the postings of the orders."""
+    books = star.books(spark, sf)
+    index = fulltext.build_postings(books.transactions)
+    found = search.search(
+        books, [predicates.amount_cmp("<", "0")],
+        matching=fulltext.match_all(index, "building"), excluding=fulltext.match_all(index, "urgent"),
+    )
+    return found.select("ledger_id", "id")
+
+
+@query("csv_fields", """
+    SELECT doc_id AS id, sha256(CASE WHEN regexp_matches(text, '[,"\\r\\n]') THEN '"' || REPLACE(text, '"', '""') || '"' ELSE text END) AS field
+    FROM {documents}""")
+def csv_fields(spark, sf):
+    return star.frame(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.sha2(csv_field("text"), 256).alias("field")
+    )
