@@ -42,7 +42,7 @@ def parse_amount(text: str) -> tuple[int, str, int]:
     """(cents, sign as written, cents covered by the last digit written)."""
     match = _CENTS.fullmatch(text)
     if not match:
-        raise ValueError(f"Invalid amount: {text}")
+        raise ValueError(f"not an amount: {text}")
     sign, whole, fraction = match[1], match[2], match[3] or ""
     cents = int(whole) * 100 + int(fraction.ljust(2, "0"))
     return (-cents if sign == "-" else cents), sign, 10 ** (2 - len(fraction))
@@ -72,7 +72,7 @@ def parse_percent(text: str) -> tuple[float, float]:
     """(fraction, width of the last digit written), both on the 0 to 1 scale."""
     match = _PERCENT.fullmatch(text)
     if not match:
-        raise ValueError(f"Invalid confidence: {text}")
+        raise ValueError(f"not a confidence: {text}")
     percent = float(text.removesuffix("%"))
     if percent > 100.0:
         raise ValueError(f"Confidence is a percentage from 0 to 100: {text}")

@@ -102,7 +102,7 @@ def date_spec(value: str) -> tuple[date, date]:
     """``YYYY``, ``YYYY-M`` or ``YYYY-M-D`` as inclusive bounds."""
     match = _SPEC.fullmatch(value)
     if not match:
-        raise ValueError(f"Invalid date: {value}")
+        raise ValueError(f"not a date: {value}")
     year, month, day = (int(p) if p else None for p in match.groups())
     try:
         if month is None:
@@ -111,7 +111,7 @@ def date_spec(value: str) -> tuple[date, date]:
             return date(year, month, 1), date(year, month, _calendar.monthrange(year, month)[1])
         return date(year, month, day), date(year, month, day)
     except ValueError:
-        raise ValueError(f"Invalid date: {value}")
+        raise ValueError(f"not a date: {value}")
 
 
 def resolve(value: str, cal: Calendar | None) -> tuple[date | None, date | None]:

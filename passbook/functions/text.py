@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Replacements that turn a bank description into a merchant key (fixed values,
@@ -94,8 +95,32 @@ def tokens(col: Column | str) -> Column:
 
 
 def token_list(text: str) -> list[str]:
-    """``tokens`` for one literal."""
-    return [t for t in re.split(r"[\W_]+", fold_literal(text)) if t]
+    """``tokens`` for one literal: the same letters, digits and private-use characters."""
+    kept = (c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in fold_literal(text))
+    return "".join(kept).split()
+
+
+@lru_cache(maxsize=4096)
+def engine_accepts(pattern: str) -> bool:
+    """Whether the engine that runs regular expressions can compile this one."""
+    spark = SparkSession.active()
+    try:
+        if hasattr(spark, "_jvm"):
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        else:
+            spark.sql("SELECT rlike('', :p)", args={"p": pattern}).collect()
+    except Exception:  # noqa: BLE001  any refusal of the engine counts
+        return False
+    return True
+
+
+def regex_term(value: str) -> str:
+    """The pattern of a search term: as it stands, or ``/pattern/flags`` with the flags i, m and s."""
+    found = re.fullmatch(r"/(.*)/([ims]*)", value, re.DOTALL)
+    if not found:
+        return value
+    flags = "".join(dict.fromkeys(found[2]))
+    return (f"(?{flags})" if flags else "") + found[1]
 
 
 def metadata_scalars(col: Column | str) -> Column:

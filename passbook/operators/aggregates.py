@@ -12,14 +12,11 @@ from passbook.operators import views
 from passbook.operators.predicates import Predicate
 from passbook.schema import Books
 
-VISIBLE_LIMIT = 500
-REPORT_LIMIT = 100
 
-
-def sum_amount(found: DataFrame, limit: int | None = VISIBLE_LIMIT) -> DataFrame:
-    """Sum over the rows a list shows: the first ``limit`` of an ordered result, or all."""
-    rows = found if limit is None else found.limit(limit)
-    return rows.agg(F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("sum_cents"))
+def sum_amount(found: DataFrame, limit: int | None = None, sort: str | None = None) -> DataFrame:
+    """Sum per ledger over its rows, or over the first ``limit`` of each ledger in list order."""
+    rows = found if limit is None else search_op.first_rows(found, sort, limit)
+    return rows.groupBy("ledger_id").agg(F.sum("amount_cents").alias("sum_cents"))
 
 
 def count_by_category(enrichments: DataFrame) -> DataFrame:
@@ -74,9 +71,9 @@ def count_pairs(view: DataFrame) -> DataFrame:
 
 
 def transactions_report(
-    books: Books, preds: Iterable[Predicate] = (), sort: str | None = None, limit: int | None = REPORT_LIMIT
+    books: Books, preds: Iterable[Predicate] = (), sort: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Search result with ``Bank/Account`` labels and category paths.
+    """Search result with ``Bank/Account`` labels and category paths, at most ``limit`` rows of a ledger.
 
     Labels come from live banks and accounts; anything else shows as ``?``.
     """

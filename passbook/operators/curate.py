@@ -414,16 +414,26 @@ def count_held(tx: DataFrame, ids: DataFrame) -> DataFrame:
 # Bulk edits from a search
 
 
-def bulk_categorise(books: Books, preds: Sequence[Predicate], category_id: int, at: str) -> DataFrame:
-    """Enrichments after giving every match that is no transfer leg a manual, confirmed category."""
+def bulk_categorise(
+    books: Books, preds: Sequence[Predicate], path: str, at: str, pending: bool = False
+) -> DataFrame:
+    """Enrichments after giving every match that is no transfer leg a manual, confirmed category.
+
+    The path is resolved in each ledger; a ledger without that category is left alone.  With
+    ``pending`` only matches with an open suggestion are edited.
+    """
+    chosen = books.categories.filter(F.col("path") == path).select("ledger_id", F.col("category_id").alias("_chosen"))
+    needs = {"category_source", "category_confirmed"} if pending else set()
     # The order of a search does not matter here.
     found = search_op.where(
-        views.live(views.wide_view(books, set().union(*(p.needs for p in preds)))), preds, "error"
+        views.live(views.wide_view(books, needs.union(*(p.needs for p in preds)))), preds, "error"
     )
-    edits = found.select(
+    if pending:
+        found = found.filter((F.col("category_source") == "ai") & ~F.col("category_confirmed"))
+    edits = found.join(chosen, "ledger_id").select(
         "ledger_id",
         F.col("id").alias("transaction_id"),
-        F.lit(category_id).cast("bigint").alias("category_id"),
+        F.col("_chosen").alias("category_id"),
         F.lit("manual").alias("category_source"),
         F.lit(True).alias("category_confirmed"),
         F.lit(None).cast("double").alias("ai_confidence"),

@@ -22,19 +22,24 @@ Getter = Callable[[str], Column]
 class Predicate:
     """A condition plus the columns it reads; ``test`` gets a column by name.
 
-    Binding by name lets one predicate run on either side of a transfer.
+    Binding by name lets one predicate run on either side of a transfer.  A test
+    that gives None adds no clause, negated or not.
     """
 
     needs: frozenset[str]
-    test: Callable[[Getter], Column]
+    test: Callable[[Getter], Column | None]
     negated: bool = False
 
-    def column(self, get: Getter = F.col) -> Column:
+    def clause(self, get: Getter = F.col) -> Column | None:
         found = self.test(get)
-        return ~F.coalesce(found, F.lit(False)) if self.negated else found
+        return ~F.coalesce(found, F.lit(False)) if self.negated and found is not None else found
+
+    def column(self, get: Getter = F.col) -> Column:
+        found = self.clause(get)
+        return F.lit(True) if found is None else found
 
 
-def _on(name: str, make: Callable[[Column], Column]) -> Predicate:
+def _on(name: str, make: Callable[[Column], Column | None]) -> Predicate:
     return Predicate(frozenset([name]), lambda get: make(get(name)))
 
 
@@ -52,7 +57,12 @@ def _merge(preds: Iterable[Predicate], op, neutral: bool) -> Predicate:
     if not kept:
         return everything()
     needs = frozenset().union(*(p.needs for p in kept))
-    return Predicate(needs, lambda get: reduce(op, [p.column(get) for p in kept]))
+
+    def test(get: Getter) -> Column | None:
+        clauses = [c for c in (p.clause(get) for p in kept) if c is not None]
+        return reduce(op, clauses) if clauses else None
+
+    return Predicate(needs, test)
 
 
 def all_of(preds: Iterable[Predicate | None]) -> Predicate:
@@ -116,7 +126,7 @@ def amount_is(value: str) -> Predicate:
 def amount_cmp(op: str, value: str) -> Predicate:
     """Always signed and exact to the cent."""
     if op not in ("<", ">"):
-        raise ValueError(f"Invalid comparison: {op}")
+        raise ValueError(f"not a comparison sign: {op}")
     parse_amount(value)
     return amount_is(op + value)
 
@@ -204,12 +214,12 @@ def validate_account_patterns(patterns: DataFrame, accounts: DataFrame) -> DataF
         .join(banks, ["ledger_id", "_b"], "left")
         .join(accounts.select("ledger_id").distinct(), "ledger_id", "left_semi")
     )
-    no_bank = F.concat(F.lit("Unknown bank: "), F.substring_index("pattern", "/", 1))
+    no_bank = F.concat(F.lit("no bank starts with "), F.substring_index("pattern", "/", 1))
     no_account = F.concat(
-        F.lit("Unknown account: "),
+        F.lit("no account starts with "),
         tail,
         F.when(F.col("_b") == "", "").otherwise(
-            F.concat(F.lit(" in "), F.substring_index("pattern", "/", 1))
+            F.concat(F.lit(" at "), F.substring_index("pattern", "/", 1))
         ),
     )
     return flags.select(
@@ -228,7 +238,7 @@ def has_tag(names: str | Iterable[str]) -> Predicate:
     for name in _values(names):
         clean = text_fn.tag_name(name)
         if not clean:
-            raise ValueError(f"Invalid tag: {name}")
+            raise ValueError(f"not a tag: {name}")
         wanted.append(clean)
     if not wanted:
         return everything()
@@ -244,7 +254,7 @@ def tagged(present: bool) -> Predicate:
 def note_contains(needle: str) -> Predicate:
     clean = needle.lower().replace("%", "").replace("_", "")
     if not clean:
-        raise ValueError(f"Invalid note search: {needle}")
+        raise ValueError(f"nothing to look for in notes: {needle}")
     return _on("note", lambda c: F.contains(F.lower(c), F.lit(clean)))
 
 
@@ -252,15 +262,18 @@ def noted(present: bool) -> Predicate:
     return _on("note", lambda c: c.isNotNull() if present else c.isNull())
 
 
-def description_matches(pattern: str, ignore_case: bool = False, on_invalid: str = "drop") -> Predicate | None:
-    """Unanchored regular expression; an invalid one adds no clause unless ``error`` is asked."""
-    try:
-        re.compile(pattern)
-    except re.error as problem:
+def description_matches(pattern: str, ignore_case: bool = False, on_invalid: str = "drop") -> Predicate:
+    """Unanchored regular expression of the engine; an invalid one adds no clause unless ``error`` is asked."""
+    whole = ("(?i)" if ignore_case else "") + pattern
+
+    def test(c: Column) -> Column | None:
+        if text_fn.engine_accepts(whole):
+            return c.rlike(whole)
         if on_invalid == "error":
-            raise ValueError(f"Invalid regex: {problem}") from None
+            raise ValueError(f"not a regular expression: {pattern}")
         return None
-    return _on("description", lambda c: c.rlike(("(?i)" if ignore_case else "") + pattern))
+
+    return _on("description", test)
 
 
 def fuzzy_matches(columns: Iterable[str], pattern: str) -> Predicate:
@@ -305,7 +318,7 @@ FIELDS: dict[str, Builder] = {
     "confidence": lambda v, cal: confidence_is(v),
     "tag": _tag_term,
     "note": _note_term,
-    "regex": lambda v, cal: description_matches(v),
+    "regex": lambda v, cal: description_matches(text_fn.regex_term(v)),
 }
 ALIASES = {"d": "date", "am": "amount", "a": "account", "c": "category", "conf": "confidence"}
 
@@ -321,7 +334,7 @@ def term(field: str, value: str, negated: bool = False, cal: Calendar | None = N
     """A predicate from field and value; an empty value matches everything."""
     name = ALIASES.get(field, field)
     if name not in FIELDS:
-        raise ValueError(f"Unknown field: {field}")
+        raise ValueError(f"no search field {field}")
     if not value:
         return everything()
     pred = FIELDS[name](value, cal) or everything()

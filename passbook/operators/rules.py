@@ -17,7 +17,8 @@ from passbook.functions.periods import Calendar, resolve
 from passbook.functions.text import searchable_text, tag_name, token_list, tokens
 from passbook.operators import views
 from passbook.operators.curate import set_categories
-from passbook.operators.predicates import ALIASES
+from passbook.operators.predicates import ALIASES, Predicate, term
+from passbook.operators.predicates import FIELDS as REGISTERED
 from passbook.schema import OVERRIDE_MODES, Books
 from passbook.session import cut_lineage
 
@@ -25,10 +26,10 @@ from passbook.session import cut_lineage
 COMPILED = (
     "kind string, date_low date, date_high date, low double, high double, "
     "low_open boolean, high_open boolean, magnitude boolean, present boolean, "
-    "left array<string>, right array<string>"
+    "left array<string>, right array<string>, literal int"
 )
 
-# Fields a stored rule may use (fixed values).
+# Fields a stored rule may use besides registered ones (fixed values).
 FIELDS = ("date", "amount", "account", "category", "confidence", "tag", "note", "regex", "text")
 
 # Wide-view columns each field reads.
@@ -40,15 +41,23 @@ FIELD_NEEDS = {
 }
 
 
-def compile_term(field: str, value: str, cal: Calendar | None) -> dict:
-    """Typed form of one term; an empty or invalid one constrains nothing (kind NULL)."""
+def compile_term(field: str, value: str, cal: Calendar | None, literals: dict[tuple[str, str], int | None]) -> dict:
+    """Typed form of one term; an empty or invalid one constrains nothing (kind NULL).
+
+    ``literals`` numbers the terms that become columns of their own: regular expressions and
+    registered fields.  None stands for one that adds no clause.
+    """
     out = dict.fromkeys(
-        ("kind", "date_low", "date_high", "low", "high", "low_open", "high_open", "magnitude", "present", "left", "right")
+        ("kind", "date_low", "date_high", "low", "high", "low_open", "high_open", "magnitude", "present", "left", "right", "literal")
     )
     field = ALIASES.get(field, field)
     try:
         if not value:
             return out
+        if (field, value) in literals:
+            if literals[field, value] is not None:
+                out.update(kind="literal", literal=literals[field, value])
+            return out
         if field == "date":
             low, high = resolve(value, cal)
             if low or high:
@@ -78,8 +87,6 @@ def compile_term(field: str, value: str, cal: Calendar | None) -> dict:
             needle = value.lower().replace("%", "").replace("_", "")
             if needle:
                 out.update(kind="note", left=[needle])
-        elif field == "regex":
-            out.update(kind="regex", left=[value])
         elif field == "text":
             words = token_list(value)
             if words:
@@ -89,15 +96,45 @@ def compile_term(field: str, value: str, cal: Calendar | None) -> dict:
     return out
 
 
-def compile_rules(rules: DataFrame, cal: Calendar | None) -> DataFrame:
+def literal_terms(rules: DataFrame, cal: Calendar | None) -> tuple[dict[tuple[str, str], int | None], list[Predicate]]:
+    """Terms that run as expressions of their own, numbered, and those expressions.
+
+    The driver gets each distinct regular expression, and each distinct value of a registered
+    field, once: text that people typed, compiled once for all rules that share it.
+    """
+    rows = rules.select(F.explode("terms").alias("t")).select("t.field", "t.value")
+    own = [n for n in FIELDS if n != "regex"] + [a for a, n in ALIASES.items() if n in FIELDS and n != "regex"]
+    found = rows.filter(~F.col("field").isin(*own) & (F.length("value") > 0)).select("field", "value").distinct().collect()
+    numbers: dict[tuple[str, str], int | None] = {}
+    preds: list[Predicate] = []
+    for field, value in sorted((ALIASES.get(r["field"], r["field"]), r["value"]) for r in found):
+        if field not in REGISTERED:
+            raise ValueError(f"no search field {field}")
+        try:
+            pred = term(field, value, cal=cal)
+        except ValueError:
+            pred = None
+        if pred is None or pred.clause(F.col) is None:
+            numbers[field, value] = None
+        elif (field, value) not in numbers:
+            numbers[field, value] = len(preds)
+            preds.append(pred)
+    return numbers, preds
+
+
+def compile_rules(
+    rules: DataFrame, cal: Calendar | None, literals: dict[tuple[str, str], int | None] | None = None
+) -> DataFrame:
     """Rules that assign a category, per ledger, as one array in (position, id) order.
 
     Terms are compiled on the executors by a small vectorised helper.
     """
+    known = literal_terms(rules, cal)[0] if literals is None else literals
 
     @F.pandas_udf(COMPILED)
     def compiled(field: pd.Series, value: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([compile_term(f, v, cal) for f, v in zip(field, value)])
+        out = pd.DataFrame([compile_term(f, v, cal, known) for f, v in zip(field, value)])
+        return out.assign(literal=out["literal"].astype("Int32"))
 
     active = rules.filter(F.col("category_id").isNotNull())
     terms = active.select("ledger_id", "id", F.explode("terms").alias("t")).select(
@@ -156,7 +193,7 @@ def _holds(term: Column, columns: set[str]) -> Column:
         )
         .when(term["kind"] == "amount", within(amount))
         .when(term["kind"] == "account", F.exists(places, lambda hit: hit))
-        .when(term["kind"] == "regex", F.rlike("description", term["left"][0]))
+        .when(term["kind"] == "literal", F.get(F.col("_literals"), term["literal"]))
     )
     if "ai_confidence" in columns:
         score = F.col("ai_confidence")
@@ -187,23 +224,22 @@ def _holds(term: Column, columns: set[str]) -> Column:
     return F.coalesce(result, F.lit(False))
 
 
-def _matching(columns: set[str]) -> Column:
-    """The rules of the row's ledger that match it, in order."""
-    return F.filter(
-        "rules",
-        lambda rule: F.forall(
-            rule["tests"], lambda test: _holds(test["term"], columns) != test["negated"]
-        ),
-    )
+def _meets(rule: Column, columns: set[str]) -> Column:
+    return F.forall(rule["tests"], lambda test: _holds(test["term"], columns) != test["negated"])
 
 
 def _rule_rows(books: Books, cal: Calendar | None) -> tuple[DataFrame, set[str]]:
-    """Live transactions beside the compiled rules of their ledger."""
+    """Live transactions beside the compiled rules of their ledger.
+
+    A term that is an expression of its own is one entry of ``_literals``, computed once for a row
+    and only where a rule of its ledger has it.
+    """
+    literals, preds = literal_terms(books.rules, cal)
     # Only known field names come back, so the driver sees a handful of rows.
     fields = books.rules.select(F.explode("terms.field").alias("field"))
     known = fields.filter(F.col("field").isin(*FIELDS, *ALIASES)).distinct().collect()
     used = {ALIASES.get(r.field, r.field) for r in known}
-    needs = {c for f in used for c in FIELD_NEEDS.get(f, [])}
+    needs = {c for f in used for c in FIELD_NEEDS.get(f, [])}.union(*(p.needs for p in preds))
     if "text" in used:
         needs.add("note")
     view = views.live(views.wide_view(books, needs))
@@ -211,14 +247,27 @@ def _rule_rows(books: Books, cal: Calendar | None) -> tuple[DataFrame, set[str]]
         view = view.withColumn("tokens", F.array_distinct(tokens(searchable_text("description", "metadata", "note"))))
         needs.add("tokens")
     view = view.withColumn("_bank", F.lower("bank_name")).withColumn("_account", F.lower("account_name"))
-    return view.join(compile_rules(books.rules, cal), "ledger_id"), needs
+    rows = view.join(compile_rules(books.rules, cal, literals), "ledger_id")
+    if preds:
+        mine = F.array_distinct(F.flatten(F.transform("rules", lambda r: F.transform(r["tests"], lambda t: t["term"]["literal"]))))
+        rows = rows.withColumn("_mine", mine).withColumn(
+            "_literals", F.array(*[F.when(F.array_contains("_mine", i), p.column(F.col)) for i, p in enumerate(preds)])
+        )
+    else:
+        rows = rows.withColumn("_literals", F.array().cast("array<boolean>"))
+    return rows, needs
 
 
 def claims(books: Books, cal: Calendar | None = None) -> DataFrame:
     """The first matching rule of each live transaction: its id, category and modes."""
     rows, columns = _rule_rows(books, cal)
-    # Exploding the first match evaluates the rules once and drops rows without one.
-    claimed = rows.select("ledger_id", "id", F.explode(F.slice(_matching(columns), 1, 1)).alias("rule"))
+    # Rules are in order; once one holds, the rest are not evaluated.
+    nothing = F.lit(None).cast(rows.schema["rules"].dataType.elementType)
+    first = F.aggregate(
+        "rules", nothing, lambda won, rule: F.when(won.isNotNull(), won).when(_meets(rule, columns), rule)
+    )
+    # Exploding the winner evaluates the rules once and drops rows without one.
+    claimed = rows.select("ledger_id", "id", F.explode(F.array_compact(F.array(first))).alias("rule"))
     return claimed.select(
         "ledger_id",
         F.col("id").alias("transaction_id"),
@@ -311,7 +360,8 @@ def rule_match_counts(books: Books, cal: Calendar | None = None) -> DataFrame:
     # Counting needs no category, so a rule without one counts too.
     counted = books.with_tables(rules=books.rules.withColumn("category_id", F.coalesce("category_id", F.lit(0))))
     rows, columns = _rule_rows(counted, cal)
-    hits = rows.select("ledger_id", F.explode(F.transform(_matching(columns), lambda r: r["rule_id"])).alias("id"))
+    matching = F.filter("rules", lambda rule: _meets(rule, columns))
+    hits = rows.select("ledger_id", F.explode(F.transform(matching, lambda r: r["rule_id"])).alias("id"))
     counts = hits.groupBy("ledger_id", "id").agg(F.count(F.lit(1)).alias("_n"))
     return books.rules.join(counts, ["ledger_id", "id"], "left").select(
         "ledger_id", "id", "name", F.coalesce("_n", F.lit(0)).alias("matches")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passbook.operators import views
@@ -37,7 +37,7 @@ def parse_sort(value: str) -> list[tuple[str, bool]]:
         descending = part.startswith("-")
         name = part.removeprefix("-").lower()
         if name not in SORT_COLUMNS:
-            raise ValueError(f"Unknown sort column: {part.removeprefix('-')}")
+            raise ValueError(f"no such sort key: {part.removeprefix('-')}")
         keys.append((name, descending))
     return keys
 
@@ -87,9 +87,24 @@ def where(df: DataFrame, preds: Iterable[Predicate], on_missing: str = "drop") -
     return df.filter(all_of(supported(preds, df.columns, on_missing)).column())
 
 
+def _order(df: DataFrame, sort: str | None) -> list[Column]:
+    return sort_by(sort, df.columns) if sort else default_order()
+
+
+def first_rows(df: DataFrame, sort: str | None, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each ledger.
+
+    The bound on a row number lets Spark cut each partition before the shuffle, so
+    a large ledger sends few rows.
+    """
+    place = F.row_number().over(Window.partitionBy("ledger_id").orderBy(*_order(df, sort)))
+    return df.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+
+
 def arrange(df: DataFrame, sort: str | None = None, limit: int | None = None) -> DataFrame:
-    ordered = df.orderBy(*(sort_by(sort, df.columns) if sort else default_order()))
-    return ordered if limit is None else ordered.limit(limit)
+    """Rows in order; a limit holds for each ledger."""
+    kept = df if limit is None else first_rows(df, sort, limit)
+    return kept.orderBy(*_order(df, sort))
 
 
 def search(
@@ -101,7 +116,7 @@ def search(
     matching: DataFrame | None = None,
     excluding: DataFrame | None = None,
 ) -> DataFrame:
-    """Live transactions that satisfy all predicates, ordered and limited.
+    """Live transactions that satisfy all predicates, ordered, at most ``limit`` of each ledger.
 
     Side tables are joined only for columns some predicate, sort key or
     ``also`` uses.  ``matching`` and ``excluding`` are (ledger_id, id) sets from
@@ -158,14 +173,18 @@ def fuzzy_filter(df: DataFrame, columns: Iterable[str], pattern: str) -> DataFra
     return df.filter(F.coalesce(hit, F.lit(False)) | unresolved.column())
 
 
-def transactions_in_category(books: Books, category_id: int, limit: int | None = None) -> DataFrame:
-    pred = Predicate(frozenset(["category_id"]), lambda get: get("category_id") == category_id)
-    return search(books, [pred], limit=limit)
+def transactions_in_category(books: Books, ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """Live transactions of the given (ledger_id, category_id)."""
+    key = ["ledger_id", "category_id"]
+    view = views.live(views.wide_view(books, {"category_id"}))
+    return arrange(view.join(ids.select(*key), key, "left_semi"), limit=limit)
 
 
-def transactions_in_account(books: Books, account_id: int, limit: int | None = None) -> DataFrame:
-    pred = Predicate(frozenset(["account_id"]), lambda get: get("account_id") == account_id)
-    return search(books, [pred], limit=limit)
+def transactions_in_account(books: Books, ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """Live transactions of the given (ledger_id, account_id)."""
+    key = ["ledger_id", "account_id"]
+    view = views.live(views.wide_view(books, set()))
+    return arrange(view.join(ids.select(*key), key, "left_semi"), limit=limit)
 
 
 def find_categories(categories: DataFrame, text: str) -> DataFrame:

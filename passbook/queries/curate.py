@@ -302,7 +302,18 @@ MATCH = f"""(SELECT ledger_id, id FROM {ENRICHED} v WHERE amount_cents > 3000000
     UNION ALL SELECT ledger_id, id, 66, 'manual', TRUE, NULL, TRUE FROM {MATCH}""")
 def bulk_categorise(spark, sf):
     preds = [p.amount_cmp(">", "300000"), p.negate(p.confidence_is("50.."))]
-    return _state(curate.bulk_categorise(star.books(spark, sf), preds, 66, AT))
+    return _state(curate.bulk_categorise(star.books(spark, sf), preds, "Segment/BUILDING", AT))
+
+
+@query("bulk_categorise_pending", f"""
+    WITH hit AS (SELECT ledger_id, id FROM {ENRICHED} v WHERE date >= DATE '1997-01-01' AND category_source = 'ai' AND NOT category_confirmed
+             AND NOT EXISTS (SELECT 1 FROM {LEGS} l WHERE l.ledger_id = v.ledger_id AND l.id = v.id))
+    SELECT {STATE_SQL}, FALSE AS touched FROM {{enrichments}} e
+    WHERE NOT EXISTS (SELECT 1 FROM hit m WHERE m.ledger_id = e.ledger_id AND m.id = e.transaction_id)
+    UNION ALL SELECT ledger_id, id, 66, 'manual', TRUE, NULL, TRUE FROM hit""")
+def bulk_categorise_pending(spark, sf):
+    after = curate.bulk_categorise(star.books(spark, sf), [p.date_range("1997", "")], "Segment/BUILDING", AT, pending=True)
+    return _state(after)
 
 
 @query("bulk_accept", f"""

@@ -37,7 +37,11 @@ RULES = """
          NAMED_STRUCT('field', 'regex', 'value', '.', 'negated', FALSE)), 'category_id', NULL, 'mode', 'all', 'review', FALSE),
       NAMED_STRUCT('id', 104, 'name', 'debits', 'terms', ARRAY(
          NAMED_STRUCT('field', 'date', 'value', 'never', 'negated', FALSE),
-         NAMED_STRUCT('field', 'amount', 'value', '..0', 'negated', FALSE)), 'category_id', 70, 'mode', 'uncategorised', 'review', FALSE)
+         NAMED_STRUCT('field', 'amount', 'value', '..0', 'negated', FALSE)), 'category_id', 70, 'mode', 'uncategorised', 'review', FALSE),
+      NAMED_STRUCT('id', 105, 'name', 'patterns', 'terms', ARRAY(
+         NAMED_STRUCT('field', 'regex', 'value', '/^card \\\\p{{Alpha}}+ machinery/i', 'negated', FALSE),
+         NAMED_STRUCT('field', 'regex', 'value', '(', 'negated', TRUE),
+         NAMED_STRUCT('field', 'amount', 'value', '<400000', 'negated', FALSE)), 'category_id', 77, 'mode', 'uncategorised', 'review', FALSE)
     )) x AS id, name, terms, category_id, mode, review"""
 
 # The same meaning, written out.
@@ -60,7 +64,9 @@ STATE = f"""
              UNION ALL SELECT s.*, 102, 102, 72, 'uncategorised', FALSE FROM seen s
                WHERE NOT COALESCE(LOWER(path) LIKE 'segment%', FALSE)
                  AND EXISTS (SELECT 1 FROM noted n WHERE n.ledger_id = s.ledger_id AND n.transaction_id = s.id)
-             UNION ALL SELECT s.*, 104, 104, 70, 'uncategorised', FALSE FROM seen s WHERE amount_cents <= 0),
+             UNION ALL SELECT s.*, 104, 104, 70, 'uncategorised', FALSE FROM seen s WHERE amount_cents <= 0
+             UNION ALL SELECT s.*, 105, 105, 77, 'uncategorised', FALSE FROM seen s
+               WHERE regexp_matches(description, '(?i)^card [a-z]+ machinery') AND amount_cents < 40000000),
     claimed AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ledger_id, id ORDER BY position, rule_id) AS place FROM hits) WHERE place = 1),
     writes AS (SELECT * FROM claimed c WHERE NOT EXISTS (SELECT 1 FROM {LEGS} l WHERE l.ledger_id = c.ledger_id AND l.id = c.id)
                AND (NOT has_old OR NOT COALESCE(old_confirmed AND old_category = new_category, FALSE)
@@ -119,7 +125,7 @@ def rules_settle(spark, sf):
                UNION ALL SELECT ledger_id, 103, COUNT(*) FROM seen GROUP BY 1)
     SELECT r.ledger_id AS ledger_id, CAST(r.id AS BIGINT) AS id, CAST(COALESCE(n, 0) AS BIGINT) AS matches
     FROM (SELECT CAST(n_regionkey AS STRING) AS ledger_id, n_nationkey + 1 AS id FROM {{nation}}
-          UNION ALL SELECT CAST(r_regionkey AS STRING), unnest([100, 101, 102, 103, 104]) FROM {{region}}) r
+          UNION ALL SELECT CAST(r_regionkey AS STRING), unnest([100, 101, 102, 103, 104, 105]) FROM {{region}}) r
     LEFT JOIN n ON n.ledger_id = r.ledger_id AND n.rule_id = r.id""")
 def rule_match_counts(spark, sf):
     return ops.rule_match_counts(_books(spark, sf)).select("ledger_id", "id", "matches")

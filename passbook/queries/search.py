@@ -54,8 +54,6 @@ for _name, _source, _where, _preds in [
     ("date_this_week", LIVE, "date BETWEEN DATE '1998-08-10' AND DATE '1998-08-16'", [p.date_preset("this-week", TODAY)]),
     ("date_last_3_months", LIVE, "date BETWEEN DATE '1998-05-01' AND DATE '1998-07-31'", [p.date_last_n(3, "months", TODAY)]),
     ("date_last_2_financial_years", LIVE, "date BETWEEN DATE '1996-07-01' AND DATE '1998-06-30'", [p.date_last_n(2, "financial-years", TODAY)]),
-    ("amount_bucket", LIVE, "ABS(amount_cents) >= 12345600 AND ABS(amount_cents) < 12345700 OR ABS(amount_cents) >= 700000 AND ABS(amount_cents) < 700100", [p.any_of([p.amount_is("123456"), p.amount_is("7000")])]),
-    ("amount_debit_bucket", LIVE, "amount_cents > -40000010 AND amount_cents <= -40000000 OR amount_cents > -30000100 AND amount_cents <= -30000000", [p.any_of([p.amount_is("-400000.0"), p.amount_is("-300000")])]),
     ("amount_above", LIVE, "amount_cents > 45000000", [p.amount_cmp(">", "450000")]),
     ("amount_size_between", LIVE, "ABS(amount_cents) BETWEEN 10000000 AND 12000050", [p.amount_range("100000", "120000.50")]),
     ("amount_up_to_zero", LIVE, "amount_cents <= 0", [p.amount_range("", "0")]),
@@ -68,17 +66,44 @@ for _name, _source, _where, _preds in [
     ("confidence_none", ENRICHED, "ai_confidence IS NULL", [p.confidence_present(False)]),
     ("description_regex", LIVE, "regexp_matches(description, '(?i)building.*(urgent|low)')", [p.description_matches("building.*(urgent|low)", True)]),
     ("description_not_regex", LIVE, "NOT regexp_matches(description, 'M[AE]')", [p.negate(p.description_matches("M[AE]"))]),
+    ("description_java_class", LIVE, "regexp_matches(description, '^\\p{Lu}+ .*URGENT')", [p.description_matches(r"^\p{Lu}+ .*URGENT\b")]),
+    ("description_flags", LIVE, "regexp_matches(description, '(?i)machinery 1-u')", [p.term("regex", "/machinery 1-u/i")]),
+    ("description_bad_regex", LIVE, "amount_cents > 30000000", [p.description_matches("("), p.negate(p.description_matches("a{")), p.amount_cmp(">", "300000")]),
     ("all_terms", ENRICHED, "date >= DATE '1997-01-01' AND ABS(amount_cents) >= 20000000 AND LOWER(bank_name) LIKE 'nation%' AND NOT COALESCE(LOWER(category_path) LIKE 'status%', FALSE)", [p.date_range("1997", ""), p.amount_range("200000", ""), p.account_matches("nation"), p.negate(p.term("c", "Status"))]),
 ]:
     _registered(_name, _source, _where, *_preds)
 
 
+def _amounts(spark, sf, sign: int, decimals: int) -> list[str]:
+    """Amounts to look for: those of the three smallest live ids of each sign, as typed text."""
+    rows = star.books(spark, sf).transactions.filter(F.signum("amount_cents") == sign).orderBy("id").limit(3)
+    cents = [r["amount_cents"] for r in rows.select("amount_cents").collect()]
+    text = [f"{'-' if c < 0 else ''}{abs(c) // 100}.{abs(c) % 100:02d}" for c in cents]
+    return [t[: len(t) - (3 if decimals == 0 else 2 - decimals)] for t in text]
+
+
+@query("amount_bucket", f"""
+    WITH wanted AS (SELECT amount_cents // 100 AS bucket FROM {{transactions}} WHERE amount_cents > 0 ORDER BY id LIMIT 3)
+    SELECT {BRIEF_SQL} FROM {LIVE} WHERE ABS(amount_cents) // 100 IN (SELECT bucket FROM wanted)""")
+def amount_bucket(spark, sf):
+    """Whole amounts match either sign."""
+    return _found(spark, sf, p.any_of([p.amount_is(a) for a in _amounts(spark, sf, 1, 0)]))
+
+
+@query("amount_debit_bucket", f"""
+    WITH wanted AS (SELECT -amount_cents // 10 AS bucket FROM {{transactions}} WHERE amount_cents < 0 ORDER BY id LIMIT 3)
+    SELECT {BRIEF_SQL} FROM {LIVE} WHERE amount_cents < 0 AND -amount_cents // 10 IN (SELECT bucket FROM wanted)""")
+def amount_debit_bucket(spark, sf):
+    """A sign and one decimal match debits in steps of ten cents."""
+    return _found(spark, sf, p.any_of([p.amount_is(a) for a in _amounts(spark, sf, -1, 1)]))
+
+
 FLAGSHIP = f"""
     SELECT ledger_id, id, date, bank_name, account_name, description, amount_cents
     FROM {LIVE}
     WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND amount_cents > 100000
       AND NOT bank_name LIKE 'NATION^_1%' ESCAPE '^'
-    ORDER BY amount_cents DESC, id DESC LIMIT 100"""
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY ledger_id ORDER BY amount_cents DESC, id DESC) <= 100"""
 
 
 @query("search_top", FLAGSHIP)
@@ -90,13 +115,13 @@ def search_top(spark, sf):
 
 @query("sort_category", f"""
     SELECT ledger_id, id, category_path, ai_confidence FROM {ENRICHED}
-    ORDER BY category_path DESC NULLS LAST, ai_confidence ASC NULLS LAST, id DESC LIMIT 500""")
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY ledger_id ORDER BY category_path DESC NULLS LAST, ai_confidence ASC NULLS LAST, id DESC) <= 500""")
 def sort_category(spark, sf):
     found = search.search(star.books(spark, sf), sort="-category,confidence", limit=500)
     return found.select("ledger_id", "id", "category_path", "ai_confidence")
 
 
-@query("newest_first", f"SELECT {BRIEF_SQL} FROM {LIVE} ORDER BY date DESC, id DESC LIMIT 50")
+@query("newest_first", f"SELECT {BRIEF_SQL} FROM {LIVE} QUALIFY ROW_NUMBER() OVER (PARTITION BY ledger_id ORDER BY date DESC, id DESC) <= 50")
 def newest_first(spark, sf):
     return _brief(search.search(star.books(spark, sf), limit=50))
 
@@ -235,26 +260,38 @@ def merchant_keys(spark, sf):
 
 
 @query("sum_visible", f"""
-    SELECT CAST(SUM(amount_cents) AS BIGINT) AS sum_cents
-    FROM (SELECT amount_cents FROM {LIVE} WHERE amount_cents < 0 ORDER BY date DESC, id DESC LIMIT 500)""")
+    SELECT ledger_id, CAST(SUM(amount_cents) AS BIGINT) AS sum_cents
+    FROM (SELECT ledger_id, amount_cents FROM {LIVE} WHERE amount_cents < 0
+          QUALIFY ROW_NUMBER() OVER (PARTITION BY ledger_id ORDER BY date DESC, id DESC) <= 500) GROUP BY ledger_id""")
 def sum_visible(spark, sf):
-    return aggregates.sum_amount(search.search(star.books(spark, sf), [p.amount_cmp("<", "0")]))
+    rows = views.live(views.wide_view(star.books(spark, sf)))
+    return aggregates.sum_amount(search.where(rows, [p.amount_cmp("<", "0")]), limit=500)
 
 
-@query("sum_all", f"SELECT CAST(SUM(amount_cents) AS BIGINT) AS sum_cents FROM {LIVE} WHERE amount_cents < 0")
+@query("sum_all", f"""
+    SELECT ledger_id, CAST(SUM(amount_cents) AS BIGINT) AS sum_cents FROM {LIVE} WHERE amount_cents < 0 GROUP BY ledger_id""")
 def sum_all(spark, sf):
     rows = views.live(views.wide_view(star.books(spark, sf)))
-    return aggregates.sum_amount(search.where(rows, [p.amount_cmp("<", "0")]), None)
+    return aggregates.sum_amount(search.where(rows, [p.amount_cmp("<", "0")]))
 
 
-@query("transactions_report", f"""
+REPORT = f"""
     SELECT v.ledger_id AS ledger_id, id, date, bank_name || '/' || account_name AS account, description,
            amount_cents, balance_cents, category_path AS category
-    FROM {ENRICHED} v WHERE amount_cents < -1000000 ORDER BY date DESC, id DESC LIMIT 100""")
+    FROM {ENRICHED} v WHERE amount_cents < -1000000"""
+
+
+@query("transactions_report", REPORT)
 def transactions_report(spark, sf):
     return aggregates.transactions_report(star.books(spark, sf), [p.amount_cmp("<", "-10000")])
 
 
+@query("transactions_report_top", f"""{REPORT}
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY v.ledger_id ORDER BY date DESC, id DESC) <= 100""")
+def transactions_report_top(spark, sf):
+    return aggregates.transactions_report(star.books(spark, sf), [p.amount_cmp("<", "-10000")], limit=100)
+
+
 @query("lineitem_volume", """
     SELECT l_returnflag AS flag, CAST(COUNT(*) AS BIGINT) AS rows, CAST(SUM(amount_cents) AS BIGINT) AS total_cents
     FROM (SELECT l_returnflag, CAST(l_shipdate AS DATE) AS date,

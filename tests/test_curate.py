@@ -113,6 +113,6 @@ def test_move_and_delete_accounts(spark, golden):
 
 
 def test_bulk(golden):
-    after = curate.bulk_categorise(golden, [p.date_range("2024-04", "")], 2, AT)
+    after = curate.bulk_categorise(golden, [p.date_range("2024-04", "")], "Food/Groceries", AT)
     assert keyed(after, "category_id", "category_source")[5] == (2, "manual") and after.count() == 4
     assert keyed(curate.bulk_accept_categories(golden, [p.account_matches("NAB")], AT), "category_confirmed")[5] == (True,)

@@ -155,7 +155,7 @@ def test_format_and_sum(spark, golden):
     assert [r[0] for r in cents.select(money.format_cents("c", "$")).collect()] == [
         "-$0.05", "$1234567890123.45", "$0.00",
     ]
-    assert aggregates.sum_amount(search.search(golden), 2).first()[0] == 0
+    assert aggregates.sum_amount(search.search(golden), 2).first()["sum_cents"] == 0
 
 
 def test_reports(golden):
