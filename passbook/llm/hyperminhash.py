@@ -240,12 +240,13 @@ def near_duplicates(
     shared = cut_lineage(
         keyed.groupBy("key").agg(F.min("p").alias("centre"), F.max("p").alias("_last")).where("centre <> _last").drop("_last")
     )
-    stars = keyed.join(shared, "key").where("p <> centre").select(F.col("centre").alias("a"), F.col("p").alias("b"))
+    # Both sides are shuffled at every size: neither has a bound that would allow a broadcast.
+    stars = keyed.join(shared.hint("merge"), "key").where("p <> centre").select(F.col("centre").alias("a"), F.col("p").alias("b"))
     clusters = components(stars).select(F.col("node").alias("p"), F.col("root").alias("cluster"))
     ids = firsts.join(clusters, F.xxhash64("node") == F.col("p")).select("node", "cluster", "_first")
     # Only members of clusters are read again.  Where an id repeats, the text of the node counts.
     member = cut_lineage(
-        source.join(cut_lineage(ids), F.col("_id").eqNullSafe(F.col("_first")))
+        source.join(cut_lineage(ids).hint("merge"), F.col("_id").eqNullSafe(F.col("_first")))
         .select("node", "cluster", _sets(words)(F.col("_text")).alias("_s"))
         .where("_s.digest = node").select("node", "cluster", F.col("_s.set").alias("set")).dropDuplicates(["node"])
     )
