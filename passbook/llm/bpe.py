@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Byte strings up to this length are leaves.
-LEAF = 12
+LEAF = 6
 #: Cached words and pairs of a worker, and the longest word that is cached.
 CACHE, CACHED = 400_000, 48
 #: A space with other characters on both sides; a match of the split pattern starts there.
@@ -44,10 +44,22 @@ class Monoid:
         self.ranks, self.leaf = ranks, leaf
         self.bytes = {i: t for t, i in ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.merged: dict[bytes, list[int]] = {}
         self.stable: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = _Known(self)
+        self.known, self.matches = _Memo(lambda word: self.part(" " + word)), _Memo(self._ids)
 
     def merge(self, data: bytes) -> list[int]:
+        """The encoding of a short byte string; those met before are remembered."""
+        found = self.merged.get(data)
+        if found is None:
+            found = self._merge(data)
+            if len(data) <= CACHED:
+                if len(self.merged) > CACHE:
+                    self.merged.clear()
+                self.merged[data] = found
+        return found
+
+    def _merge(self, data: bytes) -> list[int]:
         """Merge from single bytes, lowest rank first, from the left among equal ranks."""
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -103,14 +115,18 @@ class Monoid:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.reduce(data)
 
+    def _ids(self, match: str) -> bytes:
+        return array("I", self.match(match.encode())).tobytes()
+
     def part(self, text: str) -> bytes:
         """32-bit ids of a text, match by match."""
-        return array("I", [t for m in self.pattern.findall(text) for t in self.match(m.encode())]).tobytes()
+        return b"".join(map(self.matches.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """32-bit ids of a whole text; words between single spaces are remembered."""
-        if len(self.known) > CACHE:
-            self.known.clear()
+        for memo in (self.known, self.matches):
+            if len(memo) > CACHE:
+                memo.clear()
         first, *rest = BETWEEN.split(text)
         return b"".join([self.part(first), *map(self.known.__getitem__, rest)])
 
@@ -122,16 +138,18 @@ class Monoid:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-class _Known(dict):
-    def __init__(self, owner: Monoid):
+class _Memo(dict):
+    """Results by string; long strings are computed anew."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
         super().__init__()
-        self.owner = owner
+        self.compute = compute
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.owner.part(" " + word)
-        if len(word) <= CACHED:
-            self[word] = ids
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        value = self.compute(key)
+        if len(key) <= CACHED:
+            self[key] = value
+        return value
 
 
 _MONOIDS: dict[tuple[str, str], Monoid] = {}
@@ -143,28 +161,49 @@ def _monoid(path: str, pattern: str) -> Monoid:
     return _MONOIDS[path, pattern]
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.uint32).astype(np.int32)))
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """``array<int>`` of the ids of each whole text."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         monoid = _monoid(path, pattern)
         for texts in batches:
-            ids = [monoid.encode(t or "") for t in texts.to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), np.uint32).astype(np.int32))
-            yield pa.ListArray.from_arrays(pa.array(offsets), values)
+            yield _lists([monoid.encode(t or "") for t in texts.to_pylist()])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<int>").asNondeterministic()(text)
 
 
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """``ids`` of each whole text and the bytes ``decoded`` from those ids, in one pass."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        monoid = _monoid(path, pattern)
+        for texts in batches:
+            ids = [monoid.encode(t or "") for t in texts.to_pylist()]
+            # One document at a time becomes Python numbers.
+            decoded = [monoid.decode(array("I", i).tolist()) for i in ids]
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array(decoded, pa.binary())], names=["ids", "decoded"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "struct<ids:array<int>,decoded:binary>").asNondeterministic()(text)
+
+
 def decode(ids: Column, path: str, pattern: str) -> Column:
     """Bytes of each list of ids; NULL for NULL."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         monoid = _monoid(path, pattern)
         for lists in batches:
-            yield pa.array([None if i is None else monoid.decode(i) for i in lists.to_pylist()], pa.binary())
+            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            valid = lists.is_valid().to_pylist()
+            # One document at a time becomes Python numbers.
+            texts = [monoid.decode(values[a:b].tolist()) if ok else None for ok, a, b in zip(valid, at, at[1:])]
+            yield pa.array(texts, pa.binary())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "binary").asNondeterministic()(ids)

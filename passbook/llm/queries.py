@@ -68,8 +68,8 @@ def op4_compression(spark: SparkSession, sf: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = table(spark, sf, "documents").select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
-    return encoded.select("doc_id", "ids", bpe.decode(F.col("ids"), path, pattern).alias("decoded")).select(
+    coded = table(spark, sf, "documents").select("doc_id", bpe.round_trip(F.col("text"), path, pattern).alias("_c"))
+    return coded.select("doc_id", "_c.*").select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
