@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of records in a bucket.
-BUCKET = 16 << 20
+#: Bytes of records in a bucket.  A bucket is shuffled in the memory of one task.
+BUCKET = 4 << 20
 SEED = 20_240_531
 
 
