@@ -1,8 +1,8 @@
 """One-vs-rest averaged passive-aggressive classifier over sparse features.
 
-Examples are cut into shards of bounded size; a shard trains on its own and
-the shards of a ledger are averaged by their sizes (parameter mixing).  A
-ledger that fits one shard gets exactly the sequential result.
+A fit reads a bounded sample of the labelled rows of a ledger: at most ``FIT_ROWS`` rows, taken by a
+hash of their id, that hold at most ``FIT_ENTRIES`` feature values.  The sample gets the exact
+sequential pass, whatever the size of the ledger.
 """
 
 from __future__ import annotations
@@ -11,20 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passbook.operators.features import DOC
-from passbook.operators.ranking import rank_along
 
 # Training constants (fixed values).
 EPOCHS = 12
 STEP_CAP = 0.25
 SHUFFLE_SEED = 0x9E3779B9
 
-SHARD_ROWS = 20_000
-SHARD_ENTRIES = 4_000_000
-CLASS_BLOCK = 64
+# Bounds of the labelled sample of a ledger.
+FIT_ROWS = 20_000
+FIT_ENTRIES = 4_000_000
+# Classes trained together; more classes make more tasks, with the same result.
+CLASS_BLOCK = 32
 
 _WEIGHTS = "ledger_id string, class long, feature string, weight double"
 
@@ -85,7 +86,7 @@ def fit_block(
 
 
 def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Train one (ledger, shard, block of classes)."""
+    """Train one (ledger, block of classes)."""
     pdf = pdf.sort_values("id", kind="stable")
     names = sorted({f for row in pdf["features"] for f in row})
     place = {f: i for i, f in enumerate(names)}
@@ -108,40 +109,53 @@ def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
         }
     )
     out.insert(0, "ledger_id", pdf["ledger_id"].iloc[0])
-    # The share of the ledger's rows weighs this shard in the average.
-    out["weight"] *= len(pdf) / float(pdf["total"].iloc[0])
     return out
 
 
+def fit_sample(
+    examples: DataFrame, vectors: DataFrame, fit_rows: int = FIT_ROWS, fit_entries: int = FIT_ENTRIES
+) -> DataFrame:
+    """The labelled rows of each ledger that a fit reads, the same ones in every run.
+
+    The bound on a row number cuts each partition before the shuffle, and the running sum of
+    feature values sees at most ``fit_rows`` rows of a ledger.
+    """
+    per_doc = vectors.groupBy(*DOC).agg(F.count(F.lit(1)).alias("_k"))
+    order = Window.partitionBy("ledger_id").orderBy(F.xxhash64("id"), "id")
+    chosen = examples.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= fit_rows)
+    running = F.sum(F.coalesce("_k", F.lit(0))).over(Window.partitionBy("ledger_id").orderBy("_place"))
+    return (
+        chosen.join(per_doc, DOC, "left")
+        .withColumn("_entries", running)
+        .filter((F.col("_entries") <= fit_entries) | (F.col("_place") == 1))
+        .select(*examples.columns)
+    )
+
+
 def train_linear(
     examples: DataFrame,
     vectors: DataFrame,
-    shard_rows: int = SHARD_ROWS,
     class_block: int = CLASS_BLOCK,
-    shard_entries: int = SHARD_ENTRIES,
+    fit_rows: int = FIT_ROWS,
+    fit_entries: int = FIT_ENTRIES,
 ) -> DataFrame:
     """(ledger_id, class, feature, weight); feature ``''`` is the bias.
 
     ``examples`` rows are (ledger_id, id, doc, category_id), ``vectors`` the
-    long feature table of their documents.  A shard holds at most about
-    ``shard_rows`` examples and ``shard_entries`` feature values.  A ledger with
-    one class or without any feature gets no model.
+    long feature table of their documents.  A ledger whose sample has one class
+    or no feature gets no model.
     """
-    per_doc = vectors.groupBy(*DOC).agg(F.count(F.lit(1)).alias("_k"))
-    uses = examples.groupBy(*DOC).agg(F.count(F.lit(1)).alias("_m"))
-    usable = uses.join(per_doc, DOC).groupBy("ledger_id").agg(F.sum(F.col("_k") * F.col("_m")).alias("_entries"))
-    per_class = examples.groupBy("ledger_id", "category_id").agg(F.count(F.lit(1)).alias("_n"))
+    sample = fit_sample(examples, vectors, fit_rows, fit_entries)
+    featured = sample.join(vectors.select(*DOC).distinct(), DOC, "left_semi").select("ledger_id").distinct()
+    # At most ``fit_rows`` classes of a ledger.
     kinds = (
-        per_class.groupBy("ledger_id")
-        .agg(F.sort_array(F.collect_list("category_id")).alias("_classes"), F.sum("_n").alias("_rows"))
+        sample.groupBy("ledger_id")
+        .agg(F.sort_array(F.collect_set("category_id")).alias("_classes"))
         .filter(F.size("_classes") > 1)
-        .join(usable, "ledger_id")
+        .join(featured, "ledger_id")
     )
-    shards = F.ceil(F.greatest(F.col("_rows") / shard_rows, F.col("_entries") / shard_entries))
     blocks = kinds.select(
         "ledger_id",
-        "_rows",
-        shards.alias("_shards"),
         F.posexplode(
             F.transform(
                 F.sequence(F.lit(0), F.floor((F.size("_classes") - 1) / class_block).cast("int")),
@@ -149,25 +163,25 @@ def train_linear(
             )
         ).alias("block", "classes"),
     )
-    packed = vectors.groupBy(*DOC).agg(F.collect_list(F.struct("feature", "weight")).alias("_f"))
+    # Only documents of the sample are packed.
+    packed = (
+        vectors.join(sample.select(*DOC).distinct(), DOC, "left_semi")
+        .groupBy(*DOC).agg(F.collect_list(F.struct("feature", "weight")).alias("_f"))
+    )
     empty = F.array()
     rows = (
-        rank_along(examples, ["ledger_id"], "id", "_rank")
-        .join(packed, DOC, "left")
+        sample.join(packed, DOC, "left")
         .join(blocks, "ledger_id")
-        # Round robin, so every shard sees every stretch of time.
-        .withColumn("shard", (F.col("_rank") % F.col("_shards")).cast("bigint"))
         .select(
-            "ledger_id", "shard", "block", "id", "category_id", "classes", F.col("_rows").alias("total"),
+            "ledger_id", "block", "id", "category_id", "classes",
             F.coalesce("_f.feature", empty.cast("array<string>")).alias("features"),
             F.coalesce("_f.weight", empty.cast("array<double>")).alias("weights"),
         )
     )
     # Training is heavy per row, so its shuffle keeps all partitions however small.
     parts = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    group = ["ledger_id", "shard", "block"]
-    trained = rows.repartition(parts, *group).groupBy(*group).applyInPandas(_fit_group, schema=_WEIGHTS)
-    return trained.groupBy("ledger_id", "class", "feature").agg(F.sum("weight").alias("weight"))
+    group = ["ledger_id", "block"]
+    return rows.repartition(parts, *group).groupBy(*group).applyInPandas(_fit_group, schema=_WEIGHTS)
 
 
 def predict_linear(docs: DataFrame, vectors: DataFrame, model: DataFrame) -> DataFrame:
@@ -183,23 +197,39 @@ def predict_linear(docs: DataFrame, vectors: DataFrame, model: DataFrame) -> Dat
         .groupBy(*DOC, "class")
         .agg(F.sum(F.col("weight") * F.col("_w")).alias("_s"))
     )
-    classes = bias.groupBy("ledger_id").agg(F.collect_list(F.struct("class", "_b")).alias("_c"))
-    scored = (
-        docs.select(*DOC)
-        .join(classes, "ledger_id")
-        .select(*DOC, F.explode("_c").alias("_c"))
-        .select(*DOC, "_c.class", "_c._b")
-        .join(products, [*DOC, "class"], "left")
-        .withColumn("score", F.coalesce("_s", F.lit(0.0)) + F.col("_b"))
+    # A class that shares no feature with a document scores its bias.  Biases are ranked, best first;
+    # of the untouched classes only the two best matter, whose ranks are the first two that the
+    # touched ones leave free: with touched ranks r1 < r2 < ..., one more than there are i with
+    # ri = i, and two more than there are i with ri <= i + 1.
+    order = Window.partitionBy("ledger_id").orderBy(F.desc("_b"), "class")
+    ranked = bias.withColumn("_rank", F.row_number().over(order))
+    touched = (
+        products.join(ranked, ["ledger_id", "class"])
+        .withColumn("score", F.col("_s") + F.col("_b"))
+        .withColumn("_i", F.row_number().over(Window.partitionBy(*DOC).orderBy("_rank")))
+        .withColumn("_place", F.row_number().over(Window.partitionBy(*DOC).orderBy(F.desc("score"), "class")))
     )
-    # Two best of each document, by partial aggregation.
-    top = scored.groupBy(*DOC).agg(
-        F.max(F.struct("score", F.negate("class").alias("minus"))).alias("_best"),
-        F.collect_list("score").alias("_scores"),
+    entry = F.struct(F.col("score"), F.negate("class").alias("minus"))
+    own = touched.groupBy(*DOC).agg(
+        F.max(F.when(F.col("_place") == 1, entry)).alias("_c1"),
+        F.max(F.when(F.col("_place") == 2, entry)).alias("_c2"),
+        F.count_if(F.col("_rank") == F.col("_i")).alias("_n1"),
+        F.count_if(F.col("_rank") <= F.col("_i") + 1).alias("_n2"),
+    )
+    free = lambda name, rank: ranked.select(
+        "ledger_id", F.col("_rank").alias(rank), F.struct(F.col("_b").alias("score"), F.negate("class").alias("minus")).alias(name)
+    )
+    rows = (
+        docs.select(*DOC).join(bias.select("ledger_id").distinct(), "ledger_id", "left_semi").join(own, DOC, "left")
+        .withColumn("_r1", (F.coalesce("_n1", F.lit(0)) + 1).cast("int"))
+        .withColumn("_r2", (F.coalesce("_n2", F.lit(0)) + 2).cast("int"))
+        .join(free("_c3", "_r1"), ["ledger_id", "_r1"], "left")
+        .join(free("_c4", "_r2"), ["ledger_id", "_r2"], "left")
+        .withColumn("_four", F.sort_array(F.array_compact(F.array("_c1", "_c2", "_c3", "_c4")), asc=False))
     )
-    second = F.try_element_at(F.sort_array("_scores", asc=False), F.lit(2))
-    margin = F.greatest(F.coalesce(F.col("_best.score") - second, F.abs("_best.score")), F.lit(0.0))
+    best, runner = F.try_element_at("_four", F.lit(1)), F.try_element_at("_four", F.lit(2))
+    margin = F.greatest(F.coalesce(best["score"] - runner["score"], F.abs(best["score"])), F.lit(0.0))
     sigmoid = 1 / (1 + F.exp(-margin))
-    return top.select(
-        *DOC, F.negate("_best.minus").alias("category_id"), (0.5 + 0.4 * (2 * sigmoid - 1)).alias("confidence")
+    return rows.select(
+        *DOC, F.negate(best["minus"]).alias("category_id"), (0.5 + 0.4 * (2 * sigmoid - 1)).alias("confidence")
     )

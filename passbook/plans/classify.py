@@ -154,7 +154,7 @@ def classify(books: Books, at: str, cal: Calendar | None = None) -> ClassifyRun:
 
 
 def apply_to_similar(
-    books: Books, ledger_id: str, transaction_id: int, category_id: int, at: str, top: int = features.TOP
+    books: Books, ledger_id: str, transaction_id: int, category_id: int, at: str, top: int
 ) -> tuple[DataFrame, DataFrame]:
     """Categorise one transaction and offer its unconfirmed look-alikes.
 
@@ -178,7 +178,7 @@ def apply_to_similar(
     query = keyed(here.filter(F.col("id") == transaction_id))
     pool = pool.select("ledger_id", "id", "norm")
     extra = keyed(views.confirmed_category_examples(here, books.enrichments)).select("ledger_id", "norm")
-    found = features.similar_transactions(query.select("ledger_id", "id", "norm"), pool, extra, top=top)
+    found = features.similar_transactions(query.select("ledger_id", "id", "norm"), pool, top, extra)
     offer = (
         here.join(found.select("ledger_id", "id", "similarity"), ["ledger_id", "id"])
         .select("ledger_id", "id", "date", "description", "amount_cents", "similarity")

@@ -132,13 +132,21 @@ def hierarchy_paths(df: DataFrame, id_col: str = "id", parent: str = "parent_id"
     """``/``-joined ancestor titles of each tree node, one join per doubling of depth.
 
     Every node keeps the path gathered so far and the ancestor above it; joining
-    the table with itself on that ancestor doubles the gathered length.
+    the table with itself on that ancestor doubles the gathered length.  A cycle raises.
     """
     nodes = df.select(
         "ledger_id", F.col(id_col).alias("id"), F.col(parent).alias("_up"), F.col(title).alias("path")
     )
-    depth = 1
-    while depth < 1 << 20 and not nodes.filter(F.col("_up").isNotNull()).isEmpty():
+    left = None
+    while True:
+        climbing = nodes.filter(F.col("_up").isNotNull()).count()
+        if not climbing:
+            break
+        # The deepest node has an ancestor at every depth below its own, so without a
+        # cycle each round ends the climb of some node.
+        if climbing == left:
+            raise ValueError("nodes are their own ancestors")
+        left = climbing
         above = nodes.select(
             "ledger_id",
             F.col("id").alias("_up"),
@@ -154,12 +162,10 @@ def hierarchy_paths(df: DataFrame, id_col: str = "id", parent: str = "parent_id"
             F.when(F.col("_found"), F.concat_ws("/", "_prefix", "path")).otherwise(F.col("path")).alias("path"),
         )
         nodes = cut_lineage(nodes)
-        depth *= 2
     return nodes.select("ledger_id", "id", "path")
 
 
 
-
 def disambiguate_names(df: DataFrame, bank: str = "bank_title", name: str = "title", id_col: str = "id") -> DataFrame:
     """Folder-friendly bank and account names; a repeated pair gets ``-<id>``."""
     slugs = df.withColumn("bank_slug", slug(F.coalesce(bank, F.lit("Unknown")))).withColumn("_slug", slug(name))

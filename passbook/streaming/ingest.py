@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passbook.operators.ingest import KEY, ingest
 
-LATENESS = "14 days"
-
-
 def feed_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", glob: str | None = None) -> DataFrame:
     """Files arriving under ``path`` as a stream."""
     reader = spark.readStream.schema(schema).format(fmt)
@@ -20,22 +19,28 @@ def feed_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
     return reader.load(path)
 
 
-def drop_repeats(stream: DataFrame, event_time: str = "event_ts", lateness: str = LATENESS) -> DataFrame:
-    """First record per (ledger, account, hash); repeats up to ``lateness`` apart are dropped.
+def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, order: str = "event_ts") -> StreamingQuery:
+    """Append the first record of each key to a parquet folder, once for all time.
 
-    State is partitioned by key and expires with the watermark.
+    A micro-batch is compared with all keys stored before it, so a record may come late, or
+    repeat a key of any age.  Each batch owns one folder, which a replay writes anew.
     """
-    return stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(KEY)
+    spark = stream.sparkSession
 
+    def step(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy(*KEY).agg(F.min_by(F.struct(*[F.col(c) for c in batch.columns]), order).alias("_r"))
+        fresh = first.select("_r.*")
+        try:
+            stored = spark.read.schema(batch.schema.add("batch", "long")).option("basePath", sink).parquet(f"{sink}/batch=*")
+        except AnalysisException:
+            stored = None  # nothing is stored yet
+        if stored is not None:
+            fresh = fresh.join(stored.filter(F.col("batch") != number).select(*KEY), KEY, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, event_time: str = "event_ts") -> StreamingQuery:
-    """Append each key once to a parquet folder, exactly once across restarts."""
     return (
-        drop_repeats(stream, event_time)
-        .writeStream.format("parquet")
-        .option("path", sink)
+        stream.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import AT, table
 from passbook.operators import features, linear
@@ -90,9 +91,38 @@ def test_training_equals_plain_sums(spark):
             assert math.isclose(got[(c, "")], want[k][6], abs_tol=1e-9)
             for j in range(6):
                 assert math.isclose(got.get((c, f"f{j}"), 0.0), want[k][j], abs_tol=1e-9)
-    # Several shards still give one weight per class and feature.
-    mixed = linear.train_linear(examples, vectors, shard_rows=7).collect()
-    assert len({(r["class"], r.feature) for r in mixed}) == len(mixed) > 0
+    # A bounded sample: the same rows each time, the exact pass on them.
+    chosen = [{r.id for r in linear.fit_sample(examples, vectors, fit_rows=7).collect()} for _ in range(2)]
+    assert chosen[0] == chosen[1] and len(chosen[0]) == 7
+    part = linear.train_linear(examples.filter(F.col("id").isin(*chosen[0])), vectors)
+    bounded = linear.train_linear(examples, vectors, fit_rows=7)
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, bounded.collect()))
+    assert linear.fit_sample(examples, vectors, fit_entries=1).count() == 1
+
+
+def test_prediction_against_all_scores(spark):
+    import random
+
+    rng = random.Random(5)
+    model, bias = {}, {}
+    for c in range(9):
+        bias[c] = rng.choice([-0.5, 0.0, 0.25, 1.0])
+        for f in rng.sample(range(6), 3):
+            model[c, f"f{f}"] = rng.choice([-1.0, -0.25, 0.5, 2.0])
+    rows = [("L", c, f, w) for (c, f), w in model.items()] + [("L", c, "", b) for c, b in bias.items()]
+    weights = spark.createDataFrame(rows, "ledger_id string, class long, feature string, weight double")
+    docs = {d: {f"f{f}": rng.choice([0.5, 1.0]) for f in rng.sample(range(8), rng.randrange(5))} for d in range(60)}
+    vectors = spark.createDataFrame(
+        [("L", d, f, v) for d, fs in docs.items() for f, v in fs.items()], "ledger_id string, doc long, feature string, weight double"
+    )
+    found = linear.predict_linear(spark.createDataFrame([("L", d) for d in docs] + [("M", 1)], "ledger_id string, doc long"), vectors, weights)
+    got = {r.doc: (r.category_id, r.confidence) for r in found.collect()}
+    assert set(got) == set(docs)
+    for d, fs in docs.items():
+        scores = sorted(((bias[c] + sum(v * model.get((c, f), 0.0) for f, v in fs.items()), -c) for c in bias), reverse=True)
+        lead = scores[0][0] - scores[1][0]
+        assert got[d][0] == -scores[0][1]
+        assert math.isclose(got[d][1], 0.5 + 0.4 * (2 / (1 + math.exp(-lead)) - 1))
 
 
 def test_ngrams(spark):
@@ -155,7 +185,7 @@ def test_apply_to_similar(spark, golden):
         for i, d in enumerate(["Coffee Shop North", "Coffee Shop North", "Petrol Station", "Coffee Shop Nort"])
     ]
     books = golden.with_tables(transactions=golden.transactions.unionByName(table(spark, "transactions", more)))
-    enrichments, offer = plan.apply_to_similar(books, "L", 20, 1, AT)
+    enrichments, offer = plan.apply_to_similar(books, "L", 20, 1, AT, top=200)
     assert enrichments.filter("transaction_id = 20").first().category_source == "manual"
     rows = offer.collect()
     assert rows[0].id == 21 and rows[0].similarity == pytest.approx(1.0)

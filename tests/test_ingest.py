@@ -185,6 +185,13 @@ def test_streams(spark, tmp_path):
     source = stream.feed_stream(spark, str(tmp_path / "in"), schema)
     stream.ingest_stream(source, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    # A repeat after a month and a record of long ago, each in a later micro-batch.
+    later = spark.createDataFrame([("L", 1, "a", "2024-07-20"), ("L", 3, "a", "2024-07-20")], "ledger_id string, account_id long, hash string, t string")
+    late = spark.createDataFrame([("L", 4, "a", "2020-01-01"), ("L", 3, "a", "2020-01-01")], "ledger_id string, account_id long, hash string, t string")
+    for batch in (later, late):
+        batch.select("ledger_id", "account_id", "hash", F.col("t").cast("timestamp").alias("event_ts")).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.ingest_stream(source, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    assert sorted(r.account_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4]
     # Refinement: the better text of a later record reaches the stored row.
     batch = records(spark, [("h", "old", "{}"), ("h", "new", "{}")])
     batch.write.parquet(str(tmp_path / "feed"))
@@ -200,6 +207,12 @@ def test_streams(spark, tmp_path):
     assert [r.description for r in stored["tx"].collect()] == ["new"]
 
 
+def test_hierarchy_refuses_cycles(spark):
+    rows = [("L", 1, 2, "a"), ("L", 2, 1, "b"), ("L", 3, 1, "c"), ("L", 4, None, "d")]
+    with pytest.raises(ValueError, match="ancestors"):
+        feeds.hierarchy_paths(spark.createDataFrame(rows, "ledger_id string, id long, parent_id long, title string"))
+
+
 def test_hierarchy_and_names(spark):
     tree = spark.createDataFrame(
         [("L", i, i - 1 if i > 1 else None, f"t{i}") for i in range(1, 12)] + [("L", 99, 77, "orphan")],
