@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.functions.text import normalise_path, valid_tag
@@ -17,7 +17,7 @@ from passbook.operators import search as search_op
 from passbook.operators import views
 from passbook.operators.ingest import sync_dimension
 from passbook.operators.predicates import Predicate
-from passbook.operators.ranking import rank_along
+from passbook.operators.ranking import rank_along, rank_sorted
 from passbook.schema import Books
 
 TX_KEY = ["ledger_id", "transaction_id"]
@@ -41,9 +41,9 @@ def _legs(transfers: DataFrame) -> DataFrame:
 
 
 def _new_ids(rows: DataFrame, existing: DataFrame, id_column: str, order: Sequence[str]) -> DataFrame:
-    """Number dimension rows per ledger after the highest existing id."""
+    """Number rows per ledger after the highest existing id."""
     top = existing.groupBy("ledger_id").agg(F.max(id_column).alias("_top"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("ledger_id").orderBy(*order)))
+    ranked = rank_sorted(rows, ["ledger_id"], order)
     return (
         ranked.join(top, "ledger_id", "left")
         .withColumn(id_column, (F.coalesce("_top", F.lit(0)) + F.col("_rank")).cast("bigint"))

@@ -7,11 +7,11 @@ copies of one key are reduced by aggregation before anything is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.functions.text import json_entries, json_object
-from passbook.operators.ranking import previous_value, rank_along
+from passbook.operators.ranking import previous_value, rank_along, rank_sorted, sums_sorted
 
 KEY = ["ledger_id", "account_id", "hash"]
 FIRST_COLUMNS = ["date", "amount_cents", "balance_cents", "source_file", "import_batch_id"]
@@ -48,14 +48,10 @@ def complete_batch(batches: DataFrame, batch_id: int, at: str) -> DataFrame:
 def with_arrival(df: DataFrame, file_order: str = "source_file", position: str = "position") -> DataFrame:
     """Add ``seq``: files in order of their path, rows in order of their position.
 
-    Files of a ledger are numbered from their list; positions are offset by the
-    row counts of earlier files.
+    Positions are offset by those of the earlier files.
     """
     per_file = df.groupBy("ledger_id", file_order).agg((F.max(position) + 1).alias("_n"))
-    earlier = (
-        Window.partitionBy("ledger_id").orderBy(file_order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = per_file.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    starts = sums_sorted(per_file, ["ledger_id"], [file_order], "_n", "_start").drop("_n")
     return (
         df.join(starts, ["ledger_id", file_order])
         .withColumn("seq", (F.col("_start") + F.col(position)).cast("bigint"))
@@ -205,9 +201,8 @@ def sync_dimension(existing: DataFrame, discovered: DataFrame, id_column: str, k
     )
     fresh = seen.join(existing.select(*natural), natural, "left_anti")
     top = existing.groupBy("ledger_id").agg(F.max(id_column).alias("_top"))
-    # Dimension rows of one ledger: a window per ledger is small.
     numbered = (
-        fresh.withColumn("_rank", F.row_number().over(Window.partitionBy("ledger_id").orderBy(*keys)))
+        rank_sorted(fresh, ["ledger_id"], keys)
         .join(top, "ledger_id", "left")
         .withColumn(id_column, (F.coalesce("_top", F.lit(0)) + F.col("_rank")).cast("bigint"))
         .withColumn("deleted_at", F.lit(None).cast("timestamp"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.functions.money import amount_bounds, confidence_bounds
@@ -19,6 +19,7 @@ from passbook.operators import views
 from passbook.operators.curate import set_categories
 from passbook.operators.predicates import ALIASES, Predicate, term
 from passbook.operators.predicates import FIELDS as REGISTERED
+from passbook.operators.ranking import rank_sorted
 from passbook.schema import OVERRIDE_MODES, Books
 from passbook.session import cut_lineage
 
@@ -399,7 +400,8 @@ def create_rules(rules: DataFrame, fresh: DataFrame, at: str) -> DataFrame:
     tops = rules.groupBy("ledger_id").agg(
         F.max("id").alias("_id"), (F.coalesce(F.max("position"), F.lit(-1)) + 1).alias("_position")
     )
-    ranked = fresh.withColumn("_rank", F.row_number().over(Window.partitionBy("ledger_id").orderBy("name")))
+    # Equal names keep apart by their terms.
+    ranked = rank_sorted(fresh.withColumn("_terms", F.to_json("terms")), ["ledger_id"], ["name", "_terms"])
     rows = ranked.join(tops, "ledger_id", "left").select(
         "ledger_id",
         (F.coalesce("_id", F.lit(0)) + F.col("_rank")).cast("bigint").alias("id"),

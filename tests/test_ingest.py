@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from conftest import AT, table
 from passbook.functions.money import row_hash
 from passbook.operators import ingest as ops
+from passbook.operators import ranking
 from passbook.operators.ranking import previous_value, rank_along
 from passbook.plans.refresh import refresh
 from passbook.schema import empty_books, struct
@@ -78,21 +79,42 @@ def test_unchanged_metadata_keeps_its_bytes(spark):
     assert ops.dedup_insert(stored, records(spark, [("h", "x", "{}")])).count() == 0
 
 
-def test_ranks_across_ranges(spark):
+@pytest.mark.parametrize("span", [1000, 1 << 62])
+def test_ranks_across_ranges(spark, span):
     rng = random.Random(1)
-    ids = rng.sample(range(1000), 200)
+    ids = [rng.randrange(-span, span) for _ in range(200)] if span > 1000 else rng.sample(range(span), 200)
+    width = 1 << 13 if span > 1000 else 1 << 11
+    # Every window sees the rows or ranges inside one range of the next level: at most ``width``.
+    below = set(ids)
+    for _ in range(ranking._levels(width)):
+        above = {i // width for i in below}
+        assert all(sum(b // width == a for b in below) <= width for a in above)
+        below = above
+    assert len(below) <= width and max(ids) // width ** ranking._levels(width) <= width
     df = spark.createDataFrame([("ab"[i % 2], i, rng.choice([None, i])) for i in ids], "k string, id long, v long")
-    rows = rank_along(df, ["k"], "id", width=16).collect()
+    rows = rank_along(df, ["k"], "id", width=width).collect()
     for key in "ab":
         mine = sorted((r.id, r["rank"]) for r in rows if r.k == key)
         assert [n for _, n in mine] == list(range(1, len(mine) + 1))
-    back = {(r.k, r.id): r.previous for r in previous_value(df, ["k"], "id", "v", width=16).collect()}
+    back = {(r.k, r.id): r.previous for r in previous_value(df, ["k"], "id", "v", width=width).collect()}
     last = {}
     for r in sorted(df.collect(), key=lambda r: r.id):
         assert back[(r.k, r.id)] == last.get(r.k)
         last[r.k] = r.v if r.v is not None else last.get(r.k)
 
 
+def test_sums_and_ranks_by_text(spark):
+    rng = random.Random(2)
+    rows = [("ab"[i % 5 > 0], f"n{rng.randrange(10**6)}-{i}", i % 7) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, name string, n long")
+    got = {(r.k, r.name): (r._rank, r.before) for r in ranking.rank_sorted(ranking.sums_sorted(df, ["k"], ["name"], "n", "before"), ["k"], ["name"]).collect()}
+    for k in "ab":
+        mine, total = sorted(r for r in rows if r[0] == k), 0
+        for i, (_, name, n) in enumerate(mine, 1):
+            assert got[k, name] == (i, total)
+            total += n
+
+
 def test_row_hash(spark):
     row = spark.createDataFrame(
         [("01/02/2024", "Café", -10000, 50000, None), ("d", "x", 1, 2, "given")],
