@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from passbook.session import cut_lineage
 
-#: Rows in the sample that the tree is fitted on, children of a node, and sample rows of a leaf.
-SAMPLE, BRANCH, LEAF = 16_384, 8, 32
+#: Rows in the sample that the tree is fitted on, children of a node, and sample rows of a leaf.  A
+#: leaf holds a 32nd of the rows or less: where neighbours are spread over many leaves, small ones
+#: would send each query to thousands of them.
+SAMPLE, BRANCH, LEAF = 16_384, 8, 512
 #: Queries of the calibration, wanted recall, and rows in a block of a leaf.
-PROBES, RECALL, BLOCK = 256, 0.97, 4096
+PROBES, RECALL, BLOCK = 256, 0.95, 4096
 SEED = 20_240_531
 #: Extra candidates whose scores are computed exactly before the best are taken.
 SPARE = 8
@@ -178,13 +180,15 @@ def _search(candidates: DataFrame, queries: DataFrame, width: int, k: int, probe
     visits = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, leaf) for i, q in enumerate(_matrix(b.column("v"), width)) for leaf in best_bins(tree, q, visits)]
-            at, leaf = zip(*rows) if rows else ((), ())
-            taken = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(taken), b.column("v").take(taken), pa.array(leaf, pa.int32())], names=["id", "v", "leaf"]
-            )
+        for whole in batches:
+            for start in range(0, len(whole), 128):
+                b = whole.slice(start, 128)
+                rows = [(i, leaf) for i, q in enumerate(_matrix(b.column("v"), width)) for leaf in best_bins(tree, q, visits)]
+                at, leaf = zip(*rows)
+                taken = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").take(taken), b.column("v").take(taken), pa.array(leaf, pa.int32())], names=["id", "v", "leaf"]
+                )
 
     asks = queries.mapInArrow(visit, "id bigint, v array<double>, leaf int")
     # Leaves in blocks: each block of vectors meets each block of the queries that visit the leaf.

@@ -34,7 +34,11 @@ def slow_nearest(rows, every, k):
     return out
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
+    # Small leaves and blocks, so that a small table is cut like a large one.
+    for name, value in (("SAMPLE", 400), ("LEAF", 16), ("BLOCK", 20)):
+        monkeypatch.setattr(ann, name, value)
+    monkeypatch.setattr(ann.fit_tree, "__defaults__", (8, 16, ann.SEED))
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
     vectors = centres[rng.integers(0, 12, 900)] + 0.6 * rng.normal(size=(900, 16))
