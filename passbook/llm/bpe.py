@@ -172,7 +172,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         monoid = _monoid(path, pattern)
         for texts in batches:
-            yield _lists([monoid.encode(t or "") for t in texts.to_pylist()])
+            yield _lists([monoid.encode(t.as_py() or "") for t in texts])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<int>").asNondeterministic()(text)
@@ -184,7 +184,7 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         monoid = _monoid(path, pattern)
         for texts in batches:
-            ids = [monoid.encode(t or "") for t in texts.to_pylist()]
+            ids = [monoid.encode(t.as_py() or "") for t in texts]
             # One document at a time becomes Python numbers.
             decoded = [monoid.decode(array("I", i).tolist()) for i in ids]
             yield pa.StructArray.from_arrays([_lists(ids), pa.array(decoded, pa.binary())], names=["ids", "decoded"])

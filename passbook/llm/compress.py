@@ -12,7 +12,7 @@ quality are not learnt from; of repeated labels of a document the lowest counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,10 +49,10 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False, **more)
 
 
-def sizes(texts: list[bytes | None], good: bytes, bad: bytes) -> np.ndarray:
+def sizes(texts: Iterable[bytes | None], n: int, good: bytes, bad: bytes) -> np.ndarray:
     """Per text: bytes when compressed plainly, with the good and with the bad dictionary, and its length."""
     tools = [_compressor(b""), _compressor(good), _compressor(bad)]
-    out = np.empty((len(texts), 4))
+    out = np.empty((n, 4))
     for i, text in enumerate(texts):
         blocks = cut(text or b"")
         out[i, :3] = [sum(len(t.compress(b)) for b in blocks) for t in tools]
@@ -66,10 +66,10 @@ def traits(size: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(size)), (bad - good) / plain, plain / (length + 1)], axis=1)
 
 
-def scores(texts: list[bytes | None], model: Model) -> np.ndarray:
+def scores(texts: Iterable[bytes | None], n: int, model: Model) -> np.ndarray:
     if model.weights is None:
-        return np.full(len(texts), model.share)
-    z = traits(sizes(texts, model.good, model.bad)) @ np.array(model.weights)
+        return np.full(n, model.share)
+    z = traits(sizes(texts, n, model.good, model.bad)) @ np.array(model.weights)
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = traits(sizes(b.column("_text").to_pylist(), good, bad))
+            x = traits(sizes((t.as_py() for t in b.column("_text")), len(b), good, bad))
             yield pa.RecordBatch.from_arrays(
                 [b.column("_label"), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["y", "a", "b"]
             )
@@ -161,7 +161,7 @@ def score(text: Column, model: Model) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(scores(texts.to_pylist(), model), pa.float64())
+            yield pa.array(scores((t.as_py() for t in texts), len(texts), model), pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "double").asNondeterministic()(text.cast("binary"))

@@ -103,18 +103,30 @@ def measure(text: bytes | None) -> tuple:
     )
 
 
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+WIDTHS = (NONE, len(WORDS) + 1)
+
+
+def _measure_all(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Base counts and both histograms of a batch; one text at a time becomes a Python value."""
+    numbers = np.zeros((len(texts), 5), np.int64)
+    histograms = [np.zeros((len(texts), w), np.int64) for w in WIDTHS]
+    for i, text in enumerate(texts):
+        found = measure(text.as_py())
+        numbers[i] = found[:5]
+        histograms[0][i], histograms[1][i] = found[5:]
+    return numbers, histograms
+
+
 def features(text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [measure(t) for t in texts.to_pylist()]
-            numbers = np.array([r[:5] for r in rows], np.int64).reshape(-1, 5)
-            lists = []
-            for k, width in ((5, NONE), (6, len(WORDS) + 1)):
-                flat = np.concatenate([r[k] for r in rows]) if rows else np.empty(0)
-                offsets = pa.array(np.arange(len(rows) + 1) * width, pa.int32())
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int64))))
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"]
-            yield pa.StructArray.from_arrays([pa.array(numbers[:, k]) for k in range(5)] + lists, names=names)
+            numbers, histograms = _measure_all(texts)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * w, pa.int32()), pa.array(h.ravel()))
+                for h, w in zip(histograms, WIDTHS)
+            ]
+            yield pa.StructArray.from_arrays([pa.array(numbers[:, k]) for k in range(5)] + lists, names=[*NAMES, "classes", "common"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, FEATURES).asNondeterministic()(text.cast("binary"))
@@ -133,27 +145,56 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
         return np.where(counts.sum(1) > 0, np.sqrt(np.maximum(part.sum(1) / 2, 0.0)), np.nan)
 
 
-def distances(lang: Column, classes: Column, common: Column, refs: References) -> Column:
-    """``class_distance`` and ``word_distance`` from the reference of the language, or the nearest one."""
+def _distances(langs: list[str | None], histograms: list[np.ndarray], refs: References) -> list[np.ndarray]:
+    """From the reference of the language, or the nearest one; NaN where there is none."""
     known = [r[0] for r in refs]
+    own = np.array([known.index(x) if x in known else -1 for x in langs], np.int64)
+    out = []
+    for k, counts in enumerate(histograms, 1):
+        if known and len(own):
+            each = np.stack([distance(counts.astype(float), np.array(r[k], float)) for r in refs])
+            out.append(np.where(own >= 0, each[own, np.arange(len(own))], each.min(0)))
+        else:
+            out.append(np.full(len(own), np.nan))
+    return out
+
+
+DISTANCES = ["class_distance", "word_distance"]
+
+
+def distances(lang: Column, classes: Column, common: Column, refs: References) -> Column:
+    """``class_distance`` and ``word_distance`` of measured texts."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for langs, *histograms in batches:
-            own = np.array([known.index(x) if x in known else -1 for x in langs.to_pylist()], np.int64)
-            out = []
-            for k, column in enumerate(histograms, 1):
-                counts = column.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(float)
-                if known and len(own):
-                    each = np.stack([distance(counts, np.array(r[k], float)) for r in refs])
-                    found = np.where(own >= 0, each[own, np.arange(len(own))], each.min(0))
-                else:
-                    found = np.full(len(own), np.nan)
-                out.append(pa.array(found, pa.float64(), from_pandas=True))
-            yield pa.StructArray.from_arrays(out, names=["class_distance", "word_distance"])
+        for langs, *columns in batches:
+            histograms = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(langs), -1) for c in columns]
+            found = _distances(langs.to_pylist(), histograms, refs)
+            yield pa.StructArray.from_arrays([pa.array(f, pa.float64(), from_pandas=True) for f in found], names=DISTANCES)
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    kind = "struct<class_distance:double,word_distance:double>"
-    return F.arrow_udf(run, kind).asNondeterministic()(lang, classes, common)
+    return F.arrow_udf(run, _kind(DISTANCES, "double")).asNondeterministic()(lang, classes, common)
+
+
+def judged(text: Column, lang: Column, refs: References) -> Column:
+    """Base counts, characters and distances of texts, measured and compared in one pass."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, langs in batches:
+            numbers, histograms = _measure_all(texts)
+            found = _distances(langs.to_pylist(), histograms, refs)
+            yield pa.StructArray.from_arrays(
+                [pa.array(numbers[:, k]) for k in range(5)] + [pa.array(histograms[0].sum(1))]
+                + [pa.array(f, pa.float64(), from_pandas=True) for f in found],
+                names=[*NAMES, "n_chars", *DISTANCES],
+            )
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    kind = _kind([*NAMES, "n_chars"], "bigint")[:-1] + "," + _kind(DISTANCES, "double").removeprefix("struct<")
+    return F.arrow_udf(run, kind).asNondeterministic()(text.cast("binary"), lang)
+
+
+def _kind(names: list[str], of: str) -> str:
+    return f"struct<{','.join(f'{n}:{of}' for n in names)}>"
 
 
 def _sums(measured: DataFrame) -> References:
@@ -177,22 +218,28 @@ def references(measured: DataFrame) -> References:
     return _sums(first.where((F.col("class_distance") <= REFINE_CLASS) & (F.col("word_distance") <= REFINE_WORD)))
 
 
+def passes(n_words: Column, n_repeat_words: Column, n_chars: Column, class_distance: Column, word_distance: Column) -> Column:
+    """The verdict: base rules first, then each distance where the text is long enough for it."""
+
+    def far(value: Column, limit: tuple[float, float]) -> Column:
+        most = limit[0] + limit[1] / F.sqrt(F.greatest(n_words, F.lit(1)))
+        return F.coalesce(value > most, F.lit(False))
+
+    refused = ((n_chars >= LEAST_CHARS) & far(class_distance, CLASS_LIMIT)) | (
+        (n_words >= LEAST_WORDS) & far(word_distance, WORD_LIMIT)
+    )
+    return ~base_failed(n_words, n_repeat_words) & ~refused
+
+
 def verdict(measured: DataFrame, refs: References) -> DataFrame:
     """Add ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``."""
-    def far(column: str, limit: tuple[float, float]) -> Column:
-        most = limit[0] + limit[1] / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-        return F.coalesce(F.col(column) > most, F.lit(False))
-
     chars = F.aggregate("classes", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    refused = ((chars >= LEAST_CHARS) & far("class_distance", CLASS_LIMIT)) | (
-        (F.col("n_words") >= LEAST_WORDS) & far("word_distance", WORD_LIMIT)
-    )
+    found = distances(F.col("lang"), F.col("classes"), F.col("common"), refs)
     rest = [c for c in measured.columns if c != "_distances"]
     return (
-        measured.withColumn("_distances", distances(F.col("lang"), F.col("classes"), F.col("common"), refs))
-        .select(*rest, "_distances.*")
+        measured.withColumn("_distances", found).select(*rest, "_distances.*")
         .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-        .withColumn("kept", ~F.col("base_failed") & ~refused)
+        .withColumn("kept", passes(F.col("n_words"), F.col("n_repeat_words"), chars, *map(F.col, DISTANCES)))
     )
 
 
@@ -206,11 +253,8 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", *carried:
 
 def keep(docs: DataFrame, refs: References, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that the rules keep, with the columns they came with; texts are not shuffled."""
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    packed = docs.select(row)
-    found = measured(
-        packed.select("_row", F.col(f"_row.{text}").alias("_text"),
-                      *([F.col(f"_row.{lang}").alias("_lang")] if lang in docs.columns else [])),
-        "_text", "_lang", "_row",
-    )
-    return verdict(found, refs).where("kept").select("_row.*")
+    language = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    found = docs.select(row.alias("_row"), judged(F.col(text), language, refs).alias("_f"))
+    values = [F.col(f"_f.{n}") for n in ("n_words", "n_repeat_words", "n_chars", *DISTANCES)]
+    return found.where(passes(*values)).select("_row.*")

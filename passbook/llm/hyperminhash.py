@@ -129,7 +129,7 @@ def _sketch(words: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             n, digests, regs = [], [], []
-            for text in texts.to_pylist():
+            for text in (t.as_py() for t in texts):
                 s = shingles(text, words)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -151,7 +151,7 @@ def _sketch(words: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            sets = [shingles(t, words).tobytes() for t in texts.to_pylist()]
+            sets = [shingles(t.as_py(), words).tobytes() for t in texts]
             digests = [xxhash.xxh3_128_digest(s) for s in sets]
             yield pa.StructArray.from_arrays(
                 [pa.array(sets, pa.binary()), pa.array(digests, pa.binary())], names=["set", "digest"]

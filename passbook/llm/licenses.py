@@ -14,7 +14,7 @@ Rows that repeat an id give the matches of each.  Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import ceil, log
 
@@ -100,7 +100,7 @@ class Index:
                     group.sieve[k, int(v) & 0xFFFF] = True
             self.groups.append(group)
 
-    def scan(self, texts: list[bytes | None]) -> list[list[tuple[str, int, float, int]]]:
+    def scan(self, texts: Iterable[bytes | None]) -> list[list[tuple[str, int, float, int]]]:
         """For each text (name, first word of the best window, containment, windows) of the templates found."""
         out: list[list[tuple[str, int, float, int]]] = []
         held: list[np.ndarray] = []
@@ -160,7 +160,7 @@ def scan(
         for texts in batches:
             yield pa.array(
                 [[dict(zip(("license", "first_word", "containment", "windows"), m)) for m in found]
-                 for found in index.scan(texts.to_pylist())],
+                 for found in index.scan(t.as_py() for t in texts)],
                 pa.list_(pa.struct([("license", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64()), ("windows", pa.int64())])),
             )
 

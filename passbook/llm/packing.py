@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 LENGTH, OPEN = 1024, 2048
 #: Cached words of a worker, and the longest that is cached.
-CACHE, CACHED = 600_000, 48
+CACHE, CACHED = 250_000, 48
 
 
 class BestFit:
@@ -126,10 +126,10 @@ def pack(
         encoder = _ENCODERS.get((path, pattern)) or _ENCODERS.setdefault((path, pattern), Encoder(path, pattern))
         fit, base = BestFit(length, most_open), TaskContext.get().partitionId() << 33
         tail = np.array([end_token], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             rows: list[tuple] = []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                ids = encoder.ids(value or "") + tail
+            for i, value in enumerate(batch.column(1)):
+                ids = encoder.ids(value.as_py() or "") + tail
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     size = (n - start - 1) % length + 1 if piece == 0 else length
