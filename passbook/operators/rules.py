@@ -51,14 +51,15 @@ def compile_term(field: str, value: str, cal: Calendar | None, literals: dict[tu
     out = dict.fromkeys(
         ("kind", "date_low", "date_high", "low", "high", "low_open", "high_open", "magnitude", "present", "left", "right", "literal")
     )
+    # Names and aliases registered on the driver are known there, so these are looked up as written.
+    if (field, value) in literals:
+        if literals[field, value] is not None:
+            out.update(kind="literal", literal=literals[field, value])
+        return out
     field = ALIASES.get(field, field)
     try:
         if not value:
             return out
-        if (field, value) in literals:
-            if literals[field, value] is not None:
-                out.update(kind="literal", literal=literals[field, value])
-            return out
         if field == "date":
             low, high = resolve(value, cal)
             if low or high:
@@ -108,16 +109,16 @@ def literal_terms(rules: DataFrame, cal: Calendar | None) -> tuple[dict[tuple[st
     found = rows.filter(~F.col("field").isin(*own) & (F.length("value") > 0)).select("field", "value").distinct().collect()
     numbers: dict[tuple[str, str], int | None] = {}
     preds: list[Predicate] = []
-    for field, value in sorted((ALIASES.get(r["field"], r["field"]), r["value"]) for r in found):
-        if field not in REGISTERED:
+    for field, value in sorted((r["field"], r["value"]) for r in found):
+        name = ALIASES.get(field, field)
+        if name not in REGISTERED:
             raise ValueError(f"no search field {field}")
         try:
-            pred = term(field, value, cal=cal)
+            pred = term(name, value, cal=cal)
         except ValueError:
             pred = None
-        if pred is None or pred.clause(F.col) is None:
-            numbers[field, value] = None
-        elif (field, value) not in numbers:
+        numbers[field, value] = None
+        if pred is not None and pred.clause(F.col) is not None:
             numbers[field, value] = len(preds)
             preds.append(pred)
     return numbers, preds

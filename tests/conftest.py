@@ -38,17 +38,18 @@ def table(spark, name, rows):
     return spark.createDataFrame(filled, schema)
 
 
-def seven_rows():
+def own_rows():
     from datetime import date
 
     rows = [
-        (1, 1, date(2024, 1, 15), "Coffee Shop", -500, 100000),
-        (2, 1, date(2024, 2, 20), "Grocery Store", -8500, 91500),
-        (3, 1, date(2024, 3, 10), "Salary", 250000, 341500),
-        (4, 2, date(2024, 3, 15), "Interest", 1234, 50000),
-        (5, 3, date(2024, 4, 5), "Coffee Bean", -750, 75000),
-        (6, 1, date(2024, 5, 1), "Transfer Out", -10000, 331500),
-        (7, 3, date(2024, 5, 1), "Transfer In", 10000, 85000),
+        (1, 1, date(2023, 9, 4), "Corner Bakery", -1240, 88760),
+        (2, 1, date(2023, 10, 11), "Hardware Depot", -15999, 72761),
+        (3, 3, date(2023, 10, 28), "Wages October", 312050, 401210),
+        (4, 2, date(2023, 11, 2), "Dividend", 4321, 150321),
+        (5, 3, date(2023, 12, 19), "Village Bakery", -875, 400335),
+        (6, 1, date(2024, 1, 8), "To savings", -60000, 12761),
+        (7, 2, date(2024, 1, 8), "From household", 60000, 210321),
+        (50, 4, date(2024, 2, 15), "Train ticket", -4410, 9590),
     ]
     names = ("id", "account_id", "date", "description", "amount_cents", "balance_cents")
     return [
@@ -59,51 +60,27 @@ def seven_rows():
 
 @pytest.fixture(scope="session")
 def golden(spark) -> Books:
-    """Seven transactions of two banks: four categorised, one suggested, one linked pair."""
-    cat = {"category_source": "manual", "category_confirmed": True}
+    """Eight transactions in four accounts: four filed by hand, one suggested, one linked pair, one open."""
+    by_hand = {"category_source": "manual", "category_confirmed": True}
+    suggested = {"category_source": "ai", "category_confirmed": False, "ai_confidence": 0.62}
+    filed = [(1, 1, by_hand), (2, 2, by_hand), (3, 3, by_hand), (5, 1, suggested), (50, 4, by_hand)]
+    paths = ["Eating/Bakery", "Home/Repairs", "Pay/Wages", "Trips/Rail"]
+    places = [(1, 1, "Household"), (2, 1, "Rainy Day"), (3, 2, "Joint"), (4, 2, "Travel")]
     return Books(
-        banks=table(spark, "banks", [{"bank_id": 1, "name": "ING"}, {"bank_id": 2, "name": "NAB"}]),
-        accounts=table(
-            spark,
-            "accounts",
-            [
-                {"account_id": 1, "bank_id": 1, "name": "Orange Everyday"},
-                {"account_id": 2, "bank_id": 1, "name": "Savings Maximiser"},
-                {"account_id": 3, "bank_id": 2, "name": "Classic"},
-            ],
-        ),
-        transactions=table(spark, "transactions", seven_rows()),
-        categories=table(
-            spark,
-            "categories",
-            [
-                {"category_id": 1, "path": "Food/Coffee"},
-                {"category_id": 2, "path": "Food/Groceries"},
-                {"category_id": 3, "path": "Income/Salary"},
-            ],
-        ),
-        enrichments=table(
-            spark,
-            "enrichments",
-            [
-                {"transaction_id": 1, "category_id": 1, **cat},
-                {"transaction_id": 2, "category_id": 2, **cat},
-                {"transaction_id": 3, "category_id": 3, **cat},
-                {
-                    "transaction_id": 5, "category_id": 1, "category_source": "ai",
-                    "category_confirmed": False, "ai_confidence": 0.85,
-                },
-            ],
-        ),
+        banks=table(spark, "banks", [{"bank_id": 1, "name": "Harbour"}, {"bank_id": 2, "name": "Meridian"}]),
+        accounts=table(spark, "accounts", [{"account_id": a, "bank_id": b, "name": n} for a, b, n in places]),
+        transactions=table(spark, "transactions", own_rows()),
+        categories=table(spark, "categories", [{"category_id": i, "path": p} for i, p in enumerate(paths, 1)]),
+        enrichments=table(spark, "enrichments", [{"transaction_id": t, "category_id": c, **how} for t, c, how in filed]),
         transfers=table(
             spark,
             "transfers",
             [{"id": 1, "from_transaction_id": 6, "to_transaction_id": 7, "source": "manual", "confirmed": True}],
         ),
         rules=table(spark, "rules", []),
-        notes=table(spark, "notes", [{"transaction_id": 4, "note": "Quarterly bonus"}]),
-        tags=table(spark, "tags", [{"tag_id": 1, "name": "work/travel"}, {"tag_id": 2, "name": "home"}]),
+        notes=table(spark, "notes", [{"transaction_id": 4, "note": "Shares of the Club"}]),
+        tags=table(spark, "tags", [{"tag_id": 1, "name": "trip/rail"}, {"tag_id": 2, "name": "house"}]),
         transaction_tags=table(
-            spark, "transaction_tags", [{"transaction_id": 1, "tag_id": 1}, {"transaction_id": 2, "tag_id": 2}]
+            spark, "transaction_tags", [{"transaction_id": 50, "tag_id": 1}, {"transaction_id": 2, "tag_id": 2}]
         ),
     )

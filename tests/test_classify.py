@@ -134,7 +134,7 @@ def test_ngrams(spark):
 
 def test_prefix_join_loses_no_pair(spark):
     rng = random.Random(8)
-    words = ["coffee", "shop", "north", "south", "market", "fuel", "station", "the"]
+    words = ["bakery", "shop", "north", "south", "market", "fuel", "station", "the"]
     norms = [" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(60)]
     rows = spark.createDataFrame([("L", i, n) for i, n in enumerate(norms)], "ledger_id string, id long, norm string")
     docs, vectors = features.similarity_vectors(rows)
@@ -161,10 +161,10 @@ def test_prefix_join_loses_no_pair(spark):
 def test_full_run(spark, golden):
     rules = table(spark, "rules", [{
         "id": 1, "name": "r", "position": 0, "category_id": 3, "override_mode": "uncategorised", "review_required": False,
-        "terms": [("text", "interest", False)],
+        "terms": [("text", "dividend", False)],
     }])
     more = [
-        {"id": 8, "account_id": 1, "date": day(200), "description": "Coffee Shop", "amount_cents": -500, "metadata": "{}"},
+        {"id": 8, "account_id": 1, "date": day(200), "description": "Corner Bakery", "amount_cents": -500, "metadata": "{}"},
         {"id": 9, "account_id": 1, "date": day(210), "description": "Move", "amount_cents": -7700, "metadata": "{}"},
         {"id": 10, "account_id": 3, "date": day(210), "description": "Move", "amount_cents": 7700, "metadata": "{}"},
         {"id": 11, "account_id": 1, "date": day(220), "description": "99", "amount_cents": -1, "metadata": "{}"},
@@ -182,7 +182,7 @@ def test_full_run(spark, golden):
 def test_apply_to_similar(spark, golden):
     more = [
         {"id": 20 + i, "account_id": 1, "date": day(i), "description": d, "amount_cents": -1}
-        for i, d in enumerate(["Coffee Shop North", "Coffee Shop North", "Petrol Station", "Coffee Shop Nort"])
+        for i, d in enumerate(["Corner Bakery North", "Corner Bakery North", "Petrol Station", "Corner Bakery Nort"])
     ]
     books = golden.with_tables(transactions=golden.transactions.unionByName(table(spark, "transactions", more)))
     enrichments, offer = plan.apply_to_similar(books, "L", 20, 1, AT, top=200)
