@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from passbook.session import cut_lineage
 
-WIDTH = 1 << 18
+WIDTH = 1 << 22
 
 
 def _range_of(order: str, width: int) -> Column:

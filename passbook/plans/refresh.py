@@ -54,7 +54,7 @@ def refresh(
     published there as one version; any failure before leaves the old one.
     """
     files = exports.file_fingerprint(spark, root, ledger_id)
-    discovered = exports.discovered_accounts(files)
+    discovered = exports.listed_accounts(spark, root, ledger_id)
     placed = sync_places(books, discovered, at)
     # Dimension tables, small next to the rows, and read by most steps below.
     placed = placed.with_tables(banks=cut_lineage(placed.banks), accounts=cut_lineage(placed.accounts))

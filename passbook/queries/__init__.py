@@ -31,6 +31,7 @@ def load() -> None:
     from passbook.queries import (  # noqa: F401
         classify,
         curate,
+        files,
         ingest,
         lookups,
         rules,

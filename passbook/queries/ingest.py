@@ -63,8 +63,10 @@ def ingest(spark, sf):
     return rows.select("ledger_id", "account_id", "hash", "date", "description", "metadata")
 
 
-@query("ingest_report", f"""
-    WITH parts AS ({PARTS}),
+def _outcomes(stored: str) -> str:
+    """Records per outcome; rows of ``stored`` (seq -1) are the state before."""
+    return f"""
+    WITH parts AS ({PARTS}{stored}),
          line AS (SELECT *, ROW_NUMBER() OVER w AS arrival,
                          LAST_VALUE(CASE WHEN filled THEN description END IGNORE NULLS) OVER before AS last_text,
                          FIRST_VALUE(description) OVER w AS first_text,
@@ -75,14 +77,19 @@ def ingest(spark, sf):
     SELECT CASE WHEN arrival = 1 THEN 'added'
                 WHEN filled AND description <> COALESCE(last_text, first_text) OR k <> last_k OR big AND was_big = 0 THEN 'updated'
                 ELSE 'unchanged' END AS outcome, CAST(COUNT(*) AS BIGINT) AS records
-    FROM line GROUP BY 1""")
+    FROM line WHERE seq >= 0 GROUP BY 1"""
+
+
+@query("ingest_report", _outcomes(""))
 def ingest_report(spark, sf):
     records = star.frame(spark, sf, "records")
     empty = spark.createDataFrame([], records.schema).withColumn("id", F.lit(0).cast("bigint"))
     return ops.ingest_report(ops.label_records(empty.select(*ops.TX), records))
 
 
-@query("ingest_again")
+@query("ingest_again", _outcomes(f"""
+    UNION ALL SELECT * REPLACE (CAST(-1 AS BIGINT) AS seq) FROM ({PARTS} WHERE date <= DATE '{CUT}'
+      QUALIFY ROW_NUMBER() OVER (PARTITION BY ledger_id, account_id, hash ORDER BY seq) = 1)"""))
 def ingest_again(spark, sf):
     """Importing the stored records once more adds nothing: only updated and unchanged remain."""
     existing, records = _split(spark, sf)
@@ -234,29 +241,37 @@ def overlap_pull(spark, sf):
 
 
 @query("normalise_feed", """
-    SELECT 'ps-' || CAST(event_id AS STRING) AS hash,
+    SELECT CAST(user_id % 4 AS STRING) AS ledger_id, user_id AS account_id, CAST(CAST(ts AS DATE) AS STRING) AS date,
+           event_type AS description, CAST(0 AS BIGINT) AS balance_cents,
+           'ps-' || CAST(event_id AS STRING) AS hash,
            CAST(SIGN(value - 50) * FLOOR(ABS(value - 50) * 100 + 0.5) AS BIGINT) AS amount_cents,
-           '{{"pocketsmith_id":' || CAST(event_id AS STRING) || CASE WHEN event_type = 'purchase'
-              THEN ',"pocketsmith_category":"Shop/purchase","pocketsmith_category_id":7' ELSE '' END
+           '{{"pocketsmith_id":' || CAST(event_id AS STRING)
+             || ',"pocketsmith_category":"Users/' || CAST(user_id % 4 AS STRING) || '/' || event_type
+             || '","pocketsmith_category_id":' || CAST(LENGTH(event_type) AS STRING)
              || CASE WHEN event_type = 'error' THEN ',"memo":"failed"' ELSE '' END
              || CASE WHEN value > 100 THEN ',"original_payee":"' || event_type || '!"' ELSE '' END || '}}' AS metadata
-    FROM {events}""")
+    FROM {events}
+    WHERE LENGTH(event_type) IN (SELECT LENGTH(event_type) FROM {events} GROUP BY 1 HAVING COUNT(DISTINCT event_type) = 1)""")
 def normalise_feed(spark, sf):
-    events = star.frame(spark, sf, "events")
-    bought = F.col("event_type") == "purchase"
+    """Categories are told apart by the length of an event type; the few types that share one are left out."""
+    events = star.frame(spark, sf, "events").withColumn("n", F.length("event_type").cast("bigint"))
+    single = events.groupBy("n").agg(F.count_distinct("event_type").alias("types")).filter("types = 1").select("n")
+    events = events.join(single, "n").withColumn("ledger_id", (F.col("user_id") % 4).cast("string"))
     feed = events.select(
-        F.lit("0").alias("ledger_id"), F.col("user_id").alias("account_id"), F.col("event_id").alias("id"),
+        "ledger_id", F.col("user_id").alias("account_id"), F.col("event_id").alias("id"),
         F.col("ts").cast("date").cast("string").alias("date"), F.col("event_type").alias("payee"),
         F.when(F.col("value") > 100, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type")).alias("original_payee"),
         (F.col("value") - 50).alias("amount"), F.lit(None).cast("double").alias("closing_balance"),
-        F.when(bought, 7).cast("bigint").alias("category_id"), F.when(bought, "purchase").alias("category_title"),
+        F.col("n").alias("category_id"), F.col("event_type").alias("category_title"),
         F.array().cast("array<string>").alias("labels"), F.lit("  ").alias("note"),
         F.when(F.col("event_type") == "error", "failed").alias("memo"),
     )
-    paths = events.filter(bought).select(
-        F.lit("0").alias("ledger_id"), F.lit(7).cast("bigint").alias("id"), F.lit("Shop/purchase").alias("path")
+    paths = events.select(
+        "ledger_id", F.col("n").alias("id"), F.concat_ws("/", F.lit("Users"), "ledger_id", "event_type").alias("path")
     ).distinct()
-    return feeds.normalise_feed(feed, paths).select("hash", "amount_cents", "metadata")
+    return feeds.normalise_feed(feed, paths).select(
+        "ledger_id", "account_id", "date", "description", "balance_cents", "hash", "amount_cents", "metadata"
+    )
 
 
 TREE = """SELECT 'r' || CAST(r_regionkey AS STRING) AS id, CAST(NULL AS STRING) AS parent_id, r_name AS title FROM {region}
@@ -269,12 +284,14 @@ TREE = """SELECT 'r' || CAST(r_regionkey AS STRING) AS id, CAST(NULL AS STRING)
     SELECT 'o' || CAST(o_orderkey AS STRING) AS id, r_name || '/' || n_name || '/' || c_name || '/' || o_orderstatus AS path
     FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
          JOIN {region} ON n_regionkey = r_regionkey
-    UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), r_name || '/' || n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""")
+    UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), r_name || '/' || n_name || '/' || c_name
+    FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), r_name || '/' || n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'r' || CAST(r_regionkey AS STRING), r_name FROM {region}""")
 def hierarchy_paths(spark, sf):
     names = ("region", "nation", "customer", "orders")
     tree = spark.sql(TREE, **{n: star.frame(spark, sf, n) for n in names})
-    paths = feeds.hierarchy_paths(tree.withColumn("ledger_id", F.lit("0")))
-    return paths.filter(F.col("id").rlike("^[on]")).select("id", "path")
+    return feeds.hierarchy_paths(tree.withColumn("ledger_id", F.lit("0"))).select("id", "path")
 
 
 @query("disambiguate_names", """

@@ -173,5 +173,5 @@ def edit_rules(spark, sf):
     fresh = rules.select("ledger_id").distinct().select(
         "ledger_id", F.lit("fresh").alias("name"), F.array().cast(rules.schema["terms"].dataType).alias("terms")
     )
-    appended = ops.create_rules(rules, fresh, AT).filter("name = 'fresh'")
-    return ops.edit_rules(rules, edits).unionByName(appended).select("ledger_id", "id", "name", "category_id", "position")
+    # New rules follow all that were there; the edits then meet the whole table.
+    return ops.edit_rules(ops.create_rules(rules, fresh, AT), edits).select("ledger_id", "id", "name", "category_id", "position")

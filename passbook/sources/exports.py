@@ -48,9 +48,16 @@ def scan_exports(spark: SparkSession, root: str, schema: str | StructType, ledge
     )
 
 
-def discovered_accounts(files: DataFrame) -> DataFrame:
-    """(ledger_id, bank_name, account_name) of every account folder that holds files."""
-    return files.select("ledger_id", "bank_name", "account_name").distinct()
+def listed_accounts(spark: SparkSession, root: str, ledger_id: str) -> DataFrame:
+    """(ledger_id, bank_name, account_name) of every account folder, with or without files.
+
+    A listing of two folder levels, as Spark itself makes one before it reads files.
+    """
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    folders = [s.getPath() for s in found if s.isDirectory()]
+    rows = [(ledger_id, p.getParent().getName(), p.getName()) for p in folders]
+    return spark.createDataFrame(rows, "ledger_id string, bank_name string, account_name string")
 
 
 def file_fingerprint(spark: SparkSession, root: str, ledger_id: str) -> DataFrame:
