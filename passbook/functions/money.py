@@ -75,7 +75,7 @@ def parse_percent(text: str) -> tuple[float, float]:
         raise ValueError(f"not a confidence: {text}")
     percent = float(text.removesuffix("%"))
     if percent > 100.0:
-        raise ValueError(f"Confidence is a percentage from 0 to 100: {text}")
+        raise ValueError(f"more than a hundred percent: {text}")
     width = {0: 1.0, 1: 0.1, 2: 0.01}[len(match[2] or "")]
     return percent / 100.0, width / 100.0
 

@@ -72,13 +72,13 @@ def period_start(unit: str, cal: Calendar, shift: int = 0) -> date:
             start = date(first, *cal.year_end) + DAY
             return start.replace(year=start.year + shift)
         return date(first + shift, *cal.year_end) + DAY
-    raise ValueError(f"unknown last-N period: {unit}")
+    raise ValueError(f"no such period: {unit}")
 
 
 def last_n(count: int, unit: str, cal: Calendar) -> tuple[date, date]:
     """The ``count`` complete periods before the current one."""
     if count <= 0:
-        raise ValueError("last-N period count must be greater than 0")
+        raise ValueError("the number of periods starts at one")
     return period_start(unit, cal, -count), period_start(unit, cal) - DAY
 
 

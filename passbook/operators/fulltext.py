@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passbook.functions.text import fold_literal, searchable_text, token_list, tokens
@@ -39,14 +39,13 @@ def indexed_rows(tx: DataFrame) -> DataFrame:
     return tx.groupBy("ledger_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int = 200) -> None:
-    """Store postings bucketed by term, so a search reads only its buckets."""
-    (
-        postings.write.mode("overwrite")
-        .bucketBy(buckets, "term")
-        .sortBy("term", "ledger_id", "id")
-        .saveAsTable(table)
-    )
+def store_postings(postings: DataFrame, path: str) -> None:
+    """Write postings as files by ranges of terms, sorted, so a search reads only the blocks of its words."""
+    postings.repartitionByRange("term", "ledger_id", "id").sortWithinPartitions("term", "ledger_id", "id").write.parquet(path)
+
+
+def stored_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ledger_id string, term string, id long, pos int").parquet(path)
 
 
 def refresh_postings(postings: DataFrame, changed: DataFrame, notes: DataFrame | None = None) -> DataFrame:

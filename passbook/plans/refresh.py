@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passbook.functions.money import row_hash
 from passbook.functions.periods import parse_ledger_date
 from passbook.operators import ingest as ops
+from passbook.operators.fulltext import refresh_postings
 from passbook.schema import Books
 from passbook.session import cut_lineage
 from passbook.sources import exports, feeds
@@ -46,15 +47,22 @@ def refresh(
     batch_id: int,
     at: str,
     target: str | None = None,
+    pulled: DataFrame | None = None,
+    postings: DataFrame | None = None,
+    notes: DataFrame | None = None,
 ) -> tuple[Books, dict[str, DataFrame]]:
-    """Import every unseen export of one root.
+    """Import every unseen export of one root, and the records ``pulled`` from feeds, as one batch.
 
+    ``pulled`` has the place of each record (ledger, bank and account name), the columns of a raw
+    record and ``position``, its place in the pull; pulled records arrive after the files.
     Returns the new books and the side tables (``imported_files``,
-    ``import_batches``, ``labels``, ``counts``).  With ``target`` everything is
-    published there as one version; any failure before leaves the old one.
+    ``import_batches``, ``labels``, ``counts``, and ``postings`` brought up to date if given).  With
+    ``target`` everything is published there as one version; any failure before leaves the old one.
     """
     files = exports.file_fingerprint(spark, root, ledger_id)
     discovered = exports.listed_accounts(spark, root, ledger_id)
+    if pulled is not None:
+        discovered = discovered.union(pulled.select("ledger_id", "bank_name", "account_name")).distinct()
     placed = sync_places(books, discovered, at)
     # Dimension tables, small next to the rows, and read by most steps below.
     placed = placed.with_tables(banks=cut_lineage(placed.banks), accounts=cut_lineage(placed.accounts))
@@ -67,7 +75,11 @@ def refresh(
     rows = exports.scan_exports(spark, root, source_schema, ledger_id).join(
         unseen.select("source_file", "account_id"), "source_file"
     )
-    mapped = feeds.map_source(rows.drop("account_id"), mapping).join(ids, place)
+    mapped = feeds.map_source(rows.drop("account_id"), mapping)
+    if pulled is not None:
+        # Paths of files are URIs, whose schemes sort before this mark.
+        mapped = mapped.unionByName(pulled.withColumn("source_file", F.lit("~pull")).select(*mapped.columns))
+    mapped = mapped.join(ids, place)
     records = ops.with_batch(ops.with_arrival(typed_records(mapped)), batch_id)
     incoming = cut_lineage(
         records.select(
@@ -84,6 +96,10 @@ def refresh(
         "labels": labels,
         "counts": ops.refresh_counts(books.banks, after.banks, books.accounts, after.accounts, unseen),
     }
+    if postings is not None:
+        touched = labels.filter("outcome <> 'unchanged'").select(*ops.KEY).distinct()
+        changed = after.transactions.join(touched, ops.KEY, "left_semi")
+        extra["postings"] = refresh_postings(postings, changed, notes)
     if target:
         tables = {n: getattr(after, n) for n in ("banks", "accounts", "transactions")}
         publish({**tables, **extra}, target, f"{batch_id:012d}")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from passbook.functions.text import searchable_text, tokens
 from passbook.operators import fulltext, predicates, search
 from passbook.queries import query
 from passbook.queries.search import LIVE
+from passbook.session import checkpoint_root
 from passbook.sources import star
 from passbook.sources.sinks import csv_field
 
@@ -22,8 +25,18 @@ def _docs(spark, sf):
     return star.frame(spark, sf, "doc_tx"), star.frame(spark, sf, "doc_notes")
 
 
+# Where the postings of a table folder are stored, by session.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _postings(spark, sf):
-    return fulltext.build_postings(*_docs(spark, sf))
+    """Postings of the documents, written by the first search of a session and read by all."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = f"{checkpoint_root(spark)}/postings-{uuid.uuid4().hex}"
+        fulltext.store_postings(fulltext.build_postings(*_docs(spark, sf)), path)
+        _STORED[key] = path
+    return fulltext.stored_postings(spark, _STORED[key])
 
 
 @query("searchable_words", f"""
@@ -42,7 +55,7 @@ def searchable_words(spark, sf):
     SELECT ledger_id, term, CAST(COUNT(*) AS BIGINT) AS hits, CAST(COUNT(DISTINCT id) AS BIGINT) AS rows
     FROM (SELECT ledger_id, id, unnest(words) AS term FROM {WORDS}) GROUP BY 1, 2""")
 def postings(spark, sf):
-    per_row = _postings(spark, sf).groupBy("ledger_id", "term", "id").agg(F.count(F.lit(1)).alias("_n"))
+    per_row = fulltext.build_postings(*_docs(spark, sf)).groupBy("ledger_id", "term", "id").agg(F.count(F.lit(1)).alias("_n"))
     return per_row.groupBy("ledger_id", "term").agg(F.sum("_n").alias("hits"), F.count(F.lit(1)).alias("rows"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,13 @@ def build_session(app: str = "passbook", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def scratch_session(app: str, master: str, **conf: str) -> SparkSession:
+    """A local session for tests and timings, with a checkpoint folder of its own that goes with the process."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return build_session(app, master, **{"spark.checkpoint.dir": folder, **conf})
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 

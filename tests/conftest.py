@@ -6,12 +6,12 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from passbook.schema import Books, struct  # noqa: E402
-from passbook.session import build_session  # noqa: E402
+from passbook.session import scratch_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(
+    session = scratch_session(
         "tests",
         "local[4]",
         **{

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import AT, table
 from passbook.functions.money import row_hash
+from passbook.operators import fulltext
 from passbook.operators import ingest as ops
 from passbook.operators import ranking
 from passbook.operators.ranking import previous_value, rank_along
@@ -127,11 +128,11 @@ def test_row_hash(spark):
 
 def write_exports(root):
     files = {
-        "ING/Orange Everyday/jan.CSV": "Day,What,Value\n2024-01-05,Coffee,-4.50\n06/01/2024,Tea,-3\n",
-        "ING/Orange Everyday/copy.csv": "Day,What,Value\n2024-01-05,Coffee,-4.50\n06/01/2024,Tea,-3\n",
-        "NAB/Classic/all.csv": 'Day,What,Value\n2024-02-01,"Pay, bonus",100.25\n',
-        "NAB/Classic/notes.txt": "ignored",
-        "NAB/Classic/old/deep.csv": "Day,What,Value\n2020-01-01,Deep,1\n",
+        "Harbour/Household/jan.CSV": "Day,What,Value\n2024-01-05,Coffee,-4.50\n06/01/2024,Tea,-3\n",
+        "Harbour/Household/copy.csv": "Day,What,Value\n2024-01-05,Coffee,-4.50\n06/01/2024,Tea,-3\n",
+        "Meridian/Joint/all.csv": 'Day,What,Value\n2024-02-01,"Pay, bonus",100.25\n',
+        "Meridian/Joint/notes.txt": "ignored",
+        "Meridian/Joint/old/deep.csv": "Day,What,Value\n2020-01-01,Deep,1\n",
     }
     for name, body in files.items():
         path = root / name
@@ -142,9 +143,9 @@ def write_exports(root):
 def test_refresh(spark, tmp_path):
     write_exports(tmp_path / "in")
     mapping = spark.createDataFrame(
-        [("L", b, a, f, c) for b in ("ING", "NAB") for a, f, c in (
+        [("L", b, a, f, c) for b in ("Harbour", "Meridian") for a, f, c in (
             (None, "date", "Day"), (None, "description", "Day"), (None, "amount", "Value"))]
-        + [("L", "ING", "Orange Everyday", "description", "What"), ("L", "NAB", "Classic", "description", "What")],
+        + [("L", "Harbour", "Household", "description", "What"), ("L", "Meridian", "Joint", "description", "What")],
         "ledger_id string, bank_name string, account_name string, field string, source_column string",
     )
     args = dict(source_schema="Day string, What string, Value string", mapping=mapping, ledger_id="L")
@@ -165,16 +166,34 @@ def test_refresh(spark, tmp_path):
         spark, stored, sinks.current(spark, out, "imported_files"), batches, str(tmp_path / "in"), batch_id=2, at=AT, **args
     )
     assert again.transactions.count() == 3 and more["counts"].count() == 0
+    # A folder without exports keeps its account; pulled records join the batch, and postings follow.
+    for export in (tmp_path / "in" / "Meridian" / "Joint").glob("*.*"):
+        export.unlink()
+    pulled = spark.createDataFrame(
+        [("L", "Harbour", "Feed", "2024-03-01", "Pulled tea", -5, 1, None, "{}", 0), ("L", "Harbour", "Household", "06/01/2024", "Tea", -300, 0, None, "{}", 1)],
+        "ledger_id string, bank_name string, account_name string, date string, description string, amount_cents long, "
+        "balance_cents long, hash string, metadata string, position long",
+    )
+    before = fulltext.build_postings(stored.transactions)
+    third, more = refresh(
+        spark, stored, sinks.current(spark, out, "imported_files"), batches, str(tmp_path / "in"), batch_id=3, at=AT,
+        pulled=pulled, postings=before, **args,
+    )
+    assert third.accounts.filter("deleted_at is not null").count() == 0
+    assert {r.name for r in third.accounts.collect()} == {"Household", "Joint", "Feed"}
+    assert {r.description for r in third.transactions.collect()} == {"Coffee", "Tea", "Pay, bonus", "Pulled tea"}
+    assert {(r.outcome, r.records) for r in ops.ingest_report(more["labels"]).collect()} == {("added", 1), ("unchanged", 1)}
+    assert fulltext.check_postings(more["postings"], third.transactions).count() == 0
 
 
 def test_vanished_bank_keeps_accounts(spark, golden):
-    seen = spark.createDataFrame([("L", "ING", "Orange Everyday")], "ledger_id string, bank_name string, account_name string")
+    seen = spark.createDataFrame([("L", "Harbour", "Household")], "ledger_id string, bank_name string, account_name string")
     banks = ops.soft_delete_missing_banks(golden.banks, seen, AT)
     accounts = ops.soft_delete_missing_accounts(golden.accounts, banks, seen, AT)
-    assert {r.name for r in banks.filter("deleted_at is not null").collect()} == {"NAB"}
-    assert {r.name for r in accounts.filter("deleted_at is not null").collect()} == {"Savings Maximiser"}
-    back = ops.sync_dimension(banks, spark.createDataFrame([("L", "NAB"), ("L", "New")], "ledger_id string, name string"), "bank_id", ["name"])
-    assert {(r.bank_id, r.name, r.deleted_at is None) for r in back.collect()} == {(1, "ING", True), (2, "NAB", True), (3, "New", True)}
+    assert {r.name for r in banks.filter("deleted_at is not null").collect()} == {"Meridian"}
+    assert {r.name for r in accounts.filter("deleted_at is not null").collect()} == {"Rainy Day"}
+    back = ops.sync_dimension(banks, spark.createDataFrame([("L", "Meridian"), ("L", "New")], "ledger_id string, name string"), "bank_id", ["name"])
+    assert {(r.bank_id, r.name, r.deleted_at is None) for r in back.collect()} == {(1, "Harbour", True), (2, "Meridian", True), (3, "New", True)}
 
 
 def test_feed_json(spark, tmp_path):
