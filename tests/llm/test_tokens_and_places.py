@@ -139,6 +139,8 @@ def test_pack(spark):
         assert [p.start for p in parts] == np.cumsum([0] + [p.length for p in parts])[:-1].tolist()
         assert all(p.length == 1024 for p in parts[1:])
         assert wanted[doc_id, tuple(np.frombuffer(b"".join(bytes(p.ids) for p in parts), "<u4").tolist())] == 1
+    tokens = sum(r.length for r in found)
+    assert len(sequences) <= 1.05 * tokens / 1024 + 3
     assert packing.pack(table.limit(0), VOCABULARY, P.PATTERN, 2).count() == 0
 
 
