@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.llm import ann, bpe, chat, compress, divergence, hyperminhash, licenses, packing, sharding, urls
+from passbook.llm import ann, bpe, chat, compress, divergence, divergence_sql, hyperminhash, licenses, packing, sharding, urls
 from passbook.session import checkpoint_root, cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,8 +49,7 @@ def op2_divergence(spark: SparkSession, sf: str) -> DataFrame:
     found = cut_lineage(divergence.measured(table(spark, sf, "documents"), "text", "lang", "doc_id"))
     judged = divergence.verdict(found, divergence.references(found))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "class_distance", "word_distance",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
@@ -181,4 +180,6 @@ QUERIES: dict[str, Query] = {
         op8_best_fit, op9_licenses, op10_shuffle,
     )
 }
-SQL: dict[str, str] = {"op1_perspectives": OP1_SQL, "op6_urls": OP6_SQL, "op7_hyperminhash": OP7_SQL}
+SQL: dict[str, str] = {
+    "op1_perspectives": OP1_SQL, "op2_divergence": divergence_sql.SQL, "op6_urls": OP6_SQL, "op7_hyperminhash": OP7_SQL,
+}
