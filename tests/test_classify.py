@@ -164,9 +164,9 @@ def test_full_run(spark, golden):
         "terms": [("text", "dividend", False)],
     }])
     more = [
-        {"id": 8, "account_id": 1, "date": day(200), "description": "Corner Bakery", "amount_cents": -500, "metadata": "{}"},
+        {"id": 8, "account_id": 1, "date": day(200), "description": "Corner Bakery", "amount_cents": -1240, "metadata": "{}"},
         {"id": 9, "account_id": 1, "date": day(210), "description": "Move", "amount_cents": -7700, "metadata": "{}"},
-        {"id": 10, "account_id": 3, "date": day(210), "description": "Move", "amount_cents": 7700, "metadata": "{}"},
+        {"id": 10, "account_id": 2, "date": day(210), "description": "Move", "amount_cents": 7700, "metadata": "{}"},
         {"id": 11, "account_id": 1, "date": day(220), "description": "99", "amount_cents": -1, "metadata": "{}"},
     ]
     books = golden.with_tables(rules=rules, transactions=golden.transactions.unionByName(table(spark, "transactions", more)))
