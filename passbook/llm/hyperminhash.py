@@ -2,16 +2,18 @@
 
 The distinct word shingles of a text are hashed to 64 bits.  The hash picks one of ``BUCKETS`` buckets,
 and a bucket keeps its smallest hash, compressed to the count of leading zeros and the next
-``MANTISSA`` bits.  Empty buckets borrow the register of a bucket given by a fixed random sequence.
-Registers are banded; texts that share a band are candidates.  A pair is looked at if the Jaccard
-similarity estimated from equal registers, corrected for chance collisions, is not far below the
-limit, and is confirmed on the full shingle sets.
+``MANTISSA`` bits.  Empty buckets borrow the register of the first full bucket in a fixed random order
+of all buckets.  Registers are banded; texts that share a band are candidates.  Small sets have exact
+candidate keys besides, so that no pair of them is lost.  Of two large sets the Jaccard similarity is
+first estimated from equal registers, corrected for chance collisions; a pair far below the limit is
+not looked at.  All others are confirmed on the full shingle sets.
 
 Equal sets are one node from the start, so copies cost nothing.  Texts that share bands form clusters
 (components of the band graph); a cluster is worked in tiles of bounded bytes, and a tile returns
 only links that join two parts of it, never all its pairs.  A link left out joins texts that are
 joined already, so components are whole.  The chance that a pair at the limit shares no band is
-(1 - 0.8^6)^48, under one in a million.
+(1 - 0.8^6)^48, under one in a million, for sets that fill the buckets.  Sets of fewer shingles share
+registers between buckets, which makes it larger; up to ``SMALL`` shingles the exact keys find all.
 
 Defined results: a NULL or wordless text has an empty set and is linked with nothing.  Rows that
 repeat an id keep their rows; the smallest non-NULL id of a component names it.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,10 @@ BUCKETS, ROWS, MANTISSA = 288, 6, 10
 BANDS = BUCKETS // ROWS
 #: Bytes of shingle sets in a tile side.
 TILE = 1 << 20
+#: Sets of up to ``SMALL`` shingles have exact candidate keys, each of ``JOINT`` shingles or fewer.
+SMALL, JOINT = 19, 4
+#: Shingles of both sets from which on a pair is estimated first: so many that nearly all buckets are full.
+LARGE = 1024
 #: Standard deviations of the estimate below the limit at which a pair is no longer looked at.
 SLACK = 5.0
 SEED = 20_240_531
@@ -43,8 +50,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EDGES = np.array([-(-(i << 64) // BUCKETS) for i in range(BUCKETS)], dtype=np.uint64)
 _WIDTH = float(2**64) / BUCKETS
 _RANDOM = np.random.default_rng(SEED)
-#: For each bucket the buckets from which it borrows, in turn.
-_LENDERS = _RANDOM.integers(0, BUCKETS, (BUCKETS, 96))
+#: For each bucket all buckets in the order in which it borrows from them.
+_LENDERS = _RANDOM.permuted(np.tile(np.arange(BUCKETS), (BUCKETS, 1)), axis=1)
 _ODD = _RANDOM.integers(0, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -85,10 +92,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     out[full] = (zeros << MANTISSA) | mantissa
     empty = np.flatnonzero(~full)
     if len(empty):
-        usable = full[_LENDERS[empty]]
-        lender = _LENDERS[empty, usable.argmax(1)]
-        # So few shingles that no lender in the list is full: the first full bucket lends.
-        lender = np.where(usable.any(1), lender, np.flatnonzero(full)[0])
+        lender = _LENDERS[empty, full[_LENDERS[empty]].argmax(1)]
         out[empty] = out[lender] ^ (lender * 40503 & 0xFFFF).astype(np.uint16)
     return out
 
@@ -102,6 +106,26 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64) * _M1).view(np.int64)
 
 
+def small_keys(hashes: np.ndarray, percent: int) -> list[int]:
+    """Keys of a small sorted set; two sets that reach ``percent`` share one.
+
+    Two such sets have at least ``need`` shingles of each in common.  The lowest ``l`` common ones are
+    therefore among the lowest n - need + l of either set, whose subsets of ``l`` are the keys.
+    """
+    n = len(hashes)
+    if not 0 < n <= SMALL:
+        return []
+    need, out = max(-(-percent * n // 100), 1), []
+    for joint in range(min(need, JOINT), min(n, JOINT) + 1):
+        lowest = hashes[: n - need + joint]
+        parts = np.array(list(combinations(range(len(lowest)), joint)))
+        keys = np.full(len(parts), np.uint64(SEED + joint))
+        for k in range(joint):
+            keys = mix(keys * _ODD[k] + lowest[parts[:, k]])
+        out += mix(keys + _M2).view(np.int64).tolist()
+    return out
+
+
 @lru_cache(maxsize=4096)
 def chance(n: int, m: int) -> float:
     """Share of registers of two disjoint sets of about 2^n and 2^m shingles that are equal by chance."""
@@ -123,24 +147,29 @@ def estimate(equal: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
     return (equal - e) / (1 - e)
 
 
-def _sketch(words: int):
+def _sketch(words: int, percent: int):
     kind = "struct<n:bigint,digest:binary,bands:array<bigint>>"
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            n, digests, regs = [], [], []
+            n, digests, regs, small = [], [], [], []
             for text in (t.as_py() for t in texts):
                 s = shingles(text, words)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                small.append(small_keys(s, percent))
                 if len(s):
                     regs.append(registers(s))
             keys = band_keys(np.array(regs, np.uint16).reshape(-1, BUCKETS))
             full = np.array([d is not None for d in digests], bool)
-            offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
+            more = np.array([len(k) for k in small], int)
+            offsets = np.concatenate([[0], np.cumsum(full * BANDS + more)]).astype(np.int32)
+            exact = [k for keys in small for k in keys]
+            # The exact keys of a text stand behind its bands.
+            keys = np.insert(keys.ravel(), np.repeat(np.cumsum(full) * BANDS, more), np.array(exact, np.int64))
             yield pa.StructArray.from_arrays(
                 [pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
                 names=["n", "digest", "bands"],
             )
 
@@ -164,27 +193,37 @@ def _sets(words: int):
 def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join the parts of a tile: pairs of a left and a right row that are confirmed.
 
-    Rows of one part are not compared again, and a row is compared with a part until one link holds.
+    Rows of one part are not compared again.  Only pairs of two large sets are estimated first.
     """
-    regs = np.array([registers(s) for s in sets])
     size = np.array([len(s) for s in sets])
     part = np.arange(len(sets))
     limit = percent / 100
     floor = limit - SLACK * np.sqrt(limit * (1 - limit) / BUCKETS)
+    row = np.cumsum(size >= LARGE) - 1
+    regs = np.array([registers(s) for s in sets if len(s) >= LARGE])
+    # Shingles by number, all sets behind one another; ``held`` marks those of one set.
+    known, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    held = np.zeros(len(known), bool)
     links = []
     for a in left:
         # J >= limit bounds the ratio of the sizes.
         fits = (100 * np.minimum(size[right], size[a]) >= percent * np.maximum(size[right], size[a]))
         others = right[fits & (part[right] != part[a])]
+        if size[a] >= LARGE:
+            large = others[size[others] >= LARGE]
+            if len(large):
+                guess = estimate((regs[row[large]] == regs[row[a]]).mean(1), size[a], size[large])
+                others = np.concatenate([others[size[others] < LARGE], large[guess >= floor]])
         if not len(others):
             continue
-        guess = estimate((regs[others] == regs[a]).mean(1), size[a], size[others])
-        order = np.argsort(-guess, kind="stable")
-        for b in others[order[: int((guess >= floor).sum())]]:
-            if part[a] == part[b]:
-                continue
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if 100 * both >= percent * (size[a] + size[b] - both):
+        held[shingle[start[a] : start[a] + size[a]]] = True
+        first = np.cumsum(size[others]) - size[others]
+        at = np.repeat(start[others] - first, size[others]) + np.arange(size[others].sum())
+        both = np.add.reduceat(held[shingle[at]], first, dtype=np.int64)
+        held[shingle[start[a] : start[a] + size[a]]] = False
+        for b in others[100 * both >= percent * (size[a] + size[others] - both)]:
+            if part[a] != part[b]:
                 part[part == part[b]] = part[a]
                 links.append((int(a), int(b)))
     return links
@@ -225,7 +264,7 @@ def near_duplicates(
     """
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text"))
     sketched = cut_lineage(
-        source.select("_id", F.xxhash64("_text").alias("text_hash"), _sketch(words)(F.col("_text")).alias("_s"))
+        source.select("_id", F.xxhash64("_text").alias("text_hash"), _sketch(words, percent)(F.col("_text")).alias("_s"))
         .select("_id", "text_hash", F.col("_s.n").alias("n"), F.col("_s.digest").alias("digest"),
                 F.col("_s.bands").alias("bands"))
     )

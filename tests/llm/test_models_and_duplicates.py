@@ -190,6 +190,50 @@ def test_keep_first(spark):
     assert hyperminhash.keep_first(table.limit(0)).count() == 0
 
 
+def test_short_texts_keep_their_links(spark):
+    """Texts of 4 to 12 shingles, and the same with a word more or less, against all pairs."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(1500):
+        base = [f"{rng.randrange(10**6)}w{i}" for _ in range(rng.randrange(4, 13) + 3)]
+        end = rng.choice([1, 1, 2])
+        texts += [base, rng.choice([base + ["more"] * end, ["more"] * end + base, base[:-end]])]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    expected = {}
+    for a in range(0, len(rows), 2):
+        # Words carry the number of their pair, so no other two texts share a shingle.
+        for (i, _), (n, c) in zip(rows[a : a + 2], slow_components(rows[a : a + 2], 4, 80)):
+            expected[i] = (n, c)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in hyperminhash.near_duplicates(table, words=4).collect()}
+    assert found == expected
+
+
+def test_small_sets_share_a_key():
+    """Any two small sets that reach the limit have an exact key in common and are linked."""
+    rng = np.random.default_rng(13)
+    reached = 0
+    for _ in range(3000):
+        both, only = int(rng.integers(1, 20)), rng.integers(0, 4, 2)
+        pool = hyperminhash.mix(rng.integers(0, 2**63, both + only.sum(), dtype=np.uint64))
+        a, b = np.sort(pool[: both + only[0]]), np.sort(np.concatenate([pool[:both], pool[both + only[0] :]]))
+        if max(len(a), len(b)) <= hyperminhash.SMALL and 100 * both >= 80 * len(pool):
+            reached += 1
+            assert set(hyperminhash.small_keys(a, 80)) & set(hyperminhash.small_keys(b, 80))
+            assert hyperminhash.forest([a, b], np.arange(2), np.arange(2), 80) == [(0, 1)]
+    assert reached > 500
+
+
+def test_large_sets_are_linked():
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    near = [np.unique(base[i * 100 :]) for i in range(3)]
+    far = [np.unique(rng.integers(0, 2**63, 2000, dtype=np.uint64)), np.unique(base[:900])]
+    sets = [*near, *far, np.unique(base[:1100])]
+    links = hyperminhash.forest(sets, np.arange(6), np.arange(6), 80)
+    assert len(links) == 3 and {frozenset(x) for x in links} >= {frozenset((4, 5))}
+
+
 def test_hot_group_emits_no_pairs():
     """A tile of one large group returns a spanning forest."""
     rng = np.random.default_rng(9)
