@@ -72,18 +72,26 @@ BETWEEN = re.compile(r" (?=\S)(?<=\S )")
 
 
 class Encoder(dict):
-    """Ids of a byte-level vocabulary file of the ``tokenizers`` library, without special tokens.
+    """Ids of a byte-level vocabulary file of the ``tokenizers`` library; no special tokens are put around a text.
 
     In such a vocabulary the id of a token is its merge rank, so the rank encoder gives the same ids
     several times faster (a test holds them together).  A space with other characters on both sides
     starts a new match of the split pattern, so the text between two such spaces is encoded by itself
-    and its ids are remembered in this mapping.  The strings of special tokens are ordinary text.
+    and its ids are remembered in this mapping.  With ``added``, the strings of the file's added tokens
+    inside a text are those tokens, as the library has it; without, they are ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         super().__init__()
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary, tokens = file["model"]["vocab"], file.get("added_tokens") or []
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in tokens} if added else {}
+        if added and any(t.get(flag) for t in tokens for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that strip or match whole words are not supported")
+        # At one place the longest counts; the group keeps the tokens in the split.
+        contents = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, contents))})") if contents else None
         shown = _shown_bytes()
         ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if not token.startswith("<|")}
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -99,6 +107,13 @@ class Encoder(dict):
         """Little-endian 32-bit ids of a whole text."""
         if len(self) > CACHE:
             self.clear()
+        if self.cut is None:
+            return self._between(text)
+        parts = self.cut.split(text)
+        return b"".join([self.added[p] if i % 2 else self._between(p) for i, p in enumerate(parts)])
+
+    def _between(self, text: str) -> bytes:
+        """Ids of the text between added tokens."""
         first, *rest = BETWEEN.split(text)
         return b"".join([array("I", self.encode(first)).tobytes(), *map(self.__getitem__, rest)])
 
@@ -124,7 +139,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get((path, pattern)) or _ENCODERS.setdefault((path, pattern), Encoder(path, pattern))
+        encoder = _ENCODERS.get((path, pattern)) or _ENCODERS.setdefault((path, pattern), Encoder(path, pattern, True))
         fit, base = BestFit(length, most_open), TaskContext.get().partitionId() << 33
         tail = np.array([end_token], "<u4").tobytes()
         for batch in (b.slice(at, AHEAD) for b in batches for at in range(0, len(b), AHEAD)):

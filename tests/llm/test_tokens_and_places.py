@@ -90,6 +90,23 @@ def test_encoder_equals_library():
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+def test_added_tokens_equal_library(spark):
+    """The library as it is: strings of added tokens inside a text are those tokens."""
+    library = Tokenizer.from_file(VOCABULARY)
+    encoder = packing.Encoder(VOCABULARY, P.PATTERN, added=True)
+    rng = random.Random(5)
+    pieces = ["word", "  ", "\n", " ", "x,", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<|", "語"]
+    texts = TEXTS + ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>"]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(300)]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert wanted[len(TEXTS)] == [64, 220, 50256, 275]
+    for text, ids in zip(texts, wanted):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == ids, text[:50]
+    table = spark.createDataFrame(list(enumerate(texts[len(TEXTS) :])), "doc_id long, text string")
+    found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(table, VOCABULARY, P.PATTERN, 2).collect()}
+    assert found == {i: ids + [2] for i, ids in enumerate(wanted[len(TEXTS) :])}
+
+
 def test_best_fit_takes_the_fullest():
     fit = packing.BestFit(10, 3)
     assert [fit.place(s) for s in (6, 7, 3, 4, 10)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0)]
