@@ -23,12 +23,15 @@ def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, order: str = "e
     """Append the first record of each key to a parquet folder, once for all time.
 
     A micro-batch is compared with all keys stored before it, so a record may come late, or
-    repeat a key of any age.  Each batch owns one folder, which a replay writes anew.
+    repeat a key of any age.  Each batch owns one folder, which a replay writes anew.  A record without
+    ``order`` comes after those that have it.
     """
     spark = stream.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        first = batch.groupBy(*KEY).agg(F.min_by(F.struct(*[F.col(c) for c in batch.columns]), order).alias("_r"))
+        # A struct is never NULL, so that min_by sees records without a time as well.
+        last = F.struct(F.col(order).isNull(), F.col(order))
+        first = batch.groupBy(*KEY).agg(F.min_by(F.struct(*[F.col(c) for c in batch.columns]), last).alias("_r"))
         fresh = first.select("_r.*")
         try:
             stored = spark.read.schema(batch.schema.add("batch", "long")).option("basePath", sink).parquet(f"{sink}/batch=*")

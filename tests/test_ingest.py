@@ -248,6 +248,20 @@ def test_streams(spark, tmp_path):
     assert [r.description for r in stored["tx"].collect()] == ["new"]
 
 
+def test_stream_keeps_records_without_time(spark, tmp_path):
+    schema = "ledger_id string, account_id long, hash string, event_ts timestamp"
+    rows = [("L", 1, "a", None), ("L", 1, "a", "2024-01-02"), ("L", 2, "a", None), ("L", 2, "a", None), ("L", 3, "a", "2024-01-03")]
+    names = "ledger_id string, account_id long, hash string, t string"
+    # The second batch repeats a key that has no time and brings a new one.
+    for batch in (rows, [("L", 2, "a", None), ("L", 4, "a", None)]):
+        made = spark.createDataFrame(batch, names).select("ledger_id", "account_id", "hash", F.col("t").cast("timestamp").alias("event_ts"))
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = stream.feed_stream(spark, str(tmp_path / "in"), schema)
+        stream.ingest_stream(source, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    found = [(r.ledger_id, r.account_id, r.event_ts and str(r.event_ts.date())) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(found, key=str) == [("L", 1, "2024-01-02"), ("L", 2, None), ("L", 3, "2024-01-03"), ("L", 4, None)]
+
+
 def test_hierarchy_refuses_cycles(spark):
     rows = [("L", 1, 2, "a"), ("L", 2, 1, "b"), ("L", 3, 1, "c"), ("L", 4, None, "d")]
     with pytest.raises(ValueError, match="ancestors"):
