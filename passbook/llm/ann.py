@@ -34,8 +34,6 @@ SAMPLE, BRANCH, LEAF = 16_384, 8, 512
 #: Queries of the calibration, wanted recall, and rows in a block of a leaf.
 PROBES, RECALL, BLOCK = 256, 0.95, 4096
 SEED = 20_240_531
-#: Extra candidates whose scores are computed exactly before the best are taken.
-SPARE = 8
 
 
 @dataclass(frozen=True)
@@ -96,14 +94,15 @@ def file_in(tree: Tree, vectors: np.ndarray) -> np.ndarray:
     return at
 
 
-def best_bins(tree: Tree, query: np.ndarray, visits: int) -> list[int]:
-    """The first leaves in best-bin-first order."""
+def best_bins(tree: Tree, query: np.ndarray, visits: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+    """The first leaves in best-bin-first order, and more until they hold ``least`` rows by ``held``."""
     worth = tree.centres @ query
-    queue, out = [(0.0, 0)], []
-    while queue and len(out) < visits:
+    queue, out, rows = [(0.0, 0)], [], 0
+    while queue and (len(out) < visits or rows < least):
         _, node = heapq.heappop(queue)
         if not tree.children[node]:
             out.append(node)
+            rows += (held or {}).get(node, 0)
         for child in tree.children[node]:
             heapq.heappush(queue, (-worth[child], child))
     return out
@@ -116,14 +115,19 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def best_of(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and scores of the best k, ties to the smaller id.
 
-    A product of matrices may round equal vectors differently, so the best are scored again one by one.
+    A product of matrices may round equal vectors differently, so all rows that are not below the
+    k-th by more than rounding are scored again one by one, however many tie.
     """
+    longest = np.sqrt((vectors**2).sum(1).max(initial=0.0))
     for block in range(0, len(queries), 512):
         part = queries[block : block + 512]
         rough = part @ vectors.T
-        take = min(k + SPARE, len(ids))
-        near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-        for q, rows in zip(part, near):
+        last = len(ids) - min(k, len(ids))
+        kth = np.partition(rough, last, axis=1)[:, last]
+        margin = 4 * vectors.shape[1] * np.finfo(float).eps * longest * np.sqrt((part**2).sum(1))
+        for q, worth, floor in zip(part, rough, kth - margin):
+            # Not "below" instead of "at least": an overflow to NaN keeps its row.
+            rows = np.flatnonzero(~(worth < floor))
             score = (vectors[rows] * q).sum(1)
             order = np.lexsort((ids[rows], -score))[:k]
             yield ids[rows][order], score[order]
@@ -179,11 +183,14 @@ def _search(candidates: DataFrame, queries: DataFrame, width: int, k: int, probe
     needed = sorted(place[r["q"]][r["leaf"]] + 1 for r in true if r["id"] != probe_ids[r["q"]])
     visits = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
 
+    # The visited leaves of a query hold k + 1 rows at least; there are no more leaves than sample rows.
+    held = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, len(whole), 128):
                 b = whole.slice(start, 128)
-                rows = [(i, leaf) for i, q in enumerate(_matrix(b.column("v"), width)) for leaf in best_bins(tree, q, visits)]
+                rows = [(i, leaf) for i, q in enumerate(_matrix(b.column("v"), width)) for leaf in best_bins(tree, q, visits, held, k + 1)]
                 at, leaf = zip(*rows)
                 taken = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(

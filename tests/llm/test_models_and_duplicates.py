@@ -69,6 +69,43 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_ties_go_to_the_smaller_ids():
+    """Groups of copies and of distinct vectors of equal score that straddle the cut."""
+    rng = np.random.default_rng(15)
+    query = np.array([[1.0, 0.5, 0.25, 0.0]])
+    near = np.array([[2.0 + i, 0, 0, 0] for i in range(10)])
+    copies = np.tile([1.0, 1.0, 0, 0], (21, 1))
+    tied = np.column_stack([np.ones(200), np.ones(200), np.zeros(200), np.arange(200)])
+    for group in (copies, tied):
+        vectors = np.concatenate([near, group, -near])
+        for _ in range(50):
+            ids = rng.permutation(len(vectors))
+            found, score = next(ann.best_of(query, vectors, ids, 21))
+            expected = sorted((-float((v * query[0]).sum()), i) for v, i in zip(vectors, ids))[:21]
+            assert list(zip(-score, found)) == expected
+
+
+def test_visits_until_enough_rows():
+    tree = ann.fit_tree(np.random.default_rng(16).normal(size=(500, 8)), leaf=20)
+    query = np.ones(8)
+    order = ann.best_bins(tree, query, tree.leaves)
+    held = {leaf: 2 for leaf in order[1:]}
+    assert ann.best_bins(tree, query, 1, held, 5) == order[:4]
+    assert ann.best_bins(tree, query, 1, held, 10**6) == order
+
+
+def test_every_query_has_all_neighbours(spark, monkeypatch):
+    """One visit by the calibration, and leaves of fewer rows than are asked for."""
+    for name, value in (("SAMPLE", 400), ("LEAF", 8)):
+        monkeypatch.setattr(ann, name, value)
+    monkeypatch.setattr(ann.fit_tree, "__defaults__", (8, 8, ann.SEED))
+    rng = np.random.default_rng(17)
+    rows = [(i, np.float32(v).tolist(), 0) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    table = spark.createDataFrame(rows, VECTORS)
+    counts = {r.query_id: r["count"] for r in ann.nearest(table, every=20, k=30, probes=8, recall=0.0).groupBy("query_id").count().collect()}
+    assert counts == {i: 30 for i in range(0, 300, 20)}
+
+
 def test_tree_files_and_finds():
     rng = np.random.default_rng(2)
     points = rng.normal(size=(500, 8))
