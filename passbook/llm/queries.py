@@ -9,7 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.llm import ann, bpe, chat, compress, divergence, divergence_sql, hyperminhash, licenses, packing, sharding, urls
+from passbook.llm import (
+    ann,
+    bpe,
+    chat,
+    compress,
+    divergence,
+    divergence_sql,
+    hyperminhash,
+    level_packing,
+    licenses,
+    packing,
+    piece_table,
+    sharding,
+    urls,
+    vector_codes,
+)
 from passbook.session import checkpoint_root, cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,13 +188,97 @@ def op10_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_codes(spark: SparkSession, sf: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf, "embeddings"))
+    return codes.withColumn("codebooks_sha256", F.lit(books.sha256()))
+
+
+def _op11_sql(rounds: int) -> str:
+    """The rounds written out one after the other."""
+    nearest = """SELECT vec_id, label, p, any_value(x.c) AS c, min({'d': d, 'e': e}) AS best FROM (
+      SELECT x.vec_id, x.label, x.p, x.c, b.e,
+        list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+      FROM parts x JOIN BOOK b ON x.p = b.p) x GROUP BY vec_id, label, p"""
+    moved = """SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM BOOK b LEFT JOIN (
+      SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+        SELECT p, best.e AS e, i, sum(c[i])::HUGEINT AS s, count(*) AS n
+        FROM near_ROUND JOIN range(1, 9) r(i) ON true GROUP BY ALL) GROUP BY p, e
+    ) m ON b.p = m.p AND b.e = m.e"""
+    steps = ""
+    for r in range(1, rounds + 1):
+        near = nearest.replace("BOOK", f"book_{r - 1}")
+        move = moved.replace("BOOK", f"book_{r - 1}").replace("ROUND", str(r))
+        steps += f"near_{r} AS MATERIALIZED ({near}),\nbook_{r} AS MATERIALIZED ({move}),\n"
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), parts AS MATERIALIZED (
+  SELECT vec_id, label, p, v[8 * p + 1 : 8 * p + 8] AS c FROM kept JOIN range(8) r(p) ON true
+), book_0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, c FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)
+),
+{steps}last AS MATERIALIZED ({nearest.replace("BOOK", f"book_{rounds}")}
+), coded AS (
+  SELECT vec_id, label, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+  FROM last GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book_{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    cut = table(spark, sf, "documents").select(
+        "doc_id", piece_table.fill_in_middle(F.col("doc_id"), F.col("text")).alias("_c")
+    ).select("doc_id", "_c.*")
+    return cut.withColumn("_r", piece_table.restore(F.col("output"), F.col("form"))).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.col("_r.sha256").alias("restored_sha256")
+    )
+
+
+OP12_SQL = """
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, ''))::BIGINT AS n,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), numbers AS (
+  SELECT doc_id, x, n, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS h FROM texts
+), cuts AS (
+  SELECT doc_id, x, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT *, '<P>' || substr(x, 1, a) AS p, '<M>' || substr(x, a + 1, b - a) AS m, '<S>' || substr(x, b + 1) AS s FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256,
+  sha256(x) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_sum_of_squares(spark: SparkSession, sf: str) -> DataFrame:
+    packed = level_packing.pack(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_token=1
+    )
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_perspectives, op2_divergence, op3_nearest, op4_compression, op5_bpe, op6_urls, op7_hyperminhash,
-        op8_best_fit, op9_licenses, op10_shuffle,
+        op8_best_fit, op9_licenses, op10_shuffle, op11_codes, op12_fill_in_middle, op13_sum_of_squares,
     )
 }
 SQL: dict[str, str] = {
     "op1_perspectives": OP1_SQL, "op2_divergence": divergence_sql.SQL, "op6_urls": OP6_SQL, "op7_hyperminhash": OP7_SQL,
+    "op11_codes": _op11_sql(vector_codes.ROUNDS), "op12_fill_in_middle": OP12_SQL,
 }
