@@ -1,8 +1,8 @@
 """Full text as a postings table ``(ledger_id, term, id, pos)``.
 
 Every matcher returns distinct ``(ledger_id, id)`` pairs for a semi or anti
-join.  Filters on ``term`` reach the scan, so a table bucketed or sorted by
-term is read only where it must be.
+join.  Filters on ``term`` reach the scan, so an index stored by term
+(``segments``) is read only where it must be.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.functions.text import fold_literal, searchable_text, token_list, tokens
@@ -39,22 +39,6 @@ def indexed_rows(tx: DataFrame) -> DataFrame:
     return tx.groupBy("ledger_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def store_postings(postings: DataFrame, path: str) -> None:
-    """Write postings as files by ranges of terms, sorted, so a search reads only the blocks of its words."""
-    postings.repartitionByRange("term", "ledger_id", "id").sortWithinPartitions("term", "ledger_id", "id").write.parquet(path)
-
-
-def stored_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("ledger_id string, term string, id long, pos int").parquet(path)
-
-
-def refresh_postings(postings: DataFrame, changed: DataFrame, notes: DataFrame | None = None) -> DataFrame:
-    """Replace the postings of the changed transactions; repeating it changes nothing."""
-    ids = changed.select("ledger_id", "id").distinct()
-    kept = postings.join(ids, ["ledger_id", "id"], "left_anti")
-    return kept.select(*POSTING_COLUMNS).unionByName(build_postings(changed, notes))
-
-
 def check_postings(postings: DataFrame, tx: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     """(ledger_id, id, term, problem) of every missing or phantom pair; empty when in order.
 

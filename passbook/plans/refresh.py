@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passbook.functions.money import row_hash
 from passbook.functions.periods import parse_ledger_date
 from passbook.operators import ingest as ops
-from passbook.operators.fulltext import refresh_postings
+from passbook.operators.segments import refresh_index
 from passbook.schema import Books
 from passbook.session import cut_lineage
 from passbook.sources import exports, feeds
@@ -48,7 +48,7 @@ def refresh(
     at: str,
     target: str | None = None,
     pulled: DataFrame | None = None,
-    postings: DataFrame | None = None,
+    index: str | None = None,
     notes: DataFrame | None = None,
 ) -> tuple[Books, dict[str, DataFrame]]:
     """Import every unseen export of one root, and the records ``pulled`` from feeds, as one batch.
@@ -56,8 +56,9 @@ def refresh(
     ``pulled`` has the place of each record (ledger, bank and account name), the columns of a raw
     record and ``position``, its place in the pull; pulled records arrive after the files.
     Returns the new books and the side tables (``imported_files``,
-    ``import_batches``, ``labels``, ``counts``, and ``postings`` brought up to date if given).  With
-    ``target`` everything is published there as one version; any failure before leaves the old one.
+    ``import_batches``, ``labels`` and ``counts``).  With ``target`` everything is published there as one
+    version; any failure before leaves the old one.  The stored ``index`` then gets one segment of what
+    was added or improved; a repeated refresh of the same rows brings it up to date after a failure there.
     """
     files = exports.file_fingerprint(spark, root, ledger_id)
     discovered = exports.listed_accounts(spark, root, ledger_id)
@@ -96,11 +97,10 @@ def refresh(
         "labels": labels,
         "counts": ops.refresh_counts(books.banks, after.banks, books.accounts, after.accounts, unseen),
     }
-    if postings is not None:
-        touched = labels.filter("outcome <> 'unchanged'").select(*ops.KEY).distinct()
-        changed = after.transactions.join(touched, ops.KEY, "left_semi")
-        extra["postings"] = refresh_postings(postings, changed, notes)
     if target:
         tables = {n: getattr(after, n) for n in ("banks", "accounts", "transactions")}
         publish({**tables, **extra}, target, f"{batch_id:012d}")
+    if index:
+        touched = labels.filter("outcome <> 'unchanged'").select(*ops.KEY).distinct()
+        refresh_index(spark, index, after.transactions.join(touched, ops.KEY, "left_semi"), notes)
     return after, extra

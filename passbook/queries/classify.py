@@ -180,11 +180,11 @@ def similar_merchants(spark, sf):
               WHERE q.id <> c.id)
     SELECT ledger_id, query_id, id, similarity, place FROM (
       SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY ledger_id, query_id ORDER BY similarity DESC, id) AS INTEGER) AS place FROM lists)
-    WHERE place <= 20""")
+    WHERE place <= 200""")
 def similar_transactions(spark, sf):
     rows = star.frame(spark, sf, "merchants")
     # Rounded like the other side, so that equal similarities tie by id on both.
-    found = features.similar_transactions(rows, rows, top=20, digits=7)
+    found = features.similar_transactions(rows, rows, top=200, digits=7)
     return found
 
 

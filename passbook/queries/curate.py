@@ -339,22 +339,26 @@ def bulk_accept_transfers(spark, sf):
 
 @query("mark_transfers", """
     WITH tx AS (SELECT ledger_id, id, amount_cents FROM {tx_events}),
-         old AS (SELECT ledger_id, id, from_transaction_id AS f, to_transaction_id AS t FROM {event_links} WHERE id % 8 IN (0, 5)),
+         old AS (SELECT ledger_id, id, from_transaction_id AS f, to_transaction_id AS t FROM {event_links}),
          asked AS (SELECT a.ledger_id AS ledger_id, CASE WHEN a.amount_cents < 0 THEN a.id ELSE b.id END AS f,
                           CASE WHEN a.amount_cents < 0 THEN b.id ELSE a.id END AS t
-                   FROM tx a JOIN tx b ON a.ledger_id = b.ledger_id AND b.id = a.id + 4 AND b.amount_cents = -a.amount_cents
-                   WHERE a.id % 8 < 4),
+                   FROM tx a JOIN tx b ON a.ledger_id = b.ledger_id AND b.amount_cents = -a.amount_cents
+                     AND b.id = a.id + CASE WHEN a.id % 32 < 16 THEN 4 ELSE 8 END
+                   WHERE a.id % 32 < 16 AND a.id % 8 < 4 OR a.id % 32 >= 16 AND a.id % 16 < 8),
          fresh AS (SELECT * FROM asked a WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.ledger_id = a.ledger_id AND o.f = a.f AND o.t = a.t)),
          legs AS (SELECT ledger_id, f AS id FROM fresh UNION SELECT ledger_id, t FROM fresh)
     SELECT ledger_id, f AS from_transaction_id, t AS to_transaction_id, FALSE AS fresh FROM old o
     WHERE NOT EXISTS (SELECT 1 FROM legs l WHERE l.ledger_id = o.ledger_id AND l.id IN (o.f, o.t))
     UNION ALL SELECT ledger_id, f, t, TRUE FROM fresh""")
 def mark_transfers(spark, sf):
-    """Half of the events are offered with the fourth after them; some pairs are linked already, some legs to others."""
+    """Every event is offered in one pair, with the fourth or the eighth after it; all fourths are linked
+    already, so pairs of eighths break the links of their legs."""
     books = star.books(spark, sf)
     tx = star.frame(spark, sf, "tx_events")
-    pairs = tx.filter("id % 8 < 4").select("ledger_id", F.col("id").alias("a_id"), (F.col("id") + 4).alias("b_id"))
-    linked = star.frame(spark, sf, "event_links").filter("id % 8 IN (0, 5)")
+    step = F.when(F.col("id") % 32 < 16, 4).otherwise(8)
+    heads = tx.filter((F.col("id") % (2 * step)) < step)
+    pairs = heads.select("ledger_id", F.col("id").alias("a_id"), (F.col("id") + step).alias("b_id"))
+    linked = star.frame(spark, sf, "event_links")
     after = curate.mark_transfers(books.with_tables(transactions=tx, transfers=linked), pairs, AT).transfers
     return after.select(
         "ledger_id", "from_transaction_id", "to_transaction_id", (F.col("created_at") == F.lit(AT).cast("timestamp")).alias("fresh")

@@ -247,16 +247,15 @@ def overlap_pull(spark, sf):
            CAST(SIGN(value - 50) * FLOOR(ABS(value - 50) * 100 + 0.5) AS BIGINT) AS amount_cents,
            '{{"pocketsmith_id":' || CAST(event_id AS STRING)
              || ',"pocketsmith_category":"Users/' || CAST(user_id % 4 AS STRING) || '/' || event_type
-             || '","pocketsmith_category_id":' || CAST(LENGTH(event_type) AS STRING)
+             || '","pocketsmith_category_id":' || CAST(CAST('0x' || SUBSTR(md5(event_type), 1, 8) AS BIGINT) AS STRING)
              || CASE WHEN event_type = 'error' THEN ',"memo":"failed"' ELSE '' END
              || CASE WHEN value > 100 THEN ',"original_payee":"' || event_type || '!"' ELSE '' END || '}}' AS metadata
-    FROM {events}
-    WHERE LENGTH(event_type) IN (SELECT LENGTH(event_type) FROM {events} GROUP BY 1 HAVING COUNT(DISTINCT event_type) = 1)""")
+    FROM {events}""")
 def normalise_feed(spark, sf):
-    """Categories are told apart by the length of an event type; the few types that share one are left out."""
-    events = star.frame(spark, sf, "events").withColumn("n", F.length("event_type").cast("bigint"))
-    single = events.groupBy("n").agg(F.count_distinct("event_type").alias("types")).filter("types = 1").select("n")
-    events = events.join(single, "n").withColumn("ledger_id", (F.col("user_id") % 4).cast("string"))
+    """All events; each type is a category with an id of its own."""
+    number = F.conv(F.substring(F.md5(F.col("event_type").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    events = star.frame(spark, sf, "events").withColumn("n", number)
+    events = events.withColumn("ledger_id", (F.col("user_id") % 4).cast("string"))
     feed = events.select(
         "ledger_id", F.col("user_id").alias("account_id"), F.col("event_id").alias("id"),
         F.col("ts").cast("date").cast("string").alias("date"), F.col("event_type").alias("payee"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from passbook.operators import aggregates, rules as ops
@@ -108,15 +110,28 @@ def preview_rules(spark, sf):
     return ops.preview_rules(_books(spark, sf), AT)
 
 
-@query("rules_settle", "SELECT lang AS ledger_id, doc_id AS transaction_id FROM {documents} WHERE FALSE")
+# The state of a second run, over what the first one wrote.
+STATE_2 = re.sub(r"\b(kept|seen|noted|hits|claimed|writes)\b", r"\1_2", STATE).replace("{enrichments}", "once")
+
+
+@query("rules_settle", f"""
+    WITH {STATE},
+         once AS (SELECT ledger_id, transaction_id, category_id, category_source, category_confirmed, ai_confidence FROM kept k
+                  WHERE NOT EXISTS (SELECT 1 FROM writes w WHERE w.ledger_id = k.ledger_id AND w.id = k.transaction_id)
+                  UNION ALL SELECT ledger_id, id, CAST(new_category AS BIGINT), 'rule', NOT review, NULL FROM writes),
+         {STATE_2},
+         prior AS (SELECT * FROM once WHERE category_source = 'rule' AND category_id IS NOT NULL)
+    SELECT w.ledger_id AS ledger_id, w.id AS transaction_id, CAST(w.rule_id AS BIGINT) AS rule_id,
+           p.category_id AS prior_category_id, CAST(w.new_category AS BIGINT) AS category_id
+    FROM writes_2 w LEFT JOIN prior p ON p.ledger_id = w.ledger_id AND p.transaction_id = w.id
+    WHERE p.category_id IS NULL OR p.category_id <> w.new_category""")
 def rules_settle(spark, sf):
-    """A second run over the result of the first changes nothing that rule terms cannot see."""
+    """What a second run over the result of the first changes: rows whose scores and categories moved under
+    the rules that read them."""
     books = _books(spark, sf)
-    # Without the rules that read scores or categories, which the first run changes.
-    steady = books.with_tables(rules=books.rules.filter("id NOT IN (101, 102)"))
-    once = ops.apply_rules(steady, AT)
-    again = ops.apply_rules(steady.with_tables(enrichments=once.enrichments), AT)
-    return again.changes.select("ledger_id", "transaction_id")
+    once = ops.apply_rules(books, AT)
+    again = ops.apply_rules(books.with_tables(enrichments=once.enrichments), AT)
+    return again.changes.select("ledger_id", "transaction_id", "rule_id", "prior_category_id", "category_id")
 
 
 @query("rule_match_counts", f"""

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
 from passbook.functions.text import searchable_text, tokens
-from passbook.operators import fulltext, predicates, search
+from passbook.operators import fulltext, predicates, search, segments
 from passbook.queries import query
 from passbook.queries.search import LIVE
 from passbook.session import checkpoint_root
-from passbook.sources import star
+from passbook.sources import star, store
 from passbook.sources.sinks import csv_field
 
 # Word lists of documents (description, metadata, note) as the SQL side makes them.
@@ -25,18 +26,17 @@ def _docs(spark, sf):
     return star.frame(spark, sf, "doc_tx"), star.frame(spark, sf, "doc_notes")
 
 
-# Where the postings of a table folder are stored, by session.
-_STORED: dict[tuple[str, str], str] = {}
+def _index(spark, sf) -> str:
+    """The stored index of the documents, built by the first search and again when the files change."""
+    files = [store.modified(spark, f"{sf}/{name}.parquet") for name in ("documents", "labels")]
+    root = f"{checkpoint_root(spark)}/index-{hashlib.sha256(repr((sf, files)).encode()).hexdigest()[:24]}"
+    if store.latest(spark, root) is None:
+        segments.create_index(spark, root, *_docs(spark, sf))
+    return root
 
 
 def _postings(spark, sf):
-    """Postings of the documents, written by the first search of a session and read by all."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
-        path = f"{checkpoint_root(spark)}/postings-{uuid.uuid4().hex}"
-        fulltext.store_postings(fulltext.build_postings(*_docs(spark, sf)), path)
-        _STORED[key] = path
-    return fulltext.stored_postings(spark, _STORED[key])
+    return segments.index_postings(spark, _index(spark, sf))
 
 
 @query("searchable_words", f"""
@@ -64,13 +64,36 @@ def indexed_rows(spark, sf):
     return fulltext.indexed_rows(star.frame(spark, sf, "doc_tx"))
 
 
+def _edited(spark, sf, edits=5):
+    """An index built without notes, and brought up to date by ``edits`` refreshes and merges."""
+    tx, notes = _docs(spark, sf)
+    root = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
+    segments.create_index(spark, root, tx)
+    noted = tx.join(notes.select("ledger_id", F.col("transaction_id").alias("id")), ["ledger_id", "id"], "left_semi")
+    for edit in range(edits):
+        part = F.pmod(F.xxhash64("id"), F.lit(edits)) == edit
+        segments.refresh_index(spark, root, noted.filter(part), notes)
+        segments.merge_segments(spark, root)
+    return root
+
+
 @query("postings_in_order", "SELECT lang AS ledger_id, doc_id AS id, text AS term, text AS problem FROM {documents} WHERE FALSE")
 def postings_in_order(spark, sf):
-    """Refreshing the noted documents of an index built without notes leaves it in order."""
-    tx, notes = _docs(spark, sf)
-    stale = fulltext.build_postings(tx)
-    changed = tx.join(notes.select("ledger_id", F.col("transaction_id").alias("id")), ["ledger_id", "id"], "left_semi")
-    return fulltext.check_postings(fulltext.refresh_postings(stale, changed, notes), tx, notes)
+    """Five refreshes of the noted documents leave an index built without notes in order."""
+    held = segments.index_postings(spark, _edited(spark, sf))
+    return fulltext.check_postings(held, *_docs(spark, sf))
+
+
+@query("segment_postings", f"""
+    SELECT ledger_id, term, CAST(COUNT(*) AS BIGINT) AS hits, CAST(SUM(pos) AS BIGINT) AS places, CAST(COUNT(DISTINCT id) AS BIGINT) AS rows
+    FROM (SELECT ledger_id, id, unnest(words) AS term, unnest(range(len(words))) AS pos FROM {WORDS}) GROUP BY 1, 2""")
+def segment_postings(spark, sf):
+    """What five small segments over the first leave of each word."""
+    held = segments.index_postings(spark, _edited(spark, sf))
+    per_row = held.groupBy("ledger_id", "term", "id").agg(F.count(F.lit(1)).alias("_n"), F.sum("pos").alias("_p"))
+    return per_row.groupBy("ledger_id", "term").agg(
+        F.sum("_n").alias("hits"), F.sum("_p").alias("places"), F.count(F.lit(1)).alias("rows")
+    )
 
 
 @query("postings_stale", """
@@ -120,8 +143,7 @@ _ids(
     SELECT t.ledger_id AS ledger_id, t.id AS id, t.amount_cents AS amount_cents FROM {{doc_tx}} t JOIN {WORDS} w
       ON t.ledger_id = w.ledger_id AND t.id = w.id WHERE NOT ({_has('reviewed')})""")
 def exclude_match(spark, sf):
-    tx, notes = _docs(spark, sf)
-    found = fulltext.exclude_match(tx, fulltext.build_postings(tx, notes), "reviewed")
+    found = fulltext.exclude_match(star.frame(spark, sf, "doc_tx"), _postings(spark, sf), "reviewed")
     return found.select("ledger_id", "id", "amount_cents")
 
 

@@ -12,7 +12,7 @@ from conftest import AT, table
 from passbook.functions.money import row_hash
 from passbook.operators import fulltext
 from passbook.operators import ingest as ops
-from passbook.operators import ranking
+from passbook.operators import ranking, segments
 from passbook.operators.ranking import previous_value, rank_along
 from passbook.plans.refresh import refresh
 from passbook.schema import empty_books, struct
@@ -174,16 +174,17 @@ def test_refresh(spark, tmp_path):
         "ledger_id string, bank_name string, account_name string, date string, description string, amount_cents long, "
         "balance_cents long, hash string, metadata string, position long",
     )
-    before = fulltext.build_postings(stored.transactions)
+    index = str(tmp_path / "index")
+    segments.create_index(spark, index, stored.transactions)
     third, more = refresh(
         spark, stored, sinks.current(spark, out, "imported_files"), batches, str(tmp_path / "in"), batch_id=3, at=AT,
-        pulled=pulled, postings=before, **args,
+        pulled=pulled, index=index, **args,
     )
     assert third.accounts.filter("deleted_at is not null").count() == 0
     assert {r.name for r in third.accounts.collect()} == {"Household", "Joint", "Feed"}
     assert {r.description for r in third.transactions.collect()} == {"Coffee", "Tea", "Pay, bonus", "Pulled tea"}
     assert {(r.outcome, r.records) for r in ops.ingest_report(more["labels"]).collect()} == {("added", 1), ("unchanged", 1)}
-    assert fulltext.check_postings(more["postings"], third.transactions).count() == 0
+    assert fulltext.check_postings(segments.index_postings(spark, index), third.transactions).count() == 0
 
 
 def test_vanished_bank_keeps_accounts(spark, golden):
