@@ -1,7 +1,8 @@
 """Ordered saved searches that assign categories; the first match claims a transaction.
 
-The rules of a ledger travel as one small array beside its transactions, so
-every transaction meets all its rules in one pass, without a row per rule.
+Rules are rows.  Each is filed under its most selective term (``rule_index``);
+a transaction fetches the rules filed under its own keys and only these are
+evaluated on it.  Terms are compiled and patterns checked on the executors.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 
 from passbook.functions.money import amount_bounds, confidence_bounds
 from passbook.functions.periods import Calendar, resolve
-from passbook.functions.text import searchable_text, tag_name, token_list, tokens
+from passbook.functions.text import regex_term, searchable_text, tag_name, token_list, tokens
 from passbook.operators import views
 from passbook.operators.curate import set_categories
 from passbook.operators.predicates import ALIASES, Predicate, term
 from passbook.operators.predicates import FIELDS as REGISTERED
 from passbook.operators.ranking import rank_sorted
+from passbook.operators.rule_index import EVERY, RANKS, row_keys, term_keys
 from passbook.schema import OVERRIDE_MODES, Books
 from passbook.session import cut_lineage
 
@@ -27,12 +29,15 @@ from passbook.session import cut_lineage
 COMPILED = (
     "kind string, date_low date, date_high date, low double, high double, "
     "low_open boolean, high_open boolean, magnitude boolean, present boolean, "
-    "left array<string>, right array<string>, literal int"
+    "left array<string>, right array<string>, literal int, pattern string, rank int, keys array<string>"
 )
 
 # Fields a stored rule may use besides registered ones (fixed values).
 FIELDS = ("date", "amount", "account", "category", "confidence", "tag", "note", "regex", "text")
 
+# Transactions of a ledger that one copy of its rules meets.
+SPLIT = 2_000_000
+
 # Wide-view columns each field reads.
 FIELD_NEEDS = {
     "category": ["category_path"],
@@ -45,11 +50,12 @@ FIELD_NEEDS = {
 def compile_term(field: str, value: str, cal: Calendar | None, literals: dict[tuple[str, str], int | None]) -> dict:
     """Typed form of one term; an empty or invalid one constrains nothing (kind NULL).
 
-    ``literals`` numbers the terms that become columns of their own: regular expressions and
-    registered fields.  None stands for one that adds no clause.
+    ``literals`` numbers the values of registered fields, which are columns of their own.  None stands
+    for one that adds no clause.
     """
     out = dict.fromkeys(
-        ("kind", "date_low", "date_high", "low", "high", "low_open", "high_open", "magnitude", "present", "left", "right", "literal")
+        ("kind", "date_low", "date_high", "low", "high", "low_open", "high_open", "magnitude", "present", "left", "right",
+         "literal", "pattern", "rank", "keys")
     )
     # Names and aliases registered on the driver are known there, so these are looked up as written.
     if (field, value) in literals:
@@ -85,6 +91,8 @@ def compile_term(field: str, value: str, cal: Calendar | None, literals: dict[tu
             names = [tag_name(p) for p in value.split("|") if p]
             if names and all(names):
                 out.update(kind="tag", left=names)
+        elif field == "regex":
+            out.update(kind="regex", pattern=regex_term(value))
         elif field == "note":
             needle = value.lower().replace("%", "").replace("_", "")
             if needle:
@@ -95,26 +103,30 @@ def compile_term(field: str, value: str, cal: Calendar | None, literals: dict[tu
                 out.update(kind="text", left=words)
     except ValueError:
         pass
+    keys = term_keys(out)
+    if keys:
+        out.update(rank=RANKS[out["kind"]], keys=keys)
     return out
 
 
 def literal_terms(rules: DataFrame, cal: Calendar | None) -> tuple[dict[tuple[str, str], int | None], list[Predicate]]:
-    """Terms that run as expressions of their own, numbered, and those expressions.
+    """Terms of registered fields, numbered, and their expressions.
 
-    The driver gets each distinct regular expression, and each distinct value of a registered
-    field, once: text that people typed, compiled once for all rules that share it.
+    A registered field builds a column from a value on the driver, so each distinct value that rules
+    ask of it comes there; no other term does.
     """
-    rows = rules.select(F.explode("terms").alias("t")).select("t.field", "t.value")
-    own = [n for n in FIELDS if n != "regex"] + [a for a, n in ALIASES.items() if n in FIELDS and n != "regex"]
-    found = rows.filter(~F.col("field").isin(*own) & (F.length("value") > 0)).select("field", "value").distinct().collect()
+    rows = rules.select(F.explode("terms").alias("t")).select("t.field", "t.value").filter(F.length("value") > 0)
+    own = [*FIELDS, *(a for a, n in ALIASES.items() if n in FIELDS)]
+    known = [n for n in [*REGISTERED, *ALIASES] if n not in own]
+    strange = rows.filter(~F.col("field").isin(*own, *known)).select("field").first()
+    if strange is not None:
+        raise ValueError(f"no search field {strange['field']}")
+    found = rows.filter(F.col("field").isin(*known)).distinct().collect() if known else []
     numbers: dict[tuple[str, str], int | None] = {}
     preds: list[Predicate] = []
     for field, value in sorted((r["field"], r["value"]) for r in found):
-        name = ALIASES.get(field, field)
-        if name not in REGISTERED:
-            raise ValueError(f"no search field {field}")
         try:
-            pred = term(name, value, cal=cal)
+            pred = term(ALIASES.get(field, field), value, cal=cal)
         except ValueError:
             pred = None
         numbers[field, value] = None
@@ -127,16 +139,18 @@ def literal_terms(rules: DataFrame, cal: Calendar | None) -> tuple[dict[tuple[st
 def compile_rules(
     rules: DataFrame, cal: Calendar | None, literals: dict[tuple[str, str], int | None] | None = None
 ) -> DataFrame:
-    """Rules that assign a category, per ledger, as one array in (position, id) order.
+    """Rules that assign a category, one row for each key they are filed under.
 
-    Terms are compiled on the executors by a small vectorised helper.
+    Columns: ledger_id, key, and ``rule`` with its place, id, outcome, tests and all its keys.
+    Terms are compiled on the executors by a small vectorised helper; a pattern that the engine of
+    regular expressions refuses adds no clause.
     """
     known = literal_terms(rules, cal)[0] if literals is None else literals
 
     @F.pandas_udf(COMPILED)
     def compiled(field: pd.Series, value: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame([compile_term(f, v, cal, known) for f, v in zip(field, value)])
-        return out.assign(literal=out["literal"].astype("Int32"))
+        return out.astype({"literal": "Int32", "rank": "Int32"})
 
     active = rules.filter(F.col("category_id").isNotNull())
     terms = active.select("ledger_id", "id", F.explode("terms").alias("t")).select(
@@ -145,16 +159,20 @@ def compile_rules(
         F.coalesce("t.negated", F.lit(False)).alias("negated"),
         compiled(F.coalesce("t.field", F.lit("")), F.coalesce("t.value", F.lit(""))).alias("term"),
     )
-    packed = (
-        terms.filter(F.col("term.kind").isNotNull())
-        .groupBy("ledger_id", "id")
-        .agg(F.collect_list(F.struct("negated", "term")).alias("tests"))
+    accepted = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("term.pattern")).isNotNull()
+    kept = terms.filter(F.col("term.kind").isNotNull() & (F.col("term.pattern").isNull() | accepted))
+    packed = kept.groupBy("ledger_id", "id").agg(
+        F.collect_list(F.struct("negated", F.col("term").dropFields("keys", "rank").alias("term"))).alias("tests"),
+        F.min_by("term.keys", F.when(~F.col("negated"), F.col("term.rank"))).alias("keys"),
+        F.min(F.when(~F.col("negated"), F.col("term.rank"))).alias("rank"),
     )
     none = F.array().cast(packed.schema["tests"].dataType)
     mode_ok = F.col("override_mode").isin(*OVERRIDE_MODES)
     bad_mode = F.raise_error(F.concat(F.lit("unknown override mode: "), F.col("override_mode")))
+    keys = F.when(F.col("rank").isNotNull(), F.col("keys")).otherwise(F.array(F.lit(EVERY)))
     rows = active.join(packed, ["ledger_id", "id"], "left").select(
         "ledger_id",
+        F.coalesce("rank", F.lit(-1)).alias("rank"),
         F.struct(
             "position",
             F.col("id").alias("rule_id"),
@@ -162,18 +180,13 @@ def compile_rules(
             F.when(mode_ok, F.col("override_mode")).otherwise(bad_mode).alias("override_mode"),
             "review_required",
             F.coalesce("tests", none).alias("tests"),
+            keys.alias("keys"),
         ).alias("rule"),
     )
-    first = lambda a, b: (
-        F.when(a["position"] < b["position"], -1)
-        .when(a["position"] > b["position"], 1)
-        .when(a["rule_id"] < b["rule_id"], -1)
-        .otherwise(1)
-    )
-    return rows.groupBy("ledger_id").agg(F.array_sort(F.collect_list("rule"), first).alias("rules"))
+    return rows.select("ledger_id", F.explode("rule.keys").alias("key"), "rank", "rule")
 
 
-def _holds(term: Column, columns: set[str]) -> Column:
+def _holds(term: Column, columns: set[str], literals: list[Predicate]) -> Column:
     """Whether the row satisfies one compiled term; NULL counts as no."""
     amount = F.when(term["magnitude"], F.abs("amount_cents")).otherwise(F.col("amount_cents"))
 
@@ -195,8 +208,10 @@ def _holds(term: Column, columns: set[str]) -> Column:
         )
         .when(term["kind"] == "amount", within(amount))
         .when(term["kind"] == "account", F.exists(places, lambda hit: hit))
-        .when(term["kind"] == "literal", F.get(F.col("_literals"), term["literal"]))
+        .when(term["kind"] == "regex", F.rlike("description", term["pattern"]))
     )
+    for i, pred in enumerate(literals):
+        result = result.when((term["kind"] == "literal") & (term["literal"] == i), pred.column(F.col))
     if "ai_confidence" in columns:
         score = F.col("ai_confidence")
         result = result.when(term["kind"] == "confidence", within(score)).when(
@@ -226,15 +241,10 @@ def _holds(term: Column, columns: set[str]) -> Column:
     return F.coalesce(result, F.lit(False))
 
 
-def _meets(rule: Column, columns: set[str]) -> Column:
-    return F.forall(rule["tests"], lambda test: _holds(test["term"], columns) != test["negated"])
-
-
-def _rule_rows(books: Books, cal: Calendar | None) -> tuple[DataFrame, set[str]]:
-    """Live transactions beside the compiled rules of their ledger.
+def _candidates(books: Books, cal: Calendar | None) -> DataFrame:
+    """Live transactions beside each rule they fetch and meet: their columns, ``rule`` and ``_key``.
 
-    A term that is an expression of its own is one entry of ``_literals``, computed once for a row
-    and only where a rule of its ledger has it.
+    A rule with several keys may come several times.
     """
     literals, preds = literal_terms(books.rules, cal)
     # Only known field names come back, so the driver sees a handful of rows.
@@ -249,28 +259,32 @@ def _rule_rows(books: Books, cal: Calendar | None) -> tuple[DataFrame, set[str]]
         view = view.withColumn("tokens", F.array_distinct(tokens(searchable_text("description", "metadata", "note"))))
         needs.add("tokens")
     view = view.withColumn("_bank", F.lower("bank_name")).withColumn("_account", F.lower("account_name"))
-    rows = view.join(compile_rules(books.rules, cal, literals), "ledger_id")
-    if preds:
-        mine = F.array_distinct(F.flatten(F.transform("rules", lambda r: F.transform(r["tests"], lambda t: t["term"]["literal"]))))
-        rows = rows.withColumn("_mine", mine).withColumn(
-            "_literals", F.array(*[F.when(F.array_contains("_mine", i), p.column(F.col)) for i, p in enumerate(preds)])
-        )
-    else:
-        rows = rows.withColumn("_literals", F.array().cast("array<boolean>"))
-    return rows, needs
+    # Stored, so that its size decides how it is joined.
+    filed = cut_lineage(compile_rules(books.rules, cal, literals))
+    ranks = {r["rank"] for r in filed.select("rank").distinct().collect()}
+    kinds = {kind for kind, rank in RANKS.items() if rank in ranks} | ({EVERY} if -1 in ranks else set())
+    rows = view.withColumn("_keys", row_keys(kinds)).withColumn("_key", F.explode("_keys"))
+    filed = filed.select("ledger_id", F.col("key").alias("_key"), "rule")
+    join = ["ledger_id", "_key"]
+    # A ledger of very many rows meets copies of its rules, each with a share of its rows.
+    hot = cut_lineage(
+        books.transactions.groupBy("ledger_id").count().filter(F.col("count") > SPLIT)
+        .select("ledger_id", F.ceil(F.col("count") / SPLIT).cast("int").alias("_shares"))
+    )
+    if not hot.isEmpty():
+        shares = F.coalesce("_shares", F.lit(1))
+        rows = rows.join(hot, "ledger_id", "left").withColumn("_share", F.pmod(F.xxhash64("id"), shares).cast("int")).drop("_shares")
+        filed = filed.join(hot, "ledger_id", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
+        join.append("_share")
+    meets = F.forall("rule.tests", lambda test: _holds(test["term"], needs, preds) != test["negated"])
+    return rows.join(filed, join).filter(meets)
 
 
 def claims(books: Books, cal: Calendar | None = None) -> DataFrame:
     """The first matching rule of each live transaction: its id, category and modes."""
-    rows, columns = _rule_rows(books, cal)
-    # Rules are in order; once one holds, the rest are not evaluated.
-    nothing = F.lit(None).cast(rows.schema["rules"].dataType.elementType)
-    first = F.aggregate(
-        "rules", nothing, lambda won, rule: F.when(won.isNotNull(), won).when(_meets(rule, columns), rule)
-    )
-    # Exploding the winner evaluates the rules once and drops rows without one.
-    claimed = rows.select("ledger_id", "id", F.explode(F.array_compact(F.array(first))).alias("rule"))
-    return claimed.select(
+    outcome = ("position", "rule_id", "category_id", "override_mode", "review_required")
+    first = F.min(F.struct(*[F.col(f"rule.{c}").alias(c) for c in outcome])).alias("rule")
+    return _candidates(books, cal).groupBy("ledger_id", "id").agg(first).select(
         "ledger_id",
         F.col("id").alias("transaction_id"),
         "rule.rule_id",
@@ -361,9 +375,9 @@ def rule_match_counts(books: Books, cal: Calendar | None = None) -> DataFrame:
     """Live transactions each rule matches, counted in one scan; zero included."""
     # Counting needs no category, so a rule without one counts too.
     counted = books.with_tables(rules=books.rules.withColumn("category_id", F.coalesce("category_id", F.lit(0))))
-    rows, columns = _rule_rows(counted, cal)
-    matching = F.filter("rules", lambda rule: _meets(rule, columns))
-    hits = rows.select("ledger_id", F.explode(F.transform(matching, lambda r: r["rule_id"])).alias("id"))
+    # A rule that a row fetches by several keys counts at the first of them.
+    first = F.element_at(F.array_intersect("rule.keys", "_keys"), 1) == F.col("_key")
+    hits = _candidates(counted, cal).filter(first).select("ledger_id", F.col("rule.rule_id").alias("id"))
     counts = hits.groupBy("ledger_id", "id").agg(F.count(F.lit(1)).alias("_n"))
     return books.rules.join(counts, ["ledger_id", "id"], "left").select(
         "ledger_id", "id", "name", F.coalesce("_n", F.lit(0)).alias("matches")
