@@ -1,9 +1,10 @@
 """Pairing of equal and opposite transactions without forming pairs.
 
 A popular amount on one day may hold a large share of all rows, so no step
-lists the pairs of a group.  Rows are ranked inside (group, account, sign) and
-described as runs of equal rows; a group is matched run against run, and the
-matched ranks are joined back to their rows.
+lists the pairs of a group.  Pairs of accounts with a history come first: rows
+of these accounts are ranked inside (group, account, sign) and described as
+runs of equal rows, which are matched run against run.  What is left is matched
+by interval arithmetic (``offsets``), in tasks of a bounded number of accounts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from passbook.functions.text import normalise_merchant
 from passbook.operators import views
+from passbook.operators.offsets import match_in_order
 from passbook.operators.ranking import rank_along
 from passbook.session import cut_lineage
 
@@ -136,7 +138,7 @@ class _Pool:
 def match_runs(
     debits: list[tuple], credits: list[tuple], texts: dict[tuple[int, int], set[str]]
 ) -> Iterator[tuple]:
-    """Greedy one-to-one matching of runs ``(account, start, n, norm)``.
+    """Greedy one-to-one matching of runs ``(account, start, n, norm)`` of accounts with a history.
 
     Order: confidence, debit account, debit row, credit account, credit row.
     ``texts`` holds the historical descriptions of each (debit account, credit
@@ -144,7 +146,6 @@ def match_runs(
     Rows of one run are interchangeable, so a whole stretch is matched at once.
     """
     d, c = _Pool(sorted(debits)), _Pool(sorted(credits))
-    only = sum(d.left) == 1 and sum(c.left) == 1
     partners: dict[int, list[int]] = {}
     present = set(c.account)
     for a, b in texts:
@@ -170,16 +171,6 @@ def match_runs(
                     j = c.first(j + 1) if c.left[j] else c.first(j)
                 if not d.left[i]:
                     break
-    rest = ONLY_PAIR if only else ONE_OF_MANY
-    for i, account in enumerate(d.account):
-        low, high = c.span(account)
-        while d.left[i]:
-            j = c.first(0)
-            if low <= j < high:
-                j = c.first(high)
-            if j >= len(c.account):
-                break
-            yield meet(i, j, rest)
 
 
 def _match_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,15 +203,19 @@ def _arrays(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     )
 
 
-def _met_history(runs: DataFrame, keys: DataFrame) -> DataFrame:
-    """History of account pairs present in a group, as far as its rows can use it."""
-    sides = runs.select(*GROUP, "account_id", "is_debit").distinct()
+def _met_accounts(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(group, account_id, partner_id): accounts with a debit whose partner in history has a credit there."""
+    sides = rows.select(*GROUP, "account_id", "is_debit").distinct()
     debit_side = sides.filter("is_debit").drop("is_debit")
     credit_side = sides.filter("not is_debit").select(*GROUP, F.col("account_id").alias("partner_id"))
     known_pairs = keys.select("ledger_id", "account_id", "partner_id").distinct()
-    met = debit_side.join(known_pairs, ["ledger_id", "account_id"]).join(
+    return debit_side.join(known_pairs, ["ledger_id", "account_id"]).join(
         credit_side, [*GROUP, "partner_id"], "left_semi"
-    )
+    ).filter("account_id <> partner_id")
+
+
+def _met_history(met: DataFrame, runs: DataFrame, keys: DataFrame) -> DataFrame:
+    """History of account pairs that met in a group, as far as its rows can use it."""
     told = runs.filter(F.col("class") != "").select(*GROUP, "account_id", "is_debit", "class").distinct()
     by_debit = met.join(told.filter("is_debit").drop("is_debit"), [*GROUP, "account_id"])
     by_credit = met.join(
@@ -287,32 +282,41 @@ def detect_transfers(candidates: DataFrame, history: DataFrame) -> DataFrame:
         .withColumn("class", F.when(F.col("_tells"), F.concat(F.lit("="), F.col("norm"))).otherwise(""))
         .select(*GROUP, "id", "account_id", "is_debit", "class")
     )
+    classed = cut_lineage(classed)
+    met = cut_lineage(_met_accounts(classed, keys))
+    linked = cut_lineage(_by_history(classed, met, keys))
+    used = linked.select(*GROUP, F.explode(F.array("debit", "credit")).alias("id"))
+    rest = match_in_order(classed.join(used, [*GROUP, "id"], "left_anti").drop("class"), GROUP)
+    matched = linked.unionByName(rest.withColumn("ai_confidence", F.lit(ONE_OF_MANY))).select(
+        "ledger_id", F.col("debit").alias("from_transaction_id"), F.col("credit").alias("to_transaction_id"), "ai_confidence"
+    )
+    return lone.unionByName(matched)
+
+
+def _by_history(classed: DataFrame, met: DataFrame, keys: DataFrame) -> DataFrame:
+    """(group, debit, credit, ai_confidence) of the pairs whose accounts have a history.
+
+    Only rows of accounts that met take part.
+    """
+    involved = met.select(*GROUP, "account_id", F.lit(True).alias("is_debit")).union(
+        met.select(*GROUP, "partner_id", F.lit(False))
+    ).distinct()
     # Used four times below, so it is materialised once.
-    ranked = cut_lineage(rank_along(classed, [*GROUP, "account_id", "is_debit"], "id"))
+    ranked = cut_lineage(
+        rank_along(classed.join(involved, [*GROUP, "account_id", "is_debit"], "left_semi"), [*GROUP, "account_id", "is_debit"], "id")
+    )
     runs = cut_lineage(_runs(ranked))
     shaped = runs.select(
         *GROUP, "is_debit", "account_id", "start", "n", "class"
     ).withColumnsRenamed({"is_debit": "debit", "account_id": "account"})
-    met = _met_history(runs, keys)
-    nothing = F.array()
     groups = _arrays(shaped, "r", ["debit", "account", "start", "n", "class"]).join(
-        _arrays(met, "h", ["account", "partner", "class"]), GROUP, "left"
+        _arrays(_met_history(met, runs, keys), "h", ["account", "partner", "class"]), GROUP
     )
-    for c, t in (("h_account", "bigint"), ("h_partner", "bigint"), ("h_class", "string")):
-        groups = groups.withColumn(c, F.coalesce(c, nothing.cast(f"array<{t}>")))
     segments = groups.mapInPandas(_match_batches, schema=_SEGMENTS)
-    steps = segments.select(
-        *GROUP, "debit_account", "debit_rank", "credit_account", "credit_rank", "confidence",
+    pairs = segments.select(
+        *GROUP, "debit_account", "debit_rank", "credit_account", "credit_rank", F.col("confidence").alias("ai_confidence"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("_step"),
     )
-    pairs = steps.select(
-        *GROUP,
-        "debit_account",
-        (F.col("debit_rank") + F.col("_step")).alias("debit_rank"),
-        "credit_account",
-        (F.col("credit_rank") + F.col("_step")).alias("credit_rank"),
-        F.col("confidence").alias("ai_confidence"),
-    )
 
     def side(debit: bool, name: str, out: str) -> DataFrame:
         chosen = ranked.filter(F.col("is_debit") == debit)
@@ -321,12 +325,13 @@ def detect_transfers(candidates: DataFrame, history: DataFrame) -> DataFrame:
             F.col("id").alias(out),
         )
 
-    matched = (
-        pairs.join(side(True, "debit", "from_transaction_id"), [*GROUP, "debit_account", "debit_rank"])
-        .join(side(False, "credit", "to_transaction_id"), [*GROUP, "credit_account", "credit_rank"])
-        .select("ledger_id", "from_transaction_id", "to_transaction_id", "ai_confidence")
+    for name in ("debit", "credit"):
+        pairs = pairs.withColumn(f"{name}_rank", F.col(f"{name}_rank") + F.col("_step"))
+    return (
+        pairs.join(side(True, "debit", "debit"), [*GROUP, "debit_account", "debit_rank"])
+        .join(side(False, "credit", "credit"), [*GROUP, "credit_account", "credit_rank"])
+        .select(*GROUP, "debit", "credit", "ai_confidence")
     )
-    return lone.unionByName(matched)
 
 
 # Candidates for linking by hand
