@@ -158,6 +158,38 @@ def test_prefix_join_loses_no_pair(spark):
     assert all([p for p, _ in sorted(v)] == list(range(1, len(v) + 1)) for v in per.values())
 
 
+@pytest.mark.parametrize("top", [1, 2, 5, 200])
+def test_top_lists_equal_full_scores(spark, top):
+    """Lists with a floor per query against all scores; equal texts and equal similarities tie by id."""
+    rng = random.Random(21)
+    words = ["bakery", "shop", "north", "south", "market", "fuel", "station", "the"]
+    norms = [" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(90)] + ["the shop"] * 8 + ["", "only one"]
+    rows = spark.createDataFrame([("LM"[i % 2], i, n) for i, n in enumerate(norms)], "ledger_id string, id long, norm string")
+    asked = rows.filter("id % 3 = 0").unionByName(spark.createDataFrame([("L", 500, "bakery the"), ("L", 501, "strange")], rows.schema))
+    docs, vectors = features.similarity_vectors(rows, queries=asked)
+    weights = {}
+    for r in vectors.collect():
+        weights.setdefault((r.ledger_id, r.doc), {})[r.feature] = r.weight
+    doc_of = {(r.ledger_id, r.norm): r.doc for r in docs.collect()}
+    want = []
+    for q in asked.collect():
+        mine = weights.get((q.ledger_id, doc_of[q.ledger_id, q.norm]), {})
+        found = []
+        for c in rows.filter(F.col("ledger_id") == q.ledger_id).collect():
+            theirs = weights.get((c.ledger_id, doc_of[c.ledger_id, c.norm]), {})
+            score = sum(w * theirs.get(f, 0.0) for f, w in mine.items())
+            if c.id != q.id and score >= features.THRESHOLD:
+                found.append((-round(score, 7), c.id))
+        want += [(q.ledger_id, q.id, i, -s, place) for place, (s, i) in enumerate(sorted(found)[:top], 1)]
+    got = features.similar_transactions(asked, rows, top=top, digits=7)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # A small list reads fewer documents than the threshold alone.
+    ids = asked.join(docs, ["ledger_id", "norm"]).select("ledger_id", "doc").distinct()
+    few = features.top_documents(ids, vectors, docs, top).count()
+    every = features.similar_documents(ids, vectors).count()
+    assert few < every if top < 3 else few <= every
+
+
 def test_full_run(spark, golden):
     rules = table(spark, "rules", [{
         "id": 1, "name": "r", "position": 0, "category_id": 3, "override_mode": "uncategorised", "review_required": False,
