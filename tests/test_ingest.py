@@ -140,6 +140,28 @@ def write_exports(root):
         path.write_text(body)
 
 
+def test_fingerprints_of_all_files(spark, tmp_path):
+    """Chunks of splits give the hash of the bytes, whatever they are."""
+    rng = random.Random(14)
+    lines = [bytes(rng.choice(b"ab\r,\"\xc3\xa9\xff\x00") for _ in range(rng.choice([0, 1, 90, 3000]))) for _ in range(900)]
+    bodies = {
+        "empty": b"", "mark": b"\xef\xbb\xbf", "marked": b"\xef\xbb\xbfa,b\n1,2", "marked end": b"\xef\xbb\xbfa,b\n1,2\n", "ends": b"\n\n\n",
+        "one": b"x", "crlf": b"a\r\nb\r\n", "bytes": b"\n".join(lines), "bytes+end": b"\n".join(lines) + b"\n", "line": b"y" * 300_000,
+        "percent %20+&": b"z\n",
+    }
+    for name, body in bodies.items():
+        (tmp_path / "in" / "Bank A").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "Bank A" / name).mkdir()
+        (tmp_path / "in" / "Bank A" / name / "x.csv").write_bytes(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        found = {r.account_name: (r.bank_name, r.content_hash) for r in exports.file_fingerprint(spark, str(tmp_path / "in"), "L").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {name: ("Bank A", hashlib.sha256(body).hexdigest()) for name, body in bodies.items() if body}
+
+
 def test_refresh(spark, tmp_path):
     write_exports(tmp_path / "in")
     mapping = spark.createDataFrame(
