@@ -57,7 +57,7 @@ def refresh(
     record and ``position``, its place in the pull; pulled records arrive after the files.
     Returns the new books and the side tables (``imported_files``,
     ``import_batches``, ``labels`` and ``counts``).  With ``target`` everything is published there as one
-    version; any failure before leaves the old one.  The stored ``index`` then gets one segment of what
+    version, transactions only in the months that changed; any failure before leaves the old one.  The stored ``index`` then gets one segment of what
     was added or improved; a repeated refresh of the same rows brings it up to date after a failure there.
     """
     files = exports.file_fingerprint(spark, root, ledger_id)
@@ -97,10 +97,13 @@ def refresh(
         "labels": labels,
         "counts": ops.refresh_counts(books.banks, after.banks, books.accounts, after.accounts, unseen),
     }
+    if target or index:
+        moved = labels.filter("outcome <> 'unchanged'").select(*ops.KEY).distinct()
+        changed = cut_lineage(after.transactions.join(moved, ops.KEY, "left_semi"))
     if target:
         tables = {n: getattr(after, n) for n in ("banks", "accounts", "transactions")}
-        publish({**tables, **extra}, target, f"{batch_id:012d}")
+        # Dates never move, so a changed transaction touches the month it is in.
+        publish({**tables, **extra}, target, {"transactions": changed})
     if index:
-        touched = labels.filter("outcome <> 'unchanged'").select(*ops.KEY).distinct()
-        refresh_index(spark, index, after.transactions.join(touched, ops.KEY, "left_semi"), notes)
+        refresh_index(spark, index, changed, notes)
     return after, extra

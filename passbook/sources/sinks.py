@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from passbook.sources import store
+
+#: Buckets of ledgers in a published table.
+BUCKETS = 64
+PART = ["_bucket", "_month"]
+_ENTRY = "name string, part string, path string, schema string"
 
 
 def csv_field(col: str) -> Column:
@@ -30,27 +41,66 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+# Published state: parts by ledger and month
+
+
+def _part(columns: list[str]) -> list[Column]:
+    """The part of a row: a hash of its ledger, and its month if the table has dates."""
+    bucket = F.pmod(F.xxhash64("ledger_id"), F.lit(BUCKETS)).cast("int") if "ledger_id" in columns else F.lit(0)
+    month = F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("none")) if "date" in columns else F.lit("all")
+    return [bucket.alias("_bucket"), month.alias("_month")]
 
 
-def publish(tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """Write every table as a new snapshot, then move one pointer that names them all.
+def publish(
+    tables: dict[str, DataFrame], root: str, touched: dict[str, DataFrame] | None = None
+) -> int:
+    """Publish these tables as the next version, and return its number.
 
-    Readers follow the pointer, so a batch is seen whole or not at all.
+    Of a table in ``touched`` only the parts (ledger bucket and month) are written that its touched rows
+    fall in: those added, changed or, as they were before, removed.  The others keep their files, as do
+    tables not given.  One manifest names the files of all parts and is written last, so readers see a
+    version whole or not at all.
     """
+    root, spark = root.rstrip("/"), next(iter(tables.values())).sparkSession
+    version = store.latest(spark, root)
+    last = store.manifest(spark, root, version) if version is not None else []
+    entries = {(e["name"], e["part"]): e["path"] for e in last if e["part"]}
+    schemas = {e["name"]: e["schema"] for e in last if not e["part"]}
+    number = 0 if version is None else version + 1
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/{version}")
-    spark = next(iter(tables.values())).sparkSession
-    names = sorted(tables)
-    row = spark.createDataFrame([(n, f"{n}/{version}") for n in names], "name string, path string")
-    row.coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/_pointer/{version}")
-
-
-def current(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The last published snapshot of a table."""
-    pointers = spark.read.parquet(f"{root.rstrip('/')}/_pointer/*").withColumn(
-        "_version", F.regexp_extract(F.col("_metadata.file_path"), r"/_pointer/([^/]+)/", 1)
-    )
-    newest = pointers.filter(F.col("name") == table).agg(F.max_by("path", "_version")).first()[0]
-    if newest is None:
+        rows = df.withColumns({c: p for c, p in zip(PART, _part(df.columns))})
+        if name in schemas and touched is not None and name in touched:
+            # As many as there are buckets and months at most.
+            changed = touched[name].select(*_part(touched[name].columns)).distinct().collect()
+            parts = spark.createDataFrame(changed, "_bucket int, _month string")
+            rows = rows.join(parts, PART, "left_semi")
+            gone = {f"_bucket={r['_bucket']}/_month={r['_month']}" for r in changed}
+        else:
+            gone = {part for n, part in entries if n == name}
+        path = f"data/{name}/{number:012d}-{uuid.uuid4().hex}"
+        # A part is one file, or a few where it is large: a hot ledger is split.
+        rows.hint("rebalance", *PART).write.partitionBy(*PART).parquet(f"{root}/{path}")
+        for part in gone:
+            entries.pop((name, part), None)
+        for bucket in store.children(spark, f"{root}/{path}"):
+            if bucket.startswith("_bucket="):
+                for month in store.children(spark, f"{root}/{path}/{bucket}"):
+                    entries[name, f"{bucket}/{month}"] = path
+        # An entry without a part holds the columns, also of a table without rows.
+        schemas[name] = df.schema.json()
+    made = [(name, part, path, "") for (name, part), path in entries.items()]
+    store.commit(spark, root, number, made + [(name, "", "", schema) for name, schema in schemas.items()], _ENTRY)
+    return number
+
+
+def current(spark: SparkSession, root: str, table: str, months: tuple[str, str] | None = None) -> DataFrame:
+    """The last published state of a table; with ``months`` (first, last as yyyy-MM) only the files of these."""
+    root = root.rstrip("/")
+    mine = [e for e in store.manifest(spark, root) if e["name"] == table]
+    if not mine:
         raise ValueError(f"never published: {table}")
-    return spark.read.parquet(f"{root.rstrip('/')}/{newest}")
+    schema = StructType.fromJson(json.loads(next(e["schema"] for e in mine if not e["part"])))
+    paths = [f"{root}/{e['path']}/{e['part']}" for e in mine if e["part"]]
+    if months is not None:
+        paths = [p for p in paths if months[0] <= p.rpartition("_month=")[2] <= months[1]]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

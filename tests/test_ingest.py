@@ -16,7 +16,7 @@ from passbook.operators import ranking, segments
 from passbook.operators.ranking import previous_value, rank_along
 from passbook.plans.refresh import refresh
 from passbook.schema import empty_books, struct
-from passbook.sources import exports, feeds, sinks
+from passbook.sources import exports, feeds, sinks, store
 from passbook.streaming import ingest as stream
 
 
@@ -209,6 +209,47 @@ def test_refresh(spark, tmp_path):
     assert fulltext.check_postings(segments.index_postings(spark, index), third.transactions).count() == 0
 
 
+def test_publishing_writes_touched_parts(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+    tx = spark.createDataFrame(
+        [("LM"[i % 2], i, f"2024-{1 + i % 5:02d}-03", f"t{i}") for i in range(60)] + [("L", 99, None, "undated")],
+        "ledger_id string, id long, date string, text string",
+    ).withColumn("date", F.col("date").cast("date"))
+    banks = spark.createDataFrame([("L", 1, "Harbour")], "ledger_id string, bank_id long, name string")
+    read = lambda name, **how: sorted(map(tuple, sinks.current(spark, root, name, **how).collect()), key=str)
+    of = lambda df: sorted(map(tuple, df.collect()), key=str)
+    with pytest.raises(ValueError, match="never"):
+        sinks.current(spark, root, "tx")
+    assert sinks.publish({"tx": tx, "banks": banks, "none": banks.limit(0)}, root) == 0
+    assert read("tx") == of(tx) and read("banks") == of(banks) and read("none") == []
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    # One month of one ledger: a row more, one changed, one removed.
+    hit = (F.col("ledger_id") == "L") & (F.month("date") == 3)
+    old = tx.filter(hit)
+    first = old.agg(F.min("id")).first()[0]
+    new = old.filter(F.col("id") > first).withColumn("text", F.concat("text", F.lit("!"))).unionByName(old.limit(1).withColumn("id", F.lit(1000).cast("long")))
+    after = tx.filter(~F.coalesce(hit, F.lit(False))).unionByName(new)
+    assert sinks.publish({"tx": after}, root, {"tx": old.unionByName(new)}) == 1
+    written = [p for p in tmp_path.rglob("*.parquet") if p not in before and "_manifest" not in str(p)]
+    assert len(written) == 1 and "_month=2024-03" in str(written[0])
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    assert read("tx") == of(after) and read("banks") == of(banks)
+    assert read("tx", months=("2024-02", "2024-03")) == of(after.filter("month(date) IN (2, 3)"))
+    # A part that loses its last row, and a failure before the manifest.
+    rest = after.filter("date is not null")
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "commit", broken)
+        with pytest.raises(OSError, match="lost"):
+            sinks.publish({"tx": rest}, root, {"tx": after.filter("date is null")})
+    assert read("tx") == of(after)
+    sinks.publish({"tx": rest}, root, {"tx": after.filter("date is null")})
+    assert read("tx") == of(rest) and read("banks") == of(banks)
+
+
 def test_vanished_bank_keeps_accounts(spark, golden):
     seen = spark.createDataFrame([("L", "Harbour", "Household")], "ledger_id string, bank_name string, account_name string")
     banks = ops.soft_delete_missing_banks(golden.banks, seen, AT)
