@@ -337,32 +337,53 @@ def _by_history(classed: DataFrame, met: DataFrame, keys: DataFrame) -> DataFram
 # Candidates for linking by hand
 
 
-def transfer_candidates(view: DataFrame, selected: DataFrame) -> DataFrame:
-    """All possible counterparts of the transactions a user selected.
+def _lowest(rows: DataFrame, keys: list[str], top: int) -> DataFrame:
+    """The ``top`` rows of lowest id for each key; Spark limits them before the shuffle as well."""
+    rank = Window.partitionBy(*keys).orderBy("id")
+    return rows.withColumn("_low", F.row_number().over(rank)).filter(F.col("_low") <= top).drop("_low")
 
-    Live rows of exactly opposite amount, from other accounts, or from the own
-    account when no other has one; nearest date first, then id.  ``selected``
-    is (ledger_id, id); the result lists every counterpart of each, so it is
-    meant for a handful of transactions.  ``nearest_counterpart`` covers all.
+
+def transfer_candidates(view: DataFrame, selected: DataFrame, top: int = 100) -> DataFrame:
+    """The ``top`` nearest possible counterparts of each selected transaction (ledger_id, id).
+
+    Live rows of exactly opposite amount, from other accounts, or from the own account when no other
+    has one; nearest date first, then id.  Of a popular amount each date keeps few rows: ``top`` of an
+    account, and twice ``top`` in all, among which ``top`` are of other accounts than any one, if there
+    are so many.  Transactions of one account, amount and date share one search.
     """
+    place = ["ledger_id", "amount_cents", "account_id", "date"]
     rows = view.select("ledger_id", "id", "account_id", "date", "amount_cents")
-    asked = rows.join(selected.select("ledger_id", "id"), ["ledger_id", "id"], "left_semi").select(
-        "ledger_id",
-        F.col("id").alias("query_id"),
-        F.col("account_id").alias("_account"),
-        F.col("date").alias("_date"),
-        F.negate("amount_cents").alias("amount_cents"),
+    asked = cut_lineage(
+        rows.join(selected.select("ledger_id", "id"), ["ledger_id", "id"], "left_semi").select(
+            "ledger_id", F.col("id").alias("query_id"), "account_id", "date", F.negate("amount_cents").alias("amount_cents")
+        )
     )
-    pool = views.live(view).select("ledger_id", "id", "account_id", "date", "amount_cents")
-    found = pool.join(asked, ["ledger_id", "amount_cents"]).filter(F.col("id") != F.col("query_id"))
-    other = F.col("account_id") != F.col("_account")
-    has_other = found.groupBy("ledger_id", "query_id").agg(F.bool_or(other).alias("_has_other"))
+    amounts = asked.select("ledger_id", "amount_cents").distinct()
+    pool = views.live(view).select(*place, "id").join(amounts, ["ledger_id", "amount_cents"], "left_semi")
+    # One more than listed, as a row of amount zero may meet itself.
+    per_account = cut_lineage(_lowest(pool, place, top + 1))
+    entries = _lowest(per_account, ["ledger_id", "amount_cents", "date"], 2 * (top + 1))
+
+    places = asked.select(*place).distinct()
+    others = entries.select("ledger_id", "amount_cents", F.col("account_id").alias("_other"), F.col("date").alias("_date"), "id")
+    keys = ["ledger_id", "amount_cents"]
+    met = places.join(others, keys).filter(F.col("_other") != F.col("account_id"))
+    apart = met.withColumn("days", F.abs(F.datediff("_date", "date")))
+    best = Window.partitionBy(*place).orderBy("days", "id")
+    listed = cut_lineage(apart.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top))
+    lonely = asked.join(listed.select(*place).distinct(), place, "left_anti")
+    own = per_account.select(*place, "id").withColumnRenamed("date", "_date").withColumn("_other", F.col("account_id"))
+    mine = lonely.join(own, [*keys, "account_id"]).filter(F.col("id") != F.col("query_id"))
+    alone = Window.partitionBy("ledger_id", "query_id").orderBy("days", "id")
+    fallback = (
+        mine.withColumn("days", F.abs(F.datediff("_date", "date")))
+        .withColumn("place", F.row_number().over(alone)).filter(F.col("place") <= top)
+    )
+    out = ["ledger_id", "query_id", "id", "_other", "_date", "amount_cents", "days", "place"]
     return (
-        found.join(has_other, ["ledger_id", "query_id"])
-        .filter(other | ~F.col("_has_other"))
-        .withColumn("days", F.abs(F.datediff("date", "_date")))
-        .select("ledger_id", "query_id", "id", "account_id", "date", "amount_cents", "days")
-        .orderBy("ledger_id", "query_id", "days", "id")
+        asked.join(listed, place).select(*out).unionByName(fallback.select(*out))
+        .withColumnsRenamed({"_other": "account_id", "_date": "date"})
+        .orderBy("ledger_id", "query_id", "place")
     )
 
 

@@ -43,6 +43,23 @@ def nearest_counterpart(spark, sf):
     return transfers.nearest_counterpart(_event_view(spark, sf)[0])
 
 
+@query("transfer_candidates", """
+    WITH asked AS (SELECT t.* FROM {tx_events} t JOIN {supplier} ON s_suppkey = t.id),
+         found AS (SELECT q.ledger_id AS ledger_id, q.id AS query_id, c.id AS id, c.account_id AS account_id, CAST(ABS(c.date - q.date) AS INTEGER) AS days,
+                          c.account_id <> q.account_id AS other
+                   FROM asked q JOIN {tx_events} c ON q.ledger_id = c.ledger_id AND c.amount_cents = -q.amount_cents AND c.id <> q.id),
+         usable AS (SELECT *, BOOL_OR(other) OVER (PARTITION BY ledger_id, query_id) AS any_other FROM found)
+    SELECT ledger_id, query_id, id, account_id, days, place FROM (
+      SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY ledger_id, query_id ORDER BY days, id) AS INTEGER) AS place FROM usable WHERE other OR NOT any_other)
+    WHERE place <= 100""")
+def transfer_candidates(spark, sf):
+    """Counterparts of the events whose ids the supplier table names."""
+    asked = star.frame(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+    view = _event_view(spark, sf)[0]
+    found = transfers.transfer_candidates(view, view.join(asked, "id", "left_semi"))
+    return found.select("ledger_id", "query_id", "id", "account_id", "days", "place")
+
+
 # Candidates are events outside the links; norms are the event types.
 PAIRS = """
     legs AS (SELECT ledger_id, from_transaction_id AS id FROM {event_links} UNION SELECT ledger_id, to_transaction_id FROM {event_links}),
