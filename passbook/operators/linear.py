@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passbook.operators.features import DOC
+from passbook.session import cut_lineage
 
 # Training constants (fixed values).
 EPOCHS = 12
@@ -27,6 +29,10 @@ FIT_ENTRIES = 4_000_000
 # Classes trained together; more classes make more tasks, with the same result.
 CLASS_BLOCK = 32
 
+# Documents scored together, and scores that a task holds at a time.
+DOCS = 512
+SCORES = 1 << 22
+
 _WEIGHTS = "ledger_id string, class long, feature string, weight double"
 
 
@@ -184,52 +190,99 @@ def train_linear(
     return rows.repartition(parts, *group).groupBy(*group).applyInPandas(_fit_group, schema=_WEIGHTS)
 
 
+def top_two(docs: np.ndarray, features: np.ndarray, values: np.ndarray, count: int, weights: tuple[np.ndarray, ...],
+            bias: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the two best classes of each document (the lower of equals first) and their scores.
+
+    Entries (document, feature, value) are sorted by document; ``weights`` are (feature, class,
+    weight).  A block of classes is scored at a time and its best two are merged with those before.
+    """
+    feature, kind, weight = weights
+    order = np.argsort(kind, kind="stable")
+    feature, kind, weight = feature[order], kind[order], weight[order]
+    block = max(1, SCORES // max(len(docs), width, count, 1))
+    firsts = np.flatnonzero(np.diff(docs, prepend=-1)) if len(docs) else np.empty(0, int)
+    best, scores = np.zeros((count, 2), int), np.full((count, 2), -np.inf)
+    rows = np.arange(count)
+    for low in range(0, len(bias), block):
+        high = min(low + block, len(bias))
+        part = slice(*np.searchsorted(kind, [low, high]))
+        dense = np.zeros((width, high - low))
+        dense[feature[part], kind[part] - low] = weight[part]
+        found = np.tile(bias[low:high], (count, 1))
+        if len(docs):
+            found[docs[firsts]] += np.add.reduceat(values[:, None] * dense[features], firsts, axis=0)
+        # Earlier classes come first, so that the first of equals is the lowest.
+        both = np.concatenate([scores, found], axis=1)
+        ids = np.concatenate([best, np.tile(np.arange(low, high), (count, 1))], axis=1)
+        for place in (0, 1):
+            at = both.argmax(1)
+            best[:, place], scores[:, place] = ids[rows, at], both[rows, at]
+            both[rows, at] = -np.inf
+    return best, scores
+
+
+def _score_group(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Best class and its lead for each document of a group, from the weights of its features and all biases."""
+    left = left.sort_by("doc")
+    names = pa.chunked_array([*left["feature"].chunks, *right["feature"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    codes = names.indices.to_numpy(zero_copy_only=False)
+    mine, theirs = codes[: len(left)], codes[len(left) :]
+    docs, place = np.unique(left["doc"].to_numpy(), return_inverse=True)
+    blank = {"": i for i, n in enumerate(names.dictionary.to_pylist()) if n == ""}.get("", -1)
+    is_bias = theirs == blank
+    kinds, weights = right["class"].to_numpy(), right["_w"].to_numpy()
+    classes, at = np.unique(kinds[is_bias], return_inverse=True)
+    bias = np.zeros(len(classes))
+    bias[at] = weights[is_bias]
+    known = ~is_bias & np.isin(kinds, classes)
+    used = mine != blank
+    triple = theirs[known], np.searchsorted(classes, kinds[known]), weights[known]
+    best, scores = top_two(place[used], mine[used], left["weight"].to_numpy()[used], len(docs), triple, bias, len(names.dictionary))
+    lead = np.where(np.isfinite(scores[:, 1]), scores[:, 0] - scores[:, 1], np.abs(scores[:, 0]))
+    return pa.table({
+        "ledger_id": pa.array([left["ledger_id"][0].as_py()] * len(docs), pa.string()), "doc": pa.array(docs, pa.int64()),
+        "category_id": pa.array(classes[best[:, 0]], pa.int64()), "lead": pa.array(lead, pa.float64()),
+    })
+
+
+def _score_pair(left: pa.Table, right: pa.Table) -> pa.Table:
+    if not len(left) or not len(right):
+        return pa.table({n: pa.array([], k) for n, k in (("ledger_id", pa.string()), ("doc", pa.int64()), ("category_id", pa.int64()), ("lead", pa.float64()))})
+    return _score_group(left, right)
+
+
+_score_pair.__annotations__ = {"left": pa.Table, "right": pa.Table, "return": pa.Table}
+
+
 def predict_linear(docs: DataFrame, vectors: DataFrame, model: DataFrame) -> DataFrame:
     """(ledger_id, doc, category_id, confidence) of each document in a ledger with a model.
 
     The best class by w . x + b; its lead over the runner-up sets a confidence
     of 0.5 to 0.9.  A document without a known feature is judged by the biases.
+
+    Documents are scored in groups of about ``DOCS``.  A group fetches the weights of each of its
+    features once, so a common n-gram is joined once a group and not once a document.
     """
-    bias = model.filter(F.col("feature") == "").select("ledger_id", "class", F.col("weight").alias("_b"))
-    weights = model.filter(F.col("feature") != "").select("ledger_id", "feature", "class", F.col("weight").alias("_w"))
-    products = (
-        vectors.join(weights, ["ledger_id", "feature"])
-        .groupBy(*DOC, "class")
-        .agg(F.sum(F.col("weight") * F.col("_w")).alias("_s"))
+    key = ["ledger_id", "group"]
+    bias = model.filter(F.col("feature") == "")
+    # One row a ledger, stored so that its size decides how it is joined.
+    sizes = cut_lineage(
+        docs.join(bias.select("ledger_id").distinct(), "ledger_id", "left_semi").groupBy("ledger_id")
+        .agg(F.ceil(F.count(F.lit(1)) / DOCS).cast("int").alias("_groups"))
     )
-    # A class that shares no feature with a document scores its bias.  Biases are ranked, best first;
-    # of the untouched classes only the two best matter, whose ranks are the first two that the
-    # touched ones leave free: with touched ranks r1 < r2 < ..., one more than there are i with
-    # ri = i, and two more than there are i with ri <= i + 1.
-    order = Window.partitionBy("ledger_id").orderBy(F.desc("_b"), "class")
-    ranked = bias.withColumn("_rank", F.row_number().over(order))
-    touched = (
-        products.join(ranked, ["ledger_id", "class"])
-        .withColumn("score", F.col("_s") + F.col("_b"))
-        .withColumn("_i", F.row_number().over(Window.partitionBy(*DOC).orderBy("_rank")))
-        .withColumn("_place", F.row_number().over(Window.partitionBy(*DOC).orderBy(F.desc("score"), "class")))
-    )
-    entry = F.struct(F.col("score"), F.negate("class").alias("minus"))
-    own = touched.groupBy(*DOC).agg(
-        F.max(F.when(F.col("_place") == 1, entry)).alias("_c1"),
-        F.max(F.when(F.col("_place") == 2, entry)).alias("_c2"),
-        F.count_if(F.col("_rank") == F.col("_i")).alias("_n1"),
-        F.count_if(F.col("_rank") <= F.col("_i") + 1).alias("_n2"),
-    )
-    free = lambda name, rank: ranked.select(
-        "ledger_id", F.col("_rank").alias(rank), F.struct(F.col("_b").alias("score"), F.negate("class").alias("minus")).alias(name)
-    )
-    rows = (
-        docs.select(*DOC).join(bias.select("ledger_id").distinct(), "ledger_id", "left_semi").join(own, DOC, "left")
-        .withColumn("_r1", (F.coalesce("_n1", F.lit(0)) + 1).cast("int"))
-        .withColumn("_r2", (F.coalesce("_n2", F.lit(0)) + 2).cast("int"))
-        .join(free("_c3", "_r1"), ["ledger_id", "_r1"], "left")
-        .join(free("_c4", "_r2"), ["ledger_id", "_r2"], "left")
-        .withColumn("_four", F.sort_array(F.array_compact(F.array("_c1", "_c2", "_c3", "_c4")), asc=False))
+    group = F.pmod(F.xxhash64("doc"), F.col("_groups")).cast("int").alias("group")
+    # A document without features has one entry of weight zero under the name of the biases.
+    entries = docs.select(*DOC, F.lit("").alias("feature"), F.lit(0.0).alias("weight")).unionByName(
+        vectors.select(*DOC, "feature", "weight")
     )
-    best, runner = F.try_element_at("_four", F.lit(1)), F.try_element_at("_four", F.lit(2))
-    margin = F.greatest(F.coalesce(best["score"] - runner["score"], F.abs(best["score"])), F.lit(0.0))
-    sigmoid = 1 / (1 + F.exp(-margin))
-    return rows.select(
-        *DOC, F.negate(best["minus"]).alias("category_id"), (0.5 + 0.4 * (2 * sigmoid - 1)).alias("confidence")
+    left = cut_lineage(entries.join(sizes, "ledger_id").select("ledger_id", group, "doc", "feature", "weight"))
+    weights = model.select("ledger_id", "feature", "class", F.col("weight").alias("_w"))
+    fetched = left.select(*key, "feature").distinct().join(weights, ["ledger_id", "feature"])
+    # New names, as both sides stem from one table.
+    right = fetched.select(F.col("ledger_id").alias("_ledger"), F.col("group").alias("_group"), F.col("feature").alias("feature"), "class", "_w")
+    scored = left.groupBy(*key).cogroup(right.groupBy("_ledger", "_group")).applyInArrow(
+        _score_pair, "ledger_id string, doc bigint, category_id bigint, lead double"
     )
+    sigmoid = 1 / (1 + F.exp(-F.greatest(F.col("lead"), F.lit(0.0))))
+    return scored.select(*DOC, "category_id", (0.5 + 0.4 * (2 * sigmoid - 1)).alias("confidence"))

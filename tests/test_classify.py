@@ -100,9 +100,10 @@ def test_training_equals_plain_sums(spark):
     assert linear.fit_sample(examples, vectors, fit_entries=1).count() == 1
 
 
-def test_prediction_against_all_scores(spark):
-    import random
-
+@pytest.mark.parametrize("group, scores", [(512, 1 << 22), (4, 1)])
+def test_prediction_against_all_scores(spark, monkeypatch, group, scores):
+    monkeypatch.setattr(linear, "DOCS", group)
+    monkeypatch.setattr(linear, "SCORES", scores)
     rng = random.Random(5)
     model, bias = {}, {}
     for c in range(9):
@@ -125,6 +126,20 @@ def test_prediction_against_all_scores(spark):
         assert math.isclose(got[d][1], 0.5 + 0.4 * (2 / (1 + math.exp(-lead)) - 1))
 
 
+def test_top_two_in_blocks_of_classes():
+    rng = np.random.default_rng(6)
+    x, w, bias = rng.integers(0, 3, (40, 12)) * (rng.random((40, 12)) < 0.3), rng.integers(-2, 3, (12, 7)), rng.integers(-1, 2, 7).astype(float)
+    docs, features = np.nonzero(x)
+    at = np.nonzero(w)
+    want = x @ w + bias
+    for block in (1, 3, 10**6):
+        linear.SCORES, before = block * max(len(docs), 40), linear.SCORES
+        best, scores = linear.top_two(docs, features, x[docs, features].astype(float), 40, (*at, w[at].astype(float)), bias, 12)
+        linear.SCORES = before
+        order = np.lexsort((np.tile(np.arange(7), (40, 1)), -want))[:, :2]
+        assert (best == order).all() and (scores == np.take_along_axis(want, order, 1)).all()
+
+
 def test_ngrams(spark):
     row = spark.createDataFrame([("ab c",)], "t string").select(features.ngrams("t")).first()[0]
     assert sorted(row) == sorted(
