@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from passbook.functions.text import normalise_merchant
 from passbook.operators import aggregates, features, history, transfers, views
-from passbook.operators.linear import train_linear
+from passbook.operators.linear import predict_linear, train_linear
 from passbook.plans import classify as plan
 from passbook.queries import query
 from passbook.queries.curate import AT
-from passbook.queries.rules import RULES
+from passbook.queries.rules import ONCE, RULES, STATE
 from passbook.schema import Books
 from passbook.session import cut_lineage
 from passbook.sources import star
@@ -83,18 +83,24 @@ PAIRS = """
               JOIN sizes s ON s.ledger_id = d.ledger_id AND s.date = d.date AND s.size = c.amount_cents)"""
 
 
-@query("detect_transfers", f"""
-    WITH RECURSIVE {PAIRS},
+# The greedy order, one pair of each group after the other.
+TAKEN = """
     ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ledger_id, date, size ORDER BY confidence DESC, da, d, ca, c) AS place FROM pairs),
     taken AS (
       SELECT ledger_id, date, size, [d, c] AS used, d, c, confidence FROM ranked WHERE place = 1
       UNION ALL
       SELECT ledger_id, date, size, list_concat(used, [best.d, best.c]), best.d, best.c, best.confidence
       FROM (SELECT t.ledger_id AS ledger_id, t.date AS date, t.size AS size, t.used AS used,
-                   arg_min({{'d': r.d, 'c': r.c, 'confidence': r.confidence}}, r.place) AS best
+                   arg_min({'d': r.d, 'c': r.c, 'confidence': r.confidence}, r.place) AS best
             FROM taken t JOIN ranked r ON r.ledger_id = t.ledger_id AND r.date = t.date AND r.size = t.size
             WHERE NOT list_contains(t.used, r.d) AND NOT list_contains(t.used, r.c)
-            GROUP BY 1, 2, 3, 4))
+            GROUP BY 1, 2, 3, 4))"""
+# Sign-ups are filed, so a whole run pairs the other events only.
+UNFILED_PAIRS = PAIRS.replace("l.id = t.id)),", "l.id = t.id) AND source_file <> 'signup'),", 1)
+
+
+@query("detect_transfers", f"""
+    WITH RECURSIVE {PAIRS}, {TAKEN}
     SELECT ledger_id, d AS from_transaction_id, c AS to_transaction_id, CAST(confidence AS DOUBLE) AS ai_confidence FROM taken""")
 def detect_transfers(spark, sf):
     view, links = _event_view(spark, sf)
@@ -215,16 +221,68 @@ def _labelled(spark, sf):
     return keyed(open_rows).select("ledger_id", "id", "norm", "amount_cents", "date"), examples
 
 
-@query("classify_cascade", """
-    SELECT v.ledger_id AS ledger_id, v.id AS id, CAST(ASCII(segment) AS BIGINT) AS category_id
-    FROM {orders_wide} v JOIN {accounts} a ON a.ledger_id = v.ledger_id AND a.account_id = v.account_id
-    WHERE a.deleted_at IS NULL
-      AND NOT EXISTS (SELECT 1 FROM {enrichments} e WHERE e.ledger_id = v.ledger_id AND e.transaction_id = v.id AND e.category_id IS NOT NULL)
-      AND NOT EXISTS (SELECT 1 FROM {transfers} t WHERE t.ledger_id = v.ledger_id AND v.id IN (t.from_transaction_id, t.to_transaction_id))""")
+# Merchant keys of the orders written out, and which tier finds a row among examples ``known``.
+KEYED = """
+    keyed AS (SELECT w.ledger_id AS ledger_id, w.id AS id, w.account_id AS account_id, w.date AS date, t.amount_cents AS amount_cents,
+                     segment, priority, LOWER(segment || ' ' || regexp_replace(priority, '^[0-9]-', '')) AS norm
+              FROM {orders_wide} w JOIN {transactions} t ON t.ledger_id = w.ledger_id AND t.id = w.id)"""
+TIER = """CASE WHEN EXISTS (SELECT 1 FROM known h WHERE h.ledger_id = q.ledger_id AND h.norm = q.norm
+                              AND h.amount_cents = q.amount_cents AND h.date < q.date) THEN 'exact'
+                  WHEN EXISTS (SELECT 1 FROM known h WHERE h.ledger_id = q.ledger_id AND h.norm = q.norm AND h.date < q.date) THEN 'recurring'
+                  ELSE 'model' END"""
+
+
+@query("classify_cascade", f"""
+    WITH {KEYED},
+         known AS (SELECT k.* FROM keyed k JOIN {{enrichments}} e ON e.ledger_id = k.ledger_id AND e.transaction_id = k.id
+                   WHERE e.category_confirmed AND e.category_id IS NOT NULL),
+         unfiled AS (SELECT v.*, {TIER.replace("q.", "v.")} AS source
+                  FROM keyed v JOIN {{accounts}} a ON a.ledger_id = v.ledger_id AND a.account_id = v.account_id
+                  WHERE a.deleted_at IS NULL
+                    AND NOT EXISTS (SELECT 1 FROM {{enrichments}} e WHERE e.ledger_id = v.ledger_id AND e.transaction_id = v.id AND e.category_id IS NOT NULL)
+                    AND NOT EXISTS (SELECT 1 FROM {{transfers}} t WHERE t.ledger_id = v.ledger_id AND v.id IN (t.from_transaction_id, t.to_transaction_id)))
+    SELECT ledger_id, id, CAST(ASCII(segment) AS BIGINT) AS category_id, source, source = 'model' AS by_lead FROM unfiled""")
 def classify_cascade(spark, sf):
-    """Every open order is recognised by its segment, which its description names."""
+    """Every open order is recognised by its segment, which its description names.
+
+    Confidences of the model lie between 0.5 and 0.9, by its lead.
+    """
     inputs, examples = _labelled(spark, sf)
-    return plan.classify_cascade(inputs, examples).select("ledger_id", "id", "category_id")
+    by_lead = (F.col("confidence") > 0.5) & (F.col("confidence") < 0.9)
+    return plan.classify_cascade(inputs, examples).select("ledger_id", "id", "category_id", "source", by_lead.alias("by_lead"))
+
+
+@query("predict_linear", f"""
+    WITH {GRAMS},
+    labelled AS (SELECT d.ledger_id AS ledger_id, d.doc AS doc, CAST(p_size % 7 AS BIGINT) AS class FROM docs d JOIN {{part}} ON p_partkey = d.doc),
+    members AS (SELECT ledger_id, class, COUNT(*) AS n FROM labelled GROUP BY 1, 2),
+    centres AS (SELECT u.ledger_id AS ledger_id, l.class AS class, u.feature AS feature, SUM(u.w) / ANY_VALUE(m.n) AS c
+                FROM unit u JOIN labelled l ON l.ledger_id = u.ledger_id AND l.doc = u.doc
+                JOIN members m ON m.ledger_id = l.ledger_id AND m.class = l.class GROUP BY 1, 2, 3),
+    biases AS (SELECT ledger_id, class, -SUM(c * c) / 2 AS b FROM centres GROUP BY 1, 2),
+    products AS (SELECT u.ledger_id AS ledger_id, u.doc AS doc, c.class AS class, SUM(u.w * c.c) AS s
+                 FROM unit u JOIN centres c ON c.ledger_id = u.ledger_id AND c.feature = u.feature GROUP BY 1, 2, 3),
+    scores AS (SELECT d.ledger_id AS ledger_id, d.doc AS doc, b.class AS class, ROUND(b.b + COALESCE(p.s, 0), 9) AS score
+               FROM docs d JOIN biases b ON b.ledger_id = d.ledger_id
+               LEFT JOIN products p ON p.ledger_id = d.ledger_id AND p.doc = d.doc AND p.class = b.class),
+    placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ledger_id, doc ORDER BY score DESC, class) AS place FROM scores),
+    two AS (SELECT ledger_id, doc, MAX(class) FILTER (place = 1) AS category_id, MAX(score) FILTER (place = 1) AS first, MAX(score) FILTER (place = 2) AS second
+            FROM placed GROUP BY 1, 2)
+    SELECT ledger_id, doc, category_id, ROUND(0.5 + 0.4 * (2 / (1 + EXP(-COALESCE(first - second, ABS(first)))) - 1), 6) AS confidence FROM two""")
+def predict(spark, sf):
+    """Merchants by the nearest mean vector of a size class: w is the mean, b half its squared length."""
+    docs, vectors = features.similarity_vectors(star.frame(spark, sf, "merchants"))
+    classes = star.frame(spark, sf, "part").select(F.col("p_partkey").alias("doc"), (F.col("p_size") % 7).cast("bigint").alias("class"))
+    labelled = docs.select("ledger_id", "doc").join(classes, "doc")
+    members = labelled.groupBy("ledger_id", "class").agg(F.count(F.lit(1)).alias("n"))
+    centres = (
+        vectors.join(labelled, ["ledger_id", "doc"]).groupBy("ledger_id", "class", "feature").agg(F.sum("weight").alias("_s"))
+        .join(members, ["ledger_id", "class"]).select("ledger_id", "class", "feature", (F.col("_s") / F.col("n")).alias("weight"))
+    )
+    biases = centres.groupBy("ledger_id", "class").agg((-F.sum(F.col("weight") * F.col("weight")) / 2).alias("weight"))
+    model = centres.unionByName(biases.withColumn("feature", F.lit("")))
+    found = predict_linear(docs, vectors.select("ledger_id", "doc", "feature", "weight"), model)
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("train_linear")
@@ -238,9 +296,14 @@ def train_model(spark, sf):
     return train_linear(rows.select("ledger_id", "id", "doc", "category_id"), vectors)
 
 
-@query("evaluate", """
-    SELECT ledger_id, CAST(COUNT(*) AS BIGINT) AS rows, CAST(1.0 AS DOUBLE) AS accuracy FROM {orders_wide}
-    WHERE priority NOT IN ('1-URGENT', '2-HIGH') GROUP BY 1""")
+@query("evaluate", f"""
+    WITH {KEYED},
+         known AS (SELECT * FROM keyed WHERE priority IN ('1-URGENT', '2-HIGH')),
+         tiers AS (SELECT ledger_id, {TIER} AS source FROM keyed q WHERE priority NOT IN ('1-URGENT', '2-HIGH'))
+    SELECT ledger_id, CAST(COUNT(*) AS BIGINT) AS rows, CAST(1.0 AS DOUBLE) AS accuracy, CAST(COUNT(*) FILTER (source = 'exact') AS BIGINT) AS exact,
+           CAST(COUNT(*) FILTER (source = 'recurring') AS BIGINT) AS recurring, CAST(COUNT(*) FILTER (source = 'model') AS BIGINT) AS model,
+           CAST(0 AS BIGINT) AS unclassified
+    FROM tiers GROUP BY 1""")
 def evaluate(spark, sf):
     """Trained on confirmed orders, tested on all others."""
     made: dict = {}
@@ -252,7 +315,7 @@ def evaluate(spark, sf):
     ).select("ledger_id", "id", "description", "amount_cents", "date", "category_id", "priority")
     confirmed = F.col("priority").isin("1-URGENT", "2-HIGH")
     scored = plan.evaluate(rows.filter(confirmed).drop("priority"), rows.filter(~confirmed).drop("priority"))
-    return scored.select("ledger_id", "rows", "accuracy")
+    return scored
 
 
 @query("evaluate_documents")
@@ -268,7 +331,23 @@ def evaluate_documents(spark, sf):
     return plan.evaluate(rows.filter("_train").drop("_train"), rows.filter("not _train").drop("_train"))
 
 
-@query("classify_orders")
+@query("classify_orders", f"""
+    WITH {STATE}, {ONCE}, {KEYED},
+         -- No two opposite orders of two accounts share a day; a group that did would show here.
+         pairs AS (SELECT ledger_id, date, ABS(amount_cents) AS size FROM keyed GROUP BY 1, 2, 3
+                   HAVING COUNT(*) FILTER (amount_cents < 0) > 0 AND COUNT(*) FILTER (amount_cents > 0) > 0 AND COUNT(DISTINCT account_id) > 1),
+         prior AS (SELECT * FROM {{enrichments}} WHERE category_source = 'rule' AND category_id IS NOT NULL),
+         changed AS (SELECT w.ledger_id AS ledger_id FROM writes w LEFT JOIN prior p ON p.ledger_id = w.ledger_id AND p.transaction_id = w.id
+                     WHERE p.category_id IS NULL OR p.category_id <> w.new_category),
+         known AS (SELECT k.* FROM keyed k JOIN once e ON e.ledger_id = k.ledger_id AND e.transaction_id = k.id
+                   WHERE e.category_confirmed AND e.category_id IS NOT NULL),
+         unfiled AS (SELECT v.* FROM keyed v JOIN {{accounts}} a ON a.ledger_id = v.ledger_id AND a.account_id = v.account_id
+                  WHERE a.deleted_at IS NULL
+                    AND NOT EXISTS (SELECT 1 FROM once e WHERE e.ledger_id = v.ledger_id AND e.transaction_id = v.id AND e.category_id IS NOT NULL)
+                    AND NOT EXISTS (SELECT 1 FROM {{transfers}} t WHERE t.ledger_id = v.ledger_id AND v.id IN (t.from_transaction_id, t.to_transaction_id))),
+         outcomes AS (SELECT ledger_id, {TIER} AS source FROM unfiled q UNION ALL SELECT ledger_id, 'filtered' FROM changed
+                      UNION ALL SELECT ledger_id, 'transfers' FROM pairs)
+    SELECT ledger_id, source, CAST(COUNT(*) AS BIGINT) AS rows FROM outcomes GROUP BY 1, 2""")
 def classify_orders(spark, sf):
     """A whole run over the order ledgers: transfers, rules, suggestions."""
     rules = spark.sql(RULES, nation=star.frame(spark, sf, "nation"), region=star.frame(spark, sf, "region"))
@@ -281,7 +360,12 @@ def _stored(books: Books) -> Books:
     return books.with_tables(**{n: cut_lineage(getattr(books, n)) for n in names})
 
 
-@query("classify_events")
+@query("classify_events", f"""
+    WITH RECURSIVE {UNFILED_PAIRS}, {TAKEN},
+         used AS (SELECT ledger_id, d AS id FROM taken UNION ALL SELECT ledger_id, c FROM taken),
+         outcomes AS (SELECT ledger_id, 'transfers' AS source FROM taken
+                      UNION ALL SELECT ledger_id, 'unclassified' FROM tx t WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.ledger_id = t.ledger_id AND u.id = t.id))
+    SELECT ledger_id, source, CAST(COUNT(*) AS BIGINT) AS rows FROM outcomes GROUP BY 1, 2""")
 def classify_events(spark, sf):
     """A whole run over the event ledgers, where transfers dominate."""
     made: dict = {}

@@ -110,16 +110,17 @@ def preview_rules(spark, sf):
     return ops.preview_rules(_books(spark, sf), AT)
 
 
+# The enrichments that a run leaves.
+ONCE = """
+         once AS (SELECT ledger_id, transaction_id, category_id, category_source, category_confirmed, ai_confidence FROM kept k
+                  WHERE NOT EXISTS (SELECT 1 FROM writes w WHERE w.ledger_id = k.ledger_id AND w.id = k.transaction_id)
+                  UNION ALL SELECT ledger_id, id, CAST(new_category AS BIGINT), 'rule', NOT review, NULL FROM writes)"""
 # The state of a second run, over what the first one wrote.
 STATE_2 = re.sub(r"\b(kept|seen|noted|hits|claimed|writes)\b", r"\1_2", STATE).replace("{enrichments}", "once")
 
 
 @query("rules_settle", f"""
-    WITH {STATE},
-         once AS (SELECT ledger_id, transaction_id, category_id, category_source, category_confirmed, ai_confidence FROM kept k
-                  WHERE NOT EXISTS (SELECT 1 FROM writes w WHERE w.ledger_id = k.ledger_id AND w.id = k.transaction_id)
-                  UNION ALL SELECT ledger_id, id, CAST(new_category AS BIGINT), 'rule', NOT review, NULL FROM writes),
-         {STATE_2},
+    WITH {STATE}, {ONCE}, {STATE_2},
          prior AS (SELECT * FROM once WHERE category_source = 'rule' AND category_id IS NOT NULL)
     SELECT w.ledger_id AS ledger_id, w.id AS transaction_id, CAST(w.rule_id AS BIGINT) AS rule_id,
            p.category_id AS prior_category_id, CAST(w.new_category AS BIGINT) AS category_id
