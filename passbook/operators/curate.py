@@ -188,6 +188,15 @@ def deletable_categories(rules: DataFrame, ids: DataFrame, force: bool = False)
     return wanted.join(rules.select("ledger_id", "category_id"), ["ledger_id", "category_id"], "left_anti")
 
 
+def blocked_deletes(rules: DataFrame, ids: DataFrame) -> DataFrame:
+    """(ledger_id, category_id, rules): the categories that only ``force`` deletes, with the names of the rules that assign them."""
+    key = ["ledger_id", "category_id"]
+    used = rules.join(ids.select(*key).distinct(), key, "left_semi")
+    return used.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("position", "id", "name"))).alias("_r")).select(
+        *key, F.col("_r.name").alias("rules")
+    )
+
+
 def delete_categories(books: Books, ids: DataFrame, force: bool = False) -> Books:
     """Drop categories with their enrichments; rules that assigned them lose the category."""
     key = ["ledger_id", "category_id"]

@@ -29,6 +29,9 @@ FIT_ENTRIES = 4_000_000
 # Classes trained together; more classes make more tasks, with the same result.
 CLASS_BLOCK = 32
 
+# Bytes of the weights that a task trains at a time.
+FIT_BYTES = 128 << 20
+
 # Documents scored together, and scores that a task holds at a time.
 DOCS = 512
 SCORES = 1 << 22
@@ -102,20 +105,21 @@ def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
         indices.append(at)
         values.append(np.asarray(weights, dtype=np.float64))
     labels = pdf["category_id"].to_numpy(dtype=np.int64)
-    classes = np.array(sorted(pdf["classes"].iloc[0]), dtype=np.int64)
-    averaged, bias = fit_block(indices, values, labels, classes, len(names))
-    which, where = np.nonzero(averaged)
-    features = np.array([*names, ""], dtype=object)
-    out = pd.DataFrame(
-        {
-            "class": np.concatenate([classes[which], classes]),
-            # The bias goes under the empty feature name.
-            "feature": np.concatenate([features[where], np.full(len(classes), "", dtype=object)]),
-            "weight": np.concatenate([averaged[which, where], bias]),
-        }
-    )
-    out.insert(0, "ledger_id", pdf["ledger_id"].iloc[0])
-    return out
+    every = np.array(sorted(pdf["classes"].iloc[0]), dtype=np.int64)
+    features = np.array(names, dtype=object)
+    # Classes do not depend on each other: as many at a time as the two matrices have room for.
+    at_once = max(1, FIT_BYTES // (16 * max(1, len(names))))
+    out = []
+    for start in range(0, len(every), at_once):
+        classes = every[start : start + at_once]
+        averaged, bias = fit_block(indices, values, labels, classes, len(names))
+        which, where = np.nonzero(averaged)
+        out.append(pd.DataFrame({"class": classes[which], "feature": features[where], "weight": averaged[which, where]}))
+        # The bias goes under the empty feature name.
+        out.append(pd.DataFrame({"class": classes, "feature": "", "weight": bias}))
+    found = pd.concat(out, ignore_index=True)
+    found.insert(0, "ledger_id", pdf["ledger_id"].iloc[0])
+    return found
 
 
 def fit_sample(

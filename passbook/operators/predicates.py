@@ -323,9 +323,15 @@ FIELDS: dict[str, Builder] = {
 ALIASES = {"d": "date", "am": "amount", "a": "account", "c": "category", "conf": "confidence"}
 
 
-def register_field(name: str, builder: Builder, alias: str | None = None) -> None:
-    """Add a user-defined search field."""
+# Columns that registered fields sort by; rows without a value come last.
+SORTS: dict[str, str] = {}
+
+
+def register_field(name: str, builder: Builder, alias: str | None = None, sort: str | None = None) -> None:
+    """Add a user-defined search field; ``sort`` is the column that its sort key orders by."""
     FIELDS[name] = builder
+    if sort:
+        SORTS[name] = sort
     if alias:
         ALIASES[alias] = name
 

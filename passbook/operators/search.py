@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passbook.operators import views
-from passbook.operators.predicates import Predicate, all_of, any_of, fuzzy_matches
+from passbook.operators.predicates import SORTS, Predicate, all_of, any_of, fuzzy_matches
 from passbook.schema import Books
 
 # Sort names and the columns they stand for (fixed values).
@@ -25,6 +24,10 @@ SORT_COLUMNS = {
 }
 NULLS_LAST = ("category", "confidence")
 
+# Scores of an alignment of letters: a letter found, the start of a word, a capital inside one, a letter
+# next to the one before, a gap and each further character of it.
+HIT, WORD, CAPITAL, RUN, GAP, WIDER = 16, 8, 7, 4, 3, 1
+
 
 def default_order() -> list[Column]:
     return [F.desc("date"), F.desc("id"), F.asc("ledger_id")]
@@ -36,7 +39,7 @@ def parse_sort(value: str) -> list[tuple[str, bool]]:
     for part in filter(None, value.split(",")):
         descending = part.startswith("-")
         name = part.removeprefix("-").lower()
-        if name not in SORT_COLUMNS:
+        if name not in SORT_COLUMNS and name not in SORTS:
             raise ValueError(f"no such sort key: {part.removeprefix('-')}")
         keys.append((name, descending))
     return keys
@@ -59,10 +62,10 @@ def sort_by(keys: str | list[tuple[str, bool]], columns: Iterable[str]) -> list[
     present = set(columns)
     order = []
     for name, descending in pairs:
-        column = SORT_COLUMNS[name]
+        column = SORT_COLUMNS.get(name) or SORTS[name]
         if column not in present:
             continue
-        if name in NULLS_LAST:
+        if name in NULLS_LAST or name in SORTS:
             order.append(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column))
         else:
             order.append(F.desc(column) if descending else F.asc(column))
@@ -187,18 +190,50 @@ def transactions_in_account(books: Books, ids: DataFrame, limit: int | None = No
     return arrange(view.join(ids.select(*key), key, "left_semi"), limit=limit)
 
 
-def find_categories(categories: DataFrame, text: str) -> DataFrame:
-    """Fuzzy category lookup: shortest span holding the letters first, then shorter paths."""
-    found = fuzzy_filter(categories, ["path"], text)
-    letters = "".join(text.split())
-    if not letters:
-        return found.orderBy("ledger_id", "path")
-    chain = ".*?".join(re.escape(c) for c in letters)
-    spans = F.regexp_extract_all("path", F.lit(f"(?is)(?=({chain}))"), F.lit(1))
-    span = F.array_min(F.transform(spans, F.length))
-    return (
-        found.withColumn("score", F.coalesce(span, F.length("path")))
-        .orderBy("score", F.length("path"), "path", "ledger_id")
-    )
+def alignment_score(path: Column | str, pattern: str) -> Column:
+    """Score of the best way to find the letters of a pattern in order in a text; NULL if there is none.
+
+    Every letter counts ``HIT``.  A letter at the start of a word, or behind a smaller letter as a
+    capital, has a bonus, twofold for the first letter; a letter next to the one before has at least
+    ``RUN``; a gap costs ``GAP`` and ``WIDER`` for each further character.  Blank-separated parts are found apart
+    and their scores added.  One array of scores by place is built for each letter.
+    """
+    text = F.col(path) if isinstance(path, str) else path
+    chars = F.split(text, "")
+    lower = F.transform(chars, F.lower)
+    word = r"[\p{L}\p{N}]"
+
+    def bonus(at: Column) -> Column:
+        here, before = F.get(chars, at), F.get(chars, at - 1)
+        start = (at == 0) | (~before.rlike(word) & here.rlike(word))
+        capital = before.rlike(r"\p{Ll}") & here.rlike(r"\p{Lu}")
+        return F.when(start, WORD).when(capital, CAPITAL).otherwise(0)
+
+    def first(letter: str) -> Column:
+        return F.transform(lower, lambda c, i: F.when(c == letter, HIT + 2 * bonus(i)))
+
+    def then(letter: str, scores: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            joined = F.get(scores, i - 1) + F.greatest(bonus(i), F.lit(RUN))
+            # Places two or more before this one.
+            far = F.transform(F.slice(scores, F.lit(1), F.greatest(i - 1, F.lit(0))), lambda v, k: v - (GAP + (i - k - 2) * WIDER))
+            return F.when(c == letter, HIT + F.greatest(joined, F.array_max(far) + bonus(i)))
+
+        return F.transform(lower, one)
+
+    total = F.lit(0)
+    for part in pattern.lower().split():
+        scores = first(part[0])
+        for letter in part[1:]:
+            scores = then(letter, scores)
+        total = total + F.array_max(scores)
+    return total
 
 
+def find_categories(categories: DataFrame, text: str) -> DataFrame:
+    """Fuzzy category lookup with ``score`` and ``place`` in its ledger, best first; equal scores by length, then path."""
+    if not text.split():
+        return categories.orderBy("ledger_id", "path")
+    found = categories.withColumn("score", alignment_score("path", text)).filter(F.col("score").isNotNull())
+    best = Window.partitionBy("ledger_id").orderBy(F.desc("score"), F.length("path"), "path")
+    return found.withColumn("place", F.row_number().over(best)).orderBy("ledger_id", "place")

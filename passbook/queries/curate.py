@@ -151,6 +151,24 @@ def delete_categories(spark, sf):
     return curate.count_uncategorised_by_delete(books, books.categories.filter("category_id > 100"))
 
 
+@query("blocked_deletes", """
+    SELECT r.ledger_id AS ledger_id, r.category_id AS category_id, STRING_AGG(r.name, ', ' ORDER BY r.position, r.id) AS rules,
+           (SELECT COUNT(*) FROM {categories} c WHERE c.ledger_id = r.ledger_id AND c.category_id = r.category_id) AS kept
+    FROM {supplier_rules} r JOIN {categories} c ON c.ledger_id = r.ledger_id AND c.category_id = r.category_id
+    WHERE r.category_id < 100 GROUP BY 1, 2""")
+def blocked_deletes(spark, sf):
+    """Segment categories that rules of suppliers assign: a delete without force names the rules and keeps them."""
+    books = star.books(spark, sf)
+    rules = star.frame(spark, sf, "supplier_rules")
+    asked = books.categories.filter("category_id < 100")
+    after = curate.delete_categories(books.with_tables(rules=rules), asked)
+    blocked = curate.blocked_deletes(rules, asked)
+    kept = after.categories.groupBy("ledger_id", "category_id").agg(F.count(F.lit(1)).alias("kept"))
+    return blocked.join(kept, ["ledger_id", "category_id"], "left").select(
+        "ledger_id", "category_id", F.array_join("rules", ", ").alias("rules"), F.coalesce("kept", F.lit(0)).alias("kept")
+    )
+
+
 @query("categories_left", "SELECT ledger_id, path, transactions FROM (SELECT c.ledger_id AS ledger_id, path, CAST(COUNT(e.transaction_id) AS BIGINT) AS transactions FROM {categories} c LEFT JOIN {enrichments} e ON c.ledger_id = e.ledger_id AND c.category_id = e.category_id WHERE c.category_id < 100 GROUP BY 1, 2)")
 def categories_left(spark, sf):
     books = star.books(spark, sf)

@@ -177,9 +177,23 @@ def boundary_prefix(spark, sf):
 
 
 @query("find_categories", """
-    SELECT ledger_id, category_id, path FROM {categories} WHERE regexp_matches(path, '(?is)s.*m.*u')""")
+    WITH letters AS (SELECT ledger_id, category_id, path, i, LOWER(path[i]) AS c,
+                            CASE WHEN i = 1 OR NOT regexp_matches(path[i - 1], '[\\p{{L}}\\p{{N}}]') AND regexp_matches(path[i], '[\\p{{L}}\\p{{N}}]') THEN 8
+                                 WHEN regexp_matches(path[i - 1], '\\p{{Ll}}') AND regexp_matches(path[i], '\\p{{Lu}}') THEN 7 ELSE 0 END AS b
+                     FROM (SELECT ledger_id, category_id, path, unnest(range(1, length(path) + 1)) AS i FROM {categories})),
+         -- Every way to find the three letters in order.
+         ways AS (SELECT s.ledger_id AS ledger_id, s.category_id AS category_id, s.path AS path,
+                    48 + 2 * s.b + CASE WHEN m.i = s.i + 1 THEN GREATEST(m.b, 4) ELSE m.b - 3 - (m.i - s.i - 2) END
+                      + CASE WHEN u.i = m.i + 1 THEN GREATEST(u.b, 4) ELSE u.b - 3 - (u.i - m.i - 2) END AS score
+                  FROM letters s JOIN letters m ON m.ledger_id = s.ledger_id AND m.category_id = s.category_id AND m.i > s.i
+                  JOIN letters u ON u.ledger_id = s.ledger_id AND u.category_id = s.category_id AND u.i > m.i
+                  WHERE s.c = 's' AND m.c = 'm' AND u.c = 'u')
+    SELECT ledger_id, category_id, path, CAST(MAX(score) AS INTEGER) AS score,
+           CAST(ROW_NUMBER() OVER (PARTITION BY ledger_id ORDER BY MAX(score) DESC, length(path), path) AS INTEGER) AS place
+    FROM ways GROUP BY 1, 2, 3""")
 def find_categories(spark, sf):
-    return search.find_categories(star.frame(spark, sf, "categories"), "smu").select("ledger_id", "category_id", "path")
+    found = search.find_categories(star.frame(spark, sf, "categories"), "smu")
+    return found.select("ledger_id", "category_id", "path", "score", "place")
 
 
 @query("either_side", f"""

@@ -73,6 +73,16 @@ def reference_fit(rows, labels, width):
     return classes, total / steps
 
 
+def linear_group(dense, labels):
+    import pandas as pd
+
+    named = [[(f"f{j}", v) for j, v in enumerate(row) if v] for row in dense]
+    return pd.DataFrame({
+        "ledger_id": "L", "id": range(len(labels)), "category_id": labels, "classes": [sorted(set(labels))] * len(labels),
+        "features": [[f for f, _ in row] for row in named], "weights": [[v for _, v in row] for row in named],
+    })
+
+
 def test_training_equals_plain_sums(spark):
     rng = random.Random(4)
     dense = [[rng.random() if rng.random() < 0.5 else 0.0 for _ in range(6)] for _ in range(30)]
@@ -91,6 +101,12 @@ def test_training_equals_plain_sums(spark):
             assert math.isclose(got[(c, "")], want[k][6], abs_tol=1e-9)
             for j in range(6):
                 assert math.isclose(got.get((c, f"f{j}"), 0.0), want[k][j], abs_tol=1e-9)
+    # Two classes at a time give the same.
+    before, linear.FIT_BYTES = linear.FIT_BYTES, 16 * 6
+    out = linear._fit_group(linear_group(dense, labels))
+    linear.FIT_BYTES = before
+    again = {(c, f): w for c, f, w in zip(out["class"], out["feature"], out["weight"])}
+    assert again.keys() == got.keys() and all(math.isclose(again[k], w, abs_tol=1e-12) for k, w in got.items())
     # A bounded sample: the same rows each time, the exact pass on them.
     chosen = [{r.id for r in linear.fit_sample(examples, vectors, fit_rows=7).collect()} for _ in range(2)]
     assert chosen[0] == chosen[1] and len(chosen[0]) == 7

@@ -1,5 +1,6 @@
 """Searches on a small ledger."""
 
+import random
 from datetime import date
 
 import pytest
@@ -209,3 +210,54 @@ def test_financial_year_column(spark):
     rows = spark.createDataFrame([(date(2024, 6, 30),), (date(2024, 7, 1),)], "d date")
     assert [r[0] for r in rows.select(financial_year("d")).collect()] == [2024, 2025]
     assert [r[0] for r in rows.select(financial_year(F.col("d"), (12, 31))).collect()] == [2024, 2024]
+
+
+def best_alignment(path, pattern):
+    """All ways to place the letters, scored one by one."""
+    from itertools import combinations
+
+    def bonus(i):
+        here, before = path[i], path[i - 1] if i else ""
+        if i == 0 or (not before.isalnum() and here.isalnum()):
+            return search.WORD
+        return search.CAPITAL if before.islower() and here.isupper() else 0
+
+    total = 0
+    for part in pattern.lower().split():
+        scores = []
+        for places in combinations(range(len(path)), len(part)):
+            if all(path[i].lower() == c for i, c in zip(places, part)):
+                score = len(part) * search.HIT + 2 * bonus(places[0])
+                for a, b in zip(places, places[1:]):
+                    score += max(bonus(b), search.RUN) if b == a + 1 else bonus(b) - search.GAP - (b - a - 2) * search.WIDER
+                scores.append(score)
+        if not scores:
+            return None
+        total += max(scores)
+    return total
+
+
+def test_alignment_equals_all_ways(spark):
+    rng = random.Random(16)
+    paths = ["".join(rng.choice("abAB/ -é1") for _ in range(rng.randrange(1, 11))) for _ in range(120)] + ["", "Food/Groceries", "foodGroceries"]
+    table_ = spark.createDataFrame([("L", i, p) for i, p in enumerate(paths)], "ledger_id string, category_id long, path string")
+    for pattern in ("a", "ab", "aab", "b/a", "a b", "fg", "É1"):
+        found = {r.category_id: (r.score, r.place) for r in search.find_categories(table_, pattern).collect()}
+        want = {i: best_alignment(p, pattern) for i, p in enumerate(paths)}
+        want = {i: w for i, w in want.items() if w is not None}
+        assert {i: s for i, (s, _) in found.items()} == want
+        order = sorted(want, key=lambda i: (-want[i], len(paths[i]), paths[i]))
+        assert [want[i] for i in sorted(found, key=lambda i: found[i][1])] == [want[i] for i in order]
+    assert search.find_categories(table_, " ").count() == len(paths)
+
+
+def test_registered_sort_keys(spark, golden):
+    p.register_field("note", p.FIELDS["note"], sort="note")
+    try:
+        view = spark.createDataFrame([(1, "b", "L"), (2, None, "L"), (3, "a", "L")], "id long, note string, ledger_id string")
+        listed = lambda keys: [r.id for r in view.orderBy(*search.sort_by(keys, view.columns)).collect()]
+        assert listed("note") == [3, 1, 2] and listed("-note") == [1, 3, 2]
+    finally:
+        del p.SORTS["note"]
+    with pytest.raises(ValueError, match="no such sort key"):
+        search.parse_sort("note")
