@@ -331,6 +331,30 @@ def evaluate_documents(spark, sf):
     return plan.evaluate(rows.filter("_train").drop("_train"), rows.filter("not _train").drop("_train"))
 
 
+@query("apply_to_similar", f"""
+    WITH {KEYED},
+         asked AS (SELECT * FROM keyed WHERE ledger_id = '0' ORDER BY id LIMIT 1),
+         legs AS (SELECT from_transaction_id AS id FROM {{transfers}} WHERE ledger_id = '0' UNION SELECT to_transaction_id FROM {{transfers}} WHERE ledger_id = '0'),
+         filed AS (SELECT transaction_id AS id FROM {{enrichments}} WHERE ledger_id = '0' AND category_id IS NOT NULL AND category_confirmed),
+         pool AS (SELECT k.* FROM keyed k JOIN {{accounts}} a ON a.ledger_id = k.ledger_id AND a.account_id = k.account_id
+                  WHERE k.ledger_id = '0' AND a.deleted_at IS NULL AND k.id NOT IN (SELECT id FROM filed) AND k.id NOT IN (SELECT id FROM legs)),
+         corpus AS (SELECT ledger_id, id, norm FROM pool UNION ALL SELECT ledger_id, id, norm FROM keyed WHERE ledger_id = '0' AND id IN (SELECT id FROM filed)),
+         {GRAMS.replace("{merchants}", "corpus")},
+         listed AS (SELECT c.id AS id, c.date AS date, similarity, ROW_NUMBER() OVER (ORDER BY ROUND(similarity, 9) DESC, c.id) AS place
+                    FROM asked q JOIN docs a ON a.norm = q.norm JOIN alike s ON s.q = a.doc JOIN docs b ON b.doc = s.doc JOIN pool c ON c.norm = b.norm
+                    WHERE c.id <> q.id)
+    SELECT id, ROUND(similarity, 7) AS similarity, NULL::BIGINT AS category_id FROM listed WHERE place <= 200
+    UNION ALL SELECT id, NULL, 66 FROM asked""")
+def apply_to_similar(spark, sf):
+    """The first order of a ledger is filed by hand, and its 200 most similar unconfirmed orders are offered."""
+    books = star.books(spark, sf)
+    first = books.transactions.filter("ledger_id = '0'").agg(F.min("id")).first()[0]
+    enrichments, offer = plan.apply_to_similar(_stored(books), "0", first, 66, AT, top=200)
+    filed = enrichments.filter((F.col("ledger_id") == "0") & (F.col("transaction_id") == first))
+    offered = offer.select("id", F.round("similarity", 7).alias("similarity"), F.lit(None).cast("bigint").alias("category_id"))
+    return offered.unionByName(filed.select(F.col("transaction_id").alias("id"), F.lit(None).cast("double").alias("similarity"), "category_id"))
+
+
 @query("classify_orders", f"""
     WITH {STATE}, {ONCE}, {KEYED},
          -- No two opposite orders of two accounts share a day; a group that did would show here.

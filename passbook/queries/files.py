@@ -115,3 +115,18 @@ def write_json(spark, sf):
     # Every line names every field, NULL or not.
     whole = spark.read.text(place).filter(F.col("value").contains('"name":'))
     return whole.select(F.from_json("value", rows.schema).alias("r")).select("r.*")
+
+
+@query("published_parts", """
+    SELECT ledger_id, id, CASE WHEN DATE_TRUNC('month', date) = (SELECT MAX(DATE_TRUNC('month', date)) FROM {tx_events})
+                               THEN UPPER(description) ELSE description END AS description
+    FROM {tx_events}""")
+def published_parts(spark, sf):
+    """All events are published, then those of the last month again, in capitals: one month of files is new."""
+    root, rows = _place(spark, "published"), star.frame(spark, sf, "tx_events")
+    sinks.publish({"transactions": rows}, root)
+    last = rows.agg(F.max(F.date_trunc("month", "date"))).first()[0]
+    newest = F.date_trunc("month", "date") == F.lit(last)
+    after = rows.withColumn("description", F.when(newest, F.upper("description")).otherwise(F.col("description")))
+    sinks.publish({"transactions": after}, root, {"transactions": rows.filter(newest)})
+    return sinks.current(spark, root, "transactions").select("ledger_id", "id", "description")
