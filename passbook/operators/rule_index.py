@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 EVERY = "*"
 #: Kinds of terms with keys, the most selective first.
 RANKS = {kind: i for i, kind in enumerate(("text", "regex", "tag", "account", "category", "amount", "date"))}
-#: Characters of a prefix in a key, and keys of one term at most: a wider term has none.
-PREFIX, KEYS = 8, 24
+#: Characters of a prefix in a key: as many of these as the prefix has.  Keys of one term at most: a
+#: wider term has none.
+PREFIXES, KEYS = (8, 4, 2, 1), 24
 #: Characters of a pattern's literal in a key.
 GRAM = 3
 
@@ -91,10 +92,10 @@ def term_keys(term: dict) -> list[str]:
     elif kind == "account":
         pairs = list(zip(term["left"], term["right"]))
         if all(b or a for b, a in pairs):
-            keys = ["b:" + b[:PREFIX] if b else "a:" + a[:PREFIX] for b, a in pairs]
+            keys = ["b:" + _cut(b) if b else "a:" + _cut(a) for b, a in pairs]
     elif kind == "category":
         if not any(p.startswith("/") for p in term["left"]):
-            keys = ["c:" + p[:PREFIX] for p in term["left"]]
+            keys = ["c:" + _cut(p) for p in term["left"]]
     elif kind == "amount" and None not in (term["low"], term["high"]) and math.isfinite(term["low"]) and math.isfinite(term["high"]):
         keys = [f"m:{n}" for n in _digits(term["low"], term["high"], bool(term["magnitude"]))]
     elif kind == "date" and None not in (term["date_low"], term["date_high"]):
@@ -104,12 +105,16 @@ def term_keys(term: dict) -> list[str]:
     return keys if len(keys) <= KEYS else []
 
 
+def _cut(prefix: str) -> str:
+    return prefix[: next(n for n in PREFIXES if n <= len(prefix))]
+
+
 def _day(value: object) -> date:
     return value if isinstance(value, date) else date.fromisoformat(str(value)[:10])
 
 
-def _prefixes(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.least(F.length(text), F.lit(PREFIX))), lambda i: F.substring(text, F.lit(1), i))
+def _prefixes(text: Column, mark: str) -> Column:
+    return F.array_distinct(F.array(*[F.concat(F.lit(mark), F.substring(text, 1, n)) for n in PREFIXES]))
 
 
 def _tagged(keys: Column, mark: str) -> Column:
@@ -129,18 +134,18 @@ def row_keys(kinds: set[str]) -> Column:
     """
     none = F.array().cast("array<string>")
     text = F.lower("description")
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM)))
+    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.concat(F.lit("r:"), F.substring(text, i, F.lit(GRAM))))
     digits = F.length(F.translate(F.col("amount_cents").cast("string"), "-", ""))
     month = F.year("date") * 12 + F.month("date")
     parts = {
         "text": lambda: [_tagged(F.col("tokens"), "t:")],
-        "regex": lambda: [_tagged(F.when(F.length(text) >= GRAM, grams), "r:")],
-        "tag": lambda: [_tagged(F.flatten(F.transform("tags", _ancestors)), "g:")],
-        "account": lambda: [_tagged(_prefixes(F.col("_bank")), "b:"), _tagged(_prefixes(F.col("_account")), "a:")],
-        "category": lambda: [_tagged(_prefixes(F.lower("category_path")), "c:")],
+        "regex": lambda: [F.when(F.length(text) >= GRAM, F.array_distinct(grams))],
+        "tag": lambda: [_tagged(F.array_distinct(F.flatten(F.transform("tags", _ancestors))), "g:")],
+        "account": lambda: [_prefixes(F.col("_bank"), "b:"), _prefixes(F.col("_account"), "a:")],
+        "category": lambda: [_prefixes(F.coalesce(F.lower("category_path"), F.lit("")), "c:")],
         "amount": lambda: [F.array(F.concat(F.lit("m:"), digits.cast("string")))],
         "date": lambda: [F.array(F.concat(F.lit("d:"), month.cast("string")))],
     }
     found = [F.coalesce(c, none) for kind in RANKS if kind in kinds for c in parts[kind]()]
     every = F.array(F.lit(EVERY)) if EVERY in kinds else none
-    return F.array_distinct(F.concat(every, *found)) if found else every
+    return F.concat(every, *found) if found else every

@@ -64,6 +64,13 @@ def indexed_rows(spark, sf):
     return fulltext.indexed_rows(star.frame(spark, sf, "doc_tx"))
 
 
+@query("stored_index", f"""
+    SELECT ledger_id, CAST(SUM(len(words)) AS BIGINT) AS postings FROM {WORDS} GROUP BY 1 HAVING SUM(len(words)) > 0""")
+def stored_index(spark, sf):
+    """Postings of the stored index that the searches share."""
+    return _postings(spark, sf).groupBy("ledger_id").agg(F.count(F.lit(1)).alias("postings"))
+
+
 def _edited(spark, sf, edits=5):
     """An index built without notes, and brought up to date by ``edits`` refreshes and merges."""
     tx, notes = _docs(spark, sf)

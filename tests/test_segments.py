@@ -35,7 +35,7 @@ def test_random_edits_and_merges(spark, tmp_path):
     tx, notes = frames(spark, state, noted)
     segments.create_index(spark, root, tx, notes)
     assert rows_of(segments.index_postings(spark, root)) == rows_of(fulltext.build_postings(tx, notes))
-    for edit in range(7):
+    for edit in range(5):
         changed = {k: text(rng) for k in rng.sample(sorted(state), 5)} | {("C", edit): text(rng)}
         gone = rng.sample(sorted(state), 2)
         state |= changed
@@ -48,14 +48,15 @@ def test_random_edits_and_merges(spark, tmp_path):
         after = tx.join(spark.createDataFrame(list(changed), "ledger_id string, id long"), ["ledger_id", "id"], "left_semi")
         segments.refresh_index(spark, root, after, notes, removed)
         held = rows_of(segments.index_postings(spark, root))
+        assert held == rows_of(fulltext.build_postings(tx, notes))
         if edit % 2:
             segments.merge_segments(spark, root, fan=2)
             assert rows_of(segments.index_postings(spark, root)) == held
-        if edit == 3:
+        if edit == 2:
             # Once more changes nothing.
             segments.refresh_index(spark, root, after, notes, removed)
-        assert rows_of(segments.index_postings(spark, root)) == rows_of(fulltext.build_postings(tx, notes)) == held
-        assert fulltext.check_postings(segments.index_postings(spark, root), tx, notes).count() == 0
+            assert rows_of(segments.index_postings(spark, root)) == held
+    assert fulltext.check_postings(segments.index_postings(spark, root), tx, notes).count() == 0
     segments.merge_segments(spark, root, whole=True)
     (one,) = segments.segments(spark, root).collect()
     assert (one.first, one.touched) == (0, 0) and one.postings == sum(held.values())
