@@ -35,6 +35,9 @@ COMPILED = (
 # Fields a stored rule may use besides registered ones (fixed values).
 FIELDS = ("date", "amount", "account", "category", "confidence", "tag", "note", "regex", "text")
 
+# Rules of one kind in a ledger that are not worth keys.
+FEW = 8
+
 # Transactions of a ledger that one copy of its rules meets.
 SPLIT = 2_000_000
 
@@ -261,8 +264,16 @@ def _candidates(books: Books, cal: Calendar | None) -> DataFrame:
     view = view.withColumn("_bank", F.lower("bank_name")).withColumn("_account", F.lower("account_name"))
     # Stored, so that its size decides how it is joined.
     filed = cut_lineage(compile_rules(books.rules, cal, literals))
-    ranks = {r["rank"] for r in filed.select("rank").distinct().collect()}
-    kinds = {kind for kind, rank in RANKS.items() if rank in ranks} | ({EVERY} if -1 in ranks else set())
+    # Keys of a kind pay where a ledger has more than a few such rules; fewer meet all its rows.
+    held = filed.groupBy("ledger_id", "rank").agg(F.count_distinct("rule.rule_id").alias("n")).groupBy("rank").agg(F.max("n").alias("n"))
+    ranks = {r["rank"]: r["n"] for r in held.collect()}
+    kinds = {kind for kind, rank in RANKS.items() if ranks.get(rank, 0) > FEW}
+    keyed = F.col("rank").isin([RANKS[kind] for kind in kinds]) if kinds else F.lit(False)
+    if any(n <= FEW or rank < 0 for rank, n in ranks.items()):
+        kinds = kinds | {EVERY}
+        every = F.col("rule").withField("keys", F.array(F.lit(EVERY)))
+        rest = filed.filter(~keyed & (F.col("key") == F.col("rule.keys")[0]))
+        filed = filed.filter(keyed).unionByName(rest.withColumn("rule", every).withColumn("key", F.lit(EVERY)))
     rows = view.withColumn("_keys", row_keys(kinds)).withColumn("_key", F.explode("_keys"))
     filed = filed.select("ledger_id", F.col("key").alias("_key"), "rule")
     join = ["ledger_id", "_key"]

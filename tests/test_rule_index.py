@@ -75,6 +75,7 @@ def many(spark, golden, rng, count=160):
 @pytest.mark.parametrize("split", [None, 20])
 def test_filed_rules_equal_all_rules(spark, golden, monkeypatch, split):
     books = many(spark, golden, random.Random(11))
+    monkeypatch.setattr(ops, "FEW", 3 if split else 0)
     if split:
         monkeypatch.setattr(ops, "SPLIT", split)
     claimed = sorted(map(tuple, ops.claims(books).collect()))
