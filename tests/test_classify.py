@@ -262,3 +262,17 @@ def test_evaluate(spark):
     test = [("L", 100 + i, names[1 + i % 2][0] + " new", -1, day(50), 1 + i % 2) for i in range(6)]
     row = plan.evaluate(spark.createDataFrame(train, schema), spark.createDataFrame(test, schema)).first()
     assert row.accuracy == 1.0 and row.model == 6 and row["rows"] == 6
+
+
+def test_similar_transactions_looks_up_every_row(spark, tmp_path, monkeypatch):
+    from passbook import queries
+
+    queries.load()
+    assert "supplier" not in queries.SQL["similar_transactions"]
+    spark.createDataFrame(
+        [(i, "Brand#1", "STEEL", f"bolt {i}") for i in range(4)], "p_partkey long, p_brand string, p_type string, p_name string"
+    ).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(features, "similar_transactions", lambda asked, rows, **_: asked)
+    asked = queries.QUERIES["similar_transactions"](spark, str(tmp_path))
+    assert sorted(r.id for r in asked.collect()) == [0, 1, 2, 3]
