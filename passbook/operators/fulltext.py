@@ -7,15 +7,20 @@ join.  Filters on ``term`` reach the scan, so an index stored by term
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.functions.text import fold_literal, searchable_text, token_list, tokens
 
 POSTING_COLUMNS = ["ledger_id", "term", "id", "pos"]
+#: A block covers 2^SPAN ids: these as distances from the start of the span, the positions beside them.
+SPAN = 8
+BLOCK_COLUMNS = "ledger_id string, term string, block long, ids array<int>, places array<int>"
 
 
 def postings_of(df: DataFrame, text: Column) -> DataFrame:
@@ -25,13 +30,97 @@ def postings_of(df: DataFrame, text: Column) -> DataFrame:
     ).select(*POSTING_COLUMNS)
 
 
-def build_postings(tx: DataFrame, notes: DataFrame | None = None) -> DataFrame:
-    """Postings of every transaction, deleted accounts included."""
+def _noted(tx: DataFrame, notes: DataFrame | None) -> tuple[DataFrame, Column]:
+    """Transactions with their notes, and the text to index."""
+    rows = tx.select("ledger_id", "id", "description", "metadata")
     if notes is None:
-        return postings_of(tx, searchable_text("description", "metadata"))
+        return rows, searchable_text("description", "metadata")
     noted = notes.select("ledger_id", F.col("transaction_id").alias("id"), "note")
-    rows = tx.select("ledger_id", "id", "description", "metadata").join(noted, ["ledger_id", "id"], "left")
-    return postings_of(rows, searchable_text("description", "metadata", "note"))
+    return rows.join(noted, ["ledger_id", "id"], "left"), searchable_text("description", "metadata", "note")
+
+
+def build_postings(tx: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """Postings of every transaction, deleted accounts included."""
+    return postings_of(*_noted(tx, notes))
+
+
+def build_blocks(tx: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """The same as blocks: (ledger_id, term, block, ids, places), one row for each term and span of ids.
+
+    The texts are shuffled by span, not their words; the words of a span are grouped as arrays.
+    """
+    rows, text = _noted(tx, notes)
+    span = F.shiftright("id", SPAN)
+    # Sorted, so that a task meets the rows of a span one after the other.
+    rows = rows.withColumn("block", span).repartition("ledger_id", "block").sortWithinPartitions("ledger_id", "id")
+    return rows.select("ledger_id", "id", tokens(text).alias("words")).mapInArrow(_grouped, BLOCK_COLUMNS)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word lists, sorted by ledger and id, as blocks; rows of an unfinished span wait for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        spans = _spans(batch)
+        ends = [*(np.flatnonzero(np.diff(spans)) + 1).tolist(), batch.num_rows]
+        if held and not _one_span(held[-1], batch):
+            yield from _blocks(held)
+            held = []
+        begin = 0
+        for end in ends[:-1]:
+            held.append(batch.slice(begin, end - begin))
+            begin = end
+            yield from _blocks(held)
+            held = []
+        held.append(batch.slice(begin))
+    yield from _blocks(held)
+
+
+def _spans(batch: pa.RecordBatch) -> np.ndarray:
+    """A number for each row that changes where ledger or span do."""
+    ledger = batch.column("ledger_id").dictionary_encode("encode").indices.to_numpy()
+    ids = batch.column("id")
+    block = ids.fill_null(0).to_numpy() >> SPAN
+    new = (np.diff(ledger) != 0) | (np.diff(block) != 0) | (np.diff(ids.is_null().to_numpy(zero_copy_only=False)) != 0)
+    return np.concatenate([[0], np.cumsum(new)])
+
+
+def _one_span(before: pa.RecordBatch, after: pa.RecordBatch) -> bool:
+    if before.column("ledger_id")[-1].as_py() != after.column("ledger_id")[0].as_py():
+        return False
+    a, b = before.column("id")[-1].as_py(), after.column("id")[0].as_py()
+    return a == b if None in (a, b) else a >> SPAN == b >> SPAN
+
+
+def _blocks(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of the rows of one span, sorted by term."""
+    lists = [r.column("words") for r in rows]
+    flat = pa.concat_arrays([x.flatten() for x in lists]) if lists else pa.array([], pa.string())
+    if not len(flat):
+        return
+    lengths = np.concatenate([x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in lists])
+    ids = pa.concat_arrays([r.column("id") for r in rows])
+    known = not ids.null_count
+    near = (ids.fill_null(0).to_numpy() & ((1 << SPAN) - 1)).astype(np.int32)
+    at = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+    words = flat.dictionary_encode()
+    codes = words.indices.to_numpy()
+    # Rows come by id, and places ascend in a row, so a stable sort by word leaves both in order.
+    order = np.argsort(codes, kind="stable")
+    counts = np.bincount(codes, minlength=len(words.dictionary))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    n = len(counts)
+    ledger = rows[0].column("ledger_id").slice(0, 1).take(pa.array(np.zeros(n, np.int64)))
+    block = pa.array(np.full(n, ids[0].as_py() >> SPAN)) if known else pa.nulls(n, pa.int64())
+    yield pa.RecordBatch.from_arrays(
+        [
+            ledger, words.dictionary, block,
+            pa.ListArray.from_arrays(offsets, pa.array(np.repeat(near, lengths)[order])),
+            pa.ListArray.from_arrays(offsets, pa.array(at[order])),
+        ],
+        names=["ledger_id", "term", "block", "ids", "places"],
+    )
 
 
 def indexed_rows(tx: DataFrame) -> DataFrame:
@@ -52,6 +141,30 @@ def check_postings(postings: DataFrame, tx: DataFrame, notes: DataFrame | None =
         expected.unionByName(actual).groupBy(*pair).agg(F.bit_or("side").alias("side"))
         .filter(F.col("side") != 3)
     )
+    return _problems(sides, tx)
+
+
+def check_blocks(blocks: DataFrame, tx: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """``check_postings`` of an index in blocks: spans are compared, and only those that differ taken apart."""
+    key = ["ledger_id", "term", "block"]
+    none = F.lit(None).cast("array<int>")
+    expected = build_blocks(tx, notes).select(*key, F.array_distinct("ids").alias("_due"), none.alias("_held"))
+    actual = blocks.select(*key, none.alias("_due"), F.array_distinct("ids").alias("_held"))
+    ids = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    spans = expected.unionByName(actual).groupBy(*key).agg(ids("_due").alias("_due"), ids("_held").alias("_held"))
+    odd = F.concat(
+        F.transform(F.array_except("_due", "_held"), lambda i: F.struct(i.alias("id"), F.lit(1).alias("side"))),
+        F.transform(F.array_except("_held", "_due"), lambda i: F.struct(i.alias("id"), F.lit(2).alias("side"))),
+    )
+    sides = spans.select(*key, F.explode(odd).alias("odd")).select(
+        "ledger_id", (F.shiftleft("block", SPAN) + F.col("odd.id")).alias("id"), "term", "odd.side"
+    )
+    return _problems(sides, tx)
+
+
+def _problems(sides: DataFrame, tx: DataFrame) -> DataFrame:
+    """What is wrong with pairs seen on one side: 1 the texts, 2 the index."""
+    pair = ["ledger_id", "id", "term"]
     known = tx.select("ledger_id", "id", F.lit(True).alias("_known"))
     return sides.join(known, ["ledger_id", "id"], "left").select(
         *pair,
@@ -141,22 +254,26 @@ def match_near(postings: DataFrame, first: str, second: str, gap: int) -> DataFr
             lambda p: p["y"]["_low"] - p["x"]["_high"] <= reach,
         )
         return joined.filter(close).select("ledger_id", "id")
-    # Each hit of ``a`` is offered to its own and both neighbouring cells.
+    # Each hit counts in its own cell and as the later one of the pair of cells before; outermost hits suffice.
     cell = F.floor(F.col("pos") / reach)
     spread = hits.select(
-        "ledger_id",
-        "id",
-        "pos",
-        (F.col("term") == a).alias("_is_a"),
-        F.explode(
-            F.when(F.col("term") == a, F.array(cell - 1, cell, cell + 1)).otherwise(F.array(cell))
-        ).alias("_cell"),
+        "ledger_id", "id", "pos", (F.col("term") == a).alias("_is_a"),
+        F.posexplode(F.array(cell, cell - 1)).alias("_later", "_cell"),
     )
+
+    def outermost(of: Callable, first: bool, later: int) -> Column:
+        mine = F.col("_is_a") if first else ~F.col("_is_a")
+        return of(F.when(mine & (F.col("_later") == later), F.col("pos")))
+
     cells = spread.groupBy("ledger_id", "id", "_cell").agg(
-        F.sort_array(F.collect_set(F.when(F.col("_is_a"), F.col("pos")))).alias("_a"),
-        F.sort_array(F.collect_set(F.when(~F.col("_is_a"), F.col("pos")))).alias("_b"),
+        outermost(F.max, True, 0).alias("_a"), outermost(F.max, False, 0).alias("_b"),
+        outermost(F.min, True, 1).alias("_next_a"), outermost(F.min, False, 1).alias("_next_b"),
+    )
+    close = (
+        (F.col("_a").isNotNull() & F.col("_b").isNotNull())
+        | (F.col("_next_b") - F.col("_a") <= reach)
+        | (F.col("_next_a") - F.col("_b") <= reach)
     )
-    close = F.exists("_a", lambda p: F.exists("_b", lambda q: F.abs(p - q) <= reach))
     return cells.filter(close).select("ledger_id", "id").distinct()
 
 

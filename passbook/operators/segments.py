@@ -1,9 +1,9 @@
 """A stored full-text index in immutable segments.
 
-A segment holds the postings of the transactions it was written for, in blocks: one row for each
-ledger, term and span of ids, with the ids as distances from the start of the span and the positions
-beside them.  Files are sorted by term, so a search reads only the row groups of its words, and a
-common word is many rows, never one.
+A segment holds the postings of the transactions it was written for, in blocks (``fulltext.build_blocks``):
+one row for each ledger, term and span of ids.  A task groups whole spans and sorts its own file by term,
+so no word is shuffled, a search reads only the row groups of its words, and a common word is many rows,
+never one.  A merged segment may have several rows for a span.
 
 A segment also lists the transactions it speaks for.  Postings of older segments for these count no
 more, so a change or a removal writes one small segment and touches no other file.  Small segments of
@@ -20,42 +20,29 @@ from math import log
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.operators.fulltext import POSTING_COLUMNS, build_postings
+from passbook.operators.fulltext import BLOCK_COLUMNS, POSTING_COLUMNS, SPAN, build_blocks
 from passbook.session import cut_lineage
 from passbook.sources import store
 
-#: A block covers 2^SPAN ids.
-SPAN = 8
 #: Segments of one size that are merged into one.
 FAN = 4
 
-_BLOCK = "ledger_id string, term string, block long, ids array<int>, places array<int>, segment long"
+_BLOCK = f"{BLOCK_COLUMNS}, segment long"
 _TOUCHED = "ledger_id string, id long, segment long"
+#: Bytes of a row group, so that a search reads little beside its words.
+ROW_GROUP = 16 << 20
 #: ``first`` to ``segment`` are the changes a segment speaks for.
 _ENTRY = "segment long, first long, path string, postings long, touched long"
 _ID = ["ledger_id", "id"]
-
-
-def _blocks(postings: DataFrame) -> DataFrame:
-    """Postings as blocks, in files by ranges of terms."""
-    keyed = postings.select(
-        "ledger_id", "term", F.shiftright("id", SPAN).alias("block"),
-        F.struct(F.col("id").bitwiseAND((1 << SPAN) - 1).cast("int").alias("id"), "pos").alias("hit"),
-    )
-    key = ["term", "ledger_id", "block"]
-    # The grouping keeps the ranges, so this is the only shuffle.
-    grouped = keyed.repartitionByRange(*key).groupBy(*key).agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    return grouped.sortWithinPartitions(*key).select(
-        "ledger_id", "term", "block", F.col("hits.id").alias("ids"), F.col("hits.pos").alias("places")
-    )
+_COLUMNS = ["ledger_id", "term", "block", "ids", "places"]
 
 
 def _flat(blocks: DataFrame) -> DataFrame:
     """Blocks as postings; filters on terms pass through to the scan."""
-    hits = blocks.select("ledger_id", "term", "block", "segment", F.explode(F.arrays_zip("ids", "places")).alias("hit"))
+    hits = blocks.select("ledger_id", "term", "block", F.explode(F.arrays_zip("ids", "places")).alias("hit"))
     return hits.select(
         "ledger_id", "term", (F.shiftleft("block", SPAN) + F.col("hit.ids")).alias("id"),
-        F.col("hit.places").alias("pos"), "segment",
+        F.col("hit.places").alias("pos"),
     )
 
 
@@ -65,19 +52,37 @@ def _read(spark: SparkSession, root: str, entries: list[Row], part: str, schema:
 
 
 def _live(spark: SparkSession, root: str, entries: list[Row]) -> DataFrame:
-    """Postings of these segments less those that a newer one of them speaks for."""
-    found = _flat(_read(spark, root, entries, "blocks", _BLOCK))
-    touched = _read(spark, root, [e for e in entries if e.touched], "touched", _TOUCHED)
+    """Blocks of these segments less the postings that a newer one of them speaks for."""
+    found = _read(spark, root, entries, "blocks", _BLOCK)
+    speaking = [e for e in entries if e.touched]
+    if not speaking:
+        return found
+    touched = _read(spark, root, speaking, "touched", _TOUCHED)
     newest = touched.groupBy(*_ID).agg(F.max("segment").alias("_newest"))
-    joined = found.join(newest, _ID, "left")
-    return joined.filter(F.col("_newest").isNull() | (F.col("segment") >= F.col("_newest"))).select(*POSTING_COLUMNS)
+    # One row a span, of at most 2^SPAN ids, so that blocks are joined and not their postings.
+    spans = newest.groupBy("ledger_id", F.shiftright("id", SPAN).alias("block")).agg(
+        F.map_from_entries(
+            F.collect_list(F.struct(F.col("id").bitwiseAND((1 << SPAN) - 1).cast("int").alias("key"), "_newest"))
+        ).alias("_newest")
+    )
+    joined = found.join(spans, ["ledger_id", "block"], "left")
+    hits = F.filter(
+        F.arrays_zip("ids", "places"),
+        lambda h: F.coalesce(F.col("segment") >= F.col("_newest")[h["ids"]], F.lit(True)),
+    )
+    kept = joined.withColumn("_hits", F.when(F.col("_newest").isNotNull(), hits))
+    return kept.filter(F.col("_hits").isNull() | (F.size("_hits") > 0)).select(
+        "ledger_id", "term", "block", F.coalesce("_hits.ids", "ids").alias("ids"),
+        F.coalesce("_hits.places", "places").alias("places"), "segment",
+    )
 
 
-def _write(spark: SparkSession, root: str, postings: DataFrame, touched: DataFrame | None, first: int, segment: int) -> tuple:
+def _write(spark: SparkSession, root: str, blocks: DataFrame, touched: DataFrame | None, first: int, segment: int) -> tuple:
     """One segment's files, and its entry for the manifest."""
     path = f"segments/{segment:012d}-{uuid.uuid4().hex}"
     number = F.lit(segment).cast("bigint").alias("segment")
-    _blocks(postings).select("*", number).write.parquet(f"{root}/{path}/blocks")
+    sorted_blocks = blocks.sortWithinPartitions("term", "ledger_id", "block").select(*_COLUMNS, number)
+    sorted_blocks.write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/{path}/blocks")
     size = spark.read.parquet(f"{root}/{path}/blocks").agg(F.sum(F.size("ids"))).first()[0] or 0
     count = 0
     if touched is not None:
@@ -91,7 +96,7 @@ def create_index(spark: SparkSession, root: str, tx: DataFrame, notes: DataFrame
     root = root.rstrip("/")
     if store.latest(spark, root) is not None:
         raise ValueError(f"an index is stored there: {root}")
-    store.commit(spark, root, 0, [_write(spark, root, build_postings(tx, notes), None, 0, 0)], _ENTRY)
+    store.commit(spark, root, 0, [_write(spark, root, build_blocks(tx, notes), None, 0, 0)], _ENTRY)
 
 
 def refresh_index(
@@ -112,18 +117,19 @@ def refresh_index(
     entries = store.manifest(spark, root, version)
     number = version + 1
     touched = None
-    postings = spark.createDataFrame([], "ledger_id string, term string, id long, pos int")
+    blocks = spark.createDataFrame([], BLOCK_COLUMNS)
+    gone = None if removed is None else removed.select(*_ID)
     if changed is not None:
         rows = cut_lineage(changed.select("ledger_id", "id", "description", "metadata"))
-        touched, postings = rows.select(*_ID), build_postings(rows, notes)
-    if removed is not None:
-        gone = removed.select(*_ID)
-        if changed is not None:
+        touched = rows.select(*_ID)
+        if gone is not None:
             # A transaction that is changed as well as removed is removed.
             gone = cut_lineage(gone)
-            postings = postings.join(gone, _ID, "left_anti")
+            rows = rows.join(gone, _ID, "left_anti")
+        blocks = build_blocks(rows, notes)
+    if gone is not None:
         touched = gone if touched is None else touched.union(gone)
-    written = _write(spark, root, postings, touched, number, number)
+    written = _write(spark, root, blocks, touched, number, number)
     store.commit(spark, root, number, [*map(tuple, entries), written], _ENTRY)
     return number
 
@@ -160,13 +166,18 @@ def merge_segments(spark: SparkSession, root: str, fan: int = FAN, whole: bool =
     return version + 1
 
 
-def index_postings(spark: SparkSession, root: str) -> DataFrame:
-    """What the index holds, for the searches of ``fulltext``; read without the files of other terms."""
+def index_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """What the index holds, as blocks; an id of a term is in one of them."""
     root = root.rstrip("/")
     entries = store.manifest(spark, root)
     if not entries:
         raise ValueError(f"no index is stored there: {root}")
-    return _live(spark, root, entries)
+    return _live(spark, root, entries).drop("segment")
+
+
+def index_postings(spark: SparkSession, root: str) -> DataFrame:
+    """The same for the searches of ``fulltext``; read without the row groups of other terms."""
+    return _flat(index_blocks(spark, root))
 
 
 def segments(spark: SparkSession, root: str) -> DataFrame:

@@ -128,3 +128,28 @@ def test_failures_leave_the_last_version(spark, tmp_path, monkeypatch):
     assert segments.index_postings(spark, str(tmp_path / "none")).count() == 0
     segments.refresh_index(spark, str(tmp_path / "none"), removed=tx)
     assert segments.index_postings(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_blocks_hold_whole_spans(spark):
+    """Words are grouped within tasks: one row for a term and span, whatever the batches; repeated ids too."""
+    rng = random.Random(4)
+    ids = [*range(200, 300), -1, -256, 0, 7, 7, 511, 5_000_000_000]
+    tx = spark.createDataFrame([(ledger, i, text(rng), "{}") for ledger in ("A", "B", None) for i in ids], TX)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        blocks = fulltext.build_blocks(tx)
+        rows = blocks.collect()
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        odd = fulltext.check_blocks(blocks.filter("term <> 'tea' or block <> 0"), tx.filter("id <> 511"))
+        flat = fulltext.check_postings(rows_as_postings(spark, rows).filter("term <> 'tea' or shiftright(id, 8) <> 0"), tx.filter("id <> 511"))
+        assert Counter(map(tuple, odd.collect())) == Counter(map(tuple, flat.collect())) and odd.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Generate explode" not in plan and "Generate posexplode" not in plan and "Exchange hashpartitioning(ledger_id" in plan and "hashpartitioning(term" not in plan
+    assert max(Counter((r.ledger_id, r.term, r.block) for r in rows).values()) == 1
+    assert rows_of(rows_as_postings(spark, rows)) == rows_of(fulltext.build_postings(tx))
+
+
+def rows_as_postings(spark, rows):
+    flat = [(r.ledger_id, r.term, (r.block << fulltext.SPAN) + i, p) for r in rows for i, p in zip(r.ids, r.places)]
+    return spark.createDataFrame(flat, "ledger_id string, term string, id long, pos int")
