@@ -11,7 +11,7 @@ from passbook.functions.text import searchable_text, tokens
 from passbook.operators import fulltext, predicates, search, segments
 from passbook.queries import query
 from passbook.queries.search import LIVE
-from passbook.session import checkpoint_root
+from passbook.session import checkpoint_root, cut_lineage
 from passbook.sources import star, store
 from passbook.sources.sinks import csv_field
 
@@ -51,12 +51,20 @@ def searchable_words(spark, sf):
     )
 
 
+def _hits():
+    return F.sum(F.size("ids"))
+
+
+def _rows():
+    """Rows with a term: each id of it is in one block."""
+    return F.sum(F.size(F.array_distinct("ids")))
+
+
 @query("postings", f"""
     SELECT ledger_id, term, CAST(COUNT(*) AS BIGINT) AS hits, CAST(COUNT(DISTINCT id) AS BIGINT) AS rows
     FROM (SELECT ledger_id, id, unnest(words) AS term FROM {WORDS}) GROUP BY 1, 2""")
 def postings(spark, sf):
-    per_row = fulltext.build_postings(*_docs(spark, sf)).groupBy("ledger_id", "term", "id").agg(F.count(F.lit(1)).alias("_n"))
-    return per_row.groupBy("ledger_id", "term").agg(F.sum("_n").alias("hits"), F.count(F.lit(1)).alias("rows"))
+    return fulltext.build_blocks(*_docs(spark, sf)).groupBy("ledger_id", "term").agg(_hits().alias("hits"), _rows().alias("rows"))
 
 
 @query("indexed_rows", "SELECT ledger_id, CAST(COUNT(*) AS BIGINT) AS rows FROM {doc_tx} GROUP BY 1")
@@ -68,7 +76,7 @@ def indexed_rows(spark, sf):
     SELECT ledger_id, CAST(SUM(len(words)) AS BIGINT) AS postings FROM {WORDS} GROUP BY 1 HAVING SUM(len(words)) > 0""")
 def stored_index(spark, sf):
     """Postings of the stored index that the searches share."""
-    return _postings(spark, sf).groupBy("ledger_id").agg(F.count(F.lit(1)).alias("postings"))
+    return segments.index_blocks(spark, _index(spark, sf)).groupBy("ledger_id").agg(_hits().alias("postings"))
 
 
 def _edited(spark, sf, edits=5):
@@ -76,7 +84,7 @@ def _edited(spark, sf, edits=5):
     tx, notes = _docs(spark, sf)
     root = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
     segments.create_index(spark, root, tx)
-    noted = tx.join(notes.select("ledger_id", F.col("transaction_id").alias("id")), ["ledger_id", "id"], "left_semi")
+    noted = cut_lineage(tx.join(notes.select("ledger_id", F.col("transaction_id").alias("id")), ["ledger_id", "id"], "left_semi"))
     for edit in range(edits):
         part = F.pmod(F.xxhash64("id"), F.lit(edits)) == edit
         segments.refresh_index(spark, root, noted.filter(part), notes)
@@ -87,8 +95,8 @@ def _edited(spark, sf, edits=5):
 @query("postings_in_order", "SELECT lang AS ledger_id, doc_id AS id, text AS term, text AS problem FROM {documents} WHERE FALSE")
 def postings_in_order(spark, sf):
     """Five refreshes of the noted documents leave an index built without notes in order."""
-    held = segments.index_postings(spark, _edited(spark, sf))
-    return fulltext.check_postings(held, *_docs(spark, sf))
+    held = segments.index_blocks(spark, _edited(spark, sf))
+    return fulltext.check_blocks(held, *_docs(spark, sf))
 
 
 @query("segment_postings", f"""
@@ -96,11 +104,9 @@ def postings_in_order(spark, sf):
     FROM (SELECT ledger_id, id, unnest(words) AS term, unnest(range(len(words))) AS pos FROM {WORDS}) GROUP BY 1, 2""")
 def segment_postings(spark, sf):
     """What five small segments over the first leave of each word."""
-    held = segments.index_postings(spark, _edited(spark, sf))
-    per_row = held.groupBy("ledger_id", "term", "id").agg(F.count(F.lit(1)).alias("_n"), F.sum("pos").alias("_p"))
-    return per_row.groupBy("ledger_id", "term").agg(
-        F.sum("_n").alias("hits"), F.sum("_p").alias("places"), F.count(F.lit(1)).alias("rows")
-    )
+    held = segments.index_blocks(spark, _edited(spark, sf))
+    places = F.sum(F.aggregate("places", F.lit(0).cast("bigint"), lambda total, at: total + at)).alias("places")
+    return held.groupBy("ledger_id", "term").agg(_hits().alias("hits"), places, _rows().alias("rows"))
 
 
 @query("postings_stale", """
