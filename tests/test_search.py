@@ -261,3 +261,19 @@ def test_registered_sort_keys(spark, golden):
         del p.SORTS["note"]
     with pytest.raises(ValueError, match="no such sort key"):
         search.parse_sort("note")
+
+
+def test_order_flags_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """However few bytes its rows have, a task of the order flags gets a bounded number of them."""
+    from passbook.sources import star
+
+    made = {
+        "orders_wide": spark.range(100).selectExpr("cast(id % 3 as string) AS ledger_id", "id"),
+        "lineitem": spark.range(400).selectExpr(
+            "id % 100 AS l_orderkey", "if(id % 2 = 0, 'A', 'R') AS l_returnflag", "'O' AS l_linestatus"
+        ),
+    }
+    monkeypatch.setattr(star, "TASK_ROWS", 40)
+    flags = star.frame(spark, "", "order_flags", made)
+    assert flags.rdd.getNumPartitions() >= 10
+    assert sorted(map(tuple, flags.collect())) == sorted((str(i % 3), i, "AR"[i % 2], "O") for i in range(100))
