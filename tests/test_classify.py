@@ -276,3 +276,13 @@ def test_similar_transactions_looks_up_every_row(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(features, "similar_transactions", lambda asked, rows, **_: asked)
     asked = queries.QUERIES["similar_transactions"](spark, str(tmp_path))
     assert sorted(r.id for r in asked.collect()) == [0, 1, 2, 3]
+
+
+def test_features_are_counted_in_place(spark):
+    keys = ["ab c ab", "", " a\tbb  a bb ", "réf 1", "x" * 9]
+    rows = spark.createDataFrame([("L", i, k, 1) for i, k in enumerate(keys)], "ledger_id string, doc long, norm string, n long")
+    counted = features.term_counts(rows)
+    # A document is one row, so nothing is shuffled.
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    plain = rows.select("doc", F.explode(features.ngrams("norm")).alias("feature")).groupBy("doc", "feature").count()
+    assert {tuple(r) for r in counted.select("doc", "feature", "tf").collect()} == {tuple(r) for r in plain.collect()}
