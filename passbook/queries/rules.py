@@ -12,6 +12,7 @@ from passbook.queries.curate import AT
 from passbook.queries.lookups import LEGS
 from passbook.queries.search import LIVE
 from passbook.schema import struct
+from passbook.session import cut_lineage
 from passbook.sources import star
 
 # Rules of every ledger: one per bank, then general ones (Spark side).
@@ -77,7 +78,7 @@ STATE = f"""
 
 def _books(spark, sf):
     rules = spark.sql(RULES, nation=star.frame(spark, sf, "nation"), region=star.frame(spark, sf, "region"))
-    return star.books(spark, sf, rules)
+    return star.books(spark, sf, rules, star.SHARED)
 
 
 @query("rule_claims", f"WITH {STATE} SELECT ledger_id, id AS transaction_id, CAST(rule_id AS BIGINT) AS rule_id FROM claimed")
@@ -131,7 +132,8 @@ def rules_settle(spark, sf):
     the rules that read them."""
     books = _books(spark, sf)
     once = ops.apply_rules(books, AT)
-    again = ops.apply_rules(books.with_tables(enrichments=once.enrichments), AT)
+    # The second run reads them in three places.
+    again = ops.apply_rules(books.with_tables(enrichments=cut_lineage(once.enrichments)), AT)
     return again.changes.select("ledger_id", "transaction_id", "rule_id", "prior_category_id", "category_id")
 
 

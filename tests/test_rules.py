@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import AT, table
 from passbook.operators import predicates
 from passbook.operators import rules as ops
+from passbook.sources import star
 
 
 def rule(position, category_id, *terms, mode="all", review=False):
@@ -102,3 +103,12 @@ def test_many_patterns(spark, golden):
     rows = [rule(i, 1, ("regex", f"nothing{i}x")) for i in range(1000)] + [rule(1000, 2, ("regex", "Bakery"))]
     got = ops.claims(golden.with_tables(rules=table(spark, "rules", rows))).collect()
     assert {(r.transaction_id, r.rule_id) for r in got} == {(1, 1010), (5, 1010)}
+
+
+def test_shared_views_are_written_once(spark):
+    """Tables of ledgers under rules read stored views instead of deriving them again, with the same rows."""
+    place = "/root/testdata/sf0.001"
+    books = star.books(spark, place, stored=star.SHARED)
+    assert "Join" not in books.transactions._jdf.queryExecution().optimizedPlan().toString()
+    plain = star.books(spark, place).transactions
+    assert sorted(map(tuple, books.transactions.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
