@@ -180,19 +180,25 @@ def _shifts(accounts: DataFrame, group: list[str]) -> DataFrame:
     return ordered.mapInArrow(follow, f"{_kinds(accounts.select(*group))}, start bigint, own_end bigint, behind bigint")
 
 
-def match_in_order(rows: DataFrame, group: list[str]) -> DataFrame:
+def match_in_order(rows: DataFrame, group: list[str], most: int | None = None) -> DataFrame:
     """(group, debit, credit) ids: each debit in order of account and id gets the first free credit of another account.
 
-    ``rows`` hold the group, ``id``, ``account_id`` and ``is_debit``.
+    ``rows`` hold the group, ``id``, ``account_id`` and ``is_debit``; ``most`` is, if known, a bound of the
+    rows of one sign in a group.
     """
-    ranked = rank_sorted(rows.select(*group, "is_debit", "account_id", "id"), [*group, "is_debit"], ["account_id", "id"], "place")
+    ranked = rank_sorted(
+        rows.select(*group, "is_debit", "account_id", "id"), [*group, "is_debit"], ["account_id", "id"], "place", most=most
+    )
     placed = cut_lineage(ranked.withColumn("place", F.col("place") - 1))
     shifts = cut_lineage(_shifts(_accounts(placed, group), group))
     debits = placed.filter("is_debit").select(*group, F.col("id").alias("debit"), "place", (F.col("place") * 2 + 1).alias("_order"))
     moved = F.struct("start", "own_end", "behind")
     marks = shifts.select(*group, (F.col("start") * 2).alias("_order"), moved.alias("_shift"))
     both = debits.withColumn("_shift", F.lit(None).cast(marks.schema["_shift"].dataType)).unionByName(marks, allowMissingColumns=True)
-    known = previous_value(both, group, "_order", "_shift", "_last").filter(F.col("debit").isNotNull())
+    # A shift begins at a debit of its own, so there are at most twice as many rows.
+    known = previous_value(both, group, "_order", "_shift", "_last", most=None if most is None else 2 * most).filter(
+        F.col("debit").isNotNull()
+    )
     k, start, own_end, behind = F.col("place"), F.col("_last.start"), F.col("_last.own_end"), F.col("_last.behind")
     credit = (
         F.when(k < start + behind, k - start + own_end)

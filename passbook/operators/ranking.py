@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 from passbook.session import cut_lineage
 
 WIDTH = 1 << 22
+#: Where a caller knows that no key has more rows (``most``), one window sorts the rows of a key without ranges.
+ONE_TASK = 1 << 20
+
+
+def _one_window(most: int | None) -> bool:
+    return most is not None and most <= ONE_TASK
 
 
 def _range_of(order: str, width: int) -> Column:
@@ -48,10 +54,12 @@ def _sums_before(counts: DataFrame, keys: list[str], width: int, levels: int) ->
 
 
 def rank_along(
-    df: DataFrame, keys: Sequence[str], order: str, out: str = "rank", width: int = WIDTH
+    df: DataFrame, keys: Sequence[str], order: str, out: str = "rank", width: int = WIDTH, most: int | None = None
 ) -> DataFrame:
     """Add the 1-based position of each row inside its key, by a unique integer column."""
     keys = list(keys)
+    if _one_window(most):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint"))
     cut = df.withColumn("_range", _range_of(order, width))
     inner = Window.partitionBy(*keys, "_range").orderBy(order)
     offsets = _sums_before(cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")), keys, width, _levels(width))
@@ -81,10 +89,13 @@ def _carried(ends: DataFrame, keys: list[str], width: int, levels: int) -> DataF
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str = "previous", width: int = WIDTH
+    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str = "previous", width: int = WIDTH,
+    most: int | None = None,
 ) -> DataFrame:
     """Add the last non-NULL ``value`` of earlier rows of the same key."""
     keys = list(keys)
+    if _one_window(most):
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(_before(keys, order)))
     cut = df.withColumn("_range", _range_of(order, width))
     inner = (
         Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -122,7 +133,11 @@ def sums_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     )
 
 
-def rank_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_rank") -> DataFrame:
+def rank_sorted(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_rank", most: int | None = None
+) -> DataFrame:
     """Add the 1-based position of each row inside its key, by columns of any type."""
+    if _one_window(most):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     before = sums_sorted(df.withColumn("_one", F.lit(1)), keys, order, "_one", out)
     return before.withColumn(out, F.col(out) + 1).drop("_one")
