@@ -12,7 +12,7 @@ quality are not learnt from; of repeated labels of a document the lowest counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +21,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passbook.session import cut_lineage
+
 BLOCK = 1024
 DICTIONARY = 65_536
 #: Bounds of the fit: labelled documents of each class, and blocks of them for each dictionary.
 SAMPLE_DOCUMENTS = 4_000
 SAMPLE_BLOCKS = 12_000
 LEVEL = 3
+#: Blocks beyond the limit that may come to the driver, and the shifts that leave ever more leading bits of a hash.
+SPARE = 2_000
+SHIFTS = (52, 40, 28, 16, 4, 0)
 
 
 @dataclass(frozen=True)
@@ -97,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     Labels are counted over all rows.  Texts come from at most ``sample_documents`` documents of each
     class, taken by a hash of their id; that list has a fixed bound and is broadcast.  The driver gets
-    at most ``sample_blocks`` blocks of each class and two numbers a document.
+    few more than ``sample_blocks`` blocks of each class from all tasks together (``first_blocks``) and
+    two numbers a document.
     """
     marked = (
         labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1))
@@ -115,15 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text")).join(
         F.broadcast(chosen), "_id"
     )
-    blocks = sample.where("_fold <> 4").select(
-        "_id", "_label", F.posexplode(F.udf(lambda t: cut(bytes(t or b"")), "array<binary>")("_text")).alias("_no", "_block")
-    )
     dictionaries = []
     for one in (1, 0):
-        rows = (
-            blocks.where(F.col("_label") == one)
-            .orderBy(F.xxhash64("_id", "_no"), "_id", "_no").limit(sample_blocks).select("_block").collect()
-        )
+        rows = first_blocks(sample.where((F.col("_fold") != 4) & (F.col("_label") == one)), sample_blocks)
+        rows = rows.orderBy("_place", "_id", "_no", "_tie").limit(sample_blocks).select("_block").collect()
         dictionaries.append(dictionary([bytes(r["_block"]) for r in rows]))
     good, bad = dictionaries
     if not good or not bad:
@@ -136,16 +137,66 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 [b.column("_label"), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["y", "a", "b"]
             )
 
-    seen = sample.where("_fold = 4").select("_label", "_text").mapInArrow(measure, "y int, a double, b double").collect()
-    y = np.array([r["y"] for r in seen], float)
+    seen = sample.where("_fold = 4").select("_label", "_text").mapInArrow(measure, "y int, a double, b double").toArrow()
+    y, a, b = (seen.column(c).to_numpy().astype(float) for c in ("y", "a", "b"))
     if len(set(y)) < 2:
         return Model(b"", b"", None, share)
-    x = np.array([[1.0, r["a"], r["b"]] for r in seen])
+    x = np.stack([np.ones(len(y)), a, b], axis=1)
     # Classes are sampled alike, so each is weighted back to its share of all labels.
     weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
     return Model(good, bad, calibrate(x, y, weight), share)
 
 
+def first_blocks(sample: DataFrame, most: int) -> DataFrame:
+    """Blocks of texts that hold the first ``most`` in the order of ``_place``, ``_id``, ``_no`` and ``_tie``, and few others.
+
+    Each task of an ordered limit sends up to the whole limit to the driver.  So the end of the limit is
+    found first, by counts of leading bits of ``_place`` (a hash of id and number), and if rows that
+    repeat an id fall together there, of ``_tie`` (a hash of the text).  Only blocks up to it are cut.
+    """
+    text = F.coalesce("_text", F.lit(b""))
+    parts = F.greatest(F.ceil(F.octet_length(text) / BLOCK), F.lit(1)).cast("int")
+    texts = sample.select("_id", text.alias("_text"), F.xxhash64("_text").alias("_tie"), parts.alias("_parts"))
+    places = cut_lineage(
+        texts.select("_id", "_tie", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_no"))
+        .select(F.xxhash64("_id", "_no").alias("_place"), "_tie")
+    )
+    last, upto = places, []
+    before, width = 0, most + SPARE + 1
+    for key in ("_place", "_tie"):
+        for shift in SHIFTS:
+            if before + width <= most + SPARE:
+                break
+            bits = F.shiftright(key, shift)
+            counts = sorted(last.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect())
+            for end, width in counts:
+                if before + width >= most:
+                    break
+                before += width
+            else:
+                # All rows are among the first.
+                return _cut_blocks(texts, lambda place, tie: F.lit(True))
+            last = last.where(bits == end)
+            upto = [u for u in upto if u[0] != key] + [(key, shift, end)]
+
+    def inside(place: Column, tie: Column) -> Column:
+        (_, shift, end), *more = upto
+        bits = F.shiftright(place, shift)
+        return (bits < end) | ((bits == end) & (F.shiftright(tie, more[0][1]) <= more[0][2])) if more else bits <= end
+
+    return _cut_blocks(texts, inside)
+
+
+def _cut_blocks(texts: DataFrame, inside: Callable[[Column, Column], Column]) -> DataFrame:
+    """The blocks whose place and tie are ``inside``; others are not cut out of their text."""
+    numbers = F.filter(F.sequence(F.lit(0), F.col("_parts") - 1), lambda no: inside(F.xxhash64("_id", no), F.col("_tie")))
+    blocks = F.transform(numbers, lambda no: F.struct(no.alias("_no"), F.substring("_text", no * BLOCK + 1, F.lit(BLOCK)).alias("_block")))
+    return (
+        texts.select("_id", "_tie", blocks.alias("_blocks")).select("_id", "_tie", F.explode("_blocks").alias("_b"))
+        .select(F.xxhash64("_id", "_b._no").alias("_place"), "_id", "_b._no", "_tie", "_b._block")
+    )
+
+
 def dictionary(blocks: list[bytes], size: int = DICTIONARY) -> bytes:
     """A trained dictionary, or where there is too little to train on the blocks themselves."""
     blocks = [b for b in blocks if b]

@@ -268,12 +268,17 @@ def near_duplicates(
         .select("_id", "text_hash", F.col("_s.n").alias("n"), F.col("_s.digest").alias("digest"),
                 F.col("_s.bands").alias("bands"))
     )
-    # Copies of a set are one node; one row of it brings the bands.
-    nodes = sketched.where(F.col("digest").isNotNull()).select("_id", "digest", "bands")
-    firsts = cut_lineage(nodes.groupBy(F.col("digest").alias("node")).agg(F.min("_id").alias("_first")))
+    # Copies of a set are one node; one text of it brings the bands.  An id alone does not tell it: ids
+    # repeat or are NULL, and each row of such an id would meet each node of it.
+    nodes = sketched.where(F.col("digest").isNotNull()).select("_id", "text_hash", "digest", "bands")
+    firsts = cut_lineage(
+        nodes.groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("_id", "text_hash")).alias("_k"))
+        .select("node", F.col("_k._id").alias("_first"), F.col("_k.text_hash").alias("_first_hash"))
+    )
+    is_first = F.col("_id").eqNullSafe(F.col("_first")) & (F.col("text_hash") == F.col("_first_hash"))
     # Candidate search works on 64 bits of the node: should two nodes agree in them, a cluster grows.
     keyed = cut_lineage(
-        nodes.join(firsts, (F.col("digest") == F.col("node")) & F.col("_id").eqNullSafe(F.col("_first")))
+        nodes.join(firsts, (F.col("digest") == F.col("node")) & is_first)
         .select(F.xxhash64("digest").alias("p"), F.explode("bands").alias("key"))
     )
     shared = cut_lineage(
@@ -282,10 +287,10 @@ def near_duplicates(
     # Both sides are shuffled at every size: neither has a bound that would allow a broadcast.
     stars = keyed.join(shared.hint("merge"), "key").where("p <> centre").select(F.col("centre").alias("a"), F.col("p").alias("b"))
     clusters = components(stars).select(F.col("node").alias("p"), F.col("root").alias("cluster"))
-    ids = firsts.join(clusters, F.xxhash64("node") == F.col("p")).select("node", "cluster", "_first")
-    # Only members of clusters are read again.  Where an id repeats, the text of the node counts.
+    ids = firsts.join(clusters, F.xxhash64("node") == F.col("p")).select("node", "cluster", "_first", "_first_hash")
+    # Only members of clusters are read again.  Should hashes agree, the text of the node counts.
     member = cut_lineage(
-        source.join(cut_lineage(ids).hint("merge"), F.col("_id").eqNullSafe(F.col("_first")))
+        source.withColumn("text_hash", F.xxhash64("_text")).join(cut_lineage(ids).hint("merge"), is_first)
         .select("node", "cluster", _sets(words)(F.col("_text")).alias("_s"))
         .where("_s.digest = node").select("node", "cluster", F.col("_s.set").alias("set")).dropDuplicates(["node"])
     )

@@ -7,7 +7,9 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from passbook.llm import ann, compress, divergence, graph, hyperminhash
 
@@ -158,6 +160,36 @@ def test_held_out_labels_are_not_learnt(spark):
     assert compress.fit(docs, spark.createDataFrame(right, schema)) == compress.fit(docs, spark.createDataFrame(wrong, schema))
 
 
+@pytest.mark.parametrize("ids", ["own", "repeated", "one"])
+def test_first_blocks_are_bounded(spark, monkeypatch, ids):
+    """Whatever the number of tasks and the length of texts, little beyond the limit is cut, and the order holds."""
+    monkeypatch.setattr(compress, "SPARE", 40)
+    rng = random.Random(5)
+    number = {"own": lambda i: i, "repeated": lambda i: i % 30, "one": lambda i: 7}[ids]
+    texts = [(number(i), rng.randbytes(rng.choice([0, 5, 1024, 1025, 9000]) if ids != "one" else 50)) for i in range(900)] + [(1000, None)]
+    sample = spark.createDataFrame(texts, "_id long, _text binary").repartition(9)
+    for most in (100, 10_000):
+        found = compress.first_blocks(sample, most)
+        rows = found.orderBy("_place", "_id", "_no", "_tie").collect()
+        pieces = [(i, no, t or b"", b) for i, t in texts for no, b in enumerate(compress.cut(t or b""))]
+        keyed = spark.createDataFrame(pieces, "_id long, _no int, _text binary, _block binary")
+        order = keyed.select(F.xxhash64("_id", "_no").alias("p"), "_id", "_no", F.xxhash64("_text").alias("t"), "_block").collect()
+        expected = [r._block for r in sorted(order)]
+        assert [bytes(r._block) for r in rows][:most] == [bytes(b) for b in expected[:most]]
+        assert len(rows) <= most + 40 if most < len(pieces) else len(rows) == len(pieces)
+
+
+def test_fit_does_not_depend_on_partitions(spark, monkeypatch):
+    """Rows that repeat an id are told apart by their texts."""
+    rng = random.Random(6)
+    rows = [(i % 40, made(rng, i % 2 > 0), "en", "s", 1) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    models = [
+        compress.fit(spark.createDataFrame(r, DOC).repartition(n), labels, sample_blocks=30) for r, n in ((rows, 2), (rows[::-1], 5))
+    ]
+    assert models[0].weights is not None and (models[0].good, models[0].bad) == (models[1].good, models[1].bad)
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", 1)], DOC)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -216,6 +248,25 @@ def test_near_duplicates(spark, monkeypatch, tile):
     assert sorted(found, key=key) == sorted(expected, key=key)
 
 
+@pytest.mark.parametrize("ids", [[None], [5], [1, 2, None]])
+def test_rows_of_one_id_do_not_meet(spark, monkeypatch, tmp_path, ids):
+    """Rows that repeat an id are read again once, not once for each text of that id."""
+    seen, plain = str(tmp_path / "seen"), hyperminhash._sets
+
+    @F.arrow_udf("binary")
+    def tally(texts: pa.Array) -> pa.Array:
+        with open(seen, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return texts
+
+    monkeypatch.setattr(hyperminhash, "_sets", lambda words: lambda text: plain(words)(tally(text)))
+    rows = [(ids[i % len(ids)], text) for i, (_, text) in enumerate(near_rows(21, 90))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in hyperminhash.near_duplicates(table, words=4).collect())
+    assert found == Counter((i, n, c) for (i, _), (n, c) in zip(rows, slow_components(rows, 4, 80)))
+    assert 0 < sum(map(int, Path(seen).read_text().split())) <= len(rows)
+
+
 def test_keep_first(spark):
     rows = near_rows(8) + [(9000, None), (9000, None), (6, near_rows(8)[2][1]), (6, near_rows(8)[2][1])]
     table = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "doc_id long, text string, lang string, component string, n_chars long")
