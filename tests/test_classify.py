@@ -286,3 +286,24 @@ def test_features_are_counted_in_place(spark):
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
     plain = rows.select("doc", F.explode(features.ngrams("norm")).alias("feature")).groupBy("doc", "feature").count()
     assert {tuple(r) for r in counted.select("doc", "feature", "tf").collect()} == {tuple(r) for r in plain.collect()}
+
+
+def test_features_leave_a_task_in_bounded_batches(spark, monkeypatch):
+    """A batch of texts has many times as many features; a group to score is bounded by its features too."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(features, "BATCH_ROWS", 50)
+    texts = ["some words in a text " + str(i) for i in range(40)] + ["", None]
+    batch = pa.RecordBatch.from_pydict({"ledger_id": ["L"] * 42, "doc": list(range(42)), "n": [1] * 42, "norm": texts})
+    out = list(features._counted(iter([batch])))
+    most = max(len(features.count_grams(t or "")) for t in texts)
+    assert len(out) >= 20 and max(b.num_rows for b in out) < 50 + most
+    assert sum(b.num_rows for b in out) == sum(len(features.count_grams(t or "")) for t in texts)
+    monkeypatch.setattr(linear, "DOC_ENTRIES", 16)
+    docs = spark.range(40).select(F.lit("L").alias("ledger_id"), F.col("id").alias("doc"))
+    vectors = docs.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("f")).select(
+        "ledger_id", "doc", F.concat(F.lit("f"), "f").alias("feature"), (F.col("doc") % 3 + F.col("f")).cast("double").alias("weight")
+    )
+    model = spark.createDataFrame([("L", 1, "", 0.0), ("L", 2, "", 5.0), ("L", 1, "f1", 3.0)], "ledger_id string, class long, feature string, weight double")
+    found = linear.predict_linear(docs, vectors, model)
+    assert {(r.doc % 3, r.category_id) for r in found.collect()} == {(0, 2), (1, 1), (2, 1)}
