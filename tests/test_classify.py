@@ -288,6 +288,37 @@ def test_features_are_counted_in_place(spark):
     assert {tuple(r) for r in counted.select("doc", "feature", "tf").collect()} == {tuple(r) for r in plain.collect()}
 
 
+@pytest.mark.parametrize("noise, calm, ahead", [(0.0, 1, 4), (0.3, 2, 8), (0.3, 10**9, 1)])
+def test_rows_without_loss_are_skipped_exactly(spark, monkeypatch, noise, calm, ahead):
+    """Many rows share a document; runs of rows without loss are found together, with the weights of the plain pass."""
+    monkeypatch.setattr(linear, "CALM", calm)
+    monkeypatch.setattr(linear, "AHEAD", ahead)
+    monkeypatch.setattr(linear, "PART", 7)
+    rng = random.Random(9)
+    dense = [[rng.random() if rng.random() < 0.6 else 0.0 for _ in range(5)] for _ in range(8)] + [[0.0] * 5]
+    docs = [rng.randrange(len(dense)) for _ in range(60)]
+    labels = [rng.randint(1, 3) if rng.random() < noise else 1 + d % 3 for d in docs]
+    examples = spark.createDataFrame(
+        [("L", i, d, c) for i, (d, c) in enumerate(zip(docs, labels))], "ledger_id string, id long, doc long, category_id long"
+    )
+    vectors = spark.createDataFrame(
+        [("L", d, f"f{j}", v) for d, row in enumerate(dense) for j, v in enumerate(row) if v],
+        "ledger_id string, doc long, feature string, weight double",
+    )
+    classes, want = reference_fit([np.array(dense[d]) for d in docs], labels, 5)
+    # A ledger of its own per block beside one of another size.
+    both = examples.unionByName(examples.withColumn("ledger_id", F.lit("M")).filter("id < 30"))
+    more = vectors.unionByName(vectors.withColumn("ledger_id", F.lit("M")))
+    got = {}
+    for r in linear.train_linear(both, more, class_block=2).collect():
+        got.setdefault(r.ledger_id, {})[r["class"], r.feature] = r.weight
+    small = reference_fit([np.array(dense[d]) for d in docs[:30]], labels[:30], 5)
+    for ledger, (kinds, weights) in {"L": (classes, want), "M": small}.items():
+        for k, c in enumerate(kinds):
+            for j, name in enumerate([f"f{j}" for j in range(5)] + [""]):
+                assert math.isclose(got[ledger].get((c, name), 0.0), weights[k][j], abs_tol=1e-9)
+
+
 def test_features_leave_a_task_in_bounded_batches(spark, monkeypatch):
     """A batch of texts has many times as many features; a group to score is bounded by its features too."""
     import pyarrow as pa
