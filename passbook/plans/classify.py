@@ -12,7 +12,7 @@ from passbook.functions.text import normalise_merchant
 from passbook.operators import features, views
 from passbook.operators.curate import create_transfers, set_categories
 from passbook.operators.history import suggest_from_history
-from passbook.operators.linear import fit_sample, predict_linear, train_linear
+from passbook.operators.linear import predict_linear, train_linear
 from passbook.operators.rules import apply_rules
 from passbook.operators.transfers import detect_transfers
 from passbook.schema import Books
@@ -30,19 +30,16 @@ class Model:
 
 
 def train(examples: DataFrame) -> Model:
-    """Fit on examples (ledger_id, id, norm, category_id); empty keys stay in the corpus."""
+    """Fit on all examples (ledger_id, id, norm, category_id); empty keys stay in the corpus."""
     docs = features.documents(examples)
     counts = cut_lineage(features.term_counts(docs))
     vocabulary = cut_lineage(features.tfidf_fit(docs, counts))
-    rows = examples.join(docs.select("ledger_id", "norm", "doc"), ["ledger_id", "norm"]).select(
-        "ledger_id", "id", "doc", "category_id"
+    rows = cut_lineage(
+        examples.join(docs.select("ledger_id", "norm", "doc"), ["ledger_id", "norm"]).select(
+            "ledger_id", "id", "doc", "category_id"
+        )
     )
-    # Only documents that the fit reads get vectors.
-    held = counts.join(vocabulary.select("ledger_id", "feature"), ["ledger_id", "feature"], "left_semi")
-    sample = cut_lineage(fit_sample(rows, held))
-    read = counts.join(sample.select(*features.DOC).distinct(), features.DOC, "left_semi")
-    vectors = cut_lineage(features.tfidf_transform(read, vocabulary))
-    return Model(vocabulary, cut_lineage(train_linear(sample, vectors)))
+    return Model(vocabulary, cut_lineage(train_linear(rows, features.tfidf_transform(counts, vocabulary))))
 
 
 def suggest(model: Model, rows: DataFrame) -> DataFrame:

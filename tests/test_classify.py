@@ -288,9 +288,22 @@ def test_features_are_counted_in_place(spark):
     assert {tuple(r) for r in counted.select("doc", "feature", "tf").collect()} == {tuple(r) for r in plain.collect()}
 
 
-@pytest.mark.parametrize("noise, calm, ahead", [(0.0, 1, 4), (0.3, 2, 8), (0.3, 10**9, 1)])
-def test_rows_without_loss_are_skipped_exactly(spark, monkeypatch, noise, calm, ahead):
+def test_fit_reads_every_row_of_a_ledger(spark):
+    """Classes that only the last rows by a hash of the id have are learned, whatever the number of rows."""
+    last = [r.id for r in spark.range(20_100).orderBy(F.xxhash64("id").desc(), F.desc("id")).limit(2).collect()]
+    text = F.when(F.col("id").isin(last), "gamma ray").when(F.col("id") % 2 == 0, "alpha shop").otherwise("beta market")
+    kind = F.when(F.col("id").isin(last), 3).otherwise(1 + F.col("id") % 2).cast("long")
+    rows = spark.range(20_100).select(F.lit("L").alias("ledger_id"), "id", text.alias("norm"), kind.alias("category_id"))
+    model = plan.train(rows)
+    assert {r["class"] for r in model.weights.select("class").distinct().collect()} == {1, 2, 3}
+    asked = spark.createDataFrame([("L", 1, "gamma ray"), ("L", 2, "alpha shop")], "ledger_id string, id long, norm string")
+    assert {r.norm: r.category_id for r in plan.suggest(model, asked).collect()} == {"gamma ray": 3, "alpha shop": 1}
+
+
+@pytest.mark.parametrize("noise, calm, ahead, few", [(0.0, 1, 4, 0), (0.3, 2, 8, 256), (0.0, 1, 4, 256), (0.3, 10**9, 1, 0)])
+def test_rows_without_loss_are_skipped_exactly(spark, monkeypatch, noise, calm, ahead, few):
     """Many rows share a document; runs of rows without loss are found together, with the weights of the plain pass."""
+    monkeypatch.setattr(linear, "TABLE_DOCS", few)
     monkeypatch.setattr(linear, "CALM", calm)
     monkeypatch.setattr(linear, "AHEAD", ahead)
     monkeypatch.setattr(linear, "PART", 7)
