@@ -278,6 +278,22 @@ def test_similar_transactions_looks_up_every_row(spark, tmp_path, monkeypatch):
     assert sorted(r.id for r in asked.collect()) == [0, 1, 2, 3]
 
 
+def test_similar_transactions_lists_every_look_alike(spark, tmp_path):
+    """More look-alikes than any list was cut to, equal texts and others, each with its place."""
+    from passbook import queries
+
+    queries.load()
+    assert "200" not in queries.SQL["similar_transactions"]
+    rows = [(i, "Brand#1", "STEEL", "round bolt with a long head" if i < 110 else "round bolts with a long head") for i in range(208)] + [(300, "Brand#1", "TIN", "red cup")]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    found = queries.QUERIES["similar_transactions"](spark, str(tmp_path)).collect()
+    assert len(found) == 208 * 207
+    mine = sorted((r.place, r.id) for r in found if r.query_id == 100)
+    assert mine == [(p, i) for p, i in enumerate([i for i in range(208) if i != 100], 1)]
+    other = sorted((r.place, r.id) for r in found if r.query_id == 206)
+    assert other == [(p, i) for p, i in enumerate([*range(110, 206), 207, *range(110)], 1)]
+
+
 def test_features_are_counted_in_place(spark):
     keys = ["ab c ab", "", " a\tbb  a bb ", "réf 1", "x" * 9]
     rows = spark.createDataFrame([("L", i, k, 1) for i, k in enumerate(keys)], "ledger_id string, doc long, norm string, n long")
