@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.functions.text import fold_literal, searchable_text, token_list, tokens
+from passbook.session import cut_lineage
 
 POSTING_COLUMNS = ["ledger_id", "term", "id", "pos"]
 #: A block covers 2^SPAN ids: these as distances from the start of the span, the positions beside them.
@@ -145,21 +146,70 @@ def check_postings(postings: DataFrame, tx: DataFrame, notes: DataFrame | None =
 
 
 def check_blocks(blocks: DataFrame, tx: DataFrame, notes: DataFrame | None = None) -> DataFrame:
-    """``check_postings`` of an index in blocks: spans are compared, and only those that differ taken apart."""
+    """``check_postings`` of an index in blocks.
+
+    Spans of ids are compared by their number of pairs of word and id and a digest of these, which are summed up
+    where the texts and the blocks are, so that no word is shuffled.  Only spans that differ are taken apart, block
+    by block.
+    """
+    sides = _due(tx, notes).unionByName(_held(blocks), allowMissingColumns=True)
+    both = [F.max(f"{name}_{side}").alias(f"{name}_{side}") for name in ("pairs", "digest") for side in ("due", "held")]
+    found = sides.groupBy("ledger_id", "block").agg(*both)
+    same = F.col("pairs_due").eqNullSafe(F.col("pairs_held")) & F.col("digest_due").eqNullSafe(F.col("digest_held"))
+    odd = cut_lineage(found.filter(~same).select(F.col("ledger_id").alias("_ledger"), F.col("block").alias("_block")))
+
+    def of_odd(rows: DataFrame, block: Column) -> DataFrame:
+        here = F.col("ledger_id").eqNullSafe(F.col("_ledger")) & block.eqNullSafe(F.col("_block"))
+        return rows.join(odd, here, "left_semi")
+
+    changed = of_odd(tx, F.shiftright("id", SPAN))
+    return _problems(_odd_pairs(build_blocks(changed, notes), of_odd(blocks, F.col("block"))), tx)
+
+
+def _digest(items: str, pair: Callable[[Column], Column]) -> Column:
+    """A digest of the pairs of an array that does not depend on their order."""
+    return F.aggregate(items, F.lit(0).cast("long"), lambda seen, item: seen.bitwiseXOR(pair(item)))
+
+
+def _of_spans(rows: DataFrame, side: str) -> DataFrame:
+    return rows.groupBy("ledger_id", "block").agg(F.sum("_n").alias(f"pairs_{side}"), F.bit_xor("_x").alias(f"digest_{side}"))
+
+
+def _due(tx: DataFrame, notes: DataFrame | None) -> DataFrame:
+    """Pairs of the texts of each span.  Ids that repeat count again, so their span is taken apart."""
+    rows, text = _noted(tx, notes)
+    near = F.coalesce(F.col("id").bitwiseAND((1 << SPAN) - 1), F.lit(0)).cast("int")
+    worded = rows.select(
+        "ledger_id", F.shiftright("id", SPAN).alias("block"), near.alias("_near"), F.array_distinct(tokens(text)).alias("_words")
+    )
+    return _of_spans(worded.select(
+        "ledger_id", "block", F.size("_words").cast("long").alias("_n"), _digest("_words", lambda w: F.xxhash64(w, "_near")).alias("_x")
+    ), "due")
+
+
+def _held(blocks: DataFrame) -> DataFrame:
+    """Pairs of the index in each span."""
+    rows = blocks.select("ledger_id", "block", "term", F.array_distinct("ids").alias("_ids"))
+    return _of_spans(rows.select(
+        "ledger_id", "block", F.size("_ids").cast("long").alias("_n"), _digest("_ids", lambda i: F.xxhash64("term", i)).alias("_x")
+    ), "held")
+
+
+def _odd_pairs(due: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of id and word that only the texts (side 1) or only the index (side 2) have."""
     key = ["ledger_id", "term", "block"]
     none = F.lit(None).cast("array<int>")
-    expected = build_blocks(tx, notes).select(*key, F.array_distinct("ids").alias("_due"), none.alias("_held"))
-    actual = blocks.select(*key, none.alias("_due"), F.array_distinct("ids").alias("_held"))
+    expected = due.select(*key, F.array_distinct("ids").alias("_due"), none.alias("_held"))
+    actual = held.select(*key, none.alias("_due"), F.array_distinct("ids").alias("_held"))
     ids = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     spans = expected.unionByName(actual).groupBy(*key).agg(ids("_due").alias("_due"), ids("_held").alias("_held"))
     odd = F.concat(
         F.transform(F.array_except("_due", "_held"), lambda i: F.struct(i.alias("id"), F.lit(1).alias("side"))),
         F.transform(F.array_except("_held", "_due"), lambda i: F.struct(i.alias("id"), F.lit(2).alias("side"))),
     )
-    sides = spans.select(*key, F.explode(odd).alias("odd")).select(
+    return spans.select(*key, F.explode(odd).alias("odd")).select(
         "ledger_id", (F.shiftleft("block", SPAN) + F.col("odd.id")).alias("id"), "term", "odd.side"
     )
-    return _problems(sides, tx)
 
 
 def _problems(sides: DataFrame, tx: DataFrame) -> DataFrame:

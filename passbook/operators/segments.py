@@ -60,20 +60,26 @@ def _live(spark: SparkSession, root: str, entries: list[Row]) -> DataFrame:
     touched = _read(spark, root, speaking, "touched", _TOUCHED)
     newest = touched.groupBy(*_ID).agg(F.max("segment").alias("_newest"))
     # One row a span, of at most 2^SPAN ids, so that blocks are joined and not their postings.
-    spans = newest.groupBy("ledger_id", F.shiftright("id", SPAN).alias("block")).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.col("id").bitwiseAND((1 << SPAN) - 1).cast("int").alias("key"), "_newest"))
-        ).alias("_newest")
+    near = F.map_from_entries(
+        F.collect_list(F.struct(F.col("id").bitwiseAND((1 << SPAN) - 1).cast("int").alias("key"), "_newest"))
     )
-    joined = found.join(spans, ["ledger_id", "block"], "left")
-    hits = F.filter(
-        F.arrays_zip("ids", "places"),
-        lambda h: F.coalesce(F.col("segment") >= F.col("_newest")[h["ids"]], F.lit(True)),
+    # A place for each id of the span, as a map is searched key by key.
+    places = F.transform(F.sequence(F.lit(0), F.lit((1 << SPAN) - 1)), lambda at: F.col("_near")[at])
+    spans = (
+        newest.groupBy("ledger_id", F.shiftright("id", SPAN).alias("block")).agg(near.alias("_near"), F.max("_newest").alias("_last"))
+        .select("ledger_id", "block", places.alias("_newest"), "_last")
     )
-    kept = joined.withColumn("_hits", F.when(F.col("_newest").isNotNull(), hits))
-    return kept.filter(F.col("_hits").isNull() | (F.size("_hits") > 0)).select(
-        "ledger_id", "term", "block", F.coalesce("_hits.ids", "ids").alias("ids"),
-        F.coalesce("_hits.places", "places").alias("places"), "segment",
+    joined = found.join(spans, ["ledger_id", "block"], "left")
+
+    def live(near: Column) -> Column:
+        return F.coalesce(F.col("segment") >= F.col("_newest")[near], F.lit(True))
+
+    # Blocks as new as all that speaks for their span are whole.
+    whole = F.coalesce(F.col("segment") >= F.col("_last"), F.lit(True))
+    hits = F.filter(F.arrays_zip("ids", "places"), lambda h: live(h["ids"]))
+    return joined.filter(whole | F.exists("ids", live)).select(
+        "ledger_id", "term", "block", F.when(whole, F.col("ids")).otherwise(F.filter("ids", live)).alias("ids"),
+        F.when(whole, F.col("places")).otherwise(hits["places"]).alias("places"), "segment",
     )
 
 

@@ -153,3 +153,37 @@ def test_blocks_hold_whole_spans(spark):
 def rows_as_postings(spark, rows):
     flat = [(r.ledger_id, r.term, (r.block << fulltext.SPAN) + i, p) for r in rows for i, p in zip(r.ids, r.places)]
     return spark.createDataFrame(flat, "ledger_id string, term string, id long, pos int")
+
+
+def test_only_spans_that_differ_are_taken_apart(spark, monkeypatch):
+    """A check compares sums of spans; ids that repeat or are NULL, NULL ledgers and swapped words give the problems of all pairs."""
+    rng = random.Random(12)
+    ids = [*range(0, 1200, 60), -1, 7, 7, 5_000_000_000, None]
+    rows = [(ledger, i, text(rng), "{}") for ledger in ("A", None) for i in ids]
+    tx = spark.createDataFrame(rows, TX)
+    notes = spark.createDataFrame([("A", 600, "one more")], "ledger_id string, transaction_id long, note string")
+    # The index has another word in one span of ids, and a row too many in another ledger.
+    other = [(ledger, i, "the swapped" if (ledger, i) == ("A", 300) else words, m) for ledger, i, words, m in rows]
+    indexed = spark.createDataFrame([*other, ("B", 9, "orphan", "{}")], TX)
+    index = fulltext.build_blocks(indexed)
+    seen = []
+    whole = fulltext._odd_pairs
+
+    def watched(due, held):
+        seen.append({(r.ledger_id, r.block) for r in due.unionByName(held).select("ledger_id", "block").collect()})
+        return whole(due, held)
+
+    monkeypatch.setattr(fulltext, "_odd_pairs", watched)
+    found = Counter(map(tuple, fulltext.check_blocks(index, tx, notes).collect()))
+    due = {(r.ledger_id, r.id, r.term) for r in fulltext.build_postings(tx, notes).collect()}
+    held = {(r.ledger_id, r.id, r.term) for r in fulltext.build_postings(indexed).collect()}
+    known = {(ledger, i) for ledger, i, *_ in rows if ledger is not None and i is not None}
+    want = [(*p, "missing") for p in due - held] + [(*p, "phantom" if p[:2] in known else "orphan") for p in held - due]
+    assert {p[:4] for p in found} == set(want) and len(want) > 4
+    # Texts that share an id count twice, so their span is looked at as well.
+    assert seen[0] >= {("A", 1), ("A", 2), ("B", 0)}
+    assert not seen[0] & {("A", 3), ("A", 4), (None, 1), (None, 4), ("A", -1)}
+    # A whole index has nothing to take apart.
+    clean = tx.filter("id <> 7")
+    assert fulltext.check_blocks(fulltext.build_blocks(clean, notes), clean, notes).count() == 0
+    assert not seen[1]
