@@ -348,6 +348,21 @@ def test_rows_without_loss_are_skipped_exactly(spark, monkeypatch, noise, calm,
                 assert math.isclose(got[ledger].get((c, name), 0.0), weights[k][j], abs_tol=1e-9)
 
 
+def test_fit_takes_rows_without_document_or_label(spark):
+    """A row of a NULL document has no features and still counts; one without a label is left out."""
+    rows = [(1, 1, 1), (2, 2, 2), (3, None, 1), (4, 7, 2), (None, 1, 1), (6, 2, None)]
+    examples = spark.createDataFrame([("L", *r) for r in rows], "ledger_id string, id long, doc long, category_id long")
+    vectors = spark.createDataFrame([("L", 1, "f0", 1.0), ("L", 2, "f1", 0.5)], "ledger_id string, doc long, feature string, weight double")
+    dense = {1: [1.0, 0.0], 2: [0.0, 0.5]}
+    # A NULL id comes first.
+    order = [(1, 1), (1, 1), (2, 2), (None, 1), (7, 2)]
+    classes, want = reference_fit([np.array(dense.get(d, [0.0, 0.0])) for d, _ in order], [c for _, c in order], 2)
+    got = {(r["class"], r.feature): r.weight for r in linear.train_linear(examples, vectors).collect()}
+    for k, c in enumerate(classes):
+        for j, name in enumerate(["f0", "f1", ""]):
+            assert math.isclose(got.get((c, name), 0.0), want[k][j], abs_tol=1e-9)
+
+
 def test_features_leave_a_task_in_bounded_batches(spark, monkeypatch):
     """A batch of texts has many times as many features; a group to score is bounded by its features too."""
     import pyarrow as pa
